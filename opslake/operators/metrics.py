@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.greedy import keep_spaced
+from opslake.functions.scratch import materialize
 from opslake.functions.skew import Running, scan
 
 
@@ -195,9 +196,8 @@ def alert_groups(alerts: DataFrame, by: list[str], ts: str, tie: str, gap_second
     paired = scan(alerts.select(*by, *order), by, order, _previous=Running("last", F.col(ts), exclusive=True))
     gap = F.expr(f"interval {int(gap_seconds)} seconds")
     opens = F.col("_previous").isNull() | (F.col(ts) >= F.col("_previous") + gap)
-    numbered = scan(
-        paired.withColumn("_opens", F.when(opens, 1).otherwise(0)), by, order, _group=Running("sum", F.col("_opens"))
-    )
+    marked = materialize(paired.withColumn("_opens", F.when(opens, 1).otherwise(0)), "groups")
+    numbered = scan(marked, by, order, _group=Running("sum", F.col("_opens")))
     return (
         numbered.groupBy(*by, "_group")
         .agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("alerts"))

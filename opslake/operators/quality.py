@@ -89,48 +89,45 @@ def split_valid(rows: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFram
     return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
-def event_violations(payload: Column) -> Column:
-    """Contract violations of a JSON event text: missing fields, bad values, unknown keys."""
-    keys = F.json_object_keys(payload)
+def _contract_checks(fields: Column) -> Column:
+    """Contract violations of an event given as a map from field name to text."""
 
     def field(name: str) -> Column:
-        return F.get_json_object(payload, f"$.{name}")
+        return F.element_at(fields, name)
 
     kind = field("eventType")
-    checks: list[Column] = [
-        F.when(keys.isNull(), F.lit("not a JSON object")),
+    always: list[Column] = [
+        F.when(fields.isNull(), F.lit("not a JSON object")),
         F.when(~F.coalesce(kind.isin(*schemas.CONTRACTS), F.lit(False)), F.lit("eventType")),
     ]
     for name in schemas.ENVELOPE_FIELDS[:5]:
         if name != "eventType":
-            checks.append(F.when(field(name).isNull(), F.lit(f"missing {name}")))
-    extra = F.array().cast("array<string>")
+            always.append(F.when(field(name).isNull(), F.lit(f"missing {name}")))
+
+    # Only the branch of the event's own type is evaluated.
+    own = F.array().cast("array<string>")
     for event_type, contract in schemas.CONTRACTS.items():
-        mine = kind == event_type
-        checks.append(F.when(mine & (field("source") != contract["source"]), F.lit("source")))
-        for name in contract["required"]:
-            checks.append(F.when(mine & field(name).isNull(), F.lit(f"missing {name}")))
-        for name, values in contract["enums"].items():
-            checks.append(F.when(mine & ~field(name).isin(*values), F.lit(f"bad {name}")))
+        checks = [F.when(field("source") != contract["source"], F.lit("source"))]
+        checks += [F.when(field(n).isNull(), F.lit(f"missing {n}")) for n in contract["required"]]
+        checks += [F.when(~field(n).isin(*v), F.lit(f"bad {n}")) for n, v in contract["enums"].items()]
+        if event_type == "QUEUE":
+            for name, low, high in (("priority", 0, 10), ("attemptNumber", 1, 2**31 - 1)):
+                number = F.when(field(name).rlike(r"^-?[0-9]+$"), field(name).try_cast("bigint"))
+                fits = F.coalesce(number.between(low, high), F.lit(False))
+                checks.append(F.when(field(name).isNotNull() & ~fits, F.lit(f"bad {name}")))
         known = [*schemas.ENVELOPE_FIELDS, *contract["required"], *contract["optional"]]
-        unknown = F.array_except(keys, F.array(*(F.lit(k) for k in known)))
-        extra = F.when(mine, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k))).otherwise(extra)
-    priority = field("priority")
-    number = F.when(priority.rlike(r"^-?[0-9]+$"), priority.try_cast("bigint"))
-    attempt = field("attemptNumber")
-    attempts = F.when(attempt.rlike(r"^-?[0-9]+$"), attempt.try_cast("bigint"))
-    queue = kind == "QUEUE"
-    checks.append(
-        F.when(queue & priority.isNotNull() & ~F.coalesce(number.between(0, 10), F.lit(False)), F.lit("bad priority"))
-    )
-    checks.append(
-        F.when(queue & attempt.isNotNull() & ~F.coalesce(attempts >= 1, F.lit(False)), F.lit("bad attemptNumber"))
-    )
-    return F.array_sort(F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>"))))
+        unknown = F.array_except(F.map_keys(fields), F.array(*(F.lit(k) for k in known)))
+        listed = F.concat(
+            F.array_compact(F.array(*checks)), F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k))
+        )
+        own = F.when(kind == event_type, listed).otherwise(own)
+    return F.array_sort(F.concat(F.array_compact(F.array(*always)), own))
 
 
 def event_contract(events: DataFrame, payload: str = "payload") -> DataFrame:
-    return events.withColumn("violations", event_violations(F.col(payload)))
+    """Add what each JSON event text violates: missing fields, bad values, unknown keys.  The text is parsed once."""
+    parsed = events.withColumn("_fields", F.from_json(F.col(payload), "map<string,string>"))
+    return parsed.withColumn("violations", _contract_checks(F.col("_fields"))).drop("_fields")
 
 
 def duplicate_names(candidates: DataFrame, existing: DataFrame, keys: list[str], identity: str) -> DataFrame:

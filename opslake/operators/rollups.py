@@ -7,9 +7,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opslake.functions.scratch import materialize
 from opslake.functions.skew import Running, exact_quantile, scan, trailing_count
 
 ROLLUP_KEYS = ["job_id", "tenant_id", "bucket"]
+HOT_RUNS = 1_000_000
 
 
 def _literal(moment: datetime) -> F.Column:
@@ -20,14 +22,35 @@ def hour_of(ts: str) -> F.Column:
     return F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
 
 
-def hourly_rollup(executions: DataFrame, quantile: float = 0.95) -> DataFrame:
+def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Runs, successes, failures and duration statistics per job, tenant and hour.
 
-    Rows first collapse to counts per duration value; totals and the exact
-    percentile both start from those counts, so the table is read once.
+    Almost every group is small and takes one aggregate with the exact
+    percentile.  A group with more than ``hot_runs`` runs would hold all its
+    durations in one task, so it goes through counts per duration value
+    instead.  Which groups are that large is a count that combines before its
+    shuffle; there are at most rows / hot_runs, which bounds the broadcast.
     """
+    runs = executions.select("job_id", "tenant_id", hour_of("started_at").alias("bucket"), "status", "duration_ms")
+    sizes = runs.groupBy(*ROLLUP_KEYS).agg(F.count("duration_ms").alias("_timed"))
+    hot = F.broadcast(sizes.filter(F.col("_timed") > hot_runs).select(*ROLLUP_KEYS))
+
+    plain = (
+        runs.join(hot, ROLLUP_KEYS, "left_anti")
+        .groupBy(*ROLLUP_KEYS)
+        .agg(
+            F.count("*").alias("total_runs"),
+            F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
+            F.count_if(F.col("status") == "FAILED").alias("failure_count"),
+            F.avg("duration_ms").alias("avg_duration_ms"),
+            F.max("duration_ms").alias("max_duration_ms"),
+            F.min("duration_ms").alias("min_duration_ms"),
+            F.percentile("duration_ms", F.lit(quantile)).alias("p95_duration_ms"),
+        )
+    )
+
     by_value = (
-        executions.select("job_id", "tenant_id", hour_of("started_at").alias("bucket"), "status", "duration_ms")
+        runs.join(hot, ROLLUP_KEYS, "left_semi")
         .groupBy(*ROLLUP_KEYS, "duration_ms")
         .agg(
             F.count("*").alias("n"),
@@ -47,7 +70,7 @@ def hourly_rollup(executions: DataFrame, quantile: float = 0.95) -> DataFrame:
     p95 = exact_quantile(
         by_value.filter("duration_ms is not null"), ROLLUP_KEYS, "duration_ms", "n", quantile, "p95_duration_ms"
     )
-    return totals.join(p95, ROLLUP_KEYS, "left")
+    return plain.unionByName(totals.join(p95, ROLLUP_KEYS, "left"))
 
 
 def refresh_bounds(as_of: datetime, start_offset: timedelta, end_offset: timedelta) -> tuple[datetime, datetime]:
@@ -138,7 +161,7 @@ def failure_streaks(executions: DataFrame, slice_seconds: int = 3600) -> DataFra
     failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
     decided = executions.filter(F.col("status").isin("FAILED", "SUCCESS")).select(*keys, *order, "status")
     counted = scan(decided, keys, order, slice_seconds, failures=Running("sum", F.when(failed, 1).otherwise(0)))
-    based = scan(counted, keys, order, slice_seconds, base=Running("max", F.when(ok, F.col("failures"))))
+    based = scan(materialize(counted, "streaks"), keys, order, slice_seconds, base=Running("max", F.when(ok, F.col("failures"))))
     return based.filter(failed).select(
         *keys, *order, (F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint").alias("consecutive_failures")
     )

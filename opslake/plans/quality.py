@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslake.functions.scratch import scratch_path
 from opslake.operators import quality, tables
 from opslake.plans.alerts import job_events
 from opslake.plans.jobs import EXECUTION_EVENTS_SQL
@@ -163,7 +164,7 @@ def _(t):
     "SELECT service, CAST(ts AS date) AS log_date, count(*) AS entries, CAST(sum(length(message)) AS bigint) AS characters FROM v_logs GROUP BY ALL",
 )
 def _(t):
-    path = archive.scratch_path(t.spark, "log-archive")
+    path = scratch_path(t.spark, "log-archive")
     archive.archive_logs(t.logs, path)
     return (
         archive.read_archive(t.spark, path, t.logs.schema)

@@ -170,17 +170,47 @@ SELECT * FROM (VALUES ('t0', 7, true), ('t1', 14, true), ('t2', 3, false), ('t3'
   AS r(tenant_id, retention_days, enabled)""",
 }
 
+# The same tables on Spark without reading their source once per branch.
+SPARK_VIEWS = {
+    "v_gauge_samples": """
+SELECT ts, g.metric, job, instance, g.value FROM (
+  SELECT ts, CONCAT('job', CAST(user_id % 3 AS string)) AS job, CONCAT('i', CAST(user_id AS string)) AS instance,
+         explode(array(
+           named_struct('metric', 'heap_used', 'value', value * 1048576),
+           named_struct('metric', 'heap_max', 'value', CAST(64 AS double) * 1048576),
+           named_struct('metric', 'up', 'value', CASE WHEN event_type = 'error' THEN CAST(0 AS double) ELSE CAST(1 AS double) END),
+           named_struct('metric', 'consumer_lag', 'value', CAST(event_id % 97 AS double)))) AS g
+  FROM events)""",
+    "v_queue_counters": """
+SELECT created_at AS ts, metric, tenant_id, id FROM (
+  SELECT *, explode(CASE WHEN status = 'COMPLETED' THEN array('enqueued', 'completed') ELSE array('enqueued') END) AS metric
+  FROM v_job_queue)""",
+    "v_alert_rules": """
+SELECT job_id * 10 + r.n AS rule_id, tenant_id, job_id, CONCAT(r.rule_type, '-', name) AS name, r.rule_type,
+       CASE WHEN r.n = 5 AND job_id % 2 = 0 THEN '{"threshold": 1}' ELSE r.condition_json END AS condition_json,
+       r.severity, r.channels_csv, CASE WHEN job_id % 9 = 0 THEN NULL ELSE 3600 * r.n END AS cooldown_seconds,
+       (job_id + r.n) % 8 <> 0 AS enabled
+FROM (SELECT *, explode(array(
+        named_struct('n', 1, 'rule_type', 'FAILURE_COUNT', 'condition_json', '{"threshold": 1}', 'severity', 'HIGH', 'channels_csv', 'EMAIL,SLACK'),
+        named_struct('n', 2, 'rule_type', 'SLA_BREACH', 'condition_json', '{"threshold": 30000, "unit": "ms"}', 'severity', 'CRITICAL', 'channels_csv', 'SMS'),
+        named_struct('n', 3, 'rule_type', 'CONSECUTIVE_FAILURES', 'condition_json', '{"threshold": 2}', 'severity', 'MEDIUM', 'channels_csv', 'EMAIL'),
+        named_struct('n', 4, 'rule_type', 'SUCCESS_RATE_DROP', 'condition_json', '{"threshold": 35}', 'severity', 'LOW', 'channels_csv', 'WEBHOOK'),
+        named_struct('n', 5, 'rule_type', 'TIMEOUT', 'condition_json', '{"threshold": 1.5}', 'severity', 'MEDIUM', 'channels_csv', 'PUSH,EMAIL'),
+        named_struct('n', 6, 'rule_type', 'UNKNOWN_TYPE', 'condition_json', '{"limit": 1}', 'severity', 'LOW', 'channels_csv', 'EMAIL'))) AS r
+      FROM v_jobs)""",
+}
+
 _NAME = re.compile(r"\bv_\w+\b")
 
 
-def needed_views(sql: str) -> list[str]:
+def needed_views(sql: str, views: dict[str, str]) -> list[str]:
     """Views a text uses, dependencies first."""
     seen: list[str] = []
 
     def visit(text: str) -> None:
         for name in _NAME.findall(text):
-            if name in VIEWS and name not in seen:
-                visit(VIEWS[name])
+            if name in views and name not in seen:
+                visit(views[name])
                 if name not in seen:
                     seen.append(name)
 
@@ -188,9 +218,9 @@ def needed_views(sql: str) -> list[str]:
     return seen
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, views: dict[str, str] = VIEWS) -> str:
     """Prefix a query with the views it uses as common table expressions."""
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed_views(sql))
+    ctes = ",\n".join(f"{name} AS ({views[name].strip()})" for name in needed_views(sql, views))
     body = sql.strip()
     own = re.match(r"WITH(\s+RECURSIVE)?\s+", body, re.IGNORECASE)
     if own:
@@ -210,7 +240,7 @@ class Domain:
         return self.spark.read.parquet(f"{self.directory}/{table}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text)
+        full = with_views(text, {**VIEWS, **SPARK_VIEWS})
         for table in BASE:
             if re.search(rf"\b{table}\b", full):
                 self.base(table).createOrReplaceTempView(table)
