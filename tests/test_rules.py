@@ -300,7 +300,9 @@ def test_rollup_of_a_large_group_equals_the_plain_one(spark):
           None if i % 10 == 0 else (i * 7919) % 40_000) for i in range(6000)], RUNS)
     plain = rollups.hourly_rollup(runs)
     split = rollups.hourly_rollup(runs, hot_runs=100)
-    key = lambda r: (r.job_id, r.bucket)
+    def key(r):
+        return r.job_id, r.bucket
+
     for a, b in zip(sorted(plain.collect(), key=key), sorted(split.select(*plain.columns).collect(), key=key), strict=True):
         assert a.asDict() | {"p95_duration_ms": round(a.p95_duration_ms, 6)} == b.asDict() | {"p95_duration_ms": round(b.p95_duration_ms, 6)}
 
