@@ -6,7 +6,7 @@ import re
 from datetime import date, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake.functions.levels import at_least, level_rank
@@ -40,6 +40,18 @@ def write_logs(logs: DataFrame, path: str, files_per_partition: int = 8) -> None
     )
 
 
+def read_logs(
+    spark: SparkSession, path: str, tenant_id: str, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """Stored logs of a tenant; the tenant and the days of the time range prune partitions."""
+    rows = spark.read.parquet(path).filter(F.col("tenant_id") == tenant_id)
+    if start is not None:
+        rows = rows.filter(F.col("log_date") >= F.lit(start.date()))
+    if end is not None:
+        rows = rows.filter(F.col("log_date") <= F.lit(end.date()))
+    return rows
+
+
 def log_partition_counts(logs: DataFrame, received_at: datetime) -> DataFrame:
     """Rows each tenant-day partition receives."""
     return prepare_logs(logs, received_at).groupBy("tenant_id", "log_date").agg(F.count("*").alias("entries"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import latest_per_key
+from opslake.functions.skew import latest_per_key, salted_join
 
 CHUNK = "7 days"
 
@@ -78,7 +78,7 @@ def versioned_upsert(
     for one key the newest is taken and its version goes up by one.
     """
     stored = base.select(*keys, F.col("version").alias("_stored"))
-    offered = changes.join(stored, keys, "left")
+    offered = salted_join(changes, stored, keys, changed_at, "left")
     fits = F.coalesce(F.col("version") == F.col("_stored"), F.col("_stored").isNull())
     conflicts = offered.filter(~fits).drop("_stored")
     taken = latest_per_key(offered.filter(fits), keys, [F.desc(changed_at), *(F.desc(c) for c in keys)])
