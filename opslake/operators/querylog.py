@@ -96,14 +96,24 @@ def upsert_slow_queries(base: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def _per_text(statements: DataFrame) -> DataFrame:
+    """One row per distinct text: statistics repeat the same statements, so the text work is done once each."""
+    return statements.groupBy("query").agg(
+        F.count("*").alias("statements"),
+        F.sum(F.col("calls").cast("bigint")).alias("calls"),
+        F.max("max_exec_time").alias("max_exec_time"),
+    )
+
+
 def query_fingerprints(statements: DataFrame) -> DataFrame:
-    """Calls and mean time per statement shape."""
+    """Calls and longest time per statement shape."""
     return (
-        statements.withColumn("normal_form", text.query_normal_form(F.col("query")))
+        _per_text(statements)
+        .withColumn("normal_form", text.query_normal_form(F.col("query")))
         .groupBy("normal_form")
         .agg(
-            F.count("*").alias("statements"),
-            F.sum(F.col("calls").cast("bigint")).alias("calls"),
+            F.sum("statements").alias("statements"),
+            F.sum("calls").alias("calls"),
             F.max("max_exec_time").alias("max_exec_time"),
         )
         .withColumn("fingerprint", F.substring(F.sha2("normal_form", 256), 1, 32))
@@ -113,13 +123,15 @@ def query_fingerprints(statements: DataFrame) -> DataFrame:
 def query_columns(statements: DataFrame) -> DataFrame:
     """How many statements name each table with each predicate column."""
     return (
-        statements.select(
+        _per_text(statements)
+        .select(
+            "statements",
             F.explode(text.query_tables(F.col("query"))).alias("table_name"),
             text.query_predicate_columns(F.col("query")).alias("_columns"),
         )
-        .select("table_name", F.explode("_columns").alias("column_name"))
+        .select("statements", "table_name", F.explode("_columns").alias("column_name"))
         .groupBy("table_name", "column_name")
-        .agg(F.count("*").alias("uses"))
+        .agg(F.sum("statements").alias("uses"))
     )
 
 
@@ -145,9 +157,10 @@ def suggest_rewrites(query: Column) -> Column:
 def query_lint(statements: DataFrame) -> DataFrame:
     """How often each advice applies."""
     return (
-        statements.select(F.explode(suggest_rewrites(F.col("query"))).alias("advice"))
+        _per_text(statements)
+        .select("statements", F.explode(suggest_rewrites(F.col("query"))).alias("advice"))
         .groupBy("advice")
-        .agg(F.count("*").alias("statements"))
+        .agg(F.sum("statements").alias("statements"))
     )
 
 

@@ -27,36 +27,37 @@ def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int =
 
     Almost every group is small and takes one aggregate with the exact
     percentile.  A group with more than ``hot_runs`` runs would hold all its
-    durations in one task, so it goes through counts per duration value
-    instead.  Which groups are that large is a count that combines before its
-    shuffle; there are at most rows / hot_runs, which bounds the broadcast.
+    durations in one task, so those, if a first count finds any, go through
+    counts per duration value.  The count combines before its shuffle.
     """
     runs = executions.select("job_id", "tenant_id", hour_of("started_at").alias("bucket"), "status", "duration_ms")
     sizes = runs.groupBy(*ROLLUP_KEYS).agg(F.count("duration_ms").alias("_timed"))
-    hot = F.broadcast(sizes.filter(F.col("_timed") > hot_runs).select(*ROLLUP_KEYS))
-
-    plain = (
-        runs.join(hot, ROLLUP_KEYS, "left_anti")
-        .groupBy(*ROLLUP_KEYS)
-        .agg(
-            F.count("*").alias("total_runs"),
-            F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
-            F.count_if(F.col("status") == "FAILED").alias("failure_count"),
-            F.avg("duration_ms").alias("avg_duration_ms"),
-            F.max("duration_ms").alias("max_duration_ms"),
-            F.min("duration_ms").alias("min_duration_ms"),
-            F.percentile("duration_ms", F.lit(quantile)).alias("p95_duration_ms"),
-        )
+    hot = sizes.filter(F.col("_timed") > hot_runs).select(*ROLLUP_KEYS)
+    if hot.isEmpty():
+        return _rollup_small(runs, quantile)
+    # At most rows / hot_runs keys, which bounds the broadcast.
+    hot = F.broadcast(materialize(hot, "hot-groups"))
+    small = _rollup_small(runs.join(hot, ROLLUP_KEYS, "left_anti"), quantile)
+    return small.unionByName(_rollup_large(runs.join(hot, ROLLUP_KEYS, "left_semi"), quantile))
+
+
+def _rollup_small(runs: DataFrame, quantile: float) -> DataFrame:
+    return runs.groupBy(*ROLLUP_KEYS).agg(
+        F.count("*").alias("total_runs"),
+        F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
+        F.count_if(F.col("status") == "FAILED").alias("failure_count"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        F.max("duration_ms").alias("max_duration_ms"),
+        F.min("duration_ms").alias("min_duration_ms"),
+        F.percentile("duration_ms", F.lit(quantile)).alias("p95_duration_ms"),
     )
 
-    by_value = (
-        runs.join(hot, ROLLUP_KEYS, "left_semi")
-        .groupBy(*ROLLUP_KEYS, "duration_ms")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("status") == "SUCCESS").alias("ok"),
-            F.count_if(F.col("status") == "FAILED").alias("failed"),
-        )
+
+def _rollup_large(runs: DataFrame, quantile: float) -> DataFrame:
+    by_value = runs.groupBy(*ROLLUP_KEYS, "duration_ms").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status") == "SUCCESS").alias("ok"),
+        F.count_if(F.col("status") == "FAILED").alias("failed"),
     )
     timed = F.when(F.col("duration_ms").isNotNull(), F.col("n"))
     totals = by_value.groupBy(*ROLLUP_KEYS).agg(
@@ -70,7 +71,7 @@ def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int =
     p95 = exact_quantile(
         by_value.filter("duration_ms is not null"), ROLLUP_KEYS, "duration_ms", "n", quantile, "p95_duration_ms"
     )
-    return plain.unionByName(totals.join(p95, ROLLUP_KEYS, "left"))
+    return totals.join(p95, ROLLUP_KEYS, "left")
 
 
 def refresh_bounds(as_of: datetime, start_offset: timedelta, end_offset: timedelta) -> tuple[datetime, datetime]:

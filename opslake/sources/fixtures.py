@@ -12,7 +12,21 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+# Column types of the test tables, so reading one never starts a job to look them up.
+BASE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 AS_OF = datetime(2024, 1, 31)
 QUEUE_AS_OF = datetime(1999, 1, 1)
@@ -235,9 +249,10 @@ class Domain:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory.rstrip("/")
+        self._views: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{table}.parquet")
+        return self.spark.read.schema(BASE[table]).parquet(f"{self.directory}/{table}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text, {**VIEWS, **SPARK_VIEWS})
@@ -249,7 +264,9 @@ class Domain:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or f"v_{name}" not in VIEWS:
             raise AttributeError(name)
-        return self.sql(f"SELECT * FROM v_{name}")
+        if name not in self._views:
+            self._views[name] = self.sql(f"SELECT * FROM v_{name}")
+        return self._views[name]
 
     @property
     def tagged_jobs(self) -> DataFrame:

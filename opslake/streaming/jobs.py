@@ -8,6 +8,7 @@ replaying a batch after a failure replaces its files instead of adding to them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -154,6 +155,16 @@ def heartbeat_timeouts(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _read_once(batch: DataFrame) -> Iterator[DataFrame]:
+    """Keep a batch while several outputs are written from it."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def _replace(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -162,15 +173,16 @@ def log_batch_writer(path: str, patterns: list[dict]) -> Callable[[DataFrame, in
     """Per batch: store the logs and the pattern hits."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = batch.withColumn("log_date", F.to_date("ts"))
-        spread = F.pmod(F.xxhash64("id"), F.lit(4))
-        (
-            stored.repartition("tenant_id", "log_date", spread)
-            .write.mode("overwrite")
-            .partitionBy("tenant_id", "log_date")
-            .parquet(f"{path}/logs/batch_id={batch_id}")
-        )
-        _replace(log_ops.pattern_hits(batch, patterns), f"{path}/hits", batch_id)
+        with _read_once(batch) as rows:
+            spread = F.pmod(F.xxhash64("id"), F.lit(4))
+            (
+                rows.withColumn("log_date", F.to_date("ts"))
+                .repartition("tenant_id", "log_date", spread)
+                .write.mode("overwrite")
+                .partitionBy("tenant_id", "log_date")
+                .parquet(f"{path}/logs/batch_id={batch_id}")
+            )
+            _replace(log_ops.pattern_hits(rows, patterns), f"{path}/hits", batch_id)
 
     return write
 
@@ -179,10 +191,10 @@ def decode_batch_writer(path: str, value: str = "value") -> Callable[[DataFrame,
     """Per batch: decoded events and dead letters, each in its own output."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = event_ops.decode_events(batch, value)
-        good = decoded.filter("valid").select("event.*").drop("_corrupt_record")
-        _replace(good, f"{path}/events", batch_id)
-        _replace(event_ops.dead_letters(decoded, value), f"{path}/dead_letters", batch_id)
+        with _read_once(event_ops.decode_events(batch, value)) as decoded:
+            good = decoded.filter("valid").select("event.*").drop("_corrupt_record")
+            _replace(good, f"{path}/events", batch_id)
+            _replace(event_ops.dead_letters(decoded, value), f"{path}/dead_letters", batch_id)
 
     return write
 
@@ -207,13 +219,13 @@ def delivery_batch_writer(sinks: dict[str, Sink], sent_at: Column | str) -> Call
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        routed = notify.delivery_routes(batch)
-        payloads = notify.channel_payloads(routed.filter(F.col("route") == "dispatch"), sent_at)
-        for name, sink in sinks.items():
-            if name in notify.DISPATCHABLE:
-                sink(payloads.filter(F.col("channel") == name), batch_id)
-            else:
-                sink(routed.filter(F.col("route") == name), batch_id)
+        with _read_once(notify.delivery_routes(batch)) as routed:
+            payloads = notify.channel_payloads(routed.filter(F.col("route") == "dispatch"), sent_at)
+            for name, sink in sinks.items():
+                if name in notify.DISPATCHABLE:
+                    sink(payloads.filter(F.col("channel") == name), batch_id)
+                else:
+                    sink(routed.filter(F.col("route") == name), batch_id)
 
     return write
 
