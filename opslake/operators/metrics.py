@@ -168,28 +168,59 @@ def gauge_sum(samples: DataFrame, metric: str, by: list[str], series: list[str])
 
 
 def sustained_breaches(
-    samples: DataFrame, series: list[str], breached: Column, hold_seconds: int, slice_seconds: int = 3600
+    samples: DataFrame, series: list[str], breached: Column, hold_seconds: int | str, slice_seconds: int = 3600
 ) -> DataFrame:
-    """Stretches of breached samples lasting at least the hold time.
+    """Stretches of breached samples lasting at least the hold time (seconds, or a column of the series).
 
     The running count of healthy samples numbers the stretches; every breached
     sample between two healthy ones has the same number.
     """
+    labels = [*series, hold_seconds] if isinstance(hold_seconds, str) else series
     points = (
         samples.withColumn("_bad", F.coalesce(breached, F.lit(False)))
-        .groupBy(*series, "ts")
+        .groupBy(*labels, "ts")
         .agg(F.max("_bad").alias("_bad"))
     )
-    numbered = scan(points, series, ["ts"], slice_seconds, _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
+    numbered = scan(points, labels, ["ts"], slice_seconds, _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
+    seconds = F.col(hold_seconds) if isinstance(hold_seconds, str) else F.lit(hold_seconds)
     return (
         numbered.filter("_bad")
-        .groupBy(*series, "_island")
+        .groupBy(*labels, "_island")
         .agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("samples"))
-        .filter(F.col("ended_at") >= F.col("started_at") + F.expr(f"interval {int(hold_seconds)} seconds"))
-        .drop("_island")
+        .filter(F.col("ended_at") >= F.col("started_at") + F.make_dt_interval(secs=seconds))
+        .select(*series, "started_at", "ended_at", "samples")
     )
 
 
+# Comparison, threshold, hold seconds and severity of each metric alert.
+METRIC_ALERTS = {
+    "ServiceDown": ("=", 0.0, 60, "critical"),
+    "HighErrorRate": (">", 0.05, 120, "warning"),
+    "HighMemoryUsage": (">", 0.85, 300, "warning"),
+    "HighGCPause": (">", 0.5, 180, "warning"),
+    "QueueBacklog": (">", 100.0, 300, "warning"),
+    "SlowIngestion": (">", 2.0, 180, "warning"),
+    "HighAlertRate": (">", 10.0, 300, "info"),
+}
+
+
+def metric_alerts(
+    values: DataFrame, labels: list[str], alerts: dict[str, tuple[str, float, int, str]] | None = None
+) -> DataFrame:
+    """All metric alerts in one pass.  ``values`` holds alertname, labels, ts and the value the alert looks at."""
+    alerts = alerts or METRIC_ALERTS
+    name = F.col("alertname")
+    breached, hold, severity = F.lit(False), F.lit(None).cast("int"), F.lit(None).cast("string")
+    for alert, (compare, threshold, seconds, level) in alerts.items():
+        beyond = F.col("value") == threshold if compare == "=" else F.col("value") > threshold
+        breached = F.when(name == alert, beyond).otherwise(breached)
+        hold = F.when(name == alert, F.lit(seconds)).otherwise(hold)
+        severity = F.when(name == alert, F.lit(level)).otherwise(severity)
+    known = values.filter(name.isin(*alerts)).withColumn("_hold", hold)
+    held = sustained_breaches(known, ["alertname", *labels], breached, "_hold")
+    return held.withColumn("severity", severity)
+
+
 def alert_groups(alerts: DataFrame, by: list[str], ts: str, tie: str, gap_seconds: int = 10) -> DataFrame:
     """Alerts of one group key closer together than the gap, as one notification."""
     order = [ts, tie]

@@ -133,6 +133,48 @@ def _(t):
     return metrics.sustained_breaches(heap, ["job"], F.col("value") > 5 * 1048576, 3600)
 
 
+@query(
+    "metric_alerts",
+    f"""
+WITH r AS (SELECT job, status = 'error' AS failed, make_timestamp({STEP_SQL.format(step=900)} * 900000000) AS "at", sum(increase) / 900.0 AS rate
+           FROM ({INCREASE_SQL}) GROUP BY ALL),
+v AS (
+  SELECT 'ServiceDown' AS alertname, job, instance, ts, value, value = 0 AS bad, 60 AS hold, 'critical' AS severity
+  FROM v_gauge_samples WHERE metric = 'up'
+  UNION ALL
+  SELECT 'HighMemoryUsage', job, instance, ts, ratio, ratio > 0.85, 300, 'warning' FROM (
+    SELECT job, instance, ts, max(value) FILTER (WHERE metric = 'heap_used') / max(value) FILTER (WHERE metric = 'heap_max') AS ratio
+    FROM v_gauge_samples WHERE metric IN ('heap_used', 'heap_max') GROUP BY ALL)
+  UNION ALL
+  SELECT 'HighErrorRate', job, '', "at", ratio, ratio > 0.05, 120, 'warning' FROM (
+    SELECT job, "at", coalesce(sum(rate) FILTER (WHERE failed), 0.0) / nullif(sum(rate), 0) AS ratio FROM r GROUP BY ALL)),
+p AS (SELECT alertname, job, instance, ts, hold, severity, max(coalesce(bad, false)) AS bad FROM v GROUP BY ALL),
+g AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY alertname, job, instance ORDER BY ts) AS island FROM p)
+SELECT alertname, job, instance, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS samples, severity
+FROM g WHERE bad GROUP BY alertname, job, instance, island, severity, hold
+HAVING max(ts) >= min(ts) + hold * INTERVAL '1' SECOND""",
+)
+def _(t):
+    gauges = t.gauge_samples
+    down = gauges.filter("metric = 'up'").select(F.lit("ServiceDown").alias("alertname"), "job", "instance", "ts", "value")
+    heap = gauges.filter("metric in ('heap_used', 'heap_max')").groupBy("job", "instance", "ts").agg(
+        F.max(F.when(F.col("metric") == "heap_used", F.col("value"))).alias("used"),
+        F.max(F.when(F.col("metric") == "heap_max", F.col("value"))).alias("top"),
+    )
+    memory = heap.select(
+        F.lit("HighMemoryUsage").alias("alertname"), "job", "instance", "ts", F.try_divide("used", "top").alias("value")
+    )
+    errors = metrics.error_ratio(t.metric_samples, SERIES, ["job"], F.col("status") == "error", range_seconds=900)
+    failing = errors.select(
+        F.lit("HighErrorRate").alias("alertname"),
+        "job",
+        F.lit("").alias("instance"),
+        F.col("at").alias("ts"),
+        F.col("ratio").alias("value"),
+    )
+    return metrics.metric_alerts(down.unionByName(memory).unionByName(failing), ["job", "instance"])
+
+
 @query(
     "alert_groups",
     """

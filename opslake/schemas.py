@@ -113,13 +113,3 @@ LOG_ENTRY = _struct(
     metadata=_MAP,
     timestamp=_TS,
 )
-
-STATEMENT_STATISTICS = _struct(
-    query=_S,
-    calls=T.LongType(),
-    mean_exec_time=T.DoubleType(),
-    max_exec_time=T.DoubleType(),
-    rows=T.LongType(),
-    shared_blks_hit=T.LongType(),
-    shared_blks_read=T.LongType(),
-)

@@ -39,6 +39,26 @@ def dead_letters(decoded: DataFrame, value: str = "value") -> DataFrame:
     return decoded.filter(~F.col("valid")).select(F.col(value).alias("value"), reason.alias("error_message"))
 
 
+def decode_logs(raw: DataFrame, received_at: Column, value: str = "value") -> DataFrame:
+    """Log entries from JSON texts, with the id and time filled where the sender left them out."""
+    entry = F.from_json(F.col(value).cast("string"), schemas.LOG_ENTRY)
+    filled = raw.select(F.col(value).alias("_text"), entry.alias("e")).filter(F.col("e.tenantId").isNotNull())
+    return filled.select(
+        F.coalesce("e.id", F.sha2("_text", 256)).alias("id"),
+        F.col("e.tenantId").alias("tenant_id"),
+        "e.source",
+        "e.hostname",
+        "e.service",
+        "e.level",
+        "e.message",
+        "e.logger",
+        F.col("e.threadName").alias("thread_name"),
+        F.col("e.stackTrace").alias("stack_trace"),
+        "e.metadata",
+        F.coalesce("e.timestamp", received_at).alias("ts"),
+    )
+
+
 def envelope(event_type: str, event_id: Column, timestamp: Column, tenant_id: Column, **fields: Column) -> Column:
     """JSON text of an event."""
     return F.to_json(

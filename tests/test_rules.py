@@ -5,8 +5,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from opslake import schemas
 from opslake.functions import text
 from opslake.operators import evaluators, logs, metrics, notify, quality, querylog, queueops, rollups, rules, tables
+from opslake.streaming import events
 
 NOW = datetime(2024, 1, 31)
 
@@ -394,3 +396,30 @@ def test_retry_delays_double(spark):
     rows = queueops.retry_schedule(df, "failed_at", "tries").orderBy("attempt").collect()
     assert [(r.delay_ms, r.total_delay_ms) for r in rows] == [(1000, 1000), (2000, 3000), (4000, 7000)]
     assert rows[2].due_at == NOW + timedelta(seconds=7)
+
+
+def test_log_entries_from_json(spark):
+    texts = ['{"id":"1","tenantId":"t","level":"WARN","message":"m","metadata":{"k":"v"},"timestamp":"2024-01-05T10:00:00Z"}',
+             '{"tenantId":"t","message":"no id"}', '{"message":"no tenant"}', "{broken"]
+    raw = spark.createDataFrame([(x,) for x in texts], "value string")
+    got = {r.message: r for r in events.decode_logs(raw, F.lit(NOW).cast("timestamp")).collect()}
+    assert set(got) == {"m", "no id"}
+    assert got["m"].ts == datetime(2024, 1, 5, 10) and got["m"].metadata == {"k": "v"}
+    assert len(got["no id"].id) == 64 and got["no id"].ts == NOW
+
+
+def test_table_constraints(spark):
+    users = spark.createDataFrame([("a", "x@y", "ADMIN"), ("a", "z@y", "GUEST"), (None, "x@y", "VIEWER")],
+                                  "username string, email string, role string")
+    report = quality.constraint_report(users, "users", {"username": ["username"], "email": ["email"]}, ["username"],
+                                       {"role": schemas.ROLES})
+    assert {r.rule: r.violations for r in report.collect()} == {
+        "not_null:username": 1, "allowed:role": 1, "unique:username": 1, "unique:email": 1}
+
+
+def test_metric_alert_needs_the_full_hold_time(spark):
+    rows = [("ServiceDown", j, NOW + timedelta(seconds=s), v) for j, s, v in
+            [("a", 0, 0.0), ("a", 59, 0.0), ("a", 70, 1.0), ("b", 0, 0.0), ("b", 60, 0.0), ("c", 0, 1.0)]]
+    values = spark.createDataFrame(rows, "alertname string, job string, ts timestamp_ntz, value double")
+    got = metrics.metric_alerts(values, ["job"]).collect()
+    assert [(r.job, r.severity, r.samples) for r in got] == [("b", "critical", 2)]
