@@ -1,13 +1,14 @@
 """Joins and ordered work that stay balanced when one key holds a large share of the rows.
 
-Three building blocks cover every operator that would otherwise sort a whole
-key inside one task:
-
-* ``salted_join`` spreads a hot key of the large side over several copies of
-  the small side.
-* ``scan`` computes running sums, maxima and last values per key in time
-  slices: a local pass per (key, slice), a short pass over one row per slice,
-  and a join that adds the carried-in value.
+Three building blocks cover every operator that would otherwise put a whole
+key into one task.  Each first counts rows per key, which combines before its
+shuffle.  Without a large key the plain Spark form is used; a large key is cut
+into as many parts as its size asks for:
+
+* ``salted_join`` spreads it over copies of its rows of the small side.
+* ``scan`` computes running sums, maxima and last values in time slices: a
+  pass over one summary row per slice carries values in, and a local window
+  does the rest.
 * ``exact_quantile`` finds a percentile from value counts in bands of bounded
   width, so no task ever sees all values of a key.
 """
@@ -19,36 +20,58 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
-DEFAULT_SLICE_SECONDS = 3600
+from opslake.functions.scratch import materialize
+
+# More rows than this of one key are not left to one task.
+HOT_ROWS = 1_000_000
+# A busy key is not evenly busy: cut finer than its average asks for.
+SLICES_PER_SHARE = 4
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, *also: Column) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and their count ``_n``, or None.
+
+    There are at most rows / hot_rows of them: small enough to broadcast.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n"), *also).filter(F.col("_n") > hot_rows)
+    return None if large.isEmpty() else materialize(large, "hot-keys")
+
+
+def with_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of ``hot`` to the rows of its keys, nulls to all others."""
+    renamed = hot.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), *(c for c in hot.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    return df.join(F.broadcast(renamed), same, "left").drop(*(f"_hot_{k}" for k in keys))
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, by its size estimate and threshold, would broadcast this side."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= int(threshold)
 
 
 def salted_join(
-    large: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: str,
-    how: str = "inner",
-    salts: int = DEFAULT_SALTS,
+    large: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Equi-join where rows of one key in ``large`` spread over ``salts`` tasks.
+    """Equi-join where a key with many rows in ``large`` is spread over several tasks.
 
-    ``spread`` is a column of ``large`` that varies within a key.  The small
-    side is repeated once per salt; Spark still broadcasts it when its size
-    is under ``spark.sql.autoBroadcastJoinThreshold``.
+    A small side under Spark's broadcast threshold needs no spreading.  Beyond
+    it, rows of a large key go to ``n / hot_rows`` parts by ``spread`` (a column
+    that varies within a key), and only the matching rows of the small side are
+    repeated.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join: the small side is repeated")
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        raise ValueError(f"salted_join cannot do a {how} join: rows of the small side are repeated")
+    hot = None if fits_broadcast(small) else hot_keys(large, on, hot_rows)
+    if hot is None:
+        return large.join(small, on, how)
+    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(1)).cast("int")
+    left = with_hot(large, hot, on).withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_n")
+    right = with_hot(small, hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def time_slice(ts: str, seconds: int) -> Column:
-    """Number of the fixed-width time slice a timestamp falls into."""
-    return F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {int(seconds) * 1_000_000}")
-
-
 @dataclass(frozen=True)
 class Running:
     """One running value: ``how`` is sum, max or last (last non-null)."""
@@ -58,55 +81,70 @@ class Running:
     exclusive: bool = False
 
 
+def _running(how: str, value: Column, window) -> Column:
+    if how == "last":
+        return F.last(value, ignorenulls=True).over(window)
+    return (F.sum(value) if how == "sum" else F.max(value)).over(window)
+
+
+def _whole(how: str, value: Column, order: list[str]) -> Column:
+    if how == "last":
+        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    return F.sum(value) if how == "sum" else F.max(value)
+
+
 def scan(
-    points: DataFrame,
-    keys: list[str],
-    order: list[str],
-    slice_seconds: int = DEFAULT_SLICE_SECONDS,
-    **running: Running,
+    points: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, **running: Running
 ) -> DataFrame:
     """Add running values per key, ordered by ``order`` (first column a timestamp).
 
-    Rows must be unique per (keys, order).  Work per task is bounded by a time
-    slice of one key; the only per-key pass reads one summary row per slice.
+    Rows must be unique per (keys, order).  Keys of ordinary size are one
+    window; a large key is one window per time slice, with the values of
+    earlier slices carried in from one summary row per slice.
     """
-    part = [*keys, "_slice"]
-    staged = points.withColumn("_slice", time_slice(order[0], slice_seconds)).withColumn("_row", F.lit(True))
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    hot = hot_keys(points, keys, hot_rows, F.min(micros).alias("_from"), F.max(micros).alias("_to"))
+    rows = points
     for name, spec in running.items():
-        staged = staged.withColumn(f"_in_{name}", spec.value)
-
-    def summary(name: str, how: str) -> Column:
-        col = F.col(f"_in_{name}")
-        if how == "last":
-            return F.max_by(col, F.when(col.isNotNull(), F.struct(*order))).alias(f"_of_{name}")
-        return (F.sum(col) if how == "sum" else F.max(col)).alias(f"_of_{name}")
-
-    def over(col: Column, how: str, window) -> Column:
-        if how == "last":
-            return F.last(col, ignorenulls=True).over(window)
-        return (F.sum(col) if how == "sum" else F.max(col)).over(window)
-
+        rows = rows.withColumn(f"_in_{name}", spec.value)
+
+    def results(window) -> list[Column]:
+        out = [F.col(c) for c in points.columns]
+        for name, spec in running.items():
+            frame = window.rowsBetween(Window.unboundedPreceding, -1 if spec.exclusive else 0)
+            value = _running(spec.how, F.col(f"_in_{name}"), frame)
+            out.append((F.coalesce(value, F.lit(0)) if spec.how == "sum" else value).alias(name))
+        return out
+
+    if hot is None:
+        return rows.select(*results(Window.partitionBy(*keys).orderBy(*order)))
+
+    shares = F.ceil(F.col("_n") / F.lit(hot_rows)) * SLICES_PER_SHARE
+    width = F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1) / shares))
+    widths = hot.withColumn("_width", width.cast("bigint")).drop("_n", "_to")
+    part = [*keys, "_slice"]
+    sliced = (
+        with_hot(rows.withColumn("_at", micros), widths, keys)
+        .withColumn("_slice", F.coalesce(F.expr("(_at - _from) div _width"), F.lit(-1)))
+        .drop("_at", "_from", "_width")
+        .withColumn("_row", F.lit(True))
+    )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        staged.groupBy(*part)
-        .agg(*(summary(n, s.how) for n, s in running.items()))
+        sliced.filter("_slice >= 0")
+        .groupBy(*part)
+        .agg(*(_whole(s.how, F.col(f"_in_{n}"), order).alias(f"_of_{n}") for n, s in running.items()))
         .select(
             *part,
             F.lit(False).alias("_row"),
-            *(over(F.col(f"_of_{n}"), s.how, earlier).alias(f"_in_{n}") for n, s in running.items()),
+            *(_running(s.how, F.col(f"_of_{n}"), earlier).alias(f"_in_{n}") for n, s in running.items()),
         )
     )
-
     # The carried-in value enters each slice as its first row, so one local
-    # window gives the final answer without a join (null keys included).
-    combined = staged.unionByName(carried, allowMissingColumns=True)
+    # window gives the final answer without a join.
+    combined = sliced.unionByName(carried, allowMissingColumns=True)
     here = Window.partitionBy(*part).orderBy("_row", *order)
-    out = [F.col(c) for c in points.columns]
-    for name, spec in running.items():
-        frame = here.rowsBetween(Window.unboundedPreceding, -1 if spec.exclusive else 0)
-        value = over(F.col(f"_in_{name}"), spec.how, frame)
-        out.append((F.coalesce(value, F.lit(0)) if spec.how == "sum" else value).alias(name))
-    return combined.select("_row", *out).filter("_row").drop("_row")
+    return combined.select("_row", *results(here)).filter("_row").drop("_row")
 
 
 def trailing_count(
@@ -116,6 +154,7 @@ def trailing_count(
     seconds: int,
     counted: Column | None = None,
     out: str = "in_window",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per (keys, ts): counted rows with timestamp in ``(ts - seconds, ts]``.
 
@@ -142,7 +181,7 @@ def trailing_count(
         .groupBy(*keys, F.col("c.at").alias(ts))
         .agg(F.sum("c.change").alias("_change"), F.max("c.own").alias("_own"))
     )
-    totals = scan(changes, keys, [ts], **{out: Running("sum", F.col("_change"))})
+    totals = scan(changes, keys, [ts], hot_rows, **{out: Running("sum", F.col("_change"))})
     return totals.filter("_own").drop("_change", "_own")
 
 

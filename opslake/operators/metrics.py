@@ -168,7 +168,7 @@ def gauge_sum(samples: DataFrame, metric: str, by: list[str], series: list[str])
 
 
 def sustained_breaches(
-    samples: DataFrame, series: list[str], breached: Column, hold_seconds: int | str, slice_seconds: int = 3600
+    samples: DataFrame, series: list[str], breached: Column, hold_seconds: int | str
 ) -> DataFrame:
     """Stretches of breached samples lasting at least the hold time (seconds, or a column of the series).
 
@@ -181,7 +181,7 @@ def sustained_breaches(
         .groupBy(*labels, "ts")
         .agg(F.max("_bad").alias("_bad"))
     )
-    numbered = scan(points, labels, ["ts"], slice_seconds, _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
+    numbered = scan(points, labels, ["ts"], _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
     seconds = F.col(hold_seconds) if isinstance(hold_seconds, str) else F.lit(hold_seconds)
     return (
         numbered.filter("_bad")

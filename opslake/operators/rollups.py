@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import materialize
-from opslake.functions.skew import Running, exact_quantile, scan, trailing_count
+from opslake.functions.skew import HOT_ROWS, Running, exact_quantile, hot_keys, scan, trailing_count
 
 ROLLUP_KEYS = ["job_id", "tenant_id", "bucket"]
-HOT_RUNS = 1_000_000
 
 
 def _literal(moment: datetime) -> F.Column:
@@ -22,7 +21,7 @@ def hour_of(ts: str) -> F.Column:
     return F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
 
 
-def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int = HOT_RUNS) -> DataFrame:
+def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int = HOT_ROWS) -> DataFrame:
     """Runs, successes, failures and duration statistics per job, tenant and hour.
 
     Almost every group is small and takes one aggregate with the exact
@@ -31,12 +30,10 @@ def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int =
     counts per duration value.  The count combines before its shuffle.
     """
     runs = executions.select("job_id", "tenant_id", hour_of("started_at").alias("bucket"), "status", "duration_ms")
-    sizes = runs.groupBy(*ROLLUP_KEYS).agg(F.count("duration_ms").alias("_timed"))
-    hot = sizes.filter(F.col("_timed") > hot_runs).select(*ROLLUP_KEYS)
-    if hot.isEmpty():
+    hot = hot_keys(runs, ROLLUP_KEYS, hot_runs)
+    if hot is None:
         return _rollup_small(runs, quantile)
-    # At most rows / hot_runs keys, which bounds the broadcast.
-    hot = F.broadcast(materialize(hot, "hot-groups"))
+    hot = F.broadcast(hot.select(*ROLLUP_KEYS))
     small = _rollup_small(runs.join(hot, ROLLUP_KEYS, "left_anti"), quantile)
     return small.unionByName(_rollup_large(runs.join(hot, ROLLUP_KEYS, "left_semi"), quantile))
 
@@ -153,7 +150,7 @@ def windowed_failure_count(executions: DataFrame, seconds: int) -> DataFrame:
     return trailing_count(failed, ["tenant_id", "job_id"], "started_at", seconds, out="failure_count")
 
 
-def failure_streaks(executions: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def failure_streaks(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Failures in a row up to and including each failed run; a success starts over, other states do neither.
 
     The streak is the running failure count minus its value at the last success.
@@ -161,8 +158,8 @@ def failure_streaks(executions: DataFrame, slice_seconds: int = 3600) -> DataFra
     keys, order = ["tenant_id", "job_id"], ["started_at", "id"]
     failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
     decided = executions.filter(F.col("status").isin("FAILED", "SUCCESS")).select(*keys, *order, "status")
-    counted = scan(decided, keys, order, slice_seconds, failures=Running("sum", F.when(failed, 1).otherwise(0)))
-    based = scan(materialize(counted, "streaks"), keys, order, slice_seconds, base=Running("max", F.when(ok, F.col("failures"))))
+    counted = scan(decided, keys, order, hot_rows, failures=Running("sum", F.when(failed, 1).otherwise(0)))
+    based = scan(materialize(counted, "streaks"), keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
     return based.filter(failed).select(
         *keys, *order, (F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint").alias("consecutive_failures")
     )

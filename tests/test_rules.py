@@ -292,8 +292,9 @@ def test_streaks_start_over_after_success(spark):
     marks = ["FAILED", "FAILED", "RUNNING", "FAILED", "SUCCESS", "FAILED", "TIMEOUT", "FAILED"]
     runs = spark.createDataFrame(
         [(i, 1, "t", s, NOW + timedelta(minutes=40 * i), None, None) for i, s in enumerate(marks)], RUNS)
-    got = {r.id: r.consecutive_failures for r in rollups.failure_streaks(runs).collect()}
-    assert got == {0: 1, 1: 2, 3: 3, 5: 1, 7: 2}
+    for hot_rows in (2, 1_000_000):
+        got = {r.id: r.consecutive_failures for r in rollups.failure_streaks(runs, hot_rows).collect()}
+        assert got == {0: 1, 1: 2, 3: 3, 5: 1, 7: 2}
 
 
 def test_rollup_of_a_large_group_equals_the_plain_one(spark):

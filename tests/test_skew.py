@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from opslake.functions import greedy
-from opslake.functions.skew import Running, exact_quantile, salted_join, scan, trailing_count
+from opslake.functions.skew import Running, exact_quantile, fits_broadcast, salted_join, scan, trailing_count
 
 START = datetime(2024, 1, 1)
 
@@ -25,7 +26,8 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, ts timestamp_ntz, id bigint, v bigint").repartition(5)
 
 
-def test_scan_matches_a_plain_pass(spark):
+@pytest.mark.parametrize("hot_rows", [100, 1_000_000])
+def test_scan_matches_a_plain_pass(spark, hot_rows):
     rows = skewed_rows()
     got = {
         r.id: (r.total, r.top, r.prev)
@@ -33,7 +35,7 @@ def test_scan_matches_a_plain_pass(spark):
             frame(spark, rows),
             ["k"],
             ["ts", "id"],
-            600,
+            hot_rows,
             total=Running("sum", F.col("v")),
             top=Running("max", F.col("v")),
             prev=Running("last", F.when(F.col("v") % 2 == 0, F.col("v")), exclusive=True),
@@ -48,11 +50,12 @@ def test_scan_matches_a_plain_pass(spark):
     assert len(got) == len(rows)
 
 
-def test_trailing_count_half_open_window(spark):
-    rows = skewed_rows()
+@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
+def test_trailing_count_half_open_window(spark, hot_rows):
+    rows = skewed_rows(800)
     got = {
         (r.k, r.ts): r.in_window
-        for r in trailing_count(frame(spark, rows), ["k"], "ts", 900, F.col("v") > 50).collect()
+        for r in trailing_count(frame(spark, rows), ["k"], "ts", 900, F.col("v") > 50, hot_rows=hot_rows).collect()
     }
     for k, ts, _, _ in rows:
         want = sum(1 for q, t, _, v in rows if q == k and v > 50 and ts - timedelta(seconds=900) < t <= ts)
@@ -119,10 +122,17 @@ def test_rolling_limit_matches_a_plain_pass(spark):
 
 def test_salted_join_keeps_every_pair_once(spark):
     rows = skewed_rows(500)
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3)], "k string, w int")
+    small = spark.sql("SELECT * FROM VALUES ('hot', 1), ('hot', 2), ('a', 3) AS s(k, w)")
     left = frame(spark, rows)
-    for how in ("inner", "left", "left_anti", "left_semi"):
-        plain = left.join(small, ["k"], how)
-        assert sorted(map(str, salted_join(left, small, ["k"], "id", how).collect())) == sorted(
-            map(str, plain.collect())
-        )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert fits_broadcast(small) == (threshold != "-1")
+            for how in ("inner", "left", "left_anti", "left_semi"):
+                plain = left.join(small, ["k"], how)
+                salted = salted_join(left, small, ["k"], "id", how, hot_rows=20)
+                assert ("_salt" in salted._jdf.queryExecution().toString()) == (threshold == "-1")
+                assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
