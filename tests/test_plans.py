@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -85,3 +87,14 @@ def test_operators_do_not_read_the_clock(t):
     a = evaluators.missed_heartbeats(t.jobs, t.job_executions, datetime(2024, 1, 31))
     b = evaluators.missed_heartbeats(t.jobs, t.job_executions, datetime(2024, 1, 1) - timedelta(days=1))
     assert a.count() > 0 and b.count() == 0
+
+
+def test_task_functions_do_not_need_the_package_on_workers():
+    from pyspark import cloudpickle
+
+    from opslake.functions import greedy
+    from opslake.streaming import jobs
+
+    script = "import pickle, sys; pickle.loads(sys.stdin.buffer.read()); assert 'opslake' not in sys.modules"
+    for fn in (greedy._pick_spaced, greedy._summarise_block, greedy._accept_within_limit, jobs.CooldownProcessor()):
+        subprocess.run([sys.executable, "-c", script], input=cloudpickle.dumps(fn), cwd="/", check=True, timeout=60)
