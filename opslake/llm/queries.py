@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, pii, spans
+from opslake.llm import bpe, pii, secret_scan, spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,12 +21,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
     "op9_pii": op9_pii,
 }
 
