@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set, as in tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    A session on one machine that names none gets a folder of its own; on a
+    cluster that would be a folder the executors cannot share, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="opslake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,3 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` gave, once nothing will read them again."""
+    for table in tables:
+        spark = table.sparkSession
+        root = shared_folder(spark).split(":", 1)[-1].rstrip("/") + "/"
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if root.lstrip("/") in folder:  # never anything outside the shared folder
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
