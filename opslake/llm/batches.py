@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that a task holds as Python objects at once.
+#: Rows, and bytes of text, that a task holds as Python objects at once; a longer text is a slice of its own.
 SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        weights = np.zeros(batch.num_rows, dtype=np.int64)
+        for name, kind in zip(batch.schema.names, batch.schema.types, strict=True):
+            if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+                weights += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(weights)
+        start = 0
+        while start < batch.num_rows:
+            reached = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, reached + SLICE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + SLICE_ROWS, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
@@ -51,6 +63,3 @@ def modest_sample(df: DataFrame, key: str, rows: int, parts: int = 1 << 20) -> D
         return df
     share_of = int(parts * rows / total) + 1
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(parts)) < share_of)
-
-
-__all__ = ["SLICE_ROWS", "cloudpickle", "map_slices", "modest_sample", "share", "slices", "texts"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, pii, secret_scan, spans
+from opslake.llm import bpe, neardup, pii, secret_scan, spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary)
@@ -30,6 +34,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op9_pii": op9_pii,
