@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, neardup, pii, secret_scan, spans
+from opslake.llm import bpe, language, neardup, pii, quality, secret_scan, spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,6 +29,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    out = quality.held_out("doc_id", language.FOLDS, language.HELD_OUT).alias("held_out")
+    return found.select("doc_id", out, "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
@@ -37,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op7_language": op7_language,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
 }
 
