@@ -97,16 +97,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from a bounded sample of the labelled documents outside the held-out fold.
-
-    Labels other than 0 and 1, ids with contradicting labels and null ids are
-    passed over.  With labels of one class only the score is that class for all
-    texts, without any it is 0.5.
-    """
-    spark = docs.sparkSession
+def sure_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``doc_id`` and ``label`` (0 or 1) of the documents to learn from: not held out, labelled alike wherever labelled."""
     plain = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    sure = (
+    return (
         plain.where("doc_id is not null and label in (0, 1)")
         .where(~held_out("doc_id"))
         .groupBy("doc_id")
@@ -114,6 +108,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where("label = other")
         .select("doc_id", "label")
     )
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Learn from a bounded sample of the labelled documents outside the held-out fold.
+
+    Labels other than 0 and 1, ids with contradicting labels and null ids are
+    passed over.  With labels of one class only the score is that class for all
+    texts, without any it is 0.5.
+    """
+    spark = docs.sparkSession
+    sure = sure_labels(labels, id_col, label_col)
     count = {r.label: r["count"] for r in sure.groupBy("label").count().collect()}
     if len(count) < 2:
         return Model(b" ", b" ", True, 0.0, {1: 500.0, 0: -500.0}[next(iter(count))] if count else 0.0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, language, neardup, pii, quality, secret_scan, spans
+from opslake.llm import bpe, language, neardup, pii, quality, secret_scan, spans, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,6 +29,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
