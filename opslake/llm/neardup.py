@@ -109,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero([len(w) > 0 for w in words])
         words = [words[i] for i in some]
         hashes, ends = word_hashes(words, held.value[0])
-        cells, of = weighted_cells(*shingles(hashes, ends, WORDS))
+        cells, of = weighted_cells(*shingles(hashes, ends, WORDS)[:2])
         bands = _bands(dart_signature(cells, of, len(words)))
         identity = [xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "replace")) for w in words]
         both = np.frombuffer(b"".join(identity), dtype="<i8").reshape(-1, 2)
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def cells_of(text: str, memory: WordHashes) -> np.ndarray:
     """The sorted unit cells of one text."""
     hashes, ends = word_hashes([_split(text)], memory)
-    return np.sort(weighted_cells(*shingles(hashes, ends, WORDS))[0])
+    return np.sort(weighted_cells(*shingles(hashes, ends, WORDS)[:2])[0])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

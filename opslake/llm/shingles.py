@@ -16,7 +16,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -35,20 +35,32 @@ def word_hashes(words: list[list[str]], memory: WordHashes) -> tuple[np.ndarray,
     return hashes, ends
 
 
-def shingles(hashes: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each run of ``size`` words; a shorter text is one run of all its words."""
-    counts = np.diff(ends, prepend=0)
-    firsts = ends - counts
-    runs = np.where(counts >= size, counts - size + 1, (counts > 0).astype(counts.dtype))
-    text = np.repeat(np.arange(len(counts)), runs)
-    at = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + firsts[text]
-    stop = ends[text]
-    got = np.zeros(len(at), np.uint64)
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` neighbours, whichever texts they belong to."""
+    number = max(0, len(hashes) - size + 1)
+    got = np.zeros(number, np.uint64)
     for k in range(size):
-        there = at + k < stop
-        word = np.where(there, hashes[np.minimum(at + k, len(hashes) - 1)] if len(hashes) else got, np.uint64(0))
-        got = mix(got * _ODD_2 + word + np.uint64(k + 1))
-    return got, text
+        got *= _ODD_2
+        got += hashes[k : k + number]
+    return mix(got)
+
+
+def shingles(hashes: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of ``size`` words as its hash, the number of its text, and its place among all words.
+
+    A shorter text is one run of all its words.
+    """
+    counts = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    number = max(0, len(hashes) - size + 1)
+    place = np.flatnonzero(text[:number] == text[size - 1 :]) if number else np.empty(0, np.int64)
+    got, of = windows(hashes, size)[place], text[place]
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if not len(short):
+        return got, of, place
+    own = [windows(hashes[ends[i] - counts[i] : ends[i]], int(counts[i]))[0] for i in short]
+    own = mix(np.array(own, np.uint64) + counts[short].astype(np.uint64))
+    return np.concatenate((got, own)), np.concatenate((of, short)), np.concatenate((place, (ends - counts)[short]))
 
 
 def weighted_cells(found: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
