@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, language, neardup, pii, quality, secret_scan, spans, toxicity
+from opslake.llm import bpe, decontaminate, html_text, language, neardup, pii, quality, secret_scan, spans, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,6 +55,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neardup": op2_neardup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {}
