@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, html_text, language, neardup, pii, quality, secret_scan, spans, toxicity
+from opslake.llm import bpe, decontaminate, html_text, language, neardup, pii, quality, secret_scan, spans, toxicity, vectors
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
+    "op6_vectors": op6_vectors,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
