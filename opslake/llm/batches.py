@@ -53,6 +53,42 @@ def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which values the top ``bits`` bits of the single column (64-bit hashes) take, one bit each.
+
+    Its size depends on ``bits`` alone.  Rows that it passes are a superset of
+    those with an equal hash; a join decides.
+    """
+    (name,) = hashes.columns
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            marks[batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    total = np.zeros((1 << bits) // 8, np.uint8)
+    for row in hashes.coalesce(8).mapInArrow(mark, "bits binary").collect():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return total
+
+
+def keep_marked(df: DataFrame, marks: np.ndarray, hash_col: str) -> DataFrame:
+    """The rows whose hash is marked in a ``bitmap``; nothing is shuffled."""
+    held = share(df.sparkSession, [marks])
+    bits = len(marks).bit_length() + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kit = held.value
+        if len(kit) == 1:
+            kit.append(np.unpackbits(kit[0]).astype(bool))
+        for batch in batches:
+            places = batch.column(hash_col).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            yield batch.filter(pa.array(kit[1][places]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def modest_sample(df: DataFrame, key: str, rows: int, parts: int = 1 << 20) -> DataFrame:
     """About ``rows`` rows of ``df``, picked by a hash of ``key`` so that a second run picks the same.
 

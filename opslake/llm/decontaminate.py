@@ -11,8 +11,6 @@ may lie anywhere, a reordered passage is covered as well.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import materialize
-from opslake.llm.batches import map_slices, share, slices, texts
+from opslake.llm.batches import bitmap, map_slices, share, texts
 from opslake.llm.shingles import WordHashes, shingles, windows, word_hashes
 
 SEED_WORDS = 5
@@ -112,28 +110,12 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(base, run, "item_id bigint, words array<bigint>, seeds array<bigint>").where(f"size(words) >= {SEED_WORDS}")
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """One bit for each value of the top bits of a seed; its size does not depend on the benchmark's."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << BITMAP_BITS, bool)
-        for batch in batches:
-            seeds = batch.column("seeds").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            marks[seeds >> np.uint64(64 - BITMAP_BITS)] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
-
-    total = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in items.select("seeds").coalesce(8).mapInArrow(mark, "bits binary").collect():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total
-
-
-def _seeded(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _seeded(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     """Documents with a marked run: its seeds, and the stretches of words that these cover, apart by a 0.
 
     ``stretches`` names their content, so equal content is compared once.
     """
-    held = share(docs.sparkSession, [bitmap])
+    held = share(docs.sparkSession, [marks])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kit = held.value
@@ -186,7 +168,7 @@ def contaminated(
     """
     items = materialize(_items(benchmark, item_id_col, item_text_col), "items")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    seeded = materialize(_seeded(base, _bitmap(items)), "seeded")
+    seeded = materialize(_seeded(base, bitmap(items.select(F.explode("seeds")), BITMAP_BITS)), "seeded")
     contents = materialize(
         seeded.groupBy("stretches").agg(F.any_value("seeds").alias("seeds"), F.any_value("words").alias("words")), "contents"
     )
