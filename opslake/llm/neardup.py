@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import materialize, remove
-from opslake.llm.batches import map_slices, share, texts
+from opslake.llm.batches import bitmap, keep_marked, map_slices, share, texts
 from opslake.llm.graph import components
 from opslake.llm.shingles import WordHashes, mix, shingles, weighted_cells, word_hashes
 
@@ -39,6 +39,8 @@ BAND_COORDINATES = 6
 COORDINATES = BANDS * BAND_COORDINATES
 #: Members of a bucket that a task compares with as many others at once.
 BLOCK = 32
+#: Bits that mark the documents in buckets, whatever their number.
+BITMAP_BITS = 25
 #: Leaders of one bucket differ from band to band by these orders of ids.
 ORDERS = (0, 0x5555555555555555, 0x3333333333333333)
 
@@ -184,40 +186,56 @@ def one_text_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among members of buckets that their leader does not join.
 
-    ``members``: key, doc_id, far (not linked with the leader), part (component so far).
+    ``members``: key, doc_id, far (not linked with the leader), part (component
+    so far).  Members of one part need no comparison, so those outside the
+    commonest part of a bucket are compared with each other and with that part.
     """
-    is_far = F.col("far")
-    sizes = members.groupBy("key").agg(
-        F.ceil(F.count_if(is_far) / BLOCK).cast("int").alias("far_blocks"),
-        F.ceil(F.count_if(~is_far) / BLOCK).cast("int").alias("near_blocks"),
+    common = (
+        members.groupBy("key", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "part"))["part"].alias("common"), F.max("n").alias("in_common"), F.sum("n").alias("all"))
+        .select(
+            "key",
+            "common",
+            F.ceil(F.col("in_common") / BLOCK).cast("int").alias("common_blocks"),
+            F.ceil((F.col("all") - F.col("in_common")) / BLOCK).cast("int").alias("other_blocks"),
+        )
     )
-    spread = members.join(sizes, "key")
-    block = F.pmod(F.xxhash64("doc_id"), F.when(is_far, F.col("far_blocks")).otherwise(F.col("near_blocks")))
+    spread = members.join(common, "key").withColumn("other", F.col("part") != F.col("common"))
+    other = F.col("other")
+    blocks = F.when(other, F.col("other_blocks")).otherwise(F.col("common_blocks"))
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
 
     def upto(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.sequence(F.lit(0), n - 1)
 
-    mine = block.cast("int")
-    among = F.transform(upto(F.col("far_blocks")), lambda b: F.struct(F.least(mine, b).alias("a"), F.greatest(mine, b).alias("b")))
-    across_far = F.transform(upto(F.col("near_blocks")), lambda b: F.struct(mine.alias("a"), (-1 - b).alias("b")))
-    across_near = F.transform(upto(F.col("far_blocks")), lambda b: F.struct(b.alias("a"), (-1 - mine).alias("b")))
+    # Blocks of others are numbered from 0 up, blocks of the common part from -1 down.
+    among = F.transform(upto(F.col("other_blocks")), lambda b: F.struct(F.least(mine, b).alias("a"), F.greatest(mine, b).alias("b")))
+    across = F.transform(upto(F.col("common_blocks")), lambda b: F.struct(mine.alias("a"), (-1 - b).alias("b")))
+    back = F.transform(upto(F.col("other_blocks")), lambda b: F.struct(b.alias("a"), (-1 - mine).alias("b")))
     tasks = spread.select(
-        "key", "doc_id", "far", "part", F.explode(F.when(is_far, F.concat(among, across_far)).otherwise(across_near)).alias("task"), mine.alias("mine")
+        "key", "doc_id", "far", "part", "other", mine.alias("mine"), F.explode(F.when(other, F.concat(among, across)).otherwise(back)).alias("task")
     )
-    rows = tasks.join(docs, "doc_id").select("key", "task.a", "task.b", "mine", "doc_id", "far", "part", "text")
+    rows = tasks.join(docs, "doc_id").select("key", "task.a", "task.b", "mine", "doc_id", "far", "part", "other", "text")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        memory = WordHashes()
         frame = frame.sort_values("doc_id").drop_duplicates("doc_id")
+        a, b = int(frame.a.iloc[0]), int(frame.b.iloc[0])
         ids, far, part = frame.doc_id.to_numpy(), frame.far.to_numpy(), frame.part.to_numpy().copy()
-        cells = [cells_of(t or "", memory) for t in frame.text]
-        a, b, block = int(frame.a.iloc[0]), int(frame.b.iloc[0]), frame.mine.to_numpy()
-        left = np.flatnonzero(far & (block == a))
-        right = np.flatnonzero(~far) if b < 0 else np.flatnonzero(far & (block == b))
-        links = []
+        other, block = frame.other.to_numpy(), frame.mine.to_numpy()
+        left = np.flatnonzero(other & (block == a))
+        right = np.flatnonzero(~other) if b < 0 else np.flatnonzero(other & (block == b))
+        memory, cells, links = WordHashes(), {}, []
+
+        def of(i: int) -> np.ndarray:
+            if i not in cells:
+                cells[i] = cells_of(frame.text.iloc[i] or "", memory)
+            return cells[i]
+
         for i in left:
             for j in right:
-                if part[i] != part[j] and similarity(cells[i], cells[j]) >= SIMILARITY:
+                if part[i] != part[j] and (far[i] or far[j]) and similarity(of(i), of(j)) >= SIMILARITY:
                     links.append((ids[i], ids[j]))
                     part[part == part[j]] = part[i]
         return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
@@ -252,8 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(
         ranked.join(buckets, "key").select("key", "doc_id", F.col("least").bitwiseXOR(F.col("turn")).alias("leader")), "buckets"
     )
+    # Only texts in some bucket are read again; a bitmap of fixed size spares the others the shuffle.
+    hashed = base.withColumn("hash", F.xxhash64("doc_id"))
+    marks = bitmap(shared.select(F.xxhash64("doc_id").alias("hash")), BITMAP_BITS)
+    needed = materialize(keep_marked(hashed, marks, "hash").select("doc_id", "text"), "needed")
     pairs = shared.where("doc_id <> leader").select("doc_id", "leader").distinct()
-    checked = materialize(measured(pairs, base), "checked")
+    checked = materialize(measured(pairs, needed), "checked")
     linked = checked.where(F.col("similarity") >= SIMILARITY).select(F.col("doc_id").alias("src"), F.col("leader").alias("dst"))
     parts = materialize(components(linked), "parts")
 
@@ -290,9 +312,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if left.isEmpty():
         joined = parts
     else:
-        more = materialize(_leftover_links(left, base), "more")
-        joined = components(linked.union(more))
-    remove(left)
+        more = materialize(_leftover_links(left, needed), "more")
+        joined = materialize(components(linked.union(more)), "parts")
+    remove(left, needed, shared, checked)
     return (
         members.join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
         .select("doc_id", F.coalesce("component", "rep").alias("class_id"), "rep")

@@ -63,8 +63,9 @@ def test_copies_chains_and_decoys(spark):
     assert all(r.kept == (r.class_id == i) for i, r in got.items())
 
 
-def test_members_that_no_leader_joins(spark):
+def test_members_that_no_leader_joins(spark, monkeypatch):
     """Pairs that only the second stage compares, in blocks of their bucket."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(8)
     pairs = [words(rng, 60) for _ in range(40)]
     texts = {}
