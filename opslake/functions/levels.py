@@ -18,9 +18,11 @@ def level_rank(level: Column) -> Column:
 
 
 def levels_from(minimum: str) -> list[str]:
-    return list(LEVELS[LEVELS.index(minimum) :])
+    """An unknown minimum is reached by no level."""
+    return list(LEVELS[LEVELS.index(minimum) :]) if minimum in LEVELS else []
 
 
 def at_least(level: Column, minimum: str) -> Column:
     """A membership test, so the filter reaches the scan."""
-    return level.isin(levels_from(minimum))
+    wanted = levels_from(minimum)
+    return level.isin(wanted) if wanted else F.lit(False)

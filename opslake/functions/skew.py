@@ -59,11 +59,13 @@ def salted_join(
     A small side under Spark's broadcast threshold needs no spreading.  Beyond
     it, rows of a large key go to ``n / hot_rows`` parts by ``spread`` (a column
     that varies within a key), and only the matching rows of the small side are
-    repeated.
+    repeated.  With a stream on either side it is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join: rows of the small side are repeated")
-    hot = None if fits_broadcast(small) else hot_keys(large, on, hot_rows)
+    # A stream cannot be counted; its micro-batches are small, and the join is the same at any size.
+    streaming = large.isStreaming or small.isStreaming
+    hot = None if streaming or fits_broadcast(small) else hot_keys(large, on, hot_rows)
     if hot is None:
         return large.join(small, on, how)
     parts = F.coalesce(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(1)).cast("int")

@@ -47,9 +47,19 @@ def query_predicate_columns(query: Column) -> Column:
     return F.regexp_extract_all(query, F.lit(PREDICATE_COLUMN_PATTERN), F.lit(1))
 
 
+def plain_trim(text: Column) -> Column:
+    """The text without leading and trailing characters up to the space, tabs and line breaks among them."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty, or nothing but spaces, tabs and line breaks."""
+    return F.coalesce(plain_trim(text) == "", F.lit(True))
+
+
 def whole_number(text: Column) -> Column:
     """The text as a bigint when it is a whole number, else null."""
-    trimmed = F.trim(text)
+    trimmed = plain_trim(text)
     return F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), trimmed.try_cast("bigint"))
 
 

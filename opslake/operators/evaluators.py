@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.skew import latest_per_key, salted_join
+from opslake.functions.text import is_blank
 
 EVENT_COLUMNS = {
     "tenant_id": "string",
@@ -21,6 +22,8 @@ EVENT_COLUMNS = {
     "execution_start_time": "timestamp_ntz",
     "execution_end_time": "timestamp_ntz",
     "producer": "string",
+    "event_id": "string",
+    "event_time": "timestamp_ntz",
 }
 
 
@@ -40,20 +43,25 @@ def status_to_action(status: Column) -> Column:
     )
 
 
-def sla_violations(jobs: DataFrame, executions: DataFrame) -> DataFrame:
-    """Active jobs with an SLA whose newest run took strictly longer."""
+def sla_violations(jobs: DataFrame, executions: DataFrame, latest: DataFrame | None = None) -> DataFrame:
+    """Active jobs with an SLA whose newest run took strictly longer.
+
+    ``latest`` is ``latest_execution(executions)`` where the caller has it already.
+    """
     watched = jobs.filter((F.col("status") == "ACTIVE") & (F.col("sla_seconds") > 0)).select(
         "job_id", "tenant_id", "name", "sla_seconds"
     )
-    latest = latest_execution(executions).select(
+    latest = (latest_execution(executions) if latest is None else latest).select(
         "job_id", F.col("id").alias("execution_id"), "started_at", "completed_at", "duration_ms"
     )
     return watched.join(latest, "job_id").filter(F.col("duration_ms") > F.col("sla_seconds").cast("bigint") * 1000)
 
 
-def missed_heartbeats(jobs: DataFrame, executions: DataFrame, as_of: datetime) -> DataFrame:
+def missed_heartbeats(
+    jobs: DataFrame, executions: DataFrame, as_of: datetime, latest: DataFrame | None = None
+) -> DataFrame:
     """Active scheduled jobs silent for longer than expected runtime plus grace."""
-    scheduled = jobs.filter((F.col("status") == "ACTIVE") & (F.trim("cron_expression") != "")).select(
+    scheduled = jobs.filter((F.col("status") == "ACTIVE") & ~is_blank(F.col("cron_expression"))).select(
         "job_id",
         "tenant_id",
         "name",
@@ -62,7 +70,7 @@ def missed_heartbeats(jobs: DataFrame, executions: DataFrame, as_of: datetime) -
             F.coalesce("expected_runtime_seconds", F.lit(3600)) + F.coalesce("grace_period_seconds", F.lit(300))
         ).alias("allowed_seconds"),
     )
-    latest = latest_execution(executions).select(
+    latest = (latest_execution(executions) if latest is None else latest).select(
         "job_id", F.coalesce("completed_at", "started_at").alias("last_seen_at")
     )
     now = F.lit(as_of).cast("timestamp_ntz")
@@ -98,10 +106,17 @@ def execution_events(executions: DataFrame, jobs: DataFrame) -> DataFrame:
         error_message=F.col("error_message"),
         execution_start_time=F.col("started_at"),
         execution_end_time=F.col("completed_at"),
+        event_id=F.concat(F.lit("executions-"), F.col("id").cast("string")),
+        event_time=F.col("started_at"),
     )
 
 
-def sla_events(violations: DataFrame) -> DataFrame:
+def _at(as_of: datetime) -> dict[str, Column]:
+    return {"event_time": F.lit(as_of).cast("timestamp_ntz")}
+
+
+def sla_events(violations: DataFrame, as_of: datetime) -> DataFrame:
+    """One event per late run and evaluation time."""
     return _event(
         violations,
         "SLA_VIOLATED",
@@ -112,10 +127,13 @@ def sla_events(violations: DataFrame) -> DataFrame:
         job_name=F.col("name"),
         execution_start_time=F.col("started_at"),
         execution_end_time=F.col("completed_at"),
+        event_id=F.concat_ws("-", F.lit("sla"), F.col("execution_id").cast("string"), F.lit(as_of.isoformat())),
+        **_at(as_of),
     )
 
 
-def heartbeat_events(missed: DataFrame) -> DataFrame:
+def heartbeat_events(missed: DataFrame, as_of: datetime) -> DataFrame:
+    """One event per silent job and evaluation time."""
     return _event(
         missed,
         "HEARTBEAT_MISSED",
@@ -124,6 +142,8 @@ def heartbeat_events(missed: DataFrame) -> DataFrame:
         job_id=F.col("job_id"),
         job_name=F.col("name"),
         cron_expression=F.col("cron_expression"),
+        event_id=F.concat_ws("-", F.lit("heartbeat"), "tenant_id", F.col("job_id").cast("string"), F.lit(as_of.isoformat())),
+        **_at(as_of),
     )
 
 
@@ -167,6 +187,8 @@ def gateway_events(requests: DataFrame) -> DataFrame:
         job_name=F.col("job_name"),
         exit_code=F.col("exit_code"),
         execution_start_time=F.col("execution_start_time"),
+        event_id=F.concat(F.lit("gateway-"), F.col("request_id").cast("string")),
+        event_time=F.col("execution_start_time"),
     )
 
 

@@ -5,18 +5,13 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
-import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake.functions.levels import at_least, level_rank
 from opslake.functions.skew import salted_join
-from opslake.functions.text import LOG_PREVIEW, truncated
-
-try:
-    import regex as _regex
-except ImportError:  # the standard module knows fewer constructs
-    _regex = re
+from opslake.functions.text import LOG_PREVIEW, is_blank, truncated
 
 
 def prepare_logs(logs: DataFrame, received_at: datetime) -> DataFrame:
@@ -58,11 +53,14 @@ def log_partition_counts(logs: DataFrame, received_at: datetime) -> DataFrame:
 
 
 def has_any_token(message: Column, query: str) -> Column:
-    """Whether the message holds at least one word of the query, ignoring case."""
-    tokens = sorted({t for t in re.split(r"\W+", query.lower(), flags=re.ASCII) if t})
+    """Whether the message holds at least one word of the query, ignoring case.
+
+    Words are runs of letters, digits and underscores of any script; a query without any matches nothing.
+    """
+    tokens = sorted({t for t in re.split(r"\W+", query.lower()) if t})
     if not tokens:
-        return F.lit(True)
-    return F.lower(message).rlike(r"(^|\W)(" + "|".join(re.escape(t) for t in tokens) + r")(\W|$)")
+        return F.lit(False)
+    return F.lower(message).rlike(r"(?U)(^|\W)(" + "|".join(re.escape(t) for t in tokens) + r")(\W|$)")
 
 
 def log_search(
@@ -90,27 +88,33 @@ def logs_min_level(logs: DataFrame, min_level: str) -> DataFrame:
     return logs.filter(at_least(F.col("level"), min_level))
 
 
-def _compiles(pattern: str | None) -> bool:
+def _compiles(spark: SparkSession, pattern: str | None) -> bool:
+    """Whether the engine's own regular expressions take the pattern."""
+    if pattern is None:
+        return False
     try:
-        _regex.compile(pattern or "")
-        return pattern is not None
-    except _regex.error:
+        spark._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+        return True
+    except IllegalArgumentException:
         return False
 
 
-def _valid_pattern(patterns: pd.Series) -> pd.Series:
-    return patterns.map(_compiles)
-
-
 def split_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable and rejected pattern rows; a pattern that does not compile would stop the job."""
-    checked = patterns.withColumn("_valid", F.pandas_udf(_valid_pattern, "boolean")("regex_pattern"))
-    return checked.filter("_valid").drop("_valid"), checked.filter(~F.col("_valid")).drop("_valid")
+    """Usable and rejected pattern rows; a pattern that does not compile would stop the job.
+
+    The distinct patterns pass the driver one by one, and only those that do not compile stay there.
+    """
+    spark = patterns.sparkSession
+    distinct = patterns.select("regex_pattern").distinct().toLocalIterator()
+    broken = [r.regex_pattern for r in distinct if not _compiles(spark, r.regex_pattern)]
+    bad = F.col("regex_pattern").isNull() | F.coalesce(F.col("regex_pattern").isin(*broken), F.lit(False))
+    return patterns.filter(~bad), patterns.filter(bad)
 
 
 def valid_patterns(patterns: list[dict]) -> list[dict]:
     """The same guard for patterns given as plain records."""
-    return [p for p in patterns if _compiles(p.get("regex_pattern"))]
+    spark = SparkSession.active()
+    return [p for p in patterns if _compiles(spark, p.get("regex_pattern"))]
 
 
 def _pattern_tests(patterns: list[dict]) -> list[tuple[str, Column]]:
@@ -156,7 +160,7 @@ def pattern_hits_join(logs: DataFrame, patterns: DataFrame) -> DataFrame:
         "service_filter",
     )
     joined = salted_join(logs, dim, ["tenant_id"], "id")
-    any_service = F.coalesce(F.trim("service_filter"), F.lit("")) == ""
+    any_service = is_blank(F.col("service_filter"))
     return joined.filter(
         (level_rank(F.col("level")) >= F.col("_min_rank"))
         & (any_service | (F.col("service_filter") == F.col("service")))
@@ -197,3 +201,24 @@ def expired_log_partitions(logs: DataFrame, policies: DataFrame, as_of: date, de
     return joined.withColumn("cutoff_date", F.date_sub(F.lit(as_of), days)).filter(
         F.col("log_date") < F.col("cutoff_date")
     )
+
+
+def retained_logs(logs: DataFrame, policies: DataFrame, as_of: date, default_days: int | None = None) -> DataFrame:
+    """The rows that retention keeps: of tenants without an enabled policy, or a default, all of them."""
+    enabled = policies.filter("enabled").groupBy("tenant_id").agg(F.max("retention_days").alias("_days"))
+    days = F.col("_days") if default_days is None else F.coalesce("_days", F.lit(default_days))
+    kept = F.to_date("ts") >= F.date_sub(F.lit(as_of), days)
+    return salted_join(logs, enabled, ["tenant_id"], "id", "left").filter(F.coalesce(kept, F.lit(True))).drop("_days")
+
+
+def drop_partitions(spark: SparkSession, path: str, expired: DataFrame) -> int:
+    """Remove the folders of expired tenant-days from a log table; returns how many there were."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    removed = 0
+    for row in expired.select("tenant_id", "log_date").toLocalIterator():
+        folder = hadoop.Path(root, f"tenant_id={escape(row.tenant_id)}/log_date={row.log_date}")
+        removed += bool(files.delete(folder, True))
+    return removed

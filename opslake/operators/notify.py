@@ -118,8 +118,12 @@ def delivery_outcomes(
     as_of: datetime,
     channels: tuple[str, ...] = DISPATCHABLE,
 ) -> DataFrame:
-    """Apply send results (id, ok, error): sent, failed with one more retry, or failed for want of a channel."""
-    joined = notifications.join(results.select("id", "ok", "error"), "id")
+    """Apply send results (id, ok, error): sent, failed with one more retry, or failed for want of a channel.
+
+    Of several results for one notification a success counts before a failure.
+    """
+    single = results.groupBy("id").agg(F.max(F.struct("ok", "error")).alias("r")).select("id", "r.ok", "r.error")
+    joined = notifications.join(single, "id")
     supported = F.upper("channel").isin(*channels)
     return joined.select(
         "id",

@@ -162,7 +162,8 @@ def constraint_report(
         pairs = [F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("violations")) for c in wide.columns]
         parts.append(wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.rule", "p.violations"))
     for label, keys in unique.items():
-        repeated = table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        keyed = table.dropna(subset=keys)  # a key with a null part equals no other
+        repeated = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
         parts.append(
             repeated.agg(F.count("*").alias("violations")).select(F.lit(f"unique:{label}").alias("rule"), "violations")
         )

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.scratch import materialize
 from opslake.functions.skew import HOT_ROWS, Running, exact_quantile, hot_keys, scan, trailing_count
 
 ROLLUP_KEYS = ["job_id", "tenant_id", "bucket"]
@@ -150,6 +149,34 @@ def windowed_failure_count(executions: DataFrame, seconds: int) -> DataFrame:
     return trailing_count(failed, ["tenant_id", "job_id"], "started_at", seconds, out="failure_count")
 
 
+def running_outcomes(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every run with what is known of its job by then: ``success_rate`` in whole percent and, for a failed run,
+    ``consecutive_failures``.
+
+    Failures in a row are counted from the last success; other states neither add nor end them.
+    """
+    keys, order = ["tenant_id", "job_id"], ["started_at", "id"]
+    failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
+    counted = scan(
+        executions.select(*keys, *order, "status"),
+        keys,
+        order,
+        hot_rows,
+        runs=Running("sum", F.lit(1)),
+        successes=Running("sum", F.when(ok, 1).otherwise(0)),
+        failures=Running("sum", F.when(failed, 1).otherwise(0)),
+    )
+    # The running count of failures never falls, so its value at the last success is the largest at any success.
+    based = scan(counted, keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
+    streak = F.when(failed, F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint")
+    return based.select(
+        *keys,
+        *order,
+        F.expr("successes * 100 div runs").alias("success_rate"),
+        streak.alias("consecutive_failures"),
+    )
+
+
 def failure_streaks(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Failures in a row up to and including each failed run; a success starts over, other states do neither.
 
@@ -159,7 +186,7 @@ def failure_streaks(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
     decided = executions.filter(F.col("status").isin("FAILED", "SUCCESS")).select(*keys, *order, "status")
     counted = scan(decided, keys, order, hot_rows, failures=Running("sum", F.when(failed, 1).otherwise(0)))
-    based = scan(materialize(counted, "streaks"), keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
+    based = scan(counted, keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
     return based.filter(failed).select(
         *keys, *order, (F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint").alias("consecutive_failures")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.skew import latest_per_key, salted_join
@@ -72,16 +72,21 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFra
 def versioned_upsert(
     base: DataFrame, changes: DataFrame, keys: list[str], changed_at: str = "updated_at"
 ) -> tuple[DataFrame, DataFrame]:
-    """The table after a batch of changes, and the changes refused for a stale version.
+    """The table after a batch of changes, and the changes refused.
 
-    A change must name the stored version (or, for a new key, none); of several
-    for one key the newest is taken and its version goes up by one.
+    A change must name the stored version (or, for a new key, none).  Of several
+    that do for one key the first is taken and its version goes up by one; the
+    others then name a stale version and are refused like any other stale one.
+    Changes at one time go by the hash of all their columns.
     """
     stored = base.select(*keys, F.col("version").alias("_stored"))
     offered = salted_join(changes, stored, keys, changed_at, "left")
     fits = F.coalesce(F.col("version") == F.col("_stored"), F.col("_stored").isNull())
-    conflicts = offered.filter(~fits).drop("_stored")
-    taken = latest_per_key(offered.filter(fits), keys, [F.desc(changed_at), *(F.desc(c) for c in keys)])
+    order = Window.partitionBy(*keys, "_fits").orderBy(F.asc(changed_at), F.xxhash64(*changes.columns))
+    ranked = offered.withColumn("_fits", fits).withColumn("_nth", F.row_number().over(order))
+    first = F.col("_fits") & (F.col("_nth") == 1)
+    conflicts = ranked.filter(~first).drop("_stored", "_fits", "_nth")
+    taken = ranked.filter(first).drop("_fits", "_nth")
     written = taken.withColumn(
         "version", F.when(F.col("_stored").isNull(), F.lit(0)).otherwise(F.col("_stored") + 1).cast("int")
     ).drop("_stored")
@@ -89,16 +94,27 @@ def versioned_upsert(
     return kept.unionByName(written), conflicts
 
 
-def apply_patch(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
-    """Base rows with the non-null patch values laid over them; keys not in the base are ignored."""
+def apply_patch(base: DataFrame, patch: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Base rows with the non-null patch values laid over them; keys not in the base are ignored.
+
+    Of several patches for one key the first by ``order`` counts, by default
+    that with the smallest hash of its columns.
+    """
     values = [c for c in patch.columns if c not in keys]
-    renamed = patch.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in values))
+    single = latest_per_key(patch, keys, order or [F.xxhash64(*patch.columns)])
+    renamed = single.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in values))
     joined = base.join(renamed, keys, "left")
     return joined.select(
         *(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in values else F.col(c) for c in base.columns)
     )
 
 
+def create_or_update(base: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Base rows with the given rows in their place, and those of new keys added; of several for one key the first counts."""
+    single = latest_per_key(rows, keys, order or [F.xxhash64(*rows.columns)])
+    return base.join(single.select(*keys), keys, "left_anti").unionByName(single)
+
+
 def chunk_start(ts: str) -> Column:
     """Start of the seven-day chunk, aligned to the epoch."""
     week = 7 * 86_400
@@ -136,6 +152,12 @@ def expired_chunks(df: DataFrame, ts: str, as_of: datetime, keep_days: int) -> D
     return chunk_counts(df, ts).filter(F.col("chunk_start") + F.expr("interval 7 days") <= cutoff)
 
 
+def retained_chunks(df: DataFrame, ts: str, as_of: datetime, keep_days: int) -> DataFrame:
+    """Rows whose chunk ends after the cutoff; the rows of the other chunks are those that retention drops."""
+    cutoff = F.lit(as_of - timedelta(days=keep_days)).cast("timestamp_ntz")
+    return df.filter(F.coalesce(chunk_start(ts) + F.expr("interval 7 days") > cutoff, F.lit(True)))
+
+
 def dedup_events(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First copy of every event delivered more than once."""
     return latest_per_key(events, [key], order)

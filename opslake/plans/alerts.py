@@ -6,9 +6,9 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import salted_join
-from opslake.operators import evaluators, rollups, rules, tables
-from opslake.plans.jobs import EXECUTION_EVENTS_SQL
+from opslake.functions.skew import latest_per_key, salted_join
+from opslake.operators import rollups, rules, tables
+from opslake.plans.jobs import FEED_SQL, job_events
 from opslake.plans.registry import query
 from opslake.sources.fixtures import AS_OF
 
@@ -19,11 +19,11 @@ CONTEXT_SQL = f"""
 SELECT tenant_id, job_id, execution_id, action, coalesce(job_name, 'unknown') AS job_name, cron_expression,
        CASE WHEN action = 'FAILED' THEN exit_code END AS exit_code,
        CASE WHEN action = 'FAILED' THEN error_message END AS error_message,
-       execution_start_time, execution_end_time, producer,
+       execution_start_time, execution_end_time, producer, event_id, event_time,
        CASE WHEN action = 'FAILED' THEN CAST(1 AS bigint) END AS failure_count,
        CAST(floor((epoch_us(execution_end_time) - epoch_us(execution_start_time)) / 1000) AS bigint) AS duration_ms,
        CASE WHEN action = 'SLA_VIOLATED' THEN CAST(1 AS bigint) END AS timeout_seconds
-FROM ({EXECUTION_EVENTS_SQL})
+FROM ({FEED_SQL})
 WHERE action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED', 'COMPLETED') AND job_id IS NOT NULL AND tenant_id IS NOT NULL"""
 
 STREAK_SQL = """
@@ -32,13 +32,15 @@ FROM (SELECT *, count(*) FILTER (WHERE status = 'SUCCESS') OVER (PARTITION BY te
       FROM v_job_executions WHERE status IN ('FAILED', 'SUCCESS')) WHERE status = 'FAILED'"""
 
 RATE_SQL = """
-SELECT tenant_id, job_id, CAST(count(*) FILTER (WHERE status = 'SUCCESS') * 100 // count(*) AS bigint) AS success_rate
-FROM v_job_executions GROUP BY ALL"""
+SELECT id, tenant_id, job_id, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY started_at DESC, id DESC) AS age,
+       CAST(count(*) FILTER (WHERE status = 'SUCCESS') OVER runs * 100 // count(*) OVER runs AS bigint) AS success_rate
+FROM v_job_executions WINDOW runs AS (PARTITION BY tenant_id, job_id ORDER BY started_at, id)"""
 
 FULL_CONTEXT_SQL = f"""
-SELECT c.*, s.consecutive_failures, r.success_rate
+SELECT c.*, s.consecutive_failures, coalesce(r.success_rate, n.success_rate) AS success_rate
 FROM ({CONTEXT_SQL}) c LEFT JOIN ({STREAK_SQL}) s ON s.id = c.execution_id
-LEFT JOIN ({RATE_SQL}) r ON r.tenant_id = c.tenant_id AND r.job_id = c.job_id"""
+LEFT JOIN ({RATE_SQL}) r ON r.id = c.execution_id
+LEFT JOIN ({RATE_SQL}) n ON n.tenant_id = c.tenant_id AND n.job_id = c.job_id AND n.age = 1"""
 
 EVALUATED_SQL = f"""
 SELECT c.*, r.rule_id, r.name AS rule_name, r.rule_type, r.severity, r.channels_csv, r.threshold,
@@ -61,34 +63,37 @@ MESSAGE_SQL = """concat('Alert ''', rule_name, ''' (', rule_type, ') triggered.
 
 COOLDOWN_WITH = f"""
 WITH RECURSIVE firing AS (
-  SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY execution_start_time, execution_id) AS rn
+  SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY event_time, event_id) AS rn
   FROM ({EVALUATED_SQL}) WHERE fires),
 walk AS (
-  SELECT rule_id, rn, execution_start_time AS last, true AS fired FROM firing WHERE rn = 1
+  SELECT rule_id, rn, event_time AS last, true AS fired FROM firing WHERE rn = 1
   UNION ALL
   SELECT f.rule_id, f.rn,
-         CASE WHEN f.execution_start_time > w.last + f.cooldown_seconds * INTERVAL '1' SECOND THEN f.execution_start_time ELSE w.last END,
-         f.execution_start_time > w.last + f.cooldown_seconds * INTERVAL '1' SECOND
+         CASE WHEN f.event_time > w.last + f.cooldown_seconds * INTERVAL '1' SECOND THEN f.event_time ELSE w.last END,
+         f.event_time > w.last + f.cooldown_seconds * INTERVAL '1' SECOND
   FROM walk w JOIN firing f ON f.rule_id = w.rule_id AND f.rn = w.rn + 1),
 alerts AS (
-  SELECT f.rule_id, f.tenant_id, f.job_id, f.execution_id AS event_id, f.execution_start_time AS triggered_at, f.severity,
+  SELECT f.rule_id, f.tenant_id, f.job_id, f.event_id, f.event_time AS triggered_at, f.severity,
          f.channels_csv, f.rule_name, 'TRIGGERED' AS status, {MESSAGE_SQL} AS message
   FROM firing f JOIN walk w ON w.rule_id = f.rule_id AND w.rn = f.rn AND w.fired)"""
 
 
-def job_events(t):
-    return evaluators.execution_events(t.job_executions, t.jobs)
-
-
 def full_context(t):
-    """Events with their own values plus the job's streak and success rate."""
+    """Events with their own values plus the job's streak and its success rate up to the event.
+
+    An event without a run of its own, a missed heartbeat, takes the rate at the job's newest run.
+    """
     context = rules.event_context(rules.alertable_events(job_events(t)))
-    streaks = rollups.failure_streaks(t.job_executions).select(
-        F.col("id").alias("execution_id"), "consecutive_failures"
-    )
-    rates = rollups.success_rate(t.job_executions).select("tenant_id", "job_id", "success_rate")
-    with_streaks = context.join(streaks, "execution_id", "left")
-    return salted_join(with_streaks, rates, ["tenant_id", "job_id"], "execution_id", "left")
+    runs = rollups.running_outcomes(t.job_executions)
+    of_run = runs.select(F.col("id").alias("execution_id"), "consecutive_failures", "success_rate")
+    newest = latest_per_key(
+        runs.select("tenant_id", "job_id", "started_at", "id", F.col("success_rate").alias("newest_rate")),
+        ["tenant_id", "job_id"],
+        [F.desc("started_at"), F.desc("id")],
+    ).drop("started_at", "id")
+    with_runs = context.join(of_run, "execution_id", "left")
+    joined = salted_join(with_runs, newest, ["tenant_id", "job_id"], "event_id", "left")
+    return joined.withColumn("success_rate", F.coalesce("success_rate", "newest_rate")).drop("newest_rate")
 
 
 def evaluated(t):
@@ -102,7 +107,7 @@ def fired(t):
 @query(
     "alertable_events",
     f"""
-SELECT * FROM ({EXECUTION_EVENTS_SQL}) WHERE action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED', 'COMPLETED')
+SELECT * FROM ({FEED_SQL}) WHERE action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED', 'COMPLETED')
   AND job_id IS NOT NULL AND tenant_id IS NOT NULL""",
 )
 def _(t):
@@ -127,19 +132,19 @@ def _(t):
 @query(
     "rule_matches",
     f"""
-SELECT e.execution_id, e.action, r.rule_id, r.rule_type, r.threshold
-FROM ({EXECUTION_EVENTS_SQL}) e JOIN (SELECT *, {THRESHOLD_SQL} AS threshold FROM v_alert_rules WHERE enabled) r
+SELECT e.event_id, e.action, r.rule_id, r.rule_type, r.threshold
+FROM ({FEED_SQL}) e JOIN (SELECT *, {THRESHOLD_SQL} AS threshold FROM v_alert_rules WHERE enabled) r
   ON r.tenant_id = e.tenant_id AND r.job_id = e.job_id
 WHERE e.action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED', 'COMPLETED')""",
 )
 def _(t):
     matched = rules.rule_matches(rules.alertable_events(job_events(t)), t.alert_rules)
-    return matched.select("execution_id", "action", "rule_id", "rule_type", "threshold")
+    return matched.select("event_id", "action", "rule_id", "rule_type", "threshold")
 
 
-@query("rule_eval", f"SELECT execution_id, rule_id, rule_type, fires FROM ({EVALUATED_SQL})")
+@query("rule_eval", f"SELECT event_id, rule_id, rule_type, fires FROM ({EVALUATED_SQL})")
 def _(t):
-    return evaluated(t).select("execution_id", "rule_id", "rule_type", "fires")
+    return evaluated(t).select("event_id", "rule_id", "rule_type", "fires")
 
 
 @query("cooldown_alerts", f"{COOLDOWN_WITH} SELECT * FROM alerts")
@@ -161,12 +166,12 @@ def _(t):
 
 
 WORKER_SQL = f"""
-SELECT tenant_id, job_id, execution_id, concat(tenant_id, ':', job_name) AS event_key, 'TRIGGERED' AS action, 'HIGH' AS severity,
+SELECT tenant_id, job_id, execution_id, event_id, concat(tenant_id, ':', job_name) AS event_key, 'TRIGGERED' AS action, 'HIGH' AS severity,
        concat(CASE action WHEN 'FAILED' THEN 'FAILURE' WHEN 'SLA_VIOLATED' THEN 'SLA_BREACH' ELSE 'HEARTBEAT_MISSED' END, ': ', job_name) AS alert_name,
        concat(CASE action WHEN 'FAILED' THEN 'Job failed: ' WHEN 'SLA_VIOLATED' THEN 'SLA violated for: ' ELSE 'Heartbeat missed for: ' END, job_name) AS description,
        coalesce(CAST(exit_code AS string), 'null') AS context_exit_code, coalesce(error_message, '') AS context_error_message,
        job_name AS context_job_name
-FROM ({EXECUTION_EVENTS_SQL}) WHERE action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED')"""
+FROM ({FEED_SQL}) WHERE action IN ('FAILED', 'SLA_VIOLATED', 'HEARTBEAT_MISSED')"""
 
 
 @query("worker_alerts", WORKER_SQL)
@@ -179,7 +184,7 @@ def _(t):
     f"""{COOLDOWN_WITH}
 SELECT tenant_id, rule_id, event_id, severity, rule_name AS alert_name, message AS description, 'rules' AS producer FROM alerts
 UNION ALL
-SELECT tenant_id, NULL, execution_id, severity, alert_name, description, 'worker' FROM ({WORKER_SQL})""",
+SELECT tenant_id, NULL, event_id, severity, alert_name, description, 'worker' FROM ({WORKER_SQL})""",
 )
 def _(t):
     return rules.alert_feed(fired(t), rules.worker_alerts(job_events(t)))
@@ -235,10 +240,11 @@ FROM v_alert_history""",
 def _(t):
     history = t.alert_history
     # Even ids name the right tenant, odd ones another one, which must not match.
+    # Every command comes twice; the first name counts.
     commands = history.filter("status = 'TRIGGERED'").select(
         "id",
         "triggered_at",
         F.expr("if(id % 2 = 0, tenant_id, concat(tenant_id, 'x'))").alias("tenant_id"),
-        F.lit("ops").alias("acknowledged_by"),
+        F.explode(F.array(F.lit("ops"), F.lit("second"))).alias("acknowledged_by"),
     )
     return rules.acknowledge(history, commands, AS_OF)

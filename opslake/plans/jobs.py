@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from opslake.functions.scratch import materialize
 from opslake.operators import evaluators, rollups, tables
 from opslake.plans.registry import query
 from opslake.sources.fixtures import AS_OF
@@ -111,7 +112,8 @@ def _(t):
 EXECUTION_EVENTS_SQL = f"""
 SELECT e.tenant_id, e.job_id, e.id AS execution_id, {ACTION_SQL.replace("status", "e.status")} AS action, j.name AS job_name,
        CAST(NULL AS string) AS cron_expression, e.exit_code, e.error_message, e.started_at AS execution_start_time,
-       e.completed_at AS execution_end_time, 'executions' AS producer
+       e.completed_at AS execution_end_time, 'executions' AS producer,
+       concat('executions-', CAST(e.id AS string)) AS event_id, e.started_at AS event_time
 FROM v_job_executions e JOIN v_jobs j ON j.job_id = e.job_id AND j.tenant_id = e.tenant_id"""
 
 
@@ -134,30 +136,38 @@ def _(t):
     return evaluators.ingest_normalize(t.ingest_requests)
 
 
-@query(
-    "job_event_feed",
-    f"""
-WITH sla AS (
-  SELECT j.tenant_id, j.job_id, l.id, j.name, l.started_at, l.completed_at
-  FROM v_jobs j JOIN ({LATEST_SQL}) l ON l.job_id = j.job_id
-  WHERE j.status = 'ACTIVE' AND j.sla_seconds > 0 AND l.duration_ms > j.sla_seconds * 1000)
+FEED_SQL = f"""
 {EXECUTION_EVENTS_SQL}
-UNION ALL SELECT tenant_id, job_id, id, 'SLA_VIOLATED', name, NULL, NULL, NULL, started_at, completed_at, 'sla' FROM sla
-UNION ALL SELECT tenant_id, job_id, NULL, 'HEARTBEAT_MISSED', name, cron_expression, NULL, NULL, NULL, NULL, 'heartbeat'
+UNION ALL SELECT tenant_id, job_id, id, 'SLA_VIOLATED', name, NULL, NULL, NULL, started_at, completed_at, 'sla',
+  concat('sla-', CAST(id AS string), '-2024-01-31T00:00:00'), TIMESTAMP '2024-01-31 00:00:00'
+  FROM (SELECT j.tenant_id, j.job_id, l.id, j.name, l.started_at, l.completed_at
+        FROM v_jobs j JOIN ({LATEST_SQL}) l ON l.job_id = j.job_id
+        WHERE j.status = 'ACTIVE' AND j.sla_seconds > 0 AND l.duration_ms > j.sla_seconds * 1000)
+UNION ALL SELECT tenant_id, job_id, NULL, 'HEARTBEAT_MISSED', name, cron_expression, NULL, NULL, NULL, NULL, 'heartbeat',
+  concat('heartbeat-', tenant_id, '-', CAST(job_id AS string), '-2024-01-31T00:00:00'), TIMESTAMP '2024-01-31 00:00:00'
   FROM ({HEARTBEAT_SQL})
-UNION ALL SELECT tenant_id, NULL, NULL, action, job_name, NULL, exit_code, NULL, execution_start_time, NULL, 'gateway'
-  FROM ({INGEST_SQL})""",
-)
-def _(t):
+UNION ALL SELECT tenant_id, NULL, NULL, action, job_name, NULL, exit_code, NULL, execution_start_time, NULL, 'gateway',
+  concat('gateway-', CAST(request_id AS string)), execution_start_time
+  FROM ({INGEST_SQL})"""
+
+
+def job_events(t):
+    """The feed of all four producers; the newest runs, one row per job, are looked up once for both evaluators."""
     jobs, runs = t.jobs, t.job_executions
+    latest = materialize(evaluators.latest_execution(runs), "latest-runs")
     return evaluators.job_event_feed(
         evaluators.execution_events(runs, jobs),
-        evaluators.sla_events(evaluators.sla_violations(jobs, runs)),
-        evaluators.heartbeat_events(evaluators.missed_heartbeats(jobs, runs, AS_OF)),
+        evaluators.sla_events(evaluators.sla_violations(jobs, runs, latest), AS_OF),
+        evaluators.heartbeat_events(evaluators.missed_heartbeats(jobs, runs, AS_OF, latest), AS_OF),
         evaluators.gateway_events(t.ingest_requests),
     )
 
 
+@query("job_event_feed", FEED_SQL)
+def _(t):
+    return job_events(t)
+
+
 @query(
     "retry_requests",
     """
@@ -319,11 +329,14 @@ UPSERT_BASE = "SELECT job_id, name, 1 AS version, TIMESTAMP '2024-01-01 00:00:00
     f"""
 WITH base AS ({UPSERT_BASE}), changes AS ({UPSERT_CHANGES}),
 offered AS (SELECT c.*, b.version AS stored FROM changes c LEFT JOIN base b ON b.job_id = c.job_id),
-taken AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC) AS rn FROM offered
-          WHERE stored IS NULL OR version = stored)
+fitting AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at) AS rn FROM offered
+            WHERE stored IS NULL OR version = stored),
+taken AS (SELECT * FROM fitting WHERE rn = 1)
 SELECT job_id, name, version, updated_at, 'stored' AS outcome FROM base WHERE job_id NOT IN (SELECT job_id FROM taken)
 UNION ALL
-SELECT job_id, name, CASE WHEN stored IS NULL THEN 0 ELSE stored + 1 END, updated_at, 'stored' FROM taken WHERE rn = 1
+SELECT job_id, name, CASE WHEN stored IS NULL THEN 0 ELSE stored + 1 END, updated_at, 'stored' FROM taken
+UNION ALL
+SELECT job_id, name, version, updated_at, 'conflict' FROM fitting WHERE rn > 1
 UNION ALL
 SELECT job_id, name, version, updated_at, 'conflict' FROM offered WHERE stored IS NOT NULL AND version <> stored""",
 )
@@ -349,5 +362,20 @@ def _(t):
         "job_id",
         F.expr("if(job_id % 5 = 1, 'INACTIVE', null)").alias("status"),
         F.expr("if(job_id % 5 = 2, 99, null)").alias("sla_seconds"),
+        F.lit(1).alias("sent"),
     )
-    return tables.apply_patch(jobs, patch, ["job_id"])
+    later = patch.filter("job_id % 2 = 0").withColumns({"sla_seconds": F.lit(7), "sent": F.lit(2)})
+    unknown = patch.withColumn("job_id", -F.col("job_id") - 1)
+    patches = patch.unionByName(later).unionByName(unknown)
+    return tables.apply_patch(jobs, patches, ["job_id"], [F.asc("sent")])
+
+
+@query(
+    "expired_chunk_rows",
+    """
+SELECT count(*) AS kept FROM v_job_executions
+WHERE time_bucket(INTERVAL '7 days', started_at, TIMESTAMP '1970-01-01') + INTERVAL '7 days'
+      > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14 days'""",
+)
+def _(t):
+    return tables.retained_chunks(t.job_executions, "started_at", AS_OF, 14).agg(F.count("*").alias("kept"))

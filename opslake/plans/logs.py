@@ -63,6 +63,16 @@ def _(t):
     return _searched(t).select("id", "tenant_id", "service", "level", "message", "ts")
 
 
+@query(
+    "log_search_words",
+    r"""
+SELECT id, tenant_id, message FROM v_logs
+WHERE tenant_id = 't2' AND list_has_any(regexp_split_to_array(lower(message), '[^\p{L}\p{M}\p{N}_]'), ['für', 'él', 'été'])""",
+)
+def _(t):
+    return logs.log_search(t.logs, "t2", "FÜR, él Été").select("id", "tenant_id", "message")
+
+
 @query(
     "log_search_page",
     f"""
@@ -105,6 +115,33 @@ def _(t):
     return logs.pattern_hit_counts(logs.pattern_hits(t.logs, PATTERNS))
 
 
+@query(
+    "retained_logs",
+    """
+SELECT l.tenant_id, CAST(l.ts AS date) AS log_date, count(*) AS entries FROM v_logs l
+LEFT JOIN v_retention_policies p ON p.tenant_id = l.tenant_id AND p.enabled
+WHERE CAST(l.ts AS date) >= DATE '2024-01-31' - coalesce(p.retention_days, 10) GROUP BY ALL""",
+)
+def _(t):
+    kept = logs.retained_logs(t.logs, t.retention_policies, date(2024, 1, 31), 10)
+    return kept.groupBy("tenant_id", F.to_date("ts").alias("log_date")).agg(F.count("*").alias("entries"))
+
+
+@query(
+    "upsert_policies",
+    """
+SELECT tenant_id, retention_days, enabled FROM v_retention_policies WHERE tenant_id NOT IN ('0', '1', 't1')
+UNION ALL SELECT 't1', 90, true
+UNION ALL SELECT CAST(n_nationkey AS string), 5, true FROM nation WHERE n_nationkey < 2""",
+)
+def _(t):
+    own = t.sql("SELECT CAST(n_nationkey AS string) AS tenant_id, 5 AS retention_days, true AS enabled FROM nation WHERE n_nationkey < 2")
+    changed = t.retention_policies.filter("tenant_id = 't1'").withColumn("retention_days", F.lit(90))
+    twice = own.withColumn("retention_days", F.lit(6))
+    rows = own.unionByName(changed).unionByName(twice)
+    return tables.create_or_update(t.retention_policies, rows, ["tenant_id"], [F.asc("retention_days")])
+
+
 @query(
     "expired_log_partitions",
     """

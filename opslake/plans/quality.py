@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import scratch_path
-from opslake.operators import quality, tables
-from opslake.plans.alerts import job_events
-from opslake.plans.jobs import EXECUTION_EVENTS_SQL
+from opslake.operators import evaluators, quality, tables
+from opslake.plans.jobs import EXECUTION_EVENTS_SQL, FEED_SQL, job_events
 from opslake.plans.registry import query
 from opslake.sources import archive
 from opslake.streaming import events
@@ -49,7 +48,7 @@ FROM ({EXECUTION_EVENTS_SQL})""",
 )
 def _(t):
     k = F.col("execution_id") % 5
-    broken = job_events(t).select(
+    broken = evaluators.execution_events(t.job_executions, t.jobs).select(
         "execution_id",
         F.to_json(
             F.struct(
@@ -112,9 +111,9 @@ def _(t):
 @query(
     "publish_envelope",
     f"""
-SELECT tenant_id AS key, 'JOB' AS event_type, concat('executions-', CAST(execution_id AS string)) AS event_id,
+SELECT tenant_id AS key, 'JOB' AS event_type, event_id,
        CAST(job_id AS string) AS job_id, action, job_name, CAST(exit_code AS string) AS exit_code, error_message
-FROM ({EXECUTION_EVENTS_SQL})""",
+FROM ({FEED_SQL})""",
 )
 def _(t):
     def field(name):
@@ -136,7 +135,7 @@ def _(t):
     "decode_events",
     f"""
 SELECT tenant_id, CAST(job_id AS string) AS job_id, CAST(execution_id AS string) AS execution_id, action, exit_code, error_message,
-       execution_start_time, execution_end_time FROM ({EXECUTION_EVENTS_SQL})""",
+       execution_start_time, execution_end_time FROM ({FEED_SQL})""",
 )
 def _(t):
     decoded = events.decode_events(events.job_event_messages(job_events(t)))

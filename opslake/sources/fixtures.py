@@ -45,7 +45,7 @@ SELECT c_custkey AS job_id, CAST(c_nationkey AS string) AS tenant_id, c_name AS
        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 120 END AS grace_period_seconds,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(600 * (c_custkey % 11) AS int) END AS expected_runtime_seconds,
        CONCAT(lower(c_mktsegment), ',', CASE WHEN c_custkey % 2 = 0 THEN 'nightly' ELSE 'hourly' END) AS tags_csv
-FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events)""",
+FROM customer""",
     "v_job_executions": """
 SELECT e.event_id AS id, e.user_id AS job_id, CAST(c.c_nationkey AS string) AS tenant_id,
        CASE e.event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'view' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED'

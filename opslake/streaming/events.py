@@ -80,8 +80,8 @@ def job_event_messages(events: DataFrame) -> DataFrame:
         F.col("tenant_id").alias("key"),
         envelope(
             "JOB",
-            F.concat(F.col("producer"), F.lit("-"), F.coalesce("execution_id", F.xxhash64("job_id", "action"))),
-            F.col("execution_start_time").cast("timestamp"),
+            F.col("event_id"),
+            F.col("event_time").cast("timestamp"),
             F.col("tenant_id"),
             jobId=F.col("job_id").cast("string"),
             executionId=F.col("execution_id").cast("string"),

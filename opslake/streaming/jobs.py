@@ -82,7 +82,7 @@ def cooldown_alerts(firing: DataFrame) -> DataFrame:
     return (
         points.groupBy("rule_id")
         .transformWithStateInPandas(
-            CooldownProcessor(), "rule_id bigint, event_id bigint, at_micros bigint", "append", "none"
+            CooldownProcessor(), "rule_id bigint, event_id string, at_micros bigint", "append", "none"
         )
         .select("rule_id", "event_id", F.timestamp_micros("at_micros").alias("triggered_at"))
     )
@@ -94,8 +94,8 @@ def evaluate_events(events: DataFrame, rule_table: DataFrame) -> DataFrame:
     evaluated = rules.evaluate_rules(context, rule_table)
     return evaluated.filter("fires").select(
         "rule_id",
-        F.col("execution_id").alias("event_id"),
-        F.col("execution_start_time").cast("timestamp").alias("triggered_at"),
+        "event_id",
+        F.col("event_time").cast("timestamp").alias("triggered_at"),
         "cooldown_seconds",
         "tenant_id",
         "job_id",

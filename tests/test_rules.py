@@ -109,7 +109,7 @@ def test_gate_needs_keys_and_an_actionable_event(spark):
 def test_worker_alerts_only_for_bad_news(spark):
     rows = [("FAILED", None, None), ("STARTED", 0, None), ("COMPLETED", 0, None), ("REGISTERED", 0, None)]
     df = spark.createDataFrame(rows, "action string, exit_code int, error_message string").select(
-        "*", F.lit("t").alias("tenant_id"), F.lit(1).alias("job_id"), F.lit(2).alias("execution_id"), F.lit("j").alias("job_name"))
+        "*", F.lit("t").alias("tenant_id"), F.lit(1).alias("job_id"), F.lit(2).alias("execution_id"), F.lit("e").alias("event_id"), F.lit("j").alias("job_name"))
     (alert,) = rules.worker_alerts(df).collect()
     assert (alert.alert_name, alert.description) == ("FAILURE: j", "Job failed: j")
     assert (alert.context_exit_code, alert.context_error_message) == ("null", "")
@@ -221,6 +221,42 @@ def test_log_patterns(spark, pattern, level, service, message, hits):
     assert (good.count(), bad.count()) == ((0, 1) if pattern.startswith("[") else (1, 0))
 
 
+def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
+    given = {r"\p{javaLowerCase}+": True, r"\Qa.b\E": True, r"\x{41}": True, "(?P<n>x)": False, "a{,3}": False, None: False, "": True}
+    table = spark.createDataFrame([(p,) for p in given], "regex_pattern string")
+    good, bad = logs.split_patterns(table)
+    assert {r.regex_pattern for r in good.collect()} == {p for p, ok in given.items() if ok}
+    assert bad.count() == 3
+    assert [p["regex_pattern"] for p in logs.valid_patterns([{"regex_pattern": p} for p in given])] == [p for p, ok in given.items() if ok]
+    df = spark.createDataFrame([(1, "t", "s", "ERROR", NOW, "a.b A")], "id long, tenant_id string, service string, level string, ts timestamp_ntz, message string")
+    for minimum, hits in (("ERROR", 1), ("LOUD", 0)):
+        record = {"tenant_id": "t", "name": "p", "regex_pattern": r"\Qa.b\E", "min_level": minimum, "service_filter": "\t"}
+        assert logs.pattern_hits(df, [record]).count() == hits
+        rows = spark.createDataFrame([("t", "p", r"\Qa.b\E", minimum, "\t", True)], "tenant_id string, name string, regex_pattern string, min_level string, service_filter string, enabled boolean")
+        assert logs.pattern_hits_join(df, rows).count() == hits
+
+
+def test_search_in_any_script(spark):
+    texts = ["日本 語", "über alles", "ber x", "naïve", "plain"]
+    df = spark.createDataFrame([(i, "t", "INFO", NOW, m) for i, m in enumerate(texts)], "id long, tenant_id string, level string, ts timestamp_ntz, message string")
+    for asked, found in (("日本", [0]), ("ÜBER", [1]), ("naïve", [3]), ("na", []), ("!!", [])):
+        assert [r.id for r in logs.log_search(df, "t", asked).collect()] == found
+
+
+def test_retention_is_applied(spark, tmp_path):
+    schema = "id long, tenant_id string, ts timestamp_ntz"
+    rows = [(1, "a b", datetime(2024, 1, 1)), (2, "a b", datetime(2024, 1, 20)), (3, "c", datetime(2023, 1, 1))]
+    df = logs.prepare_logs(spark.createDataFrame(rows, schema), NOW)
+    policies = spark.createDataFrame([("a b", 14, True), ("c", 1, False)], "tenant_id string, retention_days int, enabled boolean")
+    assert {r.id for r in logs.retained_logs(df, policies, datetime(2024, 1, 31).date()).collect()} == {2, 3}
+    assert {r.id for r in logs.retained_logs(df, policies, datetime(2024, 1, 31).date(), 30).collect()} == {2}
+    path = str(tmp_path / "logs")
+    logs.write_logs(df, path)
+    expired = logs.expired_log_partitions(df, policies, datetime(2024, 1, 31).date())
+    assert logs.drop_partitions(spark, path, expired) == 1
+    assert {r.id for r in spark.read.parquet(path).collect()} == {2, 3}
+
+
 def test_search_matches_whole_words_in_any_case(spark):
     df = spark.createDataFrame([(1, "t", "INFO", NOW, "Disk-FULL on node7"), (2, "t", "INFO", NOW, "diskfull"), (3, "u", "INFO", NOW, "disk")],
                                "id long, tenant_id string, level string, ts timestamp_ntz, message string")
@@ -339,8 +375,32 @@ def test_upsert_refuses_stale_versions(spark):
     base = spark.createDataFrame([(1, "a", 4, NOW), (2, "b", 1, NOW)], schema)
     changes = spark.createDataFrame([(1, "a2", 4, NOW), (1, "a3", 4, NOW + timedelta(1)), (2, "b2", 0, NOW), (3, "c", 0, NOW)], schema)
     stored, conflicts = tables.versioned_upsert(base, changes, ["k"])
-    assert {(r.k, r.v, r.version) for r in stored.collect()} == {(1, "a3", 5), (2, "b", 1), (3, "c", 0)}
-    assert [(r.k, r.v) for r in conflicts.collect()] == [(2, "b2")]
+    assert {(r.k, r.v, r.version) for r in stored.collect()} == {(1, "a2", 5), (2, "b", 1), (3, "c", 0)}
+    assert {(r.k, r.v) for r in conflicts.collect()} == {(2, "b2"), (1, "a3")}
+
+
+def test_upsert_ties_and_several_new_rows(spark):
+    schema = "k int, v string, version int, updated_at timestamp_ntz"
+    base = spark.createDataFrame([(1, "a", 4, NOW)], schema)
+    changes = spark.createDataFrame([(1, "x", 4, NOW), (1, "y", 4, NOW), (5, "n", 0, NOW), (5, "m", 0, NOW + timedelta(1))], schema)
+    stored, conflicts = tables.versioned_upsert(base, changes, ["k"])
+    assert {(r.k, r.version) for r in stored.collect()} == {(1, 5), (5, 0)}
+    assert len(conflicts.collect()) == 2
+
+
+def test_patches_and_created_rows(spark):
+    base = spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "k int, v string, n int")
+    patches = spark.createDataFrame([(1, None, 7, 1), (1, "z", 9, 2), (8, "q", 1, 1)], "k int, v string, n int, sent int")
+    got = tables.apply_patch(base, patches, ["k"], [F.asc("sent")]).collect()
+    assert {tuple(r) for r in got} == {(1, "a", 7), (2, "b", 3)}
+    rows = spark.createDataFrame([(2, "c", 0), (3, "d", 1)], "k int, v string, n int")
+    assert {tuple(r) for r in tables.create_or_update(base, rows, ["k"]).collect()} == {(1, "a", 2), (2, "c", 0), (3, "d", 1)}
+
+
+def test_whole_numbers_between_tabs_and_line_breaks(spark):
+    df = spark.createDataFrame([("\t 5\n",), ("5 5",), (" \r\n",), (None,)], "t string")
+    got = df.select(text.whole_number(F.col("t")).alias("n"), text.is_blank(F.col("t")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(5, False), (None, False), (None, True), (None, True)]
 
 
 def test_tags_and_scope(spark):

@@ -88,6 +88,20 @@ def test_rollup_stream_equals_batch_for_closed_hours(spark, t):
     assert joined.filter(F.col("p") < F.col("p95_duration_ms") * 0.5).filter("total_runs = 1").count() == 0
 
 
+def test_alert_stream_does_not_change_with_the_rule_table(spark, t):
+    """A rule table beyond the broadcast threshold joins a stream all the same."""
+    feed = evaluators.execution_events(t.job_executions, t.jobs)
+    path = by_time(spark, feed, "execution_start_time")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = run(spark, jobs.evaluate_events(stream(spark, path, feed.schema), t.alert_rules)).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = run(spark, jobs.evaluate_events(stream(spark, path, feed.schema), t.alert_rules)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert large == small > 0
+
+
 def test_alert_stream_equals_batch(spark, t):
     feed = evaluators.execution_events(t.job_executions, t.jobs)
     path = by_time(spark, feed, "execution_start_time")
