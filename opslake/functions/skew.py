@@ -6,7 +6,7 @@ shuffle.  Without a large key the plain Spark form is used; a large key is cut
 into as many parts as its size asks for:
 
 * ``salted_join`` spreads it over copies of its rows of the small side.
-* ``scan`` computes running sums, maxima and last values in time slices: a
+* ``scan`` computes running sums, maxima and last values in slices of equal row counts: a
   pass over one summary row per slice carries values in, and a local window
   does the rest.
 * ``exact_quantile`` finds a percentile from value counts in bands of bounded
@@ -24,14 +24,16 @@ from opslake.functions.scratch import materialize
 
 # More rows than this of one key are not left to one task.
 HOT_ROWS = 1_000_000
-# A busy key is not evenly busy: cut finer than its average asks for.
+# Approximate quantiles cut unevenly, so cut finer than the average asks for.
 SLICES_PER_SHARE = 4
+MOST_SLICES = 2000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, *also: Column) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and their count ``_n``, or None.
 
-    There are at most rows / hot_rows of them: small enough to broadcast.
+    There are at most rows / hot_rows of them.  They are read back from a table
+    of known size, so Spark broadcasts them only while they are small.
     """
     large = df.groupBy(*keys).agg(F.count("*").alias("_n"), *also).filter(F.col("_n") > hot_rows)
     return None if large.isEmpty() else materialize(large, "hot-keys")
@@ -41,7 +43,7 @@ def with_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """Add the columns of ``hot`` to the rows of its keys, nulls to all others."""
     renamed = hot.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), *(c for c in hot.columns if c not in keys))
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    return df.join(F.broadcast(renamed), same, "left").drop(*(f"_hot_{k}" for k in keys))
+    return df.join(renamed, same, "left").drop(*(f"_hot_{k}" for k in keys))
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -101,11 +103,11 @@ def scan(
     """Add running values per key, ordered by ``order`` (first column a timestamp).
 
     Rows must be unique per (keys, order).  Keys of ordinary size are one
-    window; a large key is one window per time slice, with the values of
+    window; a large key is one window per slice of its rows, with the values of
     earlier slices carried in from one summary row per slice.
     """
     micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    hot = hot_keys(points, keys, hot_rows, F.min(micros).alias("_from"), F.max(micros).alias("_to"))
+    hot = hot_keys(points, keys, hot_rows)
     rows = points
     for name, spec in running.items():
         rows = rows.withColumn(f"_in_{name}", spec.value)
@@ -121,14 +123,20 @@ def scan(
     if hot is None:
         return rows.select(*results(Window.partitionBy(*keys).orderBy(*order)))
 
-    shares = F.ceil(F.col("_n") / F.lit(hot_rows)) * SLICES_PER_SHARE
-    width = F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1) / shares))
-    widths = hot.withColumn("_width", width.cast("bigint")).drop("_n", "_to")
+    # Slices hold equal numbers of rows, however unevenly the times lie.
+    most = hot.agg(F.max("_n")).collect()[0][0]
+    slices = min(MOST_SLICES, SLICES_PER_SHARE * -(-most // hot_rows))
+    cuts = F.percentile_approx(F.col("_at"), [k / slices for k in range(1, slices)], 10 * slices)
+    timed = points.select(*keys, micros.alias("_at"))
+    bounds = (
+        with_hot(timed, hot, keys).filter("_n is not null").groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+    )
     part = [*keys, "_slice"]
     sliced = (
-        with_hot(rows.withColumn("_at", micros), widths, keys)
-        .withColumn("_slice", F.coalesce(F.expr("(_at - _from) div _width"), F.lit(-1)))
-        .drop("_at", "_from", "_width")
+        with_hot(rows.withColumn("_at", micros), materialize(bounds, "slices"), keys)
+        .withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("_at"))), F.lit(-1)))
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(F.col("_slice")))
+        .drop("_at", "_cuts")
         .withColumn("_row", F.lit(True))
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

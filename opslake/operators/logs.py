@@ -24,11 +24,10 @@ def prepare_logs(logs: DataFrame, received_at: datetime) -> DataFrame:
     return filled.withColumn("log_date", F.to_date("ts"))
 
 
-def write_logs(logs: DataFrame, path: str, files_per_partition: int = 8) -> None:
-    """Append prepared logs by tenant and day; a busy tenant-day is spread over several files."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_partition))
+def write_logs(logs: DataFrame, path: str) -> None:
+    """Append prepared logs by tenant and day; a busy tenant-day is spread over as many files as its size asks for."""
     (
-        logs.repartition("tenant_id", "log_date", spread)
+        logs.hint("rebalance", "tenant_id", "log_date")
         .write.mode("append")
         .partitionBy("tenant_id", "log_date")
         .parquet(path)

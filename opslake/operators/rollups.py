@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import HOT_ROWS, Running, exact_quantile, hot_keys, scan, trailing_count
+from opslake.functions.skew import HOT_ROWS, Running, scan, trailing_count
 
 ROLLUP_KEYS = ["job_id", "tenant_id", "bucket"]
 
@@ -20,24 +20,14 @@ def hour_of(ts: str) -> F.Column:
     return F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
 
 
-def hourly_rollup(executions: DataFrame, quantile: float = 0.95, hot_runs: int = HOT_ROWS) -> DataFrame:
+def hourly_rollup(executions: DataFrame, quantile: float = 0.95) -> DataFrame:
     """Runs, successes, failures and duration statistics per job, tenant and hour.
 
-    Almost every group is small and takes one aggregate with the exact
-    percentile.  A group with more than ``hot_runs`` runs would hold all its
-    durations in one task, so those, if a first count finds any, go through
-    counts per duration value.  The count combines before its shuffle.
+    One read and one aggregate.  The exact percentile keeps a count per
+    duration value and combines before the shuffle, so what a group sends grows
+    with its distinct durations, not with its runs.
     """
     runs = executions.select("job_id", "tenant_id", hour_of("started_at").alias("bucket"), "status", "duration_ms")
-    hot = hot_keys(runs, ROLLUP_KEYS, hot_runs)
-    if hot is None:
-        return _rollup_small(runs, quantile)
-    hot = F.broadcast(hot.select(*ROLLUP_KEYS))
-    small = _rollup_small(runs.join(hot, ROLLUP_KEYS, "left_anti"), quantile)
-    return small.unionByName(_rollup_large(runs.join(hot, ROLLUP_KEYS, "left_semi"), quantile))
-
-
-def _rollup_small(runs: DataFrame, quantile: float) -> DataFrame:
     return runs.groupBy(*ROLLUP_KEYS).agg(
         F.count("*").alias("total_runs"),
         F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
@@ -49,27 +39,6 @@ def _rollup_small(runs: DataFrame, quantile: float) -> DataFrame:
     )
 
 
-def _rollup_large(runs: DataFrame, quantile: float) -> DataFrame:
-    by_value = runs.groupBy(*ROLLUP_KEYS, "duration_ms").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("status") == "SUCCESS").alias("ok"),
-        F.count_if(F.col("status") == "FAILED").alias("failed"),
-    )
-    timed = F.when(F.col("duration_ms").isNotNull(), F.col("n"))
-    totals = by_value.groupBy(*ROLLUP_KEYS).agg(
-        F.sum("n").alias("total_runs"),
-        F.sum("ok").alias("success_count"),
-        F.sum("failed").alias("failure_count"),
-        (F.sum(F.col("duration_ms") * F.col("n")) / F.sum(timed)).alias("avg_duration_ms"),
-        F.max("duration_ms").alias("max_duration_ms"),
-        F.min("duration_ms").alias("min_duration_ms"),
-    )
-    p95 = exact_quantile(
-        by_value.filter("duration_ms is not null"), ROLLUP_KEYS, "duration_ms", "n", quantile, "p95_duration_ms"
-    )
-    return totals.join(p95, ROLLUP_KEYS, "left")
-
-
 def refresh_bounds(as_of: datetime, start_offset: timedelta, end_offset: timedelta) -> tuple[datetime, datetime]:
     """First and one-past-last hour bucket lying wholly inside the refresh window."""
     hour = timedelta(hours=1)
@@ -105,11 +74,11 @@ def refresh_rollup(
 
 
 def write_rollup(buckets: DataFrame, path: str) -> None:
-    """Store roll-up rows by day and hour; only the hours present are replaced."""
+    """Store roll-up rows by day and hour; only the hours present are replaced, a large one in files of even size."""
     (
         buckets.withColumn("bucket_date", F.to_date("bucket"))
         .withColumn("bucket_hour", F.hour("bucket"))
-        .repartition("bucket_date", "bucket_hour", F.pmod(F.xxhash64("job_id"), F.lit(16)))
+        .hint("rebalance", "bucket_date", "bucket_hour")
         .sortWithinPartitions("bucket_date", "bucket_hour", "tenant_id", "job_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -126,12 +126,11 @@ def chunk_counts(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(chunk_start(ts).alias("chunk_start")).agg(F.count("*").alias("rows"))
 
 
-def write_chunks(df: DataFrame, path: str, ts: str, sort: list[str], files_per_chunk: int = 64) -> None:
-    """Append rows by chunk, sorted inside each file so row-group statistics can skip."""
-    spread = F.pmod(F.xxhash64(*sort), F.lit(files_per_chunk))
+def write_chunks(df: DataFrame, path: str, ts: str, sort: list[str]) -> None:
+    """Append rows by chunk, sorted inside each file so row-group statistics can skip; a large chunk gets more files."""
     (
         df.withColumn("chunk_date", F.to_date(chunk_start(ts)))
-        .repartition("chunk_date", spread)
+        .hint("rebalance", "chunk_date")
         .sortWithinPartitions("chunk_date", *sort)
         .write.mode("append")
         .partitionBy("chunk_date")

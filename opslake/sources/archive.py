@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def archive_logs(logs: DataFrame, uri: str, ts: str = "ts", files_per_partition: int = 8) -> None:
+def archive_logs(logs: DataFrame, uri: str, ts: str = "ts") -> None:
     """Write logs as JSON lines by service and day under any storage address.
 
-    A service's day is spread over a few files so a busy one is not one task.
+    A service's day is spread over files by its size, so a busy one is not one task.
     """
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_partition))
     (
         logs.withColumn("log_date", F.to_date(ts))
-        .repartition("service", "log_date", spread)
+        .hint("rebalance", "service", "log_date")
         .write.mode("append")
         .partitionBy("service", "log_date")
         .option("compression", "gzip")

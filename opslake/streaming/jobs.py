@@ -174,10 +174,9 @@ def log_batch_writer(path: str, patterns: list[dict]) -> Callable[[DataFrame, in
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with _read_once(batch) as rows:
-            spread = F.pmod(F.xxhash64("id"), F.lit(4))
             (
                 rows.withColumn("log_date", F.to_date("ts"))
-                .repartition("tenant_id", "log_date", spread)
+                .hint("rebalance", "tenant_id", "log_date")
                 .write.mode("overwrite")
                 .partitionBy("tenant_id", "log_date")
                 .parquet(f"{path}/logs/batch_id={batch_id}")

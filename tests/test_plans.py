@@ -6,8 +6,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-import __spark_entry__ as entry
 from opslake.operators import evaluators, logs, querylog, rollups
+from opslake.plans import registry
 from opslake.sources import archive, jdbc
 from opslake.sources.fixtures import Domain
 
@@ -23,13 +23,14 @@ def t(spark):
     return Domain(spark, DATA)
 
 
-# The two sequential rules and the check of stored text patterns.
-PYTHON = {"cooldown_alerts", "alert_feed", "alert_fanout", "alert_repeats", "rate_limit_accepted", "log_pattern_hits_join"}
+# The two sequential rules.
+PYTHON = {"cooldown_alerts", "alert_feed", "alert_fanout", "alert_repeats", "rate_limit_accepted"}
+QUERIES = registry.all_queries()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, DATA))
+    text = plan(QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON:
         assert "Python" not in text and "InPandas" not in text
@@ -78,6 +79,16 @@ def test_missing_ids_and_times_are_filled(spark):
     assert len(got["a"].id) == 64 and got["a"].log_date.day == 31 and got["b"].id == "x"
 
 
+def test_one_read_for_the_rollup(spark, t, tmp_path):
+    path = str(tmp_path / "runs")
+    t.job_executions.write.parquet(path)
+    text = plan(rollups.hourly_rollup(spark.read.parquet(path)))
+    assert text.count("Scan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
+    # Two running values over the same keys and order share one shuffle.
+    streaks = plan(rollups.failure_streaks(spark.read.parquet(path)))
+    assert streaks.count("Exchange hashpartitioning") == 1 and streaks.count("Scan parquet") == 1
+
+
 def test_database_reader_asks_for_little():
     sql = jdbc.statements_query(1000, 100)
     assert "mean_exec_time > 1000.0" in sql and sql.endswith("ORDER BY mean_exec_time DESC LIMIT 100")

@@ -333,19 +333,6 @@ def test_streaks_start_over_after_success(spark):
         assert got == {0: 1, 1: 2, 3: 3, 5: 1, 7: 2}
 
 
-def test_rollup_of_a_large_group_equals_the_plain_one(spark):
-    runs = spark.createDataFrame(
-        [(i, i % 7 // 5, "t", ("SUCCESS", "FAILED", "TIMEOUT")[i % 3], NOW + timedelta(seconds=i), None,
-          None if i % 10 == 0 else (i * 7919) % 40_000) for i in range(6000)], RUNS)
-    plain = rollups.hourly_rollup(runs)
-    split = rollups.hourly_rollup(runs, hot_runs=100)
-    def key(r):
-        return r.job_id, r.bucket
-
-    for a, b in zip(sorted(plain.collect(), key=key), sorted(split.select(*plain.columns).collect(), key=key), strict=True):
-        assert a.asDict() | {"p95_duration_ms": round(a.p95_duration_ms, 6)} == b.asDict() | {"p95_duration_ms": round(b.p95_duration_ms, 6)}
-
-
 def test_refresh_replaces_whole_hours_only(spark, tmp_path):
     at = datetime(2024, 1, 10, 12, 20)
     assert rollups.refresh_bounds(at, timedelta(hours=3), timedelta(hours=1)) == (

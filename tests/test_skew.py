@@ -50,6 +50,16 @@ def test_scan_matches_a_plain_pass(spark, hot_rows):
     assert len(got) == len(rows)
 
 
+def test_slices_hold_on_outliers_and_bursts(spark):
+    """One time decades away and a burst at one second must not put all rows into one slice."""
+    rows = [("hot", datetime(1970, 1, 1), -1, 1)]
+    rows += [("hot", START + timedelta(seconds=7), 10_000 + i, 1) for i in range(300)]
+    rows += [("hot", START + timedelta(milliseconds=i), i, 1) for i in range(2000)]
+    got = {r.id: r.total for r in scan(frame(spark, rows), ["k"], ["ts", "id"], 100, total=Running("sum", F.col("v"))).collect()}
+    for n, (_, _, i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])), start=1):
+        assert got[i] == n
+
+
 @pytest.mark.parametrize("hot_rows", [50, 1_000_000])
 def test_trailing_count_half_open_window(spark, hot_rows):
     rows = skewed_rows(800)
