@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.greedy import keep_spaced
-from opslake.functions.scratch import materialize
 from opslake.functions.skew import Running, scan
 
 
@@ -111,6 +110,17 @@ def histogram_quantile(buckets: DataFrame, by: list[str], q: float = 0.95) -> Da
     return ranked.filter(holds).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
+def rate_quantile(
+    samples: DataFrame, series: list[str], by: list[str], q: float = 0.95, range_seconds: int = 300, step_seconds: int | None = None
+) -> DataFrame:
+    """Quantile at every step from the rates of cumulative bucket counters (label ``le``) over the range ending there.
+
+    A step in which a label's buckets did not grow has no quantile.
+    """
+    rates = metric_rate(samples, [*series, "le"], [*by, "le"], range_seconds, step_seconds or range_seconds)
+    return histogram_quantile(rates.withColumnRenamed("rate", "count"), [*by, "at"], q)
+
+
 def latest_samples(samples: DataFrame, series: list[str]) -> DataFrame:
     """Newest value of each series."""
     return samples.groupBy(*series).agg(
@@ -227,7 +237,7 @@ def alert_groups(alerts: DataFrame, by: list[str], ts: str, tie: str, gap_second
     paired = scan(alerts.select(*by, *order), by, order, _previous=Running("last", F.col(ts), exclusive=True))
     gap = F.expr(f"interval {int(gap_seconds)} seconds")
     opens = F.col("_previous").isNull() | (F.col(ts) >= F.col("_previous") + gap)
-    marked = materialize(paired.withColumn("_opens", F.when(opens, 1).otherwise(0)), "groups")
+    marked = paired.withColumn("_opens", F.when(opens, 1).otherwise(0))
     numbered = scan(marked, by, order, _group=Running("sum", F.col("_opens")))
     return (
         numbered.groupBy(*by, "_group")

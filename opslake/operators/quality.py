@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake import schemas
+from opslake.functions.text import is_blank
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class Rule:
 
 
 def not_blank(column: str, message: str) -> Rule:
-    return Rule(message, lambda: F.coalesce(F.trim(F.col(column)) == "", F.lit(True)))
+    return Rule(message, lambda: is_blank(F.col(column)))
 
 
 def not_null(column: str, message: str) -> Rule:
@@ -51,10 +52,13 @@ JOB_RULES = [
     positive("sla_seconds", "SLA seconds must be positive"),
     positive("grace_period_seconds", "Grace period must be positive"),
     positive("expected_runtime_seconds", "Expected runtime must be positive"),
+    positive("timeout_seconds", "Timeout must be positive"),
+    positive("max_retries", "Max retries must be positive"),
 ]
 ALERT_RULE_RULES = [
     not_blank("name", "Alert rule name is required"),
     max_length("name", 255, "Name must not exceed 255 characters"),
+    max_length("description", 2000, "Description must not exceed 2000 characters"),
     not_blank("rule_type", "Rule type is required"),
     max_length("rule_type", 50, "Rule type must not exceed 50 characters"),
     not_null("condition_json", "Condition JSON is required"),
@@ -71,6 +75,12 @@ QUEUE_RULES = [
     not_blank("job_type", "Job type is required"),
     between("priority", 1, 10, "Priority must be between 1 and 10"),
 ]
+USER_RULES = [
+    not_blank("username", "Username is required"),
+    max_length("username", 100, "Username must not exceed 100 characters"),
+    not_blank("email", "Email is required"),
+    one_of("role", schemas.ROLES, "Role must be one of ADMIN, OPERATOR, VIEWER"),
+]
 INGEST_RULES = [
     not_blank("job_name", "Job name is required"),
     not_blank("event_type", "Event type is required"),
@@ -110,10 +120,14 @@ def _contract_checks(fields: Column) -> Column:
         checks = [F.when(field("source") != contract["source"], F.lit("source"))]
         checks += [F.when(field(n).isNull(), F.lit(f"missing {n}")) for n in contract["required"]]
         checks += [F.when(~field(n).isin(*v), F.lit(f"bad {n}")) for n, v in contract["enums"].items()]
-        if event_type == "QUEUE":
-            for name, low, high in (("priority", 0, 10), ("attemptNumber", 1, 2**31 - 1)):
-                number = F.when(field(name).rlike(r"^-?[0-9]+$"), field(name).try_cast("bigint"))
-                fits = F.coalesce(number.between(low, high), F.lit(False))
+        own_fields = [*schemas.ENVELOPE_FIELDS, *contract["required"], *contract["optional"]]
+        for name in own_fields:
+            if kind_of := schemas.FIELD_FORMATS.get(name):
+                checks.append(F.when(~field(name).rlike(schemas.FORMATS[kind_of]), F.lit(f"bad {name}")))
+            if name in schemas.WHOLE_NUMBERS:
+                low, high = schemas.WHOLE_NUMBERS[name], 10 if name == "priority" else 2**31 - 1
+                number = F.when(field(name).rlike(r"^-?[0-9]+\z"), field(name).try_cast("bigint"))
+                fits = F.coalesce(number.between(-(2**31) if low is None else low, high), F.lit(False))
                 checks.append(F.when(field(name).isNotNull() & ~fits, F.lit(f"bad {name}")))
         known = [*schemas.ENVELOPE_FIELDS, *contract["required"], *contract["optional"]]
         unknown = F.array_except(F.map_keys(fields), F.array(*(F.lit(k) for k in known)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opslake.operators import metrics
@@ -70,6 +71,35 @@ def _(t):
     return metrics.histogram_quantile(metrics.cumulative_buckets(observed, ["job"], "value", BOUNDS), ["job"])
 
 
+BUCKETS_SQL = """
+SELECT job, le, ts, count(*) OVER (PARTITION BY job, le ORDER BY ts, event_id) AS value
+FROM (SELECT CONCAT('job', CAST(user_id % 3 AS string)) AS job, ts, event_id, value AS seen FROM events) e
+JOIN (SELECT * FROM (VALUES (1.0), (5.0), (10.0), (25.0), (50.0), (100.0), (1e300)) AS l(le)) l ON e.seen <= l.le"""
+
+
+@query(
+    "response_p95_by_hour",
+    f"""
+WITH c AS (SELECT job, le, ts, max(value) AS value FROM ({BUCKETS_SQL}) GROUP BY ALL),
+i AS (SELECT job, le, ts, value - lag(value) OVER (PARTITION BY job, le ORDER BY ts) AS increase FROM c),
+b AS (SELECT job, le, make_timestamp({STEP_SQL.format(step=3600)} * 3600000000) AS "at", sum(increase) / 3600.0 AS cnt
+      FROM i WHERE increase IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, max(cnt) OVER (PARTITION BY job, "at") AS total,
+             coalesce(lag(cnt) OVER (PARTITION BY job, "at" ORDER BY le), 0) AS below,
+             coalesce(lag(le) OVER (PARTITION BY job, "at" ORDER BY le), 0.0) AS low FROM b)
+SELECT job, "at", min(CASE WHEN le > 1e200 THEN low ELSE low + (le - low) * (0.95::double * total - below) / (cnt - below) END) AS quantile
+FROM w WHERE cnt >= 0.95::double * total AND below < 0.95::double * total GROUP BY ALL""",
+)
+def _(t):
+    job = F.concat(F.lit("job"), (F.col("user_id") % 3).cast("string")).alias("job")
+    bounds = F.array(*(F.lit(b) for b in [*BOUNDS, float("inf")]))
+    seen = t.base("events").select(job, "ts", "event_id", F.explode(F.filter(bounds, lambda b: F.col("value") <= b)).alias("le"))
+    # Counters as scraped: what each bucket has counted so far.
+    so_far = Window.partitionBy("job", "le").orderBy("ts", "event_id")
+    scraped = seen.withColumn("value", F.count("*").over(so_far).cast("double"))
+    return metrics.rate_quantile(scraped, ["job"], ["job"], 0.95, 3600)
+
+
 LATEST_GAUGE = """
 SELECT metric, job, instance, arg_max(value, ts) AS value FROM v_gauge_samples GROUP BY ALL"""
 

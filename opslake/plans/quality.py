@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opslake import schemas
 from opslake.functions.scratch import scratch_path
 from opslake.operators import evaluators, quality, tables
 from opslake.plans.jobs import EXECUTION_EVENTS_SQL, FEED_SQL, job_events
@@ -21,14 +22,18 @@ SELECT job_id, tenant_id, concat_ws('; ',
          CASE WHEN length(cron_expression) > 100 THEN 'Cron expression must not exceed 100 characters' END,
          CASE WHEN sla_seconds <= 0 THEN 'SLA seconds must be positive' END,
          CASE WHEN grace_period_seconds <= 0 THEN 'Grace period must be positive' END,
-         CASE WHEN expected_runtime_seconds <= 0 THEN 'Expected runtime must be positive' END) AS violations
+         CASE WHEN expected_runtime_seconds <= 0 THEN 'Expected runtime must be positive' END,
+         CASE WHEN job_id % 13 = 0 THEN 'Timeout must be positive' END,
+         CASE WHEN job_id % 11 = 0 THEN 'Max retries must be positive' END) AS violations
 FROM (SELECT * REPLACE (CASE WHEN job_id % 17 = 0 THEN ' ' WHEN job_id % 19 = 0 THEN repeat('x', 300) ELSE name END AS name,
                         CASE WHEN job_id % 4 = 3 THEN -1 ELSE sla_seconds END AS sla_seconds) FROM v_jobs)""",
 )
 def _(t):
     jobs = t.jobs.withColumns(
         {
-            "name": F.expr("case when job_id % 17 = 0 then ' ' when job_id % 19 = 0 then repeat('x', 300) else name end"),
+            "timeout_seconds": F.expr("case when job_id % 13 = 0 then 0 when job_id % 3 = 0 then null else 60 end"),
+            "max_retries": F.expr("if(job_id % 11 = 0, -1, 3)"),
+            "name": F.expr("case when job_id % 17 = 0 then ' \\t\\n' when job_id % 19 = 0 then repeat('x', 300) else name end"),
             "sla_seconds": F.expr("if(job_id % 4 = 3, -1, sla_seconds)"),
         }
     )
@@ -36,28 +41,137 @@ def _(t):
     return checked.select("job_id", "tenant_id", F.array_join("violations", "; ").alias("violations"))
 
 
+def _violations(rows, rules, *keys):
+    checked = quality.row_violations(rows, rules)
+    return checked.select(*keys, F.array_join("violations", "; ").alias("violations"))
+
+
+@query(
+    "alert_rule_violations",
+    """
+SELECT rule_id, concat_ws('; ', CASE WHEN rule_id % 7 = 0 THEN 'Alert rule name is required' END,
+         CASE WHEN rule_id % 9 = 0 THEN 'Description must not exceed 2000 characters' END,
+         CASE WHEN rule_id % 10 = 6 THEN 'Rule type must not exceed 50 characters' END,
+         CASE WHEN rule_id % 11 = 0 THEN 'Condition JSON is required' END,
+         CASE WHEN cooldown_seconds > 20000 THEN 'Cooldown seconds must be positive' END) AS violations
+FROM v_alert_rules""",
+)
+def _(t):
+    broken = t.alert_rules.withColumns(
+        {
+            "name": F.expr("if(rule_id % 7 = 0, '\\t', name)"),
+            "description": F.expr("if(rule_id % 9 = 0, repeat('d', 2001), null)"),
+            "rule_type": F.expr("if(rule_id % 10 = 6, repeat('t', 51), rule_type)"),
+            "condition_json": F.expr("if(rule_id % 11 = 0, null, condition_json)"),
+            "cooldown_seconds": F.expr("if(cooldown_seconds > 20000, 0, cooldown_seconds)"),
+        }
+    )
+    return _violations(broken, quality.ALERT_RULE_RULES, "rule_id")
+
+
+@query(
+    "notification_violations",
+    """
+SELECT id, concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'Channel is required' END,
+         CASE WHEN id % 6 = 0 THEN 'Recipient is required' WHEN id % 7 = 0 THEN 'Recipient must not exceed 500 characters' END,
+         CASE WHEN id % 8 = 0 THEN 'Subject must not exceed 500 characters' END,
+         CASE WHEN priority > 8 THEN 'Priority must be positive' END) AS violations
+FROM v_notifications""",
+)
+def _(t):
+    broken = t.notifications.withColumns(
+        {
+            "channel": F.expr("if(id % 5 = 0, null, channel)"),
+            "recipient": F.expr("case when id % 6 = 0 then ' ' when id % 7 = 0 then repeat('r', 501) else recipient end"),
+            "subject": F.expr("if(id % 8 = 0, repeat('s', 501), 's')"),
+            "priority": F.expr("if(priority > 8, 0, priority)"),
+        }
+    )
+    return _violations(broken, quality.NOTIFICATION_RULES, "id")
+
+
+@query(
+    "queue_violations",
+    """
+SELECT id, concat_ws('; ', CASE WHEN id % 9 = 0 THEN 'Job type is required' END,
+         CASE WHEN id % 4 = 0 OR id % 7 = 0 THEN 'Priority must be between 1 and 10' END) AS violations
+FROM v_job_queue""",
+)
+def _(t):
+    broken = t.job_queue.withColumns(
+        {
+            "job_type": F.expr("if(id % 9 = 0, '', job_type)"),
+            "priority": F.expr("case when id % 4 = 0 then 0 when id % 7 = 0 then 11 else priority end"),
+        }
+    )
+    return _violations(broken, quality.QUEUE_RULES, "id")
+
+
+@query(
+    "ingest_violations",
+    """
+SELECT request_id, concat_ws('; ', CASE WHEN request_id % 6 = 0 THEN 'Job name is required' END,
+         CASE WHEN event_type IS NULL THEN 'Event type is required' END) AS violations
+FROM v_ingest_requests""",
+)
+def _(t):
+    broken = t.ingest_requests.withColumn("job_name", F.expr("if(request_id % 6 = 0, '  ', job_name)"))
+    return _violations(broken, quality.INGEST_RULES, "request_id")
+
+
+USERS_SQL = """
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_name END AS username,
+       CONCAT('u', CAST(CAST(c_custkey AS bigint) - c_custkey % 2 AS string), '@example.com') AS email,
+       CASE CAST(c_custkey % 4 AS int) WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'OPERATOR' WHEN 2 THEN 'VIEWER' ELSE 'ROOT' END AS role
+FROM customer"""
+
+
+@query(
+    "user_constraints",
+    f"""
+WITH u AS ({USERS_SQL})
+SELECT 'users' AS table_name, 'not_null:username' AS rule, count(*) FILTER (WHERE username IS NULL) AS violations FROM u
+UNION ALL SELECT 'users', 'allowed:role', count(*) FILTER (WHERE role NOT IN ('ADMIN', 'OPERATOR', 'VIEWER')) FROM u
+UNION ALL SELECT 'users', 'unique:username', count(*) FROM (SELECT 1 FROM u WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1)
+UNION ALL SELECT 'users', 'unique:email', count(*) FROM (SELECT 1 FROM u GROUP BY email HAVING count(*) > 1)""",
+)
+def _(t):
+    unique = {"username": ["username"], "email": ["email"]}
+    return quality.constraint_report(t.sql(USERS_SQL), "users", unique, ["username"], {"role": schemas.ROLES})
+
+
 @query(
     "event_contract",
     f"""
 SELECT execution_id, concat_ws(',',
          CASE WHEN execution_id % 5 = 1 THEN 'bad action' END,
+         CASE WHEN execution_id % 11 = 0 THEN 'bad eventId' END,
+         CASE WHEN execution_id % 7 = 0 THEN 'bad exitCode' END,
+         CASE WHEN execution_id % 9 = 0 THEN 'bad timestamp' END,
          CASE WHEN execution_id % 5 = 2 THEN 'missing jobName' END,
          CASE WHEN execution_id % 5 = 3 THEN 'missing source' END,
          CASE WHEN execution_id % 5 = 4 THEN 'unknown colour' END) AS violations
 FROM ({EXECUTION_EVENTS_SQL})""",
 )
 def _(t):
+    def uuid_of(column):
+        parts = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+        return F.regexp_replace(F.md5(F.col(column).cast("string")), parts, "$1-$2-$3-$4-$5")
+
     k = F.col("execution_id") % 5
     broken = evaluators.execution_events(t.job_executions, t.jobs).select(
         "execution_id",
         F.to_json(
             F.struct(
-                F.col("execution_id").cast("string").alias("eventId"),
+                F.when(F.col("execution_id") % 11 == 0, "17").otherwise(uuid_of("execution_id")).alias("eventId"),
                 F.lit("JOB").alias("eventType"),
-                F.date_format("execution_start_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+                F.when(F.col("execution_id") % 9 == 0, "not a time")
+                .otherwise(F.date_format("execution_start_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+                .alias("timestamp"),
+                F.when(F.col("execution_id") % 7 == 0, "oops").otherwise(F.col("exit_code").cast("string")).alias("exitCode"),
                 F.when(k != 3, "job-monitoring-service").alias("source"),
                 F.col("tenant_id").alias("tenantId"),
-                F.col("job_id").cast("string").alias("jobId"),
+                uuid_of("job_id").alias("jobId"),
                 F.when(k == 1, "DANCED").otherwise(F.col("action")).alias("action"),
                 F.when(k != 2, F.col("job_name")).alias("jobName"),
                 F.when(k == 4, "blue").alias("colour"),

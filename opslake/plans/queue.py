@@ -116,6 +116,26 @@ def _(t):
     return queueops.retry_schedule(items, "created_at", "attempt_count")
 
 
+@query(
+    "dead_letter_records",
+    """
+SELECT sha256(concat(CAST(id AS string), ':', CAST(attempt_count AS string))) AS id, CAST(id AS string) AS original_id, tenant_id,
+       'jobs' AS queue_name, job_type, concat('{"id":', CAST(id AS string), '}') AS payload, 'handler failed' AS error_message,
+       attempt_count AS retry_count, TIMESTAMP '1999-01-01 00:00:00' AS failed_at
+FROM v_job_queue WHERE status IN ('FAILED', 'CANCELLED') AND attempt_count >= 3""",
+)
+def _(t):
+    from opslake.streaming.events import dead_letter_records, failure_route
+
+    failed = t.job_queue.filter("status in ('FAILED', 'CANCELLED')").withColumns(
+        {"payload": F.to_json(F.struct("id")), "error": F.lit("handler failed"), "route": failure_route(F.col("attempt_count"))}
+    )
+    return dead_letter_records(
+        failed.filter("route = 'dead-letter'"), "id", "tenant_id", "jobs", "job_type", "payload", "error", "attempt_count",
+        F.lit(QUEUE_AS_OF).cast("timestamp_ntz"),
+    )
+
+
 @query(
     "dead_letter_split",
     """

@@ -52,6 +52,27 @@ CONTRACTS = {
 }
 
 
+# Formats of text fields and which fields have them; least values of whole-number fields.
+FORMATS = {
+    "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z",
+    "date-time": r"(?i)^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])t([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)"
+    r"(\.[0-9]+)?(z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z",
+}
+FIELD_FORMATS = {
+    "eventId": "uuid",
+    "jobId": "uuid",
+    "executionId": "uuid",
+    "alertId": "uuid",
+    "ruleId": "uuid",
+    "notificationId": "uuid",
+    "queuedJobId": "uuid",
+    "timestamp": "date-time",
+    "executionStartTime": "date-time",
+    "executionEndTime": "date-time",
+}
+WHOLE_NUMBERS = {"exitCode": None, "priority": 0, "attemptNumber": 1}
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 

@@ -29,8 +29,11 @@ def events_of_type(decoded: DataFrame, event_type: str) -> DataFrame:
     )
 
 
+MAX_ATTEMPTS = 3
+
+
 def dead_letters(decoded: DataFrame, value: str = "value") -> DataFrame:
-    """Undecodable records with the reason, as stored in the dead-letter output."""
+    """Undecodable records with the reason; ``dead_letter_records`` makes the stored form of any failed record."""
     reason = (
         F.when(F.col(f"event.{_CORRUPT}").isNotNull() | F.col("event").isNull(), "not valid JSON")
         .when(F.col("event.eventId").isNull(), "missing eventId")
@@ -39,6 +42,28 @@ def dead_letters(decoded: DataFrame, value: str = "value") -> DataFrame:
     return decoded.filter(~F.col("valid")).select(F.col(value).alias("value"), reason.alias("error_message"))
 
 
+def failure_route(attempts: Column) -> Column:
+    """Where a record goes whose handling failed: tried again until the third try, then the dead letters."""
+    return F.when(attempts >= MAX_ATTEMPTS, "dead-letter").otherwise("retry")
+
+
+def dead_letter_records(
+    failed: DataFrame, original_id: str, tenant: str, queue: str, job_type: str, payload: str, error: str, attempts: str, failed_at: Column
+) -> DataFrame:
+    """Failed records as they are stored for good; the id follows from the original id and the number of tries."""
+    return failed.select(
+        F.sha2(F.concat_ws(":", F.col(original_id).cast("string"), F.col(attempts).cast("string")), 256).alias("id"),
+        F.col(original_id).cast("string").alias("original_id"),
+        F.col(tenant).alias("tenant_id"),
+        F.lit(queue).alias("queue_name"),
+        F.col(job_type).alias("job_type"),
+        F.col(payload).alias("payload"),
+        F.col(error).alias("error_message"),
+        F.col(attempts).cast("int").alias("retry_count"),
+        failed_at.alias("failed_at"),
+    )
+
+
 def decode_logs(raw: DataFrame, received_at: Column, value: str = "value") -> DataFrame:
     """Log entries from JSON texts, with the id and time filled where the sender left them out."""
     entry = F.from_json(F.col(value).cast("string"), schemas.LOG_ENTRY)

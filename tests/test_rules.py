@@ -411,12 +411,14 @@ def test_row_rules_split_and_extend(spark):
 
 @pytest.mark.parametrize(
     "payload, violations",
-    [('{"eventId":"1","eventType":"QUEUE","timestamp":"t","source":"job-queue-service","tenantId":"a","queuedJobId":"q","action":"ENQUEUED","jobType":"x","priority":10}', []),
-     ('{"eventId":"1","eventType":"QUEUE","timestamp":"t","source":"job-queue-service","tenantId":"a","queuedJobId":"q","action":"NO","jobType":"x","priority":11,"attemptNumber":0}',
+    [('{"eventId":"550e8400-e29b-41d4-a716-446655440000","eventType":"QUEUE","timestamp":"2026-01-15T10:30:00Z","source":"job-queue-service","tenantId":"a","queuedJobId":"550e8400-e29b-41d4-a716-446655440000","action":"ENQUEUED","jobType":"x","priority":10}', []),
+     ('{"eventId":"550e8400-e29b-41d4-a716-446655440000","eventType":"QUEUE","timestamp":"2026-01-15T10:30:00Z","source":"job-queue-service","tenantId":"a","queuedJobId":"550e8400-e29b-41d4-a716-446655440000","action":"NO","jobType":"x","priority":11,"attemptNumber":0}',
       ["bad action", "bad attemptNumber", "bad priority"]),
-     ('{"eventId":"1","eventType":"ALERT","timestamp":"t","source":"alerting-service","tenantId":"a","alertId":"b","ruleId":"c","action":"RESOLVED","severity":"INFO","alertName":"n","context":{"a":"b"},"extra":1}', ["unknown extra"]),
-     ('{"eventId":"1","eventType":"NOTIFICATION","timestamp":"t","source":"x","tenantId":"a","notificationId":"n","action":"SENT","channel":"FAX"}',
+     ('{"eventId":"550e8400-e29b-41d4-a716-446655440000","eventType":"ALERT","timestamp":"2026-01-15T10:30:00Z","source":"alerting-service","tenantId":"a","alertId":"550e8400-e29b-41d4-a716-446655440000","ruleId":"550e8400-e29b-41d4-a716-446655440000","action":"RESOLVED","severity":"INFO","alertName":"n","context":{"a":"b"},"extra":1}', ["unknown extra"]),
+     ('{"eventId":"550e8400-e29b-41d4-a716-446655440000","eventType":"NOTIFICATION","timestamp":"2026-01-15T10:30:00Z","source":"x","tenantId":"a","notificationId":"550e8400-e29b-41d4-a716-446655440000","action":"SENT","channel":"FAX"}',
       ["bad channel", "missing recipient", "source"]),
+     ('{"eventId":"1","eventType":"JOB","timestamp":"not a time","source":"job-monitoring-service","tenantId":"a","jobId":"7","action":"FAILED","jobName":"j","exitCode":"oops","executionEndTime":"2026-13-01T00:00:00Z"}',
+      ["bad eventId", "bad executionEndTime", "bad exitCode", "bad jobId", "bad timestamp"]),
      ('{"eventType":"JOB"}', ["missing action", "missing eventId", "missing jobId", "missing jobName", "missing source", "missing tenantId", "missing timestamp"]),
      ("[1", ["eventType", "missing eventId", "missing source", "missing tenantId", "missing timestamp", "not a JSON object"])],
 )
