@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslake.functions.skew import Running, scan
 from opslake.operators import metrics
 from opslake.plans.registry import query
 
@@ -77,9 +80,7 @@ FROM (SELECT CONCAT('job', CAST(user_id % 3 AS string)) AS job, ts, event_id, va
 JOIN (SELECT * FROM (VALUES (1.0), (5.0), (10.0), (25.0), (50.0), (100.0), (1e300)) AS l(le)) l ON e.seen <= l.le"""
 
 
-@query(
-    "response_p95_by_hour",
-    f"""
+P95_SQL = f"""
 WITH c AS (SELECT job, le, ts, max(value) AS value FROM ({BUCKETS_SQL}) GROUP BY ALL),
 i AS (SELECT job, le, ts, value - lag(value) OVER (PARTITION BY job, le ORDER BY ts) AS increase FROM c),
 b AS (SELECT job, le, make_timestamp({STEP_SQL.format(step=3600)} * 3600000000) AS "at", sum(increase) / 3600.0 AS cnt
@@ -88,9 +89,10 @@ w AS (SELECT *, max(cnt) OVER (PARTITION BY job, "at") AS total,
              coalesce(lag(cnt) OVER (PARTITION BY job, "at" ORDER BY le), 0) AS below,
              coalesce(lag(le) OVER (PARTITION BY job, "at" ORDER BY le), 0.0) AS low FROM b)
 SELECT job, "at", min(CASE WHEN le > 1e200 THEN low ELSE low + (le - low) * (0.95::double * total - below) / (cnt - below) END) AS quantile
-FROM w WHERE cnt >= 0.95::double * total AND below < 0.95::double * total GROUP BY ALL""",
-)
-def _(t):
+FROM w WHERE cnt >= 0.95::double * total AND below < 0.95::double * total GROUP BY ALL"""
+
+
+def response_p95(t):
     job = F.concat(F.lit("job"), (F.col("user_id") % 3).cast("string")).alias("job")
     bounds = F.array(*(F.lit(b) for b in [*BOUNDS, float("inf")]))
     seen = t.base("events").select(job, "ts", "event_id", F.explode(F.filter(bounds, lambda b: F.col("value") <= b)).alias("le"))
@@ -100,6 +102,11 @@ def _(t):
     return metrics.rate_quantile(scraped, ["job"], ["job"], 0.95, 3600)
 
 
+@query("response_p95_by_hour", P95_SQL)
+def _(t):
+    return response_p95(t)
+
+
 LATEST_GAUGE = """
 SELECT metric, job, instance, arg_max(value, ts) AS value FROM v_gauge_samples GROUP BY ALL"""
 
@@ -163,11 +170,13 @@ def _(t):
     return metrics.sustained_breaches(heap, ["job"], F.col("value") > 5 * 1048576, 3600)
 
 
-@query(
-    "metric_alerts",
-    f"""
+ALERTS_WITH = f"""
 WITH r AS (SELECT job, status = 'error' AS failed, make_timestamp({STEP_SQL.format(step=900)} * 900000000) AS "at", sum(increase) / 900.0 AS rate
            FROM ({INCREASE_SQL}) GROUP BY ALL),
+total AS (SELECT job, "at", sum(rate) AS rate FROM r GROUP BY ALL),
+moves AS (SELECT concat('tenant', tenant_id) AS job, ts, sum(CASE metric WHEN 'enqueued' THEN 1 ELSE -1 END) AS change
+          FROM v_queue_counters GROUP BY ALL),
+p95 AS ({P95_SQL}),
 v AS (
   SELECT 'ServiceDown' AS alertname, job, instance, ts, value, value = 0 AS bad, 60 AS hold, 'critical' AS severity
   FROM v_gauge_samples WHERE metric = 'up'
@@ -177,32 +186,67 @@ v AS (
     FROM v_gauge_samples WHERE metric IN ('heap_used', 'heap_max') GROUP BY ALL)
   UNION ALL
   SELECT 'HighErrorRate', job, '', "at", ratio, ratio > 0.05, 120, 'warning' FROM (
-    SELECT job, "at", coalesce(sum(rate) FILTER (WHERE failed), 0.0) / nullif(sum(rate), 0) AS ratio FROM r GROUP BY ALL)),
+    SELECT job, "at", coalesce(sum(rate) FILTER (WHERE failed), 0.0) / nullif(sum(rate), 0) AS ratio FROM r GROUP BY ALL)
+  UNION ALL SELECT 'HighGCPause', job, '', "at", rate / 4, rate / 4 > 0.5, 180, 'warning' FROM total
+  UNION ALL SELECT 'HighAlertRate', job, '', "at", rate * 4, rate * 4 > 10, 300, 'info' FROM total
+  UNION ALL SELECT 'QueueBacklog', job, '', ts, backlog, backlog > 100, 300, 'warning'
+    FROM (SELECT job, ts, sum(change) OVER (PARTITION BY job ORDER BY ts) AS backlog FROM moves)
+  UNION ALL SELECT 'SlowIngestion', job, '', "at", quantile, quantile > 2, 180, 'warning' FROM p95),
 p AS (SELECT alertname, job, instance, ts, hold, severity, max(coalesce(bad, false)) AS bad FROM v GROUP BY ALL),
-g AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY alertname, job, instance ORDER BY ts) AS island FROM p)
-SELECT alertname, job, instance, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS samples, severity
-FROM g WHERE bad GROUP BY alertname, job, instance, island, severity, hold
-HAVING max(ts) >= min(ts) + hold * INTERVAL '1' SECOND""",
-)
-def _(t):
+g AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY alertname, job, instance ORDER BY ts) AS island FROM p),
+held AS (SELECT alertname, job, instance, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS samples, severity
+         FROM g WHERE bad GROUP BY alertname, job, instance, island, severity, hold
+         HAVING max(ts) >= min(ts) + hold * INTERVAL '1' SECOND)"""
+
+
+def held_alerts(t):
+    """All seven metric alerts over the samples they look at."""
+
+    def values(df, alert, value, ts="at", instance=None):
+        label = F.lit("").alias("instance") if instance is None else F.col(instance).alias("instance")
+        return df.select(F.lit(alert).alias("alertname"), "job", label, F.col(ts).alias("ts"), value.cast("double").alias("value"))
+
     gauges = t.gauge_samples
-    down = gauges.filter("metric = 'up'").select(F.lit("ServiceDown").alias("alertname"), "job", "instance", "ts", "value")
     heap = gauges.filter("metric in ('heap_used', 'heap_max')").groupBy("job", "instance", "ts").agg(
         F.max(F.when(F.col("metric") == "heap_used", F.col("value"))).alias("used"),
         F.max(F.when(F.col("metric") == "heap_max", F.col("value"))).alias("top"),
     )
-    memory = heap.select(
-        F.lit("HighMemoryUsage").alias("alertname"), "job", "instance", "ts", F.try_divide("used", "top").alias("value")
-    )
     errors = metrics.error_ratio(t.metric_samples, SERIES, ["job"], F.col("status") == "error", range_seconds=900)
-    failing = errors.select(
-        F.lit("HighErrorRate").alias("alertname"),
-        "job",
-        F.lit("").alias("instance"),
-        F.col("at").alias("ts"),
-        F.col("ratio").alias("value"),
+    total = metrics.metric_rate(t.metric_samples, SERIES, ["job"], 900, 900)
+    moves = t.queue_counters.groupBy(F.concat(F.lit("tenant"), "tenant_id").alias("job"), "ts").agg(
+        F.sum(F.when(F.col("metric") == "enqueued", 1).otherwise(-1)).alias("change")
     )
-    return metrics.metric_alerts(down.unionByName(memory).unionByName(failing), ["job", "instance"])
+    backlog = scan(moves, ["job"], ["ts"], backlog=Running("sum", F.col("change")))
+    fed = [
+        values(gauges.filter("metric = 'up'"), "ServiceDown", F.col("value"), "ts", "instance"),
+        values(heap, "HighMemoryUsage", F.try_divide("used", "top"), "ts", "instance"),
+        values(errors, "HighErrorRate", F.col("ratio")),
+        values(total, "HighGCPause", F.col("rate") / 4),
+        values(total, "HighAlertRate", F.col("rate") * 4),
+        values(backlog, "QueueBacklog", F.col("backlog"), "ts"),
+        values(response_p95(t), "SlowIngestion", F.col("quantile")),
+    ]
+    return metrics.metric_alerts(reduce(DataFrame.unionByName, fed), ["job", "instance"])
+
+
+@query("metric_alerts", f"{ALERTS_WITH} SELECT * FROM held")
+def _(t):
+    return held_alerts(t)
+
+
+@query(
+    "metric_alert_groups",
+    f"""{ALERTS_WITH},
+a AS (SELECT alertname, job AS service, started_at, instance, ended_at,
+        lag(started_at) OVER (PARTITION BY alertname, job ORDER BY started_at, instance, ended_at) AS prev FROM held),
+n AS (SELECT *, sum(CASE WHEN prev IS NULL OR started_at >= prev + INTERVAL '1 hour' THEN 1 ELSE 0 END)
+             OVER (PARTITION BY alertname, service ORDER BY started_at, instance, ended_at) AS grp FROM a)
+SELECT alertname, service, min(started_at) AS started_at, max(started_at) AS ended_at, count(*) AS alerts
+FROM n GROUP BY alertname, service, grp""",
+)
+def _(t):
+    alerts = held_alerts(t).withColumnRenamed("job", "service")
+    return metrics.alert_groups(alerts, ["alertname", "service"], "started_at", "instance", 3600)
 
 
 @query(
