@@ -38,7 +38,7 @@ BANDS = 24
 BAND_COORDINATES = 6
 COORDINATES = BANDS * BAND_COORDINATES
 #: Members of a bucket that a task compares with as many others at once.
-BLOCK = 32
+BLOCK = 256
 #: Bits that mark the documents in buckets, whatever their number.
 BITMAP_BITS = 25
 #: Leaders of one bucket differ from band to band by these orders of ids.
