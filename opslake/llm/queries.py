@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, html_text, language, neardup, pii, quality, secret_scan, spans, toxicity, vectors
+from opslake.llm import bpe, decontaminate, html_text, language, neardup, oracles, pii, quality, secret_scan, spans, toxicity, vectors
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
