@@ -174,12 +174,14 @@ def log_batch_writer(path: str, patterns: list[dict]) -> Callable[[DataFrame, in
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with _read_once(batch) as rows:
+            # Tenant and day come first, so a reader prunes before it lists batches; a batch replaces only its own part.
             (
-                rows.withColumn("log_date", F.to_date("ts"))
+                rows.withColumns({"log_date": F.to_date("ts"), "batch_id": F.lit(batch_id)})
                 .hint("rebalance", "tenant_id", "log_date")
                 .write.mode("overwrite")
-                .partitionBy("tenant_id", "log_date")
-                .parquet(f"{path}/logs/batch_id={batch_id}")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("tenant_id", "log_date", "batch_id")
+                .parquet(f"{path}/logs")
             )
             _replace(log_ops.pattern_hits(rows, patterns), f"{path}/hits", batch_id)
 

@@ -1,5 +1,6 @@
 """Streams over files against the batch operators on the same rows."""
 
+import re
 import time
 
 import pytest
@@ -146,6 +147,18 @@ def test_log_batches(spark, t):
     assert same_rows(logs.pattern_hits(rows, PATTERNS), hits)
 
 
+def test_a_replayed_batch_replaces_itself(spark, t):
+    out = scratch_path(spark, "replayed")
+    write, rows = jobs.log_batch_writer(out, PATTERNS), t.logs
+    for batch_id in (0, 0, 1):
+        write(rows, batch_id)
+    stored = spark.read.parquet(f"{out}/logs")
+    assert stored.count() == 2 * rows.count()
+    one = stored.filter("tenant_id = 't1' and batch_id = 0")
+    assert one.count() == rows.filter("tenant_id = 't1'").count() > 0
+    assert all(re.search("/tenant_id=[^/]+/log_date=[^/]+/batch_id=[01]/", f) for f in stored.inputFiles())
+
+
 def test_dead_letters_are_kept_with_a_reason(spark):
     path = scratch_path(spark, "raw")
     texts = [
