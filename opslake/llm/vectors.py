@@ -26,8 +26,9 @@ from opslake.llm.batches import map_slices, modest_sample, share
 from opslake.llm.graph import components
 
 COSINE = 0.98
-#: About so many vectors fit the centroids.
+#: About so many vectors fit the centroids, fewer where they are so long that these would not fit the bytes.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 64 << 20
 #: Vectors of one label that a cell should hold, and centroids at most: what is broadcast stays under 8 MB.
 CELL_ROWS = 256
 CENTROID_BYTES = 8 << 20
@@ -173,7 +174,8 @@ def near_duplicates(
     leads = units.join(members.where("vec_id = rep"), "vec_id").select("vec_id", "label", "dims", "copies", "unit")
 
     largest = {r.dims: r.n for r in units.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("n")).collect()}
-    sample = modest_sample(units.select("vec_id", "dims", "unit"), "vec_id", SAMPLE_ROWS).limit(4 * SAMPLE_ROWS).collect()
+    wanted = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(largest, default=1)))
+    sample = modest_sample(units.select("vec_id", "dims", "unit"), "vec_id", wanted).limit(2 * wanted).collect()
     sample.sort(key=lambda r: r.vec_id)
     centroids: dict[int, np.ndarray] = {}
     for dims, most in largest.items():
