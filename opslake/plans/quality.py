@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opslake import schemas
 from opslake.functions.scratch import scratch_path
 from opslake.operators import evaluators, quality, tables
+from opslake.plans.alerts import COOLDOWN_WITH, fired
 from opslake.plans.jobs import EXECUTION_EVENTS_SQL, FEED_SQL, job_events
 from opslake.plans.registry import query
 from opslake.sources import archive
@@ -245,6 +246,37 @@ def _(t):
     )
 
 
+def _fields(messages, **names):
+    return messages.select("key", *(F.get_json_object("value", f"$.{path}").alias(name) for name, path in names.items()))
+
+
+@query(
+    "publish_alerts",
+    f"""{COOLDOWN_WITH}
+SELECT tenant_id AS key, 'ALERT' AS event_type, concat('alerts-', CAST(rule_id AS string), '-', event_id) AS event_id, status AS action,
+       severity, rule_name AS alert_name, message AS description, string_split(channels_csv, ',')[1] AS first_channel
+FROM alerts""",
+)
+def _(t):
+    return _fields(
+        events.alert_event_messages(fired(t)), event_type="eventType", event_id="eventId", action="action", severity="severity",
+        alert_name="alertName", description="description", first_channel="channels[0]",
+    )
+
+
+@query(
+    "publish_queue",
+    """
+SELECT tenant_id AS key, concat('queue-', CAST(id AS string), '-', action, '-', CAST(attempt_count AS string)) AS event_id, action,
+       job_type, CAST(priority AS string) AS priority, assigned_worker AS worker
+FROM (SELECT *, CASE status WHEN 'PENDING' THEN 'ENQUEUED' ELSE status END AS action FROM v_job_queue)""",
+)
+def _(t):
+    return _fields(
+        events.queue_event_messages(t.job_queue), event_id="eventId", action="action", job_type="jobType", priority="priority", worker="workerNodeId"
+    )
+
+
 @query(
     "decode_events",
     f"""

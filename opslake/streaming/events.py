@@ -120,6 +120,59 @@ def job_event_messages(events: DataFrame) -> DataFrame:
     )
 
 
+def alert_event_messages(alerts: DataFrame) -> DataFrame:
+    """Alerts as keyed messages; rule and event make the id, so a repeated run names the same alert."""
+    alert_id = F.concat_ws("-", F.col("rule_id").cast("string"), F.col("event_id"))
+    return alerts.select(
+        F.col("tenant_id").alias("key"),
+        envelope(
+            "ALERT",
+            F.concat(F.lit("alerts-"), alert_id),
+            F.col("triggered_at").cast("timestamp"),
+            F.col("tenant_id"),
+            alertId=alert_id,
+            ruleId=F.col("rule_id").cast("string"),
+            action=F.col("status"),
+            severity=F.col("severity"),
+            alertName=F.col("rule_name"),
+            description=F.col("message"),
+            channels=F.split("channels_csv", ","),
+        ).alias("value"),
+    )
+
+
+# What a queue item's state is called in events.
+QUEUE_EVENT_ACTIONS = {
+    "PENDING": "ENQUEUED",
+    "PROCESSING": "PROCESSING",
+    "COMPLETED": "COMPLETED",
+    "FAILED": "FAILED",
+    "DEAD_LETTER": "FAILED",
+    "CANCELLED": "CANCELLED",
+}
+
+
+def queue_event_messages(items: DataFrame) -> DataFrame:
+    """Queue items as keyed messages of their present state, one id for each item, state and try."""
+    table = F.create_map(*(F.lit(x) for pair in QUEUE_EVENT_ACTIONS.items() for x in pair))
+    action = F.element_at(table, F.col("status"))
+    return items.select(
+        F.col("tenant_id").alias("key"),
+        envelope(
+            "QUEUE",
+            F.concat_ws("-", F.lit("queue"), F.col("id").cast("string"), action, F.col("attempt_count").cast("string")),
+            F.col("created_at").cast("timestamp"),
+            F.col("tenant_id"),
+            queuedJobId=F.col("id").cast("string"),
+            action=action,
+            jobType=F.col("job_type"),
+            priority=F.col("priority"),
+            attemptNumber=F.col("attempt_count"),
+            workerNodeId=F.col("assigned_worker"),
+        ).alias("value"),
+    )
+
+
 def read_event_stream(
     spark: SparkSession, source: str, files_per_trigger: int | None = None, topic: str | None = None
 ) -> DataFrame:

@@ -24,7 +24,7 @@ def t(spark):
 
 
 # The two sequential rules.
-PYTHON = {"cooldown_alerts", "alert_feed", "alert_fanout", "alert_repeats", "rate_limit_accepted"}
+PYTHON = {"cooldown_alerts", "alert_feed", "alert_fanout", "alert_repeats", "publish_alerts", "rate_limit_accepted"}
 QUERIES = registry.all_queries()
 
 
