@@ -154,8 +154,14 @@ def blocks_of(page: str) -> list[Block]:
                 break
             at = page.find(">", end.start()) + 1 or size
             continue
-        if name in BLOCK and stack and stack[-1][0] == "p":
-            close(len(stack) - 1)  # a block ends an open paragraph
+        if name == "body":  # ends a head that was left open
+            close(next((i for i, (open_name, _) in enumerate(stack) if open_name == "head"), len(stack)))
+        elif name in BLOCK:  # a block ends an open paragraph, with what is open inside it
+            above = len(stack) - 1
+            while above >= 0 and stack[above][0] not in BLOCK:
+                above -= 1
+            if above >= 0 and stack[above][0] == "p":
+                close(above)
         out = name in UNSEEN or name in ASIDE or (name == "header" and not count["main"])
         if not out and name not in ("html", "body", *MAIN):
             out = _marked(attributes)

@@ -25,6 +25,12 @@ def test_two_passes_without_an_article():
     assert html_text.main_text("<p>Short only</p>") == ""
 
 
+def test_what_is_left_open_ends_where_the_next_part_begins():
+    good = "This is the text of a page that has a lot to say about all of the things in it."
+    page = f"<html><head><title>T</title><body><p class=notice><b>We use cookies on it<p>{good}<p>{good}</html>"
+    assert html_text.main_text(page) == f"{good}\n\n{good}"
+
+
 def test_broken_and_long_pages():
     for page in ("", "<", "<p", "a < b", "<!-- x", "<script>x", "<p a='", "</p></p>", "<" * 50_000, "<p>" * 50_000, "<a '" * 5_000, "&" * 50_000):
         html_text.main_text(page)
