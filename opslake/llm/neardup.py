@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -217,30 +216,42 @@ def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     tasks = spread.select(
         "key", "doc_id", "far", "part", "other", mine.alias("mine"), F.explode(F.when(other, F.concat(among, across)).otherwise(back)).alias("task")
     )
-    rows = tasks.join(docs, "doc_id").select("key", "task.a", "task.b", "mine", "doc_id", "far", "part", "other", "text")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id").drop_duplicates("doc_id")
-        a, b = int(frame.a.iloc[0]), int(frame.b.iloc[0])
-        ids, far, part = frame.doc_id.to_numpy(), frame.far.to_numpy(), frame.part.to_numpy().copy()
-        other, block = frame.other.to_numpy(), frame.mine.to_numpy()
-        left = np.flatnonzero(other & (block == a))
-        right = np.flatnonzero(~other) if b < 0 else np.flatnonzero(other & (block == b))
-        memory, cells, links = WordHashes(), {}, []
-
-        def of(i: int) -> np.ndarray:
-            if i not in cells:
-                cells[i] = cells_of(frame.text.iloc[i] or "", memory)
-            return cells[i]
+    seated = tasks.join(docs, "doc_id").select("key", "task.a", "task.b", "mine", "doc_id", "far", "part", "other", "text")
+
+    held = share(docs.sparkSession, [])
+
+    def compare(group: pa.Table) -> pa.Table:
+        if not held.value:
+            held.value.append(WordHashes())
+        memory = held.value[0]
+        rows = {r["doc_id"]: r for r in group.to_pylist()}  # a row for each document
+        ids = sorted(rows)
+        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        part = np.array([rows[i]["part"] for i in ids])
+        left = [k for k, i in enumerate(ids) if rows[i]["other"] and rows[i]["mine"] == a]
+        if b < 0:
+            right = [k for k, i in enumerate(ids) if not rows[i]["other"]]
+        else:
+            right = [k for k, i in enumerate(ids) if rows[i]["other"] and rows[i]["mine"] == b]
+        cells: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
+
+        def of(k: int) -> np.ndarray:
+            if k not in cells:
+                cells[k] = cells_of(rows[ids[k]]["text"] or "", memory)
+            return cells[k]
 
         for i in left:
             for j in right:
-                if part[i] != part[j] and (far[i] or far[j]) and similarity(of(i), of(j)) >= SIMILARITY:
+                if part[i] == part[j] or not (rows[ids[i]]["far"] or rows[ids[j]]["far"]):
+                    continue
+                if similarity(of(i), of(j)) >= SIMILARITY:
                     links.append((ids[i], ids[j]))
                     part[part == part[j]] = part[i]
-        return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+        ends = [pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)]
+        return pa.table(ends, names=["src", "dst"])
 
-    return rows.groupBy("key", "a", "b").applyInPandas(compare, "src bigint, dst bigint")
+    return seated.groupBy("key", "a", "b").applyInArrow(compare, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
