@@ -268,9 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = one_text_per_id(docs, id_col, text_col)
     signed = materialize(signatures(base), "signatures")
 
-    # Equal word sequences: one representative goes on.
-    same = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    represented = signed.join(same, ["h1", "h2"])
+    # Equal word sequences: one representative goes on.  Only groups of several are stored, so that the
+    # join can split a group that holds a large share of all rows.
+    same = materialize(
+        signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies"
+    )
+    represented = signed.join(same, ["h1", "h2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     members = represented.select("doc_id", "rep")
 
     bands = represented.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
