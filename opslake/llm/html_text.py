@@ -6,14 +6,17 @@ The first pass decides blocks by the density of stop words, their length and
 their share of link text; short or middling blocks stay open.  In the second
 pass an open block takes the label of the nearest decided neighbour.
 
-Where a page marks its article, only blocks inside it are candidates, and
-nothing but the marking decides against them.
+Both passes take all blocks.  Where a page marks its article, the mark speaks
+for what the rules leave open inside it, and few stop words say nothing against
+a block there; link text does.  A mark that holds less text than the rules find
+outside of all marks marks something else, such as teasers, and is passed over.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +41,11 @@ MARKS = frozenset(
     "pagination popup promo promotion recommended related reply replies respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget contentinfo complementary".split()
 )
+# Parts of such names that say nothing about the content.
+FILLING = frozenset(
+    "area article articles block body bottom box card container content div inner item items left link links list outer post "
+    "posts right section site slot stories story thread top unit user wrap wrapper".split()
+)
 NOT_MARKING = frozenset("has with no without".split())
 # Frequent words of the languages that pages come in.
 STOP_WORDS = frozenset(
@@ -53,6 +61,8 @@ STOP_WORDS = frozenset(
 
 SHORT_CHARS = 70
 LINKS = 0.5
+#: So many blocks of link text in a row are a list of links, also in an article.
+LINK_ROW = 3
 STOPS_HIGH, STOPS_LOW = 0.3, 0.1
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -64,15 +74,16 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, whole: bool = False) -> bool:
+    """``whole``: every part of a name has to be a mark or to say nothing."""
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
     if HIDDEN.search(attributes):
         return True
     for values in NAMED.findall(attributes):
         for name in " ".join(values).lower().split():
-            parts = re.split(r"[^a-z0-9]+", name)
-            if not NOT_MARKING.intersection(parts) and MARKS.intersection(parts):
+            parts = {p for p in re.split(r"[^a-z]+", name) if p} if whole else set(re.split(r"[^a-z0-9]+", name))
+            if not parts & NOT_MARKING and parts & MARKS and not (whole and parts - MARKS - FILLING):
                 return True
     return False
 
@@ -85,14 +96,18 @@ class Block:
     def __init__(self, text: str, linked: int, inside: bool):
         self.text, self.linked, self.inside, self.label = text, linked, inside, OPEN
 
+    def is_linked(self) -> bool:
+        return self.linked > LINKS * len(self.text)
+
     def decide(self) -> None:
+        """By the rules alone."""
         words = LETTERS.findall(self.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if self.linked > LINKS * len(self.text):
-            self.label = OPEN if self.inside else BAD
+        if self.is_linked():
+            self.label = BAD
         elif len(self.text) < SHORT_CHARS:
             self.label = OPEN
-        elif stops >= STOPS_HIGH or self.inside:
+        elif stops >= STOPS_HIGH:
             self.label = GOOD
         elif stops < STOPS_LOW:
             self.label = BAD
@@ -163,8 +178,8 @@ def blocks_of(page: str) -> list[Block]:
             if above >= 0 and stack[above][0] == "p":
                 close(above)
         out = name in UNSEEN or name in ASIDE or (name == "header" and not count["main"])
-        if not out and name not in ("html", "body", *MAIN):
-            out = _marked(attributes)
+        if not out and name not in ("html", "body", "main"):
+            out = _marked(attributes, name == "article")
         stack.append((name, out))
         count["out"] += out
         count["a"] += name == "a"
@@ -173,12 +188,27 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def _heed_marks(blocks: list[Block]) -> None:
+    """What the marks of articles change about the labels of the first pass."""
+    marked = sum(len(b.text) for b in blocks if b.inside and not b.is_linked())
+    if marked < sum(len(b.text) for b in blocks if not b.inside and b.label == GOOD):
+        for block in blocks:
+            block.inside = False
+        return
+    for linked, row in groupby(blocks, lambda b: b.inside and b.is_linked()):
+        row = list(row)
+        for block in row:
+            if linked:
+                block.label = OPEN if len(row) < LINK_ROW and len(block.text) < SHORT_CHARS else BAD
+            elif block.inside and len(block.text) >= SHORT_CHARS:
+                block.label = GOOD
+
+
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
     for block in blocks:
         block.decide()
+    _heed_marks(blocks)
     decided = [i for i, b in enumerate(blocks) if b.label != OPEN]
     first = [b.label for b in blocks]
     after = 0

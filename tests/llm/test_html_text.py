@@ -25,6 +25,27 @@ def test_two_passes_without_an_article():
     assert html_text.main_text("<p>Short only</p>") == ""
 
 
+def test_articles_beside_an_unmarked_body():
+    body = "This is the text of a page that has a lot to say about all of the things in it, and it goes on with more of them."
+    text = "\n\n".join([body] * 3)
+    plain = f"<div>{body}</div>" * 3
+    teaser = "<article><h3><a href='/x'>Grand Opening Harbour Museum Tuesday Evening</a></h3><p><a href='/x'>Read more</a></p></article>"
+    listing = "<article><p>Harbour Museum, Grand Opening, Tuesday Evening, Tickets, Exhibition, Guided Tours, Cafe</p></article>"
+    assert html_text.main_text(teaser * 4 + plain) == text
+    assert html_text.main_text(plain + listing * 2) == text
+    for name in ("comment", "comment-body", "div-comment-7 comment", "related-posts"):
+        assert html_text.main_text(f"{plain}<article class='{name}'><p>I am a reader and {body}</p></article>") == text
+    assert html_text.main_text(f"<article class='social-life-post'>{plain}</article>") == text
+
+
+def test_rows_of_links_inside_an_article():
+    body = "This is the text of a page that has a lot to say about all of the things in it."
+    links = "".join(f"<li><a href='/{i}'>Story {i}</a></li>" for i in range(4))
+    assert html_text.main_text(f"<article><p>{body}</p><ul>{links}</ul><p>{body}</p></article>") == f"{body}\n\n{body}"
+    long = "<p><a href='/'>Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Lambda Omega Sigma Omicron</a></p>"
+    assert html_text.main_text(f"<article><p>{body}</p>{long}<p>{body}</p></article>") == f"{body}\n\n{body}"
+
+
 def test_what_is_left_open_ends_where_the_next_part_begins():
     good = "This is the text of a page that has a lot to say about all of the things in it."
     page = f"<html><head><title>T</title><body><p class=notice><b>We use cookies on it<p>{good}<p>{good}</html>"
