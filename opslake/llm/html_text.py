@@ -4,7 +4,8 @@ A scanner cuts a page into blocks of text and leaves out what markup itself
 calls something else: scripts, forms, menus, notices, comments and the like.
 The first pass decides blocks by the density of stop words, their length and
 their share of link text; short or middling blocks stay open.  In the second
-pass an open block takes the label of the nearest decided neighbour.
+pass an open block takes the label of the nearest decided neighbour.  On a page
+in a language without a stop list, length and link text alone decide.
 
 Both passes take all blocks.  Where a page marks its article, the mark speaks
 for what the rules leave open inside it, and few stop words say nothing against
@@ -64,6 +65,10 @@ LINKS = 0.5
 #: So many blocks of link text in a row are a list of links, also in an article.
 LINK_ROW = 3
 STOPS_HIGH, STOPS_LOW = 0.3, 0.1
+#: From this density over a whole page on, its language has a stop list.
+STOPS_PAGE = 0.2
+#: Letters of other scripts that say as much as one of a dense one.
+DENSE_CHARS = 3
 GOOD, BAD, OPEN = 1, -1, 0
 
 TOKEN = re.compile(
@@ -72,6 +77,9 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*(?:en|de|fr|es)\b", re.I)
+# Scripts whose letters stand for syllables or words, so that a sentence has few of them.
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _marked(attributes: str, whole: bool = False) -> bool:
@@ -91,25 +99,29 @@ def _marked(attributes: str, whole: bool = False) -> bool:
 class Block:
     """A stretch of text between block elements."""
 
-    __slots__ = ("text", "linked", "inside", "label")
+    __slots__ = ("text", "linked", "inside", "label", "words", "stops", "short")
 
     def __init__(self, text: str, linked: int, inside: bool):
         self.text, self.linked, self.inside, self.label = text, linked, inside, OPEN
+        words = LETTERS.findall(text.lower())
+        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
+        self.short = len(text) < SHORT_CHARS and len(text) + (DENSE_CHARS - 1) * len(DENSE.findall(text)) < SHORT_CHARS
 
     def is_linked(self) -> bool:
         return self.linked > LINKS * len(self.text)
 
-    def decide(self) -> None:
-        """By the rules alone."""
-        words = LETTERS.findall(self.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    def density(self) -> float:
+        return self.stops / max(1, self.words)
+
+    def decide(self, listed: bool) -> None:
+        """By the rules alone; ``listed``: the language of the page has a stop list."""
         if self.is_linked():
             self.label = BAD
-        elif len(self.text) < SHORT_CHARS:
+        elif self.short:
             self.label = OPEN
-        elif stops >= STOPS_HIGH:
+        elif not listed or self.density() >= STOPS_HIGH:
             self.label = GOOD
-        elif stops < STOPS_LOW:
+        elif self.density() < STOPS_LOW:
             self.label = BAD
 
 
@@ -188,6 +200,14 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def _has_stop_list(page: str, blocks: list[Block]) -> bool:
+    """Whether stop words can tell text on this page: by their share of it, or by its named language and one block full of them."""
+    plain = [b for b in blocks if not b.is_linked()]
+    if sum(b.stops for b in plain) >= STOPS_PAGE * sum(b.words for b in plain):
+        return True
+    return any(not b.short and b.density() >= STOPS_HIGH for b in plain) and LANG.search(page) is not None
+
+
 def _heed_marks(blocks: list[Block]) -> None:
     """What the marks of articles change about the labels of the first pass."""
     marked = sum(len(b.text) for b in blocks if b.inside and not b.is_linked())
@@ -199,15 +219,16 @@ def _heed_marks(blocks: list[Block]) -> None:
         row = list(row)
         for block in row:
             if linked:
-                block.label = OPEN if len(row) < LINK_ROW and len(block.text) < SHORT_CHARS else BAD
-            elif block.inside and len(block.text) >= SHORT_CHARS:
+                block.label = OPEN if len(row) < LINK_ROW and block.short else BAD
+            elif block.inside and not block.short:
                 block.label = GOOD
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
+    listed = _has_stop_list(page, blocks)
     for block in blocks:
-        block.decide()
+        block.decide(listed)
     _heed_marks(blocks)
     decided = [i for i, b in enumerate(blocks) if b.label != OPEN]
     first = [b.label for b in blocks]

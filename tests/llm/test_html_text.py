@@ -46,6 +46,23 @@ def test_rows_of_links_inside_an_article():
     assert html_text.main_text(f"<article><p>{body}</p>{long}<p>{body}</p></article>") == f"{body}\n\n{body}"
 
 
+def test_languages_without_a_stop_list():
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności oraz swych praw, są obdarzeni rozumem."
+    russian = "Все люди рождаются свободными и равными в своём достоинстве и правах, они наделены разумом и совестью."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler, kardeşçe davranırlar."
+    portuguese = "Todos os seres humanos nascem livres e iguais em dignidade e em direitos, dotados de razão e de consciência."
+    chinese = "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。"
+    english = "This is the text of a page that has a lot to say about all of the things in it."
+    for text in (polish, russian, turkish, portuguese, chinese):
+        menu = "".join(f"<p><a href='/{i}'>{text}</a></p>" for i in range(2))
+        page = f"<body>{menu}<div>{text}</div><div>1. X</div><div>{text}</div>{menu}</body>"
+        assert html_text.main_text(page) == f"{text}\n\n1. X\n\n{text}"
+    quoting = f"<p>{polish}</p>" * 5 + f"<p>{english}</p>"
+    assert html_text.main_text(f"<html lang='pl'><body>{quoting}</body></html>").count(polish) == 5
+    names = "<p>Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Lambda Omega Sigma Omicron Upsilon</p>" * 5
+    assert html_text.main_text(f"<html lang='en'><body><p>{english}</p>{names}</body></html>") == english
+
+
 def test_what_is_left_open_ends_where_the_next_part_begins():
     good = "This is the text of a page that has a lot to say about all of the things in it."
     page = f"<html><head><title>T</title><body><p class=notice><b>We use cookies on it<p>{good}<p>{good}</html>"
