@@ -33,6 +33,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend".split())
+TEXTUAL = frozenset("address blockquote caption dt figcaption option p pre summary".split())
+CONTAINERS = BLOCK - HEADINGS - TEXTUAL
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 # Words in a class, id or role that mark a part as no article text.
@@ -44,8 +47,8 @@ MARKS = frozenset(
 )
 # Parts of such names that say nothing about the content.
 FILLING = frozenset(
-    "area article articles block body bottom box card container content div inner item items left link links list outer post "
-    "posts right section site slot stories story thread top unit user wrap wrapper".split()
+    "area article articles block body bottom box card container content dfp div google gpt inner item items left link links list "
+    "outer post posts right section site slot stories story thread top unit user wrap wrapper".split()
 )
 NOT_MARKING = frozenset("has with no without".split())
 # Frequent words of the languages that pages come in.
@@ -70,11 +73,12 @@ STOPS_PAGE = 0.2
 #: Letters of other scripts that say as much as one of a dense one.
 DENSE_CHARS = 3
 GOOD, BAD, OPEN = 1, -1, 0
+OUT, DOUBTED = 1, 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*(?:en|de|fr|es)\b", re.I)
@@ -82,18 +86,35 @@ LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*(?:en|de|fr|es)\b", re.I)
 DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def _marked(attributes: str, whole: bool = False) -> bool:
-    """``whole``: every part of a name has to be a mark or to say nothing."""
+def _marked(attributes: str, name: str = "div", in_article: bool = False) -> int:
+    """OUT where an element's role, class or id calls it no article text, DOUBTED where part of a name does, or 0.
+
+    Classes and ids say nothing about headings and inline elements, as headings
+    get theirs from their words.  One part of a class is enough for containers
+    outside of articles; elsewhere, and in ids, all parts of a name that say
+    anything have to be marks.
+    """
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
-    for values in NAMED.findall(attributes):
-        for name in " ".join(values).lower().split():
-            parts = {p for p in re.split(r"[^a-z]+", name) if p} if whole else set(re.split(r"[^a-z0-9]+", name))
-            if not parts & NOT_MARKING and parts & MARKS and not (whole and parts - MARKS - FILLING):
-                return True
-    return False
+        return OUT
+    textual = name in TEXTUAL
+    holds = name in CONTAINERS or "-" in name
+    found = 0
+    for kind, *values in NAMED.findall(attributes):
+        kind = kind.lower()
+        for said in " ".join(values).lower().split():
+            parts = {p for p in re.split(r"[^a-z]+", said) if p}
+            if parts & NOT_MARKING or not parts & MARKS:
+                continue
+            if kind == "role":
+                return OUT
+            if not holds and (not textual or in_article or kind == "id"):
+                continue
+            if not parts - MARKS - FILLING or (kind == "class" and holds and name != "article" and not in_article):
+                return OUT
+            found = DOUBTED
+    return found
 
 
 class Block:
@@ -129,15 +150,15 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks outside of parts that markup rules out, in page order."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []  # text and whether it is link text
-    stack: list[tuple[str, bool]] = []  # open elements and whether each rules its content out
-    count = {"out": 0, "a": 0, "main": 0}
+    stack: list[tuple[str, int]] = []  # open elements and whether each rules its content out, or out of the article
+    count = {"out": 0, "doubted": 0, "a": 0, "main": 0}
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(" ".join(t.split())) for t, in_link in parts if in_link)
-                found.append(Block(text, linked, count["main"] > 0))
+                found.append(Block(text, linked, count["main"] > 0 and not count["doubted"]))
             parts.clear()
 
     def say(raw: str) -> None:
@@ -147,7 +168,8 @@ def blocks_of(page: str) -> list[Block]:
     def close(until: int) -> None:
         while len(stack) > until:
             name, out = stack.pop()
-            count["out"] -= out
+            count["out"] -= out == OUT
+            count["doubted"] -= out == DOUBTED
             count["a"] -= name == "a"
             count["main"] -= name in MAIN
 
@@ -189,11 +211,12 @@ def blocks_of(page: str) -> list[Block]:
                 above -= 1
             if above >= 0 and stack[above][0] == "p":
                 close(above)
-        out = name in UNSEEN or name in ASIDE or (name == "header" and not count["main"])
+        out = OUT if name in UNSEEN or name in ASIDE or (name == "header" and not count["main"]) else 0
         if not out and name not in ("html", "body", "main"):
-            out = _marked(attributes, name == "article")
+            out = _marked(attributes, name, count["main"] > 0)
         stack.append((name, out))
-        count["out"] += out
+        count["out"] += out == OUT
+        count["doubted"] += out == DOUBTED
         count["a"] += name == "a"
         count["main"] += name in MAIN
     flush()

@@ -63,6 +63,28 @@ def test_languages_without_a_stop_list():
     assert html_text.main_text(f"<html lang='en'><body><p>{english}</p>{names}</body></html>") == english
 
 
+def test_names_that_hold_a_marking_word_by_chance():
+    body = "This is the text of a page that has a lot to say about all of the things in it."
+    heads = ['<h2 id="related-work">Related work</h2>', '<h2 id="search">Search</h2>', '<h2 class="social">Social</h2>']
+    for head in heads:
+        title = re.sub("<.*?>", "", head)
+        for page in (f"<article><p>{body}</p>{head}<p>{body}</p></article>", f"<div><p>{body}</p>{head}<p>{body}</p></div>"):
+            assert html_text.main_text(page) == f"{body}\n\n{title}\n\n{body}"
+    for part in (
+        f'<section id="social-impact"><h2>Impact</h2><p>{body}</p></section>',
+        f'<div class="related-work"><h2>Impact</h2><p>{body}</p></div>',
+        f'<h2>Impact</h2><p class="notice">{body}</p>',
+        f'<h2>Im<span id="Advertising">pact</span></h2><p>{body}</p>',
+    ):
+        assert html_text.main_text(f"<article><p>{body}</p>{part}</article>") == f"{body}\n\nImpact\n\n{body}"
+    outside = f'<div><p>{body}</p><section id="social-impact"><h2>Impact</h2><p>{body}</p></section></div>'
+    assert html_text.main_text(outside) == f"{body}\n\nImpact\n\n{body}"
+    for name in ('class="related-posts"', 'id="comments"', 'class="share-links"', 'role="search"', 'class="ad-slot-3"'):
+        assert html_text.main_text(f"<article><p>{body}</p><div {name}><p>{body}</p></div></article>") == body
+    names = "<p>Alpha Beta Gamma Delta Epsilon Zeta Theta Kappa Lambda Omega Sigma Omicron Upsilon</p>"
+    assert html_text.main_text(f'<article><p>{body}</p><div class="my-sidebar">{names}</div></article>') == body
+
+
 def test_what_is_left_open_ends_where_the_next_part_begins():
     good = "This is the text of a page that has a lot to say about all of the things in it."
     page = f"<html><head><title>T</title><body><p class=notice><b>We use cookies on it<p>{good}<p>{good}</html>"
