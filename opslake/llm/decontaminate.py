@@ -92,6 +92,18 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[t
         found.append(best)
 
 
+def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different seeds of a row of words, and how many of its words the places of each cover."""
+    runs = windows(words, SEED_WORDS)
+    order = np.argsort(runs, kind="stable")
+    seeds, first = np.unique(runs[order], return_index=True)
+    if not len(seeds):
+        return seeds, np.zeros(0, np.int64)
+    adds = np.minimum(np.diff(order, prepend=0), SEED_WORDS)  # what a place adds to the one before it
+    adds[first] = SEED_WORDS
+    return seeds, np.add.reduceat(adds, first)
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = share(benchmark.sparkSession, [])
 
@@ -100,14 +112,20 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held.value.append(WordHashes())
         hashes, ends = _words(texts(batch, "text"), held.value[0])
         rows = [h.view(np.int64) for h in np.split(hashes, ends)[:-1]]
-        seeds = [np.unique(windows(r.view(np.uint64), SEED_WORDS)).view(np.int64) for r in rows]
+        found = [_seeds(r.view(np.uint64)) for r in rows]
         kind = pa.list_(pa.int64())
         return pa.RecordBatch.from_pydict(
-            {"item_id": batch.column("item_id"), "words": pa.array(rows, kind), "seeds": pa.array(seeds, kind)}
+            {
+                "item_id": batch.column("item_id"),
+                "words": pa.array(rows, kind),
+                "seeds": pa.array([seeds.view(np.int64) for seeds, _ in found], kind),
+                "covers": pa.array([covers for _, covers in found], kind),
+            }
         )
 
     base = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).distinct()
-    return map_slices(base, run, "item_id bigint, words array<bigint>, seeds array<bigint>").where(f"size(words) >= {SEED_WORDS}")
+    schema = "item_id bigint, words array<bigint>, seeds array<bigint>, covers array<bigint>"
+    return map_slices(base, run, schema).where(f"size(words) >= {SEED_WORDS}")
 
 
 def _seeded(docs: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -173,14 +191,18 @@ def contaminated(
         seeded.groupBy("stretches").agg(F.any_value("seeds").alias("seeds"), F.any_value("words").alias("words")), "contents"
     )
     # Items are told apart by their words, which an id need not be enough for.
-    named = items.select("item_id", "words", "seeds", F.xxhash64("words").alias("item"))
-    sought = named.select("item", F.size("words").alias("size"), F.explode("seeds").alias("seed")).distinct()
+    named = items.select("item_id", "words", "seeds", "covers", F.xxhash64("words").alias("item"))
+    sought = (
+        named.select("item", F.size("words").alias("size"), F.explode(F.arrays_zip("seeds", "covers")).alias("of"))
+        .select("item", "size", F.col("of.seeds").alias("seed"), F.col("of.covers").alias("cover"))
+        .distinct()
+    )
     shared = (
         contents.select("stretches", F.explode("seeds").alias("seed"))
         .join(sought, "seed")
         .groupBy("stretches", "item")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-        .where(F.col("n") * SEED_WORDS >= coverage * F.col("size"))  # what so many seeds can cover at most
+        .agg(F.sum("cover").alias("most"), F.first("size").alias("size"))
+        .where(F.col("most") >= coverage * F.col("size"))  # what these seeds can cover at most, wherever the item repeats them
     )
     sides = shared.join(contents.select("stretches", "words"), "stretches").join(
         named.select("item", F.col("words").alias("item_words")).groupBy("item").agg(F.any_value("item_words").alias("item_words")), "item"

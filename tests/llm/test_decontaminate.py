@@ -80,6 +80,31 @@ def test_leaks_reordered_passages_and_odd_rows(spark):
     assert found(spark, [], odd) == {} and found(spark, docs, []) == {}
 
 
+def test_items_that_repeat_their_runs(spark):
+    equal = ["no"] * 12
+    grid = ["0"] * 64
+    grid[30] = "1"
+    lines = "one two three four five six".split() * 12
+    numbers = [str(k % 3) for k in range(40)]
+    items = [(i, " ".join(w)) for i, w in enumerate((equal, grid, lines, numbers))]
+    docs = [(i, f"before it {text} after it") for i, text in items]
+    docs += [(10, " ".join(equal[:5])), (11, " ".join(equal[:6])), (12, " ".join(grid[:25])), (13, " ".join(lines[:35])), (14, " ".join(lines[:36]))]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items)
+    assert all((i, i) in got for i, _ in items)
+
+
+def test_words_that_the_places_of_a_seed_cover():
+    rng = random.Random(3)
+    for _ in range(200):
+        item = np.array([rng.randint(1, 2) for _ in range(rng.randint(0, 30))], np.uint64)
+        places = {}
+        for k in range(len(item) - 4):
+            places.setdefault(tuple(item[k : k + 5]), set()).update(range(k, k + 5))
+        seeds, covers = decontaminate._seeds(item)
+        assert len(seeds) == len(places) and sorted(covers) == sorted(map(len, places.values()))
+
+
 def test_stage_keeps_clean_rows_whole(spark):
     item = "one two three four five six seven"
     docs = spark.createDataFrame([(1, f"a b {item} c", "x"), (2, "clean text", "y"), (None, item, "z"), (2, "clean text", "y")], "doc_id long, text string, item_id string")
