@@ -34,7 +34,15 @@ CLASSES = {
     "hex": ("0123456789abcdef", 2.8),
     "alphanumeric": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
     "base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 3.8),
+    "letters": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 4.0),
+    "one case": ("abcdefghijklmnopqrstuvwxyz", 3.8),
 }
+#: Classes that are measured without regard to case.
+FOLDED = ("hex", "one case")
+#: Letters that read as a name made of capitalised words.
+NAME = r"^[A-Z]?[a-z]+([A-Z][a-z]+)+$"
+#: Dates that a candidate begins with; what follows them is judged without them.
+DATES = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T/_+-]?)+"
 #: Strings that look random and are no secrets: identifiers, counting rows, marked examples, paths and slugs of words.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
@@ -70,10 +78,13 @@ def running(values: Column, step: Callable[[Column, Column], Column], start: Col
 
 
 def _class_of(text: Column) -> Column:
-    """The narrowest class that a candidate with both letters and digits fits; null without them."""
+    """The narrowest class that a candidate fits; null without letters, and for other signs without digits."""
     return (
-        F.when(~text.rlike("[0-9]") | ~text.rlike("[A-Za-z]"), F.lit(None))
-        .when(text.rlike("^[0-9a-f]+$"), F.lit("hex"))
+        F.when(~text.rlike("[A-Za-z]"), F.lit(None))
+        .when(text.rlike("^([a-z]+|[A-Z]+)$"), F.lit("one case"))
+        .when(text.rlike("^[A-Za-z]+$"), F.when(~text.rlike(NAME), F.lit("letters")))
+        .when(~text.rlike("[0-9]"), F.lit(None))
+        .when(text.rlike("^[0-9a-fA-F]+$"), F.lit("hex"))
         .when(text.rlike("^[0-9A-Za-z]+$"), F.lit("alphanumeric"))
         .otherwise(F.lit("base64"))
     )
@@ -107,10 +118,12 @@ def best_window(text: Column, symbols: str) -> Column:
 
 def looks_random(text: Column, allowed: Sequence[str] = ALLOWED) -> Column:
     kind = F.when(F.lit(False), F.lit(False))
+    bare = F.regexp_replace(text, DATES, "")
     for pattern in allowed:
-        kind = kind.when(text.rlike(pattern), F.lit(False))
+        kind = kind.when(bare.rlike(pattern), F.lit(False))
     for name, (symbols, bits) in CLASSES.items():
-        kind = kind.when(_class_of(text) == name, best_window(text, symbols) >= bits)
+        measured = F.lower(bare) if name in FOLDED else bare
+        kind = kind.when(_class_of(bare) == name, best_window(measured, symbols) >= bits)
     return kind.otherwise(F.lit(False))
 
 
@@ -142,7 +155,7 @@ def with_spans(source: DataFrame, allowed: Sequence[str] = ALLOWED, text_col: st
         "assign": F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")),
         "access": F.contains(text, F.lit("AKIA")),
         "hex": F.lit(True),
-        "entropy": text.rlike("[0-9]"),
+        "entropy": text.rlike(f"[0-9]|[A-Za-z]{{{WINDOW}}}"),
     }
 
     def matches_of(kind: str) -> Column:
