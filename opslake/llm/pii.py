@@ -31,7 +31,19 @@ SPACED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIALLED = re.compile(r"[ ().0-9-]+")
 LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
 CUE_GAP = re.compile(r"(?: ?(?:no|number|nr|#))?[.:=]? {0,2}", re.I)
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+PLAIN_GAP = re.compile(r"[.:=]? {0,2}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# Characters of an IBAN by its country.
+IBAN_CHARS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 ACCOUNT = re.compile(r"[0-9](?:-?[0-9]){5,16}(?![0-9])")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
 CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account", "ssn": "ssn", "social security": "ssn"}
@@ -51,6 +63,23 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The IBAN that starts here: as long as its country has it, or the longest whole groups that are valid."""
+    run = IBAN.match(text, at)
+    if run is None:
+        return None
+    ends = [i + 1 for i in range(at, run.end()) if text[i] != " "]
+    known = IBAN_CHARS.get(text[at : at + 2])
+    for size in (known,) if known else range(len(ends), 14, -1):
+        if size > len(ends):
+            break
+        end = ends[size - 1]
+        follows = text[end : end + 1]
+        if not (follows.isascii() and follows.isalnum()) and iban_valid(text[at:end]):
+            return at, end
+    return None
+
+
 def anchors() -> ahocorasick.Automaton:
     """Each anchor with the parser that starts there."""
     found: dict[str, set[str]] = {"@": {"email"}, "://": {"login"}}
@@ -150,11 +179,14 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
                     done[kind] = login.end()
             else:
                 value_at = CUE_GAP.match(text, last + 1).end()
-                pattern = {"iban": IBAN, "account": ACCOUNT, "ssn": SSN}[kind]
-                value = pattern.match(text, value_at)
-                if value and (kind != "iban" or iban_valid(value.group())):
-                    spans.append(value.span())
-                    done[kind] = value.end()
+                if kind == "iban":
+                    span = _iban(text, value_at) or _iban(text, PLAIN_GAP.match(text, last + 1).end())  # "NO" is a country too
+                else:
+                    value = {"account": ACCOUNT, "ssn": SSN}[kind].match(text, value_at)
+                    span = value.span() if value else None
+                if span:
+                    spans.append(span)
+                    done[kind] = span[1]
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
 
 

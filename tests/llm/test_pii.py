@@ -49,6 +49,18 @@ def test_added_kinds():
     ]
 
 
+def test_iban_ends_before_what_follows_it():
+    automaton = pii.anchors()
+    found = lambda text: [text[s:e] for k, s, e in pii.find_spans(text, automaton) if k == "iban"]
+    made = lambda country, rest: f"{country}{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}{rest}"
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", made("ZZ", "A1B2C3D4E5F6G7")):
+        for after in ("", " BIC COBADEFFXXX", " 2024", " BIC", " Bic X", ", BIC", " A", " AND 17 MORE WORDS IN CAPITALS FOLLOW", "\nBIC", " é"):
+            assert found(f"IBAN: {iban}{after}") == [iban], (iban, after)
+        assert found(f"IBAN {iban} IBAN {iban}") == [iban, iban]
+    assert found("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") == []
+    assert found("IBAN DE89 3704 0044 0532 0130 00X") == [] == found("IBAN DE89 3704")
+
+
 def test_long_texts_take_time_in_proportion():
     automaton = pii.anchors()
     for unit in ("1", "1.", "1 ", "a@", "+1", "a", "1.1.1.1", "+1("):
