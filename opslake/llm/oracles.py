@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opslake.llm import neardup, secret_scan, vectors
+from opslake.llm import neardup, secret_scan, suffixes, vectors
 
 
 def _quoted(pattern: str) -> str:
@@ -102,4 +102,25 @@ SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)
        CAST(length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10))) AS bigint) AS n_chars
 FROM blocks"""
 
-ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML}
+# Two hexadecimal digits stand for a byte.
+SUFFIXES = f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, {2 * suffixes.LENGTH}) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {suffixes.LENGTH - 1})) AS p FROM docs)),
+repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM strings) WHERE nth > 1),
+islands AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= before + {suffixes.LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS island
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM repeats)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + {suffixes.LENGTH} AS b FROM islands GROUP BY doc_id, island),
+listed AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM spans GROUP BY doc_id),
+cut AS (
+  SELECT d.doc_id, h, coalesce(gone, 0) AS gone, coalesce(len(a), 0) AS n, list_prepend(0, coalesce(b, [])) AS low,
+         list_append(coalesce(a, []), length(h) // 2) AS high
+  FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS bigint) AS n_bytes, CAST(gone AS bigint) AS n_removed, CAST(n AS bigint) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, n + 2), lambda i: substr(h, 2 * low[i] + 1, 2 * (high[i] - low[i]))), ''))) AS kept_sha256
+FROM cut"""
+
+ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML, "op13_suffixes": SUFFIXES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, html_text, language, neardup, oracles, pii, quality, secret_scan, spans, toxicity, vectors
+from opslake.llm import bpe, decontaminate, html_text, language, neardup, oracles, pii, quality, secret_scan, spans, suffixes, toxicity, vectors
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -63,6 +63,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeated(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neardup": op2_neardup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "op13_suffixes": op13_suffixes,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
