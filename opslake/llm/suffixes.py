@@ -15,7 +15,8 @@ the same distance, and about one place in 27 is an anchor.
    its buckets leave is compared across them.
 4. Open suffixes are fetched as bytes, partitioned by the same splitters and
    sorted again, once for each distance of a string from its anchor.  Those on
-   several buckets are compared by 128-bit fingerprints of their strings.
+   several buckets are compared across them by 128-bit fingerprints of the
+   strings that are the first of their bucket.
 
 Nothing is collected: a leading token of any frequency is spread over buckets
 in proportion, and rows grow with the bytes of the input.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.scratch import materialize, remove
+from opslake.functions.scratch import materialize
 from opslake.llm.batches import share, slices
 from opslake.llm.polynomials import BYTES, prefixes, stretch, utf8
 from opslake.llm.shingles import mix
@@ -258,33 +259,10 @@ def _across_buckets(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _open_bytes(open_: DataFrame, texts: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """The bytes around open anchors; of anchors on several buckets the fingerprints of the strings through them."""
+    """The bytes around open anchors, with their bucket and whether other buckets hold the leading token too."""
     held = share(texts.sparkSession, splitters)
     listed = open_.groupBy("doc", "tag").agg(F.collect_list("at").alias("ats"), F.collect_list("lead").alias("leads"))
-    # Rows that are equal in id and text are one document.
-    known = texts.select("doc", "tag", "text")
-    rows = listed.join(known, ["doc", "tag"])
-    schema = "bucket int, doc bigint, tag bigint, at int, before int, bytes binary, w1 bigint, w2 bigint"
-
-    def emit(doc, tag, at, bucket, before=None, bytes_=None, w1=None, w2=None) -> pa.RecordBatch:
-        n = len(at)
-
-        def whole(value, kind):
-            return pa.nulls(n, kind) if value is None else pa.array(value, kind)
-
-        return pa.RecordBatch.from_arrays(
-            [
-                whole(bucket, pa.int32()),
-                pa.array(np.full(n, doc)),
-                pa.array(np.full(n, tag)),
-                whole(at, pa.int32()),
-                whole(before, pa.int32()),
-                whole(bytes_, pa.binary()),
-                whole(w1, pa.int64()),
-                whole(w2, pa.int64()),
-            ],
-            names=["bucket", "doc", "tag", "at", "before", "bytes", "w1", "w2"],
-        )
+    rows = listed.join(texts.select("doc", "tag", "text"), ["doc", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -292,27 +270,26 @@ def _open_bytes(open_: DataFrame, texts: DataFrame, splitters: np.ndarray) -> Da
             begins = np.concatenate(([0], ends[:-1]))
             for k, (doc, tag) in enumerate(zip(part.column("doc").to_pylist(), part.column("tag").to_pylist(), strict=True)):
                 text = data[begins[k] : ends[k]]
-                at = part.column("ats")[k].values.to_numpy().astype(np.int64)
-                lead = part.column("leads")[k].values.to_numpy().view(np.uint64)
-                bucket, shared = _dealt(lead, np.zeros(len(lead), np.uint64), held.value)
-                low, high = np.maximum(at - RUNS + 1, 0), np.minimum(at + LENGTH, len(text))
-                mine = np.flatnonzero(~shared)
-                for some in range(0, len(mine), _BLOCK):
-                    now = mine[some : some + _BLOCK]
-                    around = [text[a:b].tobytes() for a, b in zip(low[now], high[now], strict=True)]
-                    yield emit(doc, tag, at[now], bucket[now], (at - low)[now], around)
-                theirs = np.flatnonzero(shared)
-                for some in range(0, len(theirs), _BLOCK // RUNS):
-                    now = theirs[some : some + _BLOCK // RUNS]
-                    width = np.maximum(high[now] - LENGTH - low[now] + 1, 0)
-                    start = np.unique(np.repeat(low[now] - np.cumsum(width) + width, width) + np.arange(width.sum()))
-                    if len(start):
-                        strings = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[start]
-                        one, two = _string_hashes(strings)
-                        yield emit(doc, tag, start, None, w1=one, w2=two)
+                every = part.column("ats")[k].values.to_numpy().astype(np.int64)
+                leads = part.column("leads")[k].values.to_numpy().view(np.uint64)
+                for some in range(0, len(every), _BLOCK):
+                    at, lead = every[some : some + _BLOCK], leads[some : some + _BLOCK]
+                    bucket, shared = _dealt(lead, mix(at.astype(np.uint64)) + np.uint64(doc & (1 << 64) - 1), held.value)
+                    low, high = np.maximum(at - RUNS + 1, 0), np.minimum(at + LENGTH, len(text))
+                    around = [text[a:b].tobytes() for a, b in zip(low, high, strict=True)]
+                    columns = [
+                        pa.array(bucket.astype(np.int32)),
+                        pa.array(shared),
+                        pa.array(np.full(len(at), doc)),
+                        pa.array(np.full(len(at), tag)),
+                        pa.array(at.astype(np.int32)),
+                        pa.array((at - low).astype(np.int32)),
+                        pa.array(around, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shared", "doc", "tag", "at", "before", "bytes"])
 
     plain = rows.select("doc", "tag", "ats", "leads", "text")
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, "bucket int, shared boolean, doc bigint, tag bigint, at int, before int, bytes binary")
 
 
 def _string_hashes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,16 +303,28 @@ def _string_hashes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Repeated stretches (doc, tag, start, stop) among open suffixes, from their bytes, bucket by bucket."""
+    """What the bytes of open suffixes tell, bucket by bucket.
+
+    Repeated stretches (doc, tag, start, stop); and of suffixes that other
+    buckets hold too, the fingerprints ``w1``, ``w2`` of the strings that are no
+    repeats within the bucket.
+    """
     middle = RUNS - 1
 
+    def emit(doc, tag, start, stop, w1=None, w2=None) -> pa.RecordBatch:
+        marks = [pa.nulls(len(doc), pa.int64()) if w is None else pa.array(w) for w in (w1, w2)]
+        places = [pa.array(c.astype(np.int32)) for c in (start, stop)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc), pa.array(tag), *places, *marks], names=["doc", "tag", "start", "stop", "w1", "w2"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         table = pa.Table.from_batches(batches) if batches else None
         if table is None or not table.num_rows:
             return
         n = table.num_rows
-        doc, tag, at, before = (table.column(c).to_numpy() for c in ("doc", "tag", "at", "before"))
+        doc, tag, at, before, shared = (table.column(c).to_numpy() for c in ("doc", "tag", "at", "before", "shared"))
         data, stops = _binary(table.column("bytes").combine_chunks())
         sizes = np.diff(stops, prepend=0)
         after = sizes - before
@@ -345,40 +334,37 @@ def _compared(rows: DataFrame) -> DataFrame:
         field[row, np.arange(len(data)) - np.repeat(stops - sizes, sizes) + np.repeat(middle - before, sizes)] = data
         leads = np.ascontiguousarray(field[:, middle : middle + GRAM]).view(">u8").astype(np.uint64)
         order, group = multikey_order(list(leads.T), np.arange(n), np.zeros(n, np.int64))
-        several = np.bincount(group)[group] > 1
-        order, group = order[several], group[several]
+        wanted = (np.bincount(group)[group] > 1) | shared[order]
+        order, group = order[wanted], group[wanted]
         rank = np.empty(n, np.int64)
         rank[np.lexsort((at, tag, doc))] = np.arange(n)
         repeat = np.zeros((n, RUNS + 1), bool)
         for off in range(RUNS):
             some = (before[order] >= off) & (after[order] >= LENGTH - off)
             mine, of = order[some], group[some]
-            if len(mine) < 2:
+            if not len(mine):
                 continue
             string = np.zeros((len(mine), LENGTH + 4), np.uint8)
             string[:, :LENGTH] = field[mine, middle - off : middle - off + LENGTH]
-            tokens = string.view(">u8").astype(np.uint64)
-            back = np.arange(len(mine))
-            by, runs = multikey_order([*tokens.T], back, of)
+            by, same = multikey_order([*string.view(">u8").astype(np.uint64).T], np.arange(len(mine)), of)
             held = rank[mine[by]]
-            starts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+            starts = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
             earliest = np.repeat(np.minimum.reduceat(held, starts), np.diff(starts, append=len(held)))
-            repeat[mine[by[held > earliest]], off] = True
+            later = held > earliest
+            repeat[mine[by[later]], off] = True
+            across = by[~later & shared[mine[by]]]
+            for low in range(0, len(across), _BLOCK):
+                now = across[low : low + _BLOCK]
+                which = mine[now]
+                yield emit(doc[which], tag[which], at[which] - off, at[which] - off + LENGTH, *_string_hashes(string[now, :LENGTH]))
         # Neighbouring distances of one suffix are one stretch.
         change = np.diff(repeat.astype(np.int8), axis=1, prepend=0)
         which, low = np.nonzero(change == 1)
         _, high = np.nonzero(change == -1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc[which]),
-                pa.array(tag[which]),
-                pa.array((at[which] - high + 1).astype(np.int32)),
-                pa.array((at[which] - low + LENGTH).astype(np.int32)),
-            ],
-            names=["doc", "tag", "start", "stop"],
-        )
+        yield emit(doc[which], tag[which], at[which] - high + 1, at[which] - low + LENGTH)
 
-    return rows.select("doc", "tag", "at", "before", "bytes").mapInArrow(run, "doc bigint, tag bigint, start int, stop int")
+    plain = rows.select("shared", "doc", "tag", "at", "before", "bytes")
+    return plain.mapInArrow(run, "doc bigint, tag bigint, start int, stop int, w1 bigint, w2 bigint")
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -388,14 +374,11 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _equal_strings(rows: DataFrame) -> DataFrame:
-    """Repeated stretches among the fingerprinted strings."""
-    place = F.struct("doc", "tag", "at")
-    firsts = materialize(
-        rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w1", "w2", "first"),
-        "strings",
-    )
-    later = rows.join(firsts, ["w1", "w2"]).where(place != F.col("first"))
-    return later.select("doc", "tag", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))
+    """Repeated stretches among strings that are the first of their bucket."""
+    place = F.struct("doc", "tag", "start")
+    grouped = rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = materialize(grouped.where("first <> last").select("w1", "w2", "first"), "strings")
+    return rows.join(firsts, ["w1", "w2"]).where(place != F.col("first")).select("doc", "tag", "start", "stop")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,11 +404,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared_whole, shared_open = _across_buckets(of(2).drop("kind"))
     whole = of(0).select("doc", "tag", "at").union(shared_whole)
     open_ = of(1).select("doc", "tag", "at", "lead").union(shared_open)
-    contexts = materialize(_open_bytes(open_, texts, splitters), "open")
-    compared = _compared(contexts.where("bytes is not null").repartitionById(buckets, "bucket"))
-    strings = _equal_strings(contexts.where("bytes is null").select("doc", "tag", "at", "w1", "w2"))
+    compared = materialize(_compared(_open_bytes(open_, texts, splitters).repartitionById(buckets, "bucket")), "compared")
     around = whole.select("doc", "tag", (F.col("at") - RUNS + 1).alias("start"), (F.col("at") + LENGTH).alias("stop"))
-    spans = around.union(compared).union(strings).groupBy("doc", "tag")
+    local = compared.where("w1 is null").select("doc", "tag", "start", "stop")
+    spans = around.union(local).union(_equal_strings(compared.where("w1 is not null"))).groupBy("doc", "tag")
     listed = spans.agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     return _cut(texts.join(listed, ["doc", "tag"], "left").select("doc_id", "text", "starts", "stops"))
 
