@@ -56,21 +56,18 @@ def share(spark: SparkSession, value):
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """Which values the top ``bits`` bits of the single column (64-bit hashes) take, one bit each.
 
-    Its size depends on ``bits`` alone.  Rows that it passes are a superset of
-    those with an equal hash; a join decides.
+    Its size depends on ``bits`` alone: executors combine the marks, and one map
+    comes to the driver.  Rows that it passes are a superset of those with an
+    equal hash; a join decides.
     """
     (name,) = hashes.columns
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << bits, bool)
-        for batch in batches:
-            marks[batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
-
-    total = np.zeros((1 << bits) // 8, np.uint8)
-    for row in hashes.coalesce(8).mapInArrow(mark, "bits binary").collect():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total
+    place = f"shiftrightunsigned(`{name}`, {64 - bits})"
+    marks = hashes.selectExpr(f"cast(shiftright({place}, 6) as int) as word", f"shiftleft(1L, cast({place} & 63 as int)) as bit")
+    words = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    total = np.zeros((1 << bits) // 64, np.uint64)
+    total[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    # The first value is the highest bit of the first byte.
+    return np.packbits(np.unpackbits(total.view(np.uint8), bitorder="little"))
 
 
 def keep_marked(df: DataFrame, marks: np.ndarray, hash_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opslake.llm import neardup, secret_scan, suffixes, vectors
+from opslake.llm import neardup, phrases, secret_scan, suffixes, vectors
 
 
 def _quoted(pattern: str) -> str:
@@ -123,4 +123,36 @@ SELECT doc_id, CAST(length(h) // 2 AS bigint) AS n_bytes, CAST(gone AS bigint) A
        sha256(unhex(array_to_string(list_transform(range(1, n + 2), lambda i: substr(h, 2 * low[i] + 1, 2 * (high[i] - low[i]))), ''))) AS kept_sha256
 FROM cut"""
 
-ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML, "op13_suffixes": SUFFIXES}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS bigint) AS n FROM worded GROUP BY lang),
+runs AS (
+  SELECT lang, size, array_to_string(w[pos:pos + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS pos
+        FROM (SELECT lang, w, unnest(range(1, {phrases.WORDS + 1})) AS size FROM worded) WHERE size <= len(w))),
+frequent AS (
+  SELECT lang, phrase, size, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= {phrases.OCCURRENCES}),
+inner_runs AS (
+  SELECT lang, array_to_string(w[pos:pos + m - 1], ' ') AS phrase, max(f) AS around
+  FROM (SELECT lang, f, w, m, unnest(range(1, size - m + 2)) AS pos
+        FROM (SELECT lang, f, size, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS m FROM frequent WHERE size > 2)) GROUP BY ALL),
+candidates AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.size, string_split(c.phrase, ' ') AS w
+  FROM frequent c LEFT JOIN inner_runs i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE c.size > 1 AND (around IS NULL OR 100 * around < {phrases.COVERED} * c.f)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:size], ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, t.n, CAST({phrases.SCALE}::hugeint * a * t.n // (x.f::hugeint * y.f) AS bigint) AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = c.x JOIN frequent y ON y.lang = c.lang AND y.phrase = c.y
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= {phrases.TOP}"""
+
+ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML, "op12_phrases": PHRASES, "op13_suffixes": SUFFIXES}
