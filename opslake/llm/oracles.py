@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opslake.llm import neardup, phrases, secret_scan, suffixes, vectors
+from opslake.llm import neardup, phrases, secret_scan, spelling, suffixes, vectors
 
 
 def _quoted(pattern: str) -> str:
@@ -155,4 +155,49 @@ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM lowest QUALIFY rank <= {phrases.TOP}"""
 
-ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML, "op12_phrases": PHRASES, "op13_suffixes": SUFFIXES}
+_LETTERS = "[A-Za-z\\x{00C0}-\\x{00FF}]+"
+# The crc32 of a string, byte by byte over a table of its 256 remainders.
+SPELLING = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END) AS r
+    FROM range(0, 256) AS s(i))),
+found AS (
+  SELECT coalesce(CAST(doc_id AS varchar), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '{_LETTERS}')) AS run FROM documents),
+lowered AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM found WHERE length(run) >= {spelling.LETTERS} GROUP BY ALL),
+hexed AS (SELECT w, n, hex(encode(id || ':' || w)) AS h FROM lowered),
+hashed AS (
+  SELECT w, n, xor(list_reduce(
+      list_prepend(4294967295::bigint, list_transform(range(1, length(h) // 2 + 1), lambda i:
+        CAST(16 * (instr('0123456789ABCDEF', h[2 * i - 1]) - 1) + instr('0123456789ABCDEF', h[2 * i]) - 1 AS bigint))),
+      lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS int) + 1])), 4294967295::bigint) AS crc
+  FROM hexed, crc_table),
+damaged AS (
+  SELECT CASE WHEN crc % {spelling.DAMAGED} = 0 THEN left(w, CAST(crc % length(w) AS int)) || substr(w, CAST(crc % length(w) AS int) + 2) ELSE w END AS word, n
+  FROM hashed),
+known AS (
+  SELECT word, CAST(sum(n) AS bigint) AS n FROM damaged WHERE length(word) >= {spelling.LETTERS}
+  GROUP BY word HAVING sum(n) >= {spelling.OCCURRENCES}),
+without AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM known)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, k.word FROM without w JOIN known k ON k.word = w.rest
+  UNION SELECT k.word, w.word FROM without w JOIN known k ON k.word = w.rest),
+told AS (
+  SELECT p.word, count(*) AS n_near, first(p.near ORDER BY k.n DESC, p.near) AS near, max(k.n) AS near_n
+  FROM pairs p JOIN known k ON k.word = p.near GROUP BY p.word),
+forms AS (
+  SELECT k.word, k.n, coalesce(t.n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * k.n THEN near END AS form,
+         CASE WHEN near_n >= {spelling.RATIO} * k.n THEN near_n END AS form_n
+  FROM known k LEFT JOIN told t ON t.word = k.word),
+chain AS (
+  SELECT word, word AS reached, 0 AS steps FROM forms
+  UNION ALL
+  SELECT c.word, f.form, c.steps + 1 FROM chain c JOIN forms f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT c.reached FROM chain c WHERE c.word = f.word ORDER BY c.steps DESC LIMIT 1) AS root, f.n, f.n_near, f.form_n
+FROM forms f"""
+
+ORACLES = {"op2_neardup": NEARDUP, "op4_secrets": SECRETS, "op6_vectors": VECTORS, "op10_html_text": HTML, "op11_spelling": SPELLING, "op12_phrases": PHRASES, "op13_suffixes": SUFFIXES}

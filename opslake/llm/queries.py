@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, html_text, language, neardup, oracles, phrases, pii, quality, secret_scan, spans, suffixes, toxicity, vectors
+from opslake.llm import bpe, decontaminate, html_text, language, neardup, oracles, phrases, pii, quality, secret_scan, spans, spelling, suffixes, toxicity, vectors
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -63,6 +63,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "op11_spelling": op11_spelling,
     "op12_phrases": op12_phrases,
     "op13_suffixes": op13_suffixes,
 }
