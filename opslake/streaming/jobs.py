@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from opslake.functions.text import is_blank
 from opslake.operators import logs as log_ops
 from opslake.operators import notify, rules
 from opslake.streaming import events as event_ops
@@ -88,8 +89,136 @@ def cooldown_alerts(firing: DataFrame) -> DataFrame:
     )
 
 
+class RunHistoryProcessor(StatefulProcessor):
+    """Per job: runs, successes and failures in a row so far, and what was known at each recent run.
+
+    Events wait until the watermark has passed them and are then taken by time,
+    so events that come late, but within the lateness, find their place.  One
+    timer is set for each job, at its earliest waiting event.
+    """
+
+    def __init__(self, horizon_ms: int):
+        self._horizon = horizon_ms
+
+    def init(self, handle) -> None:
+        long, text = T.LongType(), T.StringType()
+        waiting = [("at", long), ("run", long), ("id", text), ("producer", text), ("action", text), ("body", text)]
+        totals = [("runs", long), ("successes", long), ("streak", long), ("timer", long), ("done", long)]
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in waiting]))
+        self._totals = handle.getValueState("totals", T.StructType([T.StructField(n, t) for n, t in totals]))
+        known = T.StructType([T.StructField("at", long), T.StructField("streak", long), T.StructField("rate", long)])
+        self._known = handle.getMapState("known", T.StructType([T.StructField("run", long)]), known)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = ["at_micros", "run", "event_id", "producer", "action", "body"]
+        fresh = [
+            (int(at), int(run), event_id, producer, action, body)
+            for frame in rows
+            for at, run, event_id, producer, action, body in frame[names].itertuples(index=False)
+        ]
+        # Spark lets some rows behind the watermark pass; what was told already cannot be told anew.
+        done = self._totals.get()[4] if self._totals.exists() else -(1 << 62)
+        if fresh := [r for r in fresh if r[0] >= done]:
+            self._waiting.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        return
+        yield  # a generator that yields nothing
+
+    def _wake(self, at_micros: int) -> None:
+        """Set the job's timer no later than just behind the given time."""
+        wanted = at_micros // 1000 + 1
+        runs, successes, streak, timer, done = self._totals.get() if self._totals.exists() else (0, 0, 0, -1, -(1 << 62))
+        if 0 <= timer <= wanted:
+            return
+        if timer >= 0:
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(wanted)
+        self._totals.update((runs, successes, streak, wanted, done))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        runs, successes, streak, _, _ = self._totals.get()
+        rows = sorted(tuple(r) for r in self._waiting.get())
+        # Of one instant runs come first, by number, and then what is said about runs.
+        due = sorted((r for r in rows if r[0] < passed), key=lambda r: (r[0], r[3] != "executions", r[1], r[2]))
+        out = []
+        for at, run, _, producer, action, body in due:
+            if producer == "executions":
+                runs += 1
+                successes += action == "COMPLETED"
+                streak = 0 if action == "COMPLETED" else streak + (action == "FAILED")
+                failures, rate = streak if action == "FAILED" else None, successes * 100 // runs
+                self._known.updateValue((run,), (at, failures, rate))
+            else:
+                known = self._known.getValue((run,)) if run >= 0 and self._known.containsKey((run,)) else None
+                failures = known[1] if known else None
+                rate = known[2] if known else (successes * 100 // runs if runs else None)
+            out.append((body, failures, rate))
+        left = rows[len(due) :]
+        if left:
+            self._waiting.put(left)
+        else:
+            self._waiting.clear()
+        self._totals.update((runs, successes, streak, -1, passed))
+        if left:
+            self._wake(left[0][0])
+        old = [r for r, v in self._known.iterator() if v[0] < passed - self._horizon * 1000]
+        for run in old:
+            self._known.removeKey(run)
+        if out:
+            frame = pd.DataFrame(out, columns=["body", "consecutive_failures", "success_rate"])
+            yield frame.astype({"consecutive_failures": "Int64", "success_rate": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def with_run_history(events: DataFrame, lateness: str = "10 minutes", horizon_days: int = 30) -> DataFrame:
+    """Job events with ``consecutive_failures`` and ``success_rate`` of their job by then, as the batch context has them.
+
+    Runs are the events of the producer ``executions``.  An event of another
+    producer that names a run started less than ``horizon_days`` ago has the
+    values of that run, others the rate up to their own time.  Events come out
+    once the watermark has passed them; those later than ``lateness`` are
+    dropped, as are events without tenant, job, id or time.
+    """
+    columns = events.columns
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    keyed = events.where("tenant_id is not null and job_id is not null and event_id is not null and event_time is not null")
+    rows = keyed.select(
+        F.col("event_time").cast("timestamp").alias("_at"),
+        "tenant_id",
+        "job_id",
+        "event_id",
+        F.coalesce("producer", F.lit("")).alias("producer"),
+        F.coalesce("action", F.lit("")).alias("action"),
+        F.coalesce(F.col("execution_id").cast("bigint"), F.lit(-1).cast("bigint")).alias("run"),
+        F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), times).alias("body"),
+    )
+    told = (
+        rows.withWatermark("_at", lateness)
+        .withColumn("at_micros", F.unix_micros("_at"))
+        .groupBy("tenant_id", "job_id")
+        .transformWithStateInPandas(
+            RunHistoryProcessor(horizon_days * 86_400_000),
+            "body string, consecutive_failures bigint, success_rate bigint",
+            "append",
+            "EventTime",
+        )
+    )
+    event = F.from_json("body", events.select(*(F.col(f"`{c}`") for c in columns)).schema, times)
+    return told.select(event.alias("event"), "consecutive_failures", "success_rate").select(
+        "event.*", "consecutive_failures", "success_rate"
+    )
+
+
 def evaluate_events(events: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Job events to firing rules: gate, context, stream-static join, condition."""
+    """Job events to firing rules: gate, context, stream-static join, condition.
+
+    Rules on failures in a row and on success rates need events that come
+    ``with_run_history``; without it they never fire.
+    """
     context = rules.event_context(rules.alertable_events(events))
     evaluated = rules.evaluate_rules(context, rule_table)
     return evaluated.filter("fires").select(
@@ -103,6 +232,11 @@ def evaluate_events(events: DataFrame, rule_table: DataFrame) -> DataFrame:
     )
 
 
+def rule_alerts(events: DataFrame, rule_table: DataFrame, lateness: str = "10 minutes", horizon_days: int = 30) -> DataFrame:
+    """The whole rule engine on a stream of job events: run history, conditions of all types, cooldown."""
+    return cooldown_alerts(evaluate_events(with_run_history(events, lateness, horizon_days), rule_table))
+
+
 class HeartbeatProcessor(StatefulProcessor):
     """Per job: last sign of life, and a timer for when it is overdue."""
 
@@ -139,7 +273,7 @@ class HeartbeatProcessor(StatefulProcessor):
 def heartbeat_timeouts(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs that stay silent past their allowance, reported once per silence by processing time."""
     allowed = F.coalesce("expected_runtime_seconds", F.lit(3600)) + F.coalesce("grace_period_seconds", F.lit(300))
-    watched = jobs.filter((F.col("status") == "ACTIVE") & (F.trim("cron_expression") != "")).select(
+    watched = jobs.filter((F.col("status") == "ACTIVE") & ~is_blank(F.col("cron_expression"))).select(
         "job_id", (allowed.cast("bigint") * 1000).alias("allowed_ms")
     )
     signs = (

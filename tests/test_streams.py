@@ -2,6 +2,7 @@
 
 import re
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from opslake.functions.scratch import scratch_path
 from opslake.operators import evaluators, logs, rollups, rules
+from opslake.plans.alerts import fired
+from opslake.plans.jobs import job_events
 from opslake.plans.logs import PATTERNS
 from opslake.sources.fixtures import AS_OF, Domain
 from opslake.streaming import events, jobs
@@ -114,6 +117,52 @@ def test_alert_stream_equals_batch(spark, t):
     assert same_rows(got, want)
 
 
+def test_rule_stream_with_run_history_equals_batch(spark, t):
+    """All five rule types, with runs that come late, across a restart."""
+    feed = job_events(t)
+    # One event in ten comes up to two hours late.
+    lag = F.when(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0, F.pmod(F.xxhash64("event_id"), F.lit(7200))).otherwise(0)
+    arrival = F.unix_seconds(F.col("event_time").cast("timestamp")) + lag
+    path = scratch_path(spark, "feed")
+    ordered = feed.withColumn("_part", F.ntile(4).over(Window.orderBy(arrival))).cache()
+    closing = feed.limit(1).select(
+        *(F.lit("nobody").alias(c) if c in ("tenant_id", "event_id") else F.lit(datetime(2100, 1, 1)).cast("timestamp_ntz").alias(c) if c == "event_time" else F.col(c) for c in feed.columns)
+    ).withColumn("job_id", F.lit(-1).cast("bigint"))
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    for parts in ((1, 2), (3, 4)):
+        for part in parts:
+            ordered.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        if 4 in parts:
+            closing.write.mode("append").parquet(path)
+        # A new query each time: it goes on from the checkpoint of the one before.
+        alerts = jobs.rule_alerts(stream(spark, path, feed.schema), t.alert_rules, "3 hours", 4000)
+        writer = alerts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.format("parquet").option("path", out).start().awaitTermination(300)
+    got = spark.read.schema(alerts.schema).parquet(out)
+    want = utc(fired(t), "triggered_at").select("rule_id", "event_id", "triggered_at")
+    types = got.join(t.alert_rules.select("rule_id", "rule_type"), "rule_id").groupBy("rule_type").count().collect()
+    assert {r.rule_type for r in types} == set(rules.CONDITIONS)
+    assert same_rows(got, want)
+
+
+def test_events_later_than_the_lateness_are_dropped(spark, t):
+    base = datetime(2024, 1, 1)
+    row = lambda i, minutes, action: ("t", 1, i, action, "executions", f"e{i}", base + timedelta(minutes=minutes))
+    kind = "tenant_id string, job_id bigint, execution_id bigint, action string, producer string, event_id string, event_time timestamp_ntz"
+    path = scratch_path(spark, "late")
+    for rows in ([row(1, 0, "FAILED"), row(2, 300, "FAILED")], [row(4, 299, "FAILED"), row(5, 301, "FAILED")], [row(3, 200, "COMPLETED"), row(6, 999, "FAILED")], [row(7, 2000, "STARTED")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    got = run(spark, jobs.with_run_history(stream(spark, path, spark.createDataFrame([], kind).schema), "10 minutes"))
+    told = {r.execution_id: (r.consecutive_failures, r.success_rate, r.event_time) for r in got.collect()}
+    assert told == {
+        1: (1, 0, base),
+        4: (2, 0, base + timedelta(minutes=299)),
+        2: (3, 0, base + timedelta(minutes=300)),
+        5: (4, 0, base + timedelta(minutes=301)),
+        6: (5, 0, base + timedelta(minutes=999)),
+    }
+
+
 def test_heartbeat_stream_finds_the_silent_jobs(spark, t):
     runs = utc(t.job_executions, "started_at", "completed_at").drop("status")
     path = by_time(spark, runs, "started_at")
