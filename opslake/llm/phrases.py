@@ -3,12 +3,12 @@
 1. numpy prefix polynomials over bytes give a fingerprint of every word, prefix
    polynomials over words one of every run of words.  A shuffle adds up the
    fingerprints of one length, with a pointer to a text that holds the run and
-   the least and greatest of a second fingerprint.
+   bits of a second fingerprint.
 2. A run can only be frequent when both runs of one word less in it are.  A
    bitmap of fixed size passes these, so rarer runs are left out before the
    shuffle.  The bitmap only spares rows: counts decide.
-3. Fingerprints of different runs are told by the second fingerprint; their
-   runs are counted again from the texts.
+3. Where the second fingerprints differ, several runs share the first; they are
+   counted again by their words in the texts.
 4. Pointers of frequent fingerprints are followed to their texts, and only
    there words are cut out.  From here on everything is joined by phrase.
 """
@@ -40,6 +40,8 @@ BITMAP_BITS = 25
 PIECE = 1 << 20
 #: Runs that a task adds up at once.
 TOGETHER = 1 << 20
+#: Bits of the second fingerprint and of the hash of a text that travel with a fingerprint.
+_SECOND_BITS, _POINTER_BITS = 14, 28
 #: Bits kept of a fingerprint; fewer only in tests, which need collisions.
 FINGERPRINT_BITS = 64
 
@@ -142,7 +144,9 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-_COUNTED = "fp bigint, n bigint, low bigint, high bigint, at bigint"
+def _packed(n: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Occurrences, bits of the second fingerprint and of the pointer in 64 bits, as these rows are the bulk of a shuffle."""
+    return (n.astype(np.uint64) << np.uint64(_SECOND_BITS + _POINTER_BITS)) | (second << np.uint64(_POINTER_BITS)) | at
 
 
 class _Adder:
@@ -152,26 +156,23 @@ class _Adder:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.held.append(columns)
-        self.size += len(columns[0])
+    def add(self, fp: np.ndarray, second: np.ndarray, at: np.ndarray) -> None:
+        self.held.append((fp, second >> np.uint64(64 - _SECOND_BITS), at))
+        self.size += len(fp)
 
     def flush(self) -> pa.RecordBatch:
         fp, second, at = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        self.__init__()
+        self.held, self.size = [], 0
         order = np.argsort(fp, kind="stable")
-        fp, second, at = fp[order], second[order].view(np.int64), at[order]
+        fp, second, at = fp[order], second[order], at[order]
         first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(fp[first].view(np.int64)),
-                pa.array(np.diff(first, append=len(fp))),
-                pa.array(np.minimum.reduceat(second, first)),
-                pa.array(np.maximum.reduceat(second, first)),
-                pa.array(np.minimum.reduceat(at, first)),
-            ],
-            names=["fp", "n", "low", "high", "at"],
-        )
+        n, fp = np.diff(first, append=len(fp)), fp[first]
+        low, high, at = np.minimum.reduceat(second, first), np.maximum.reduceat(second, first), np.minimum.reduceat(at, first)
+        # Where several runs share a fingerprint, one occurrence brings the other second fingerprint.
+        apart = low != high
+        packed = np.concatenate((_packed(n - apart, low, at), _packed(np.ones(apart.sum(), np.int64), high[apart], at[apart])))
+        fp = np.concatenate((fp, fp[apart]))
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(packed.view(np.int64))], names=["fp", "packed"])
 
 
 def _prepared(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +182,8 @@ def _prepared(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _counted(texts: DataFrame, number: int, shorter: np.ndarray | None) -> DataFrame:
-    """Frequent fingerprints of runs of ``number`` words; ``shorter`` marks the frequent ones of one word less.
+    """Frequent fingerprints of runs of ``number`` words: occurrences ``n``, the least and greatest second fingerprint
+    ``low`` and ``high``, and a pointer ``at`` to a text; ``shorter`` marks the frequent ones of one word less.
 
     Runs of one word bring a row for each language, its number of words under the language's own hash.
     """
@@ -191,6 +193,7 @@ def _counted(texts: DataFrame, number: int, shorter: np.ndarray | None) -> DataF
         bits, sums = held.value, _Adder()
         for part in slices(batches):
             data, ends, lang, at = _prepared(part)
+            pointer = at.view(np.uint64) & np.uint64((1 << _POINTER_BITS) - 1)
             for words in words_of(data, ends):
                 place, first, second = runs(words, lang, number)
                 if bits is not None and len(place):
@@ -198,16 +201,25 @@ def _counted(texts: DataFrame, number: int, shorter: np.ndarray | None) -> DataF
                     keep = parts[place] & parts[place + 1]
                     place, first, second = place[keep], first[keep], second[keep]
                 of = words.text[place]
-                sums.add(first, second, at[of])
+                sums.add(first, second, pointer[of])
                 if bits is None:
-                    sums.add(lang[of], np.zeros(len(of), np.uint64), np.zeros(len(of), np.int64))
+                    sums.add(lang[of], np.zeros(len(of), np.uint64), np.zeros(len(of), np.uint64))
                 if sums.size >= TOGETHER:
                     yield sums.flush()
         if sums.size:
             yield sums.flush()
 
-    added = texts.mapInArrow(run, _COUNTED).groupBy("fp")
-    total = added.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("at"))
+    # Tasks have added up already: dealt out as they are, rows are half as wide as those of an aggregate.
+    dealt = texts.mapInArrow(run, "fp bigint, packed bigint").repartition("fp")
+    parts = dealt.selectExpr(
+        "fp",
+        f"shiftrightunsigned(packed, {_SECOND_BITS + _POINTER_BITS}) as n",
+        f"shiftrightunsigned(packed, {_POINTER_BITS}) & {(1 << _SECOND_BITS) - 1}L as second",
+        f"packed & {(1 << _POINTER_BITS) - 1}L as at",
+    )
+    total = parts.groupBy("fp").agg(
+        F.sum("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high"), F.min("at").alias("at")
+    )
     return total.where(F.col("n") >= OCCURRENCES)
 
 
@@ -229,11 +241,12 @@ def _followed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     """``lang``, ``phrase``, ``words`` and ``n`` of fingerprints of one run, from the texts that their pointers name."""
     pointers = materialize(frequent.where("low = high").select("at", "fp", "number", "n"), "pointers")
     listed = pointers.groupBy("at").agg(F.collect_list(F.struct("fp", "number", "n")).alias("wanted"))
+    named = texts.withColumn("text_hash", F.col("at")).withColumn("at", F.expr(f"at & {(1 << _POINTER_BITS) - 1}L"))
     near = keep_marked(
-        texts.withColumn("hash", F.xxhash64("at")), bitmap(pointers.select(F.xxhash64("at").alias("hash")), BITMAP_BITS), "hash"
+        named.withColumn("hash", F.xxhash64("at")), bitmap(pointers.select(F.xxhash64("at").alias("hash")), BITMAP_BITS), "hash"
     )
-    # One of the equal texts of a language is enough.
-    rows = near.select("at", "lang", "lang_hash", "text").dropDuplicates(["at"]).join(listed, "at")
+    # One of the equal texts of a language is enough; a text that only shares the pointer's bits has no such run.
+    rows = near.dropDuplicates(["text_hash"]).select("at", "lang", "lang_hash", "text").join(listed, "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -298,11 +311,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         levels.append(found.withColumn("number", F.lit(number)))
         if number < WORDS:
             marks = bitmap(found.select("fp"), BITMAP_BITS)
+    langs = materialize(named.select("lang").distinct(), "langs")
+    sizes = levels[0].select(F.col("fp").alias("hash"), F.col("n").alias("total"))
+    total = langs.join(sizes, F.xxhash64("lang") == F.col("hash")).drop("hash")
     every = levels[0]
     for level in levels[1:]:
         every = every.union(level)
-    langs = materialize(named.select("lang").distinct(), "langs")
-    total = langs.join(levels[0].select(F.col("fp").alias("_fp"), F.col("n").alias("total")), F.xxhash64("lang") == F.col("_fp")).drop("_fp")
     runs_only = every.join(langs.select(F.xxhash64("lang").alias("fp")), "fp", "left_anti")
     collided = materialize(runs_only.where("low <> high").select("fp", F.col("number").alias("words")), "collided")
     spelled = _followed(texts, runs_only)
