@@ -107,6 +107,18 @@ def test_spacing_same_result_on_hot_and_plain_path(spark):
                     assert r.id == min(x[2] for x in rows if x[0] == key and x[1] == r.ts)
 
 
+def test_spacing_blocks_are_bounded_by_rows(spark):
+    """A month of silence and then a burst: no block holds more than its share of the rows."""
+    times = [START, START + timedelta(days=30)] + [START + timedelta(days=31, milliseconds=i) for i in range(3000)]
+    df = frame(spark, [("k", t, i, 0) for i, t in enumerate(times)]).withColumn("gap", F.lit(2 * 86_400))
+    points = df.select(F.col("k").alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    hot = greedy.hot_keys(points.select("_key"), ["_key"], 200)
+    sizes = greedy._row_blocks(points, hot, 200).groupBy("_block").count().collect()
+    assert max(r["count"] for r in sizes) <= 200 and len(sizes) > 15
+    got = greedy.keep_spaced(df, "k", "ts", "id", "gap", 200).collect()
+    assert sorted(r.ts for r in got) == spaced_by_hand(times, timedelta(days=2))
+
+
 def test_spacing_is_strict_at_the_boundary(spark):
     rows = [("k", START + timedelta(seconds=s), s, 0) for s in (0, 300, 301, 601, 602)]
     df = frame(spark, rows).withColumn("gap", F.lit(300))
@@ -124,12 +136,20 @@ def test_rolling_limit_matches_a_plain_pass(spark):
         if len(window) < (7 if k == "hot" else 2):
             accepted[k].append(ts)
             want.add(i)
-    # The second run sends the never-quiet keys window by window.
-    for hot_points in (1_000_000, 500):
+    # The later runs cut the large keys where they are quiet.
+    for hot_points in (1_000_000, 500, 20):
         got = greedy.keep_within_limit(df, ["k"], "ts", "id", "cap", 3600, hot_points)
         assert {r.id for r in got.collect()} == want
 
 
+def test_limit_segments_begin_where_a_window_is_quiet(spark):
+    minutes = [0, 1, 59, 118, 119, 179, 400, 401, 461, 600]
+    points = spark.createDataFrame([("k", m * 60_000_000) for m in minutes], "_key string, _at bigint")
+    for hot_rows in (3, 1_000_000):
+        got = greedy._quiet_segments(points, 3_600_000_000, hot_rows).collect()
+        assert {r._at // 60_000_000: r._segment for r in got} == dict(zip(minutes, [1, 1, 1, 1, 1, 2, 3, 3, 4, 5], strict=True))
+
+
 def test_salted_join_keeps_every_pair_once(spark):
     rows = skewed_rows(500)
     small = spark.sql("SELECT * FROM VALUES ('hot', 1), ('hot', 2), ('a', 3) AS s(k, w)")
