@@ -97,17 +97,22 @@ def _whole(how: str, value: Column, order: list[str]) -> Column:
     return F.sum(value) if how == "sum" else F.max(value)
 
 
+#: For ``scan``: large keys are still to be found.
+UNKNOWN = object()
+
+
 def scan(
-    points: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, **running: Running
+    points: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, hot=UNKNOWN, **running: Running
 ) -> DataFrame:
     """Add running values per key, ordered by ``order`` (first column a timestamp).
 
     Rows must be unique per (keys, order).  Keys of ordinary size are one
     window; a large key is one window per slice of its rows, with the values of
-    earlier slices carried in from one summary row per slice.
+    earlier slices carried in from one summary row per slice.  ``hot`` is what
+    ``hot_keys`` gave for these rows, where the caller has it from another scan.
     """
     micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    hot = hot_keys(points, keys, hot_rows)
+    hot = hot_keys(points, keys, hot_rows) if hot is UNKNOWN else hot
     rows = points
     for name, spec in running.items():
         rows = rows.withColumn(f"_in_{name}", spec.value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -43,22 +44,24 @@ def status_to_action(status: Column) -> Column:
     )
 
 
-def sla_violations(jobs: DataFrame, executions: DataFrame, latest: DataFrame | None = None) -> DataFrame:
+def sla_violations(
+    jobs: DataFrame, executions: DataFrame, latest: DataFrame | None = None, also: Sequence[str] = ()
+) -> DataFrame:
     """Active jobs with an SLA whose newest run took strictly longer.
 
-    ``latest`` is ``latest_execution(executions)`` where the caller has it already.
+    ``latest`` is ``latest_execution(executions)`` where the caller has it already; ``also`` names columns of the run to keep.
     """
     watched = jobs.filter((F.col("status") == "ACTIVE") & (F.col("sla_seconds") > 0)).select(
         "job_id", "tenant_id", "name", "sla_seconds"
     )
     latest = (latest_execution(executions) if latest is None else latest).select(
-        "job_id", F.col("id").alias("execution_id"), "started_at", "completed_at", "duration_ms"
+        "job_id", F.col("id").alias("execution_id"), "started_at", "completed_at", "duration_ms", *also
     )
     return watched.join(latest, "job_id").filter(F.col("duration_ms") > F.col("sla_seconds").cast("bigint") * 1000)
 
 
 def missed_heartbeats(
-    jobs: DataFrame, executions: DataFrame, as_of: datetime, latest: DataFrame | None = None
+    jobs: DataFrame, executions: DataFrame, as_of: datetime, latest: DataFrame | None = None, also: Sequence[str] = ()
 ) -> DataFrame:
     """Active scheduled jobs silent for longer than expected runtime plus grace."""
     scheduled = jobs.filter((F.col("status") == "ACTIVE") & ~is_blank(F.col("cron_expression"))).select(
@@ -71,7 +74,7 @@ def missed_heartbeats(
         ).alias("allowed_seconds"),
     )
     latest = (latest_execution(executions) if latest is None else latest).select(
-        "job_id", F.coalesce("completed_at", "started_at").alias("last_seen_at")
+        "job_id", F.coalesce("completed_at", "started_at").alias("last_seen_at"), *also
     )
     now = F.lit(as_of).cast("timestamp_ntz")
     silent = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen_at").cast("timestamp"))
@@ -84,13 +87,13 @@ def missed_heartbeats(
     )
 
 
-def _event(df: DataFrame, action: Column | str, producer: str, **columns: Column) -> DataFrame:
-    """Project to the common job-event columns; missing ones are null."""
+def _event(df: DataFrame, action: Column | str, producer: str, also: Sequence[str] = (), **columns: Column) -> DataFrame:
+    """Project to the common job-event columns, missing ones null, and the columns ``also`` as they are."""
     given = {**columns, "action": F.lit(action) if isinstance(action, str) else action, "producer": F.lit(producer)}
-    return df.select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVENT_COLUMNS.items()))
+    return df.select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVENT_COLUMNS.items()), *also)
 
 
-def execution_events(executions: DataFrame, jobs: DataFrame) -> DataFrame:
+def execution_events(executions: DataFrame, jobs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """One job event per recorded execution of a known job."""
     named = jobs.select("tenant_id", "job_id", F.col("name").alias("job_name"))
     joined = salted_join(executions, named, ["tenant_id", "job_id"], "id")
@@ -98,6 +101,7 @@ def execution_events(executions: DataFrame, jobs: DataFrame) -> DataFrame:
         joined,
         status_to_action(F.col("status")),
         "executions",
+        also,
         tenant_id=F.col("tenant_id"),
         job_id=F.col("job_id"),
         execution_id=F.col("id"),
@@ -115,12 +119,13 @@ def _at(as_of: datetime) -> dict[str, Column]:
     return {"event_time": F.lit(as_of).cast("timestamp_ntz")}
 
 
-def sla_events(violations: DataFrame, as_of: datetime) -> DataFrame:
+def sla_events(violations: DataFrame, as_of: datetime, also: Sequence[str] = ()) -> DataFrame:
     """One event per late run and evaluation time."""
     return _event(
         violations,
         "SLA_VIOLATED",
         "sla",
+        also,
         tenant_id=F.col("tenant_id"),
         job_id=F.col("job_id"),
         execution_id=F.col("execution_id"),
@@ -132,12 +137,13 @@ def sla_events(violations: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def heartbeat_events(missed: DataFrame, as_of: datetime) -> DataFrame:
+def heartbeat_events(missed: DataFrame, as_of: datetime, also: Sequence[str] = ()) -> DataFrame:
     """One event per silent job and evaluation time."""
     return _event(
         missed,
         "HEARTBEAT_MISSED",
         "heartbeat",
+        also,
         tenant_id=F.col("tenant_id"),
         job_id=F.col("job_id"),
         job_name=F.col("name"),

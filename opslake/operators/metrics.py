@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.greedy import keep_spaced
-from opslake.functions.skew import Running, scan
+from opslake.functions.skew import HOT_ROWS, Running, hot_keys, scan
 
 
 def counter_increases(samples: DataFrame, series: list[str]) -> DataFrame:
@@ -234,11 +234,13 @@ def metric_alerts(
 def alert_groups(alerts: DataFrame, by: list[str], ts: str, tie: str, gap_seconds: int = 10) -> DataFrame:
     """Alerts of one group key closer together than the gap, as one notification."""
     order = [ts, tie]
-    paired = scan(alerts.select(*by, *order), by, order, _previous=Running("last", F.col(ts), exclusive=True))
+    rows = alerts.select(*by, *order)
+    hot = hot_keys(rows, by, HOT_ROWS)
+    paired = scan(rows, by, order, hot=hot, _previous=Running("last", F.col(ts), exclusive=True))
     gap = F.expr(f"interval {int(gap_seconds)} seconds")
     opens = F.col("_previous").isNull() | (F.col(ts) >= F.col("_previous") + gap)
     marked = paired.withColumn("_opens", F.when(opens, 1).otherwise(0))
-    numbered = scan(marked, by, order, _group=Running("sum", F.col("_opens")))
+    numbered = scan(marked, by, order, hot=hot, _group=Running("sum", F.col("_opens")))
     return (
         numbered.groupBy(*by, "_group")
         .agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("alerts"))

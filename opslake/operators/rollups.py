@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import HOT_ROWS, Running, scan, trailing_count
+from opslake.functions.skew import HOT_ROWS, Running, hot_keys, scan, trailing_count
 
 ROLLUP_KEYS = ["job_id", "tenant_id", "bucket"]
 
@@ -119,29 +119,32 @@ def windowed_failure_count(executions: DataFrame, seconds: int) -> DataFrame:
 
 
 def running_outcomes(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every run with what is known of its job by then: ``success_rate`` in whole percent and, for a failed run,
+    """The runs with what is known of their job by then: ``success_rate`` in whole percent and, for a failed run,
     ``consecutive_failures``.
 
-    Failures in a row are counted from the last success; other states neither add nor end them.
+    Failures in a row are counted from the last success; other states neither
+    add nor end them.  Both passes share one count of large keys, one shuffle and
+    one sort.
     """
     keys, order = ["tenant_id", "job_id"], ["started_at", "id"]
     failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
+    hot = hot_keys(executions, keys, hot_rows)
     counted = scan(
-        executions.select(*keys, *order, "status"),
+        executions,
         keys,
         order,
         hot_rows,
-        runs=Running("sum", F.lit(1)),
-        successes=Running("sum", F.when(ok, 1).otherwise(0)),
-        failures=Running("sum", F.when(failed, 1).otherwise(0)),
+        hot,
+        _runs=Running("sum", F.lit(1)),
+        _successes=Running("sum", F.when(ok, 1).otherwise(0)),
+        _failures=Running("sum", F.when(failed, 1).otherwise(0)),
     )
     # The running count of failures never falls, so its value at the last success is the largest at any success.
-    based = scan(counted, keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
-    streak = F.when(failed, F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint")
+    based = scan(counted, keys, order, hot_rows, hot, _base=Running("max", F.when(ok, F.col("_failures"))))
+    streak = F.when(failed, F.col("_failures") - F.coalesce("_base", F.lit(0))).cast("bigint")
     return based.select(
-        *keys,
-        *order,
-        F.expr("successes * 100 div runs").alias("success_rate"),
+        *(F.col(c) for c in executions.columns),
+        F.expr("_successes * 100 div _runs").alias("success_rate"),
         streak.alias("consecutive_failures"),
     )
 
@@ -154,8 +157,9 @@ def failure_streaks(executions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     keys, order = ["tenant_id", "job_id"], ["started_at", "id"]
     failed, ok = F.col("status") == "FAILED", F.col("status") == "SUCCESS"
     decided = executions.filter(F.col("status").isin("FAILED", "SUCCESS")).select(*keys, *order, "status")
-    counted = scan(decided, keys, order, hot_rows, failures=Running("sum", F.when(failed, 1).otherwise(0)))
-    based = scan(counted, keys, order, hot_rows, base=Running("max", F.when(ok, F.col("failures"))))
+    hot = hot_keys(decided, keys, hot_rows)
+    counted = scan(decided, keys, order, hot_rows, hot, failures=Running("sum", F.when(failed, 1).otherwise(0)))
+    based = scan(counted, keys, order, hot_rows, hot, base=Running("max", F.when(ok, F.col("failures"))))
     return based.filter(failed).select(
         *keys, *order, (F.col("failures") - F.coalesce("base", F.lit(0))).cast("bigint").alias("consecutive_failures")
     )

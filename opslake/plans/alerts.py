@@ -6,8 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import latest_per_key, salted_join
-from opslake.operators import rollups, rules, tables
+from opslake.operators import rules, tables
 from opslake.plans.jobs import FEED_SQL, job_events
 from opslake.plans.registry import query
 from opslake.sources.fixtures import AS_OF
@@ -83,17 +82,7 @@ def full_context(t):
 
     An event without a run of its own, a missed heartbeat, takes the rate at the job's newest run.
     """
-    context = rules.event_context(rules.alertable_events(job_events(t)))
-    runs = rollups.running_outcomes(t.job_executions)
-    of_run = runs.select(F.col("id").alias("execution_id"), "consecutive_failures", "success_rate")
-    newest = latest_per_key(
-        runs.select("tenant_id", "job_id", "started_at", "id", F.col("success_rate").alias("newest_rate")),
-        ["tenant_id", "job_id"],
-        [F.desc("started_at"), F.desc("id")],
-    ).drop("started_at", "id")
-    with_runs = context.join(of_run, "execution_id", "left")
-    joined = salted_join(with_runs, newest, ["tenant_id", "job_id"], "event_id", "left")
-    return joined.withColumn("success_rate", F.coalesce("success_rate", "newest_rate")).drop("newest_rate")
+    return rules.event_context(rules.alertable_events(job_events(t, history=True)))
 
 
 def evaluated(t):

@@ -151,14 +151,23 @@ UNION ALL SELECT tenant_id, NULL, NULL, action, job_name, NULL, exit_code, NULL,
   FROM ({INGEST_SQL})"""
 
 
-def job_events(t):
-    """The feed of all four producers; the newest runs, one row per job, are looked up once for both evaluators."""
+def job_events(t, history: bool = False):
+    """The feed of all four producers; the newest runs, one row per job, are looked up once for both evaluators.
+
+    With ``history`` events carry the streak and success rate of their run, a missed heartbeat the rate at the job's
+    newest run.  They are taken onto the runs before the feed is made, so no event is joined with its run again.
+    """
     jobs, runs = t.jobs, t.job_executions
+    streak, rate = ("consecutive_failures",) * history, ("success_rate",) * history
+    if history:
+        runs = rollups.running_outcomes(runs)
     latest = materialize(evaluators.latest_execution(runs), "latest-runs")
+    late = evaluators.sla_violations(jobs, runs, latest, streak + rate)
+    silent = evaluators.missed_heartbeats(jobs, runs, AS_OF, latest, rate)
     return evaluators.job_event_feed(
-        evaluators.execution_events(runs, jobs),
-        evaluators.sla_events(evaluators.sla_violations(jobs, runs, latest), AS_OF),
-        evaluators.heartbeat_events(evaluators.missed_heartbeats(jobs, runs, AS_OF, latest), AS_OF),
+        evaluators.execution_events(runs, jobs, streak + rate),
+        evaluators.sla_events(late, AS_OF, streak + rate),
+        evaluators.heartbeat_events(silent, AS_OF, rate),
         evaluators.gateway_events(t.ingest_requests),
     )
 
