@@ -6,7 +6,8 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from opslake.operators import logs, tables
+from opslake.functions.scratch import scratch_path
+from opslake.operators import logindex, logs, tables
 from opslake.plans.registry import query
 from opslake.sources.fixtures import AS_OF
 
@@ -63,6 +64,18 @@ def _(t):
     return _searched(t).select("id", "tenant_id", "service", "level", "message", "ts")
 
 
+@query("log_search_indexed", SEARCH_SQL)
+def _(t):
+    """The same rows from stored logs, of which only the files that the term index names are opened."""
+    path = scratch_path(t.spark, "logs")
+    logs.write_logs(logs.prepare_logs(t.logs, AS_OF), f"{path}/rows")
+    logindex.extend_index(t.spark, f"{path}/rows", f"{path}/terms")
+    found = logindex.indexed_search(
+        t.spark, f"{path}/rows", f"{path}/terms", "t1", "with HTTP", "INFO", datetime(2024, 1, 2), datetime(2024, 3, 1)
+    )
+    return found.select("id", "tenant_id", "service", "level", "message", "ts")
+
+
 @query(
     "log_search_words",
     r"""

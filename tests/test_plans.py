@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from opslake.operators import evaluators, logs, querylog, rollups
+from opslake.operators import evaluators, logindex, logs, querylog, rollups
 from opslake.plans import registry
 from opslake.sources import archive, jdbc
 from opslake.sources.fixtures import Domain
@@ -63,6 +63,44 @@ def test_logs_prune_partitions(spark, t, tmp_path):
     assert found.count() == logs.log_search(t.logs, "t1", None, "INFO", start, end).count() > 0
 
 
+def test_term_index_prunes_files_and_changes_no_result(spark, tmp_path):
+    words = ["alpha", "beta", "Gamma", "日本", "über", "x-ray", "naïve", "m²"]
+    path, index = str(tmp_path / "logs"), str(tmp_path / "terms")
+    kind = "id long, tenant_id string, level string, ts timestamp_ntz, message string"
+
+    def add(day, numbers):
+        for n in numbers:  # a file for each word
+            row = (n, "t 1", "INFO", datetime(2024, 1, day, n % 24), f"it said {words[n % len(words)]} again")
+            logs.write_logs(logs.prepare_logs(spark.createDataFrame([row], kind), datetime(2024, 1, 31)).coalesce(1), path)
+
+    add(2, range(8))
+    logindex.extend_index(spark, path, index)
+    asked = ("ALPHA", "alpha gamma", "日本", "ÜBER", "ray", "nai", "m²", "!!", "", "said")
+
+    def check():
+        for query in asked:
+            plain = logs.log_search(logs.read_logs(spark, path, "t 1"), "t 1", query)
+            found = logindex.indexed_search(spark, path, index, "t 1", query)
+            assert found.schema == plain.schema
+            assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())), query
+
+    check()
+    chosen, every = logindex.files_to_read(spark, path, index, "t 1", "alpha gamma", None, None)
+    assert len(every) == 8 and len(chosen) == 2
+    assert len(logindex.indexed_search(spark, path, index, "t 1", "alpha").inputFiles()) == 1
+    # Files that the index does not know yet are read whole.
+    add(3, range(8, 12))
+    check()
+    assert len(logindex.files_to_read(spark, path, index, "t 1", "beta", None, None)[0]) == 5
+    logindex.extend_index(spark, path, index)
+    logindex.extend_index(spark, path, index)
+    check()
+    assert len(logindex.files_to_read(spark, path, index, "t 1", "beta", None, None)[0]) == 2
+    assert logindex.files_to_read(spark, path, index, "t 1", "beta", datetime(2024, 1, 3), None)[0][0].count("2024-01-03")
+    entries = logindex.read_index(spark, index)
+    assert entries.count() == entries.distinct().count()
+
+
 def test_archive_uses_any_address_and_prunes(spark, t, tmp_path):
     uri = f"file://{tmp_path}/2024-01-31/archive"
     archive.archive_logs(t.logs, uri)
