@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import re
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.skew import latest_per_key, salted_join
@@ -69,10 +70,40 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFra
     )
 
 
-def versioned_upsert(
-    base: DataFrame, changes: DataFrame, keys: list[str], changed_at: str = "updated_at"
-) -> tuple[DataFrame, DataFrame]:
-    """The table after a batch of changes, and the changes refused.
+def page_after(df: DataFrame, order: list[tuple[str, bool]], size: int, cursor: dict | None = None) -> DataFrame:
+    """The next ``size`` rows of a listing behind a cursor, which holds the ``order`` columns of the last row seen.
+
+    ``order``: columns and whether they go down; together they are unique.  Nulls
+    come first going up and last going down, as Spark sorts.  The cursor is a
+    filter, so it reaches the scan, and any page costs a top-n like the first.
+    """
+    rows = df
+    if cursor is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for column, down in order:
+            c, seen = F.col(column), cursor[column]
+            value = F.lit(seen).cast(df.schema[column].dataType)
+            if seen is None:
+                further = F.lit(False) if down else c.isNotNull()
+            else:
+                further = ((c < value) | c.isNull()) if down else c > value
+            behind = behind | (equal & further)
+            equal = equal & (c.isNull() if seen is None else c == value)
+        lead, down = order[0]
+        if cursor[lead] is not None:  # a plain bound on the first column is what a scan can use
+            value = F.lit(cursor[lead]).cast(df.schema[lead].dataType)
+            rows = rows.filter((F.col(lead) <= value) | F.col(lead).isNull() if down else F.col(lead) >= value)
+        rows = rows.filter(F.coalesce(behind, F.lit(False)))
+    return rows.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order)).limit(size)
+
+
+def cursor_of(page: list[Row], order: list[tuple[str, bool]]) -> dict | None:
+    """The cursor behind a page; None where the page is empty and the listing at its end."""
+    return {c: page[-1][c] for c, _ in order} if page else None
+
+
+def decide_changes(base: DataFrame, changes: DataFrame, keys: list[str], changed_at: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+    """The rows that a batch of changes writes, with their new version, and the changes refused.
 
     A change must name the stored version (or, for a new key, none).  Of several
     that do for one key the first is taken and its version goes up by one; the
@@ -90,6 +121,17 @@ def versioned_upsert(
     written = taken.withColumn(
         "version", F.when(F.col("_stored").isNull(), F.lit(0)).otherwise(F.col("_stored") + 1).cast("int")
     ).drop("_stored")
+    return written, conflicts
+
+
+def versioned_upsert(
+    base: DataFrame, changes: DataFrame, keys: list[str], changed_at: str = "updated_at"
+) -> tuple[DataFrame, DataFrame]:
+    """The table after a batch of changes, and the changes refused (see ``decide_changes``).
+
+    The whole table as one DataFrame; ``sources.versions`` changes a stored one part by part.
+    """
+    written, conflicts = decide_changes(base, changes, keys, changed_at)
     kept = base.join(written.select(*keys), keys, "left_anti")
     return kept.unionByName(written), conflicts
 
@@ -157,6 +199,32 @@ def retained_chunks(df: DataFrame, ts: str, as_of: datetime, keep_days: int) ->
     return df.filter(F.coalesce(chunk_start(ts) + F.expr("interval 7 days") > cutoff, F.lit(True)))
 
 
+# Days that raw rows are kept, by table.
+RETENTION_DAYS = {"job_executions": 90, "alert_history": 180, "notifications": 90}
+
+
+def drop_expired_chunks(
+    spark: SparkSession, paths: dict[str, str], as_of: datetime, keep_days: dict[str, int] | None = None
+) -> dict[str, list[date]]:
+    """Remove whole chunks of stored chunk tables that end at or before their table's cutoff; tells which.
+
+    ``paths`` names the folder of each table as ``write_chunks`` wrote it.  A
+    chunk across the cutoff stays whole, so no row younger than the term goes.
+    Only folders are listed and deleted, no row is read.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    dropped: dict[str, list[date]] = {}
+    for table, path in paths.items():
+        cutoff = as_of - timedelta(days={**RETENTION_DAYS, **(keep_days or {})}[table])
+        root = hadoop.Path(path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [str(s.getPath().getName()) for s in files.listStatus(root)] if files.exists(root) else []
+        chunks = sorted(date.fromisoformat(n.split("=")[1]) for n in names if re.fullmatch(r"chunk_date=[0-9-]{10}", n))
+        old = [c for c in chunks if datetime(c.year, c.month, c.day) + timedelta(days=7) <= cutoff]
+        dropped[table] = [c for c in old if files.delete(hadoop.Path(root, f"chunk_date={c}"), True)]
+    return dropped
+
+
 def dedup_events(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First copy of every event delivered more than once."""
     return latest_per_key(events, [key], order)

@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from opslake.functions.scratch import materialize
+from opslake.functions.scratch import materialize, scratch_path
 from opslake.operators import evaluators, rollups, tables
 from opslake.plans.registry import query
+from opslake.sources import versions
 from opslake.sources.fixtures import AS_OF
 
 ROLLUP_SQL = """
@@ -357,6 +358,45 @@ def _(t):
     return stored.withColumn("outcome", F.lit("stored")).unionByName(conflicts.withColumn("outcome", F.lit("conflict")))
 
 
+@query(
+    "stored_upsert",
+    f"""
+WITH base AS ({UPSERT_BASE}), changes AS (SELECT * FROM ({UPSERT_CHANGES}) WHERE job_id % 16 = 3),
+offered AS (SELECT c.*, b.version AS stored FROM changes c LEFT JOIN base b ON b.job_id = c.job_id),
+taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at) AS rn FROM offered
+                         WHERE stored IS NULL OR version = stored) WHERE rn = 1)
+SELECT job_id, name, version, updated_at FROM base WHERE job_id NOT IN (SELECT job_id FROM taken)
+UNION ALL
+SELECT job_id, name, CASE WHEN stored IS NULL THEN 0 ELSE stored + 1 END, updated_at FROM taken""",
+)
+def _(t):
+    """A batch that touches some keys, applied to the stored table and read back."""
+
+    def ntz(df):
+        return df.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+    table = versions.VersionedTable(t.spark, scratch_path(t.spark, "jobs"))
+    table.create(ntz(t.sql(UPSERT_BASE)), ["job_id"])
+    table.upsert(ntz(t.sql(UPSERT_CHANGES)).where("job_id % 16 = 3"))
+    return table.read()
+
+
+@query(
+    "jobs_after_cursor",
+    """
+SELECT * FROM v_jobs WHERE name > (SELECT name FROM v_jobs ORDER BY name, job_id LIMIT 1 OFFSET 39)
+   OR (name = (SELECT name FROM v_jobs ORDER BY name, job_id LIMIT 1 OFFSET 39)
+       AND job_id > (SELECT job_id FROM v_jobs ORDER BY name, job_id LIMIT 1 OFFSET 39))
+ORDER BY name, job_id LIMIT 20""",
+)
+def _(t):
+    """The third page of twenty, each page behind the cursor of the one before it."""
+    order, cursor = [("name", False), ("job_id", False)], None
+    for _ in range(2):
+        cursor = tables.cursor_of(tables.page_after(t.jobs, order, 20, cursor).collect(), order)
+    return tables.page_after(t.jobs, order, 20, cursor)
+
+
 @query(
     "dimension_patch",
     """
