@@ -39,14 +39,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked, and n_chars follows where the text changed."""
-    found = secret_scan.with_spans(docs.withColumn("_scanned", F.coalesce("text", F.lit(""))), text_col="_scanned")
-    masked = secret_scan.mask(F.col("_scanned"), F.col("_spans"), MASK)
+    # The row travels as one column, so no name of its own can clash with those of the scan.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    scanned = secret_scan.with_spans(docs.select(row.alias("_row"), F.coalesce("text", F.lit("")).alias("_text")), text_col="_text")
     hit = F.size("_spans") > 0
-    changed = found.withColumn("text", F.when(hit, masked).otherwise(F.col("text")))
+    masked = secret_scan.masked(scanned, "_text", "_spans", MASK)
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return changed.select(*(f"`{c}`" for c in docs.columns))
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    fields = ((c, F.col("_row").getField(c)) for c in docs.columns)
+    return masked.select(*((F.when(hit, new[c]).otherwise(old) if c in new else old).alias(c) for c, old in fields))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

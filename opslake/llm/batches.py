@@ -48,6 +48,14 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def share(spark: SparkSession, value):
     """Broadcast ``value``; a worker process unpacks it once, so what it caches on it lasts over tasks."""
     return spark.sparkContext.broadcast(value)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import materialize
-from opslake.llm.batches import bitmap, map_slices, share, texts
+from opslake.llm.batches import bitmap, map_slices, share, texts, unused
 from opslake.llm.shingles import WordHashes, shingles, windows, word_hashes
 
 SEED_WORDS = 5
@@ -236,7 +236,14 @@ def contaminated(
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without id stay."""
-    found = contaminated(docs, benchmark, id_col, text_col)
-    gone = found.where("doc_id is not null").select(F.col("doc_id").alias("_held_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_held_id"), "left_anti")
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows are decided by id and text, so of rows that share an id those without
+    an item stay.  Rows without id stay.
+    """
+    plain = F.col(f"`{id_col}`").cast("bigint")
+    name = F.xxhash64(plain, F.col(f"`{text_col}`"))
+    found = contaminated(docs.where(plain.isNotNull()).select(name.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark)
+    held = unused(docs, "_held")
+    gone = found.select(F.col("doc_id").alias(held)).distinct()
+    return docs.join(gone, plain.isNotNull() & (name == F.col(held)), "left_anti")

@@ -23,11 +23,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.scratch import materialize, remove
-from opslake.llm.batches import bitmap, keep_marked, map_slices, share, texts
+from opslake.llm.batches import bitmap, keep_marked, map_slices, share, texts, unused
 from opslake.llm.graph import components
 from opslake.llm.shingles import WordHashes, mix, shingles, weighted_cells, word_hashes
 
@@ -171,15 +171,16 @@ def measured(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return map_slices(plain, run, "doc_id bigint, leader bigint, similarity double")
 
 
-def one_text_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and ``text``; of rows that share an id the greatest text stands for it, rows without id fall out."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    twice = materialize(base.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        remove(twice)
-        return base
-    alone = base.join(twice, "doc_id", "left_anti")
-    return alone.union(base.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id stands in several rows."""
+    counted = docs.groupBy(F.col(f"`{id_col}`").cast("bigint").alias("id")).count()
+    return not counted.where("count > 1 and id is not null").isEmpty()
+
+
+def _named(id_col: str, text_col: str, repeats: bool) -> Column:
+    """What names a document: its id, or a hash of id and text where ids repeat; null without an id."""
+    plain = F.col(f"`{id_col}`").cast("bigint")
+    return F.when(plain.isNotNull(), F.xxhash64(plain, F.col(f"`{text_col}`"))) if repeats else plain
 
 
 def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     so far).  Members of one part need no comparison, so those outside the
     commonest part of a bucket are compared with each other and with that part.
     """
-    common = (
+    common = materialize(
         members.groupBy("key", "part")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key")
@@ -199,7 +200,8 @@ def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
             "common",
             F.ceil(F.col("in_common") / BLOCK).cast("int").alias("common_blocks"),
             F.ceil((F.col("all") - F.col("in_common")) / BLOCK).cast("int").alias("other_blocks"),
-        )
+        ),
+        "common-parts",
     )
     spread = members.join(common, "key").withColumn("other", F.col("part") != F.col("common"))
     other = F.col("other")
@@ -254,18 +256,38 @@ def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     return seated.groupBy("key", "a", "b").applyInArrow(compare, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``class_id`` of every document that is in a class with another one.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool | None = None) -> DataFrame:
+    """``name``, ``doc_id``, ``class_id`` and ``kept`` of every document with an id and a word.
 
     Documents are linked when the weighted Jaccard similarity of their runs of
-    five words is at least 0.8; a class holds what links reach, and its id is
-    its smallest document id.  Texts are compared as lower-case words between
-    white space; a text of one to four words is a single run.  Null, empty and
-    blank texts are linked with nothing, nor are rows without an id.  Rows that
-    share an id are one document, of which the greatest text counts.  Other
-    columns are ignored.
+    five words is at least 0.8; a class holds what links reach, its id is its
+    smallest document id, and that document is kept.  Texts are compared as
+    lower-case words between white space; a text of one to four words is a
+    single run.  Null, empty and blank texts are linked with nothing, nor are
+    rows without an id.  ``name`` is the id.  Where ids repeat, it is a hash of
+    id and text: rows equal in both are one document, others are documents of
+    their own, of which the one of smallest id and name is kept.  Other columns
+    are ignored.
     """
-    base = one_text_per_id(docs, id_col, text_col)
+    repeats = _repeats(docs, id_col) if repeats is None else repeats
+    plain = docs.select(
+        _named(id_col, text_col, repeats).alias("name"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
+    ).where("name is not null")
+    if repeats:
+        plain = plain.dropDuplicates(["name"])
+    found = _classes(plain.select(F.col("name").alias("doc_id"), "text"))
+    if not repeats:
+        return found.select(F.col("doc_id").alias("name"), "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    members = plain.select("name", "doc_id").join(found.select(F.col("doc_id").alias("name"), F.col("class_id").alias("of")), "name")
+    members = materialize(members, "members")
+    heads = materialize(members.groupBy("of").agg(F.min(F.struct("doc_id", "name")).alias("head")), "heads")
+    return members.join(heads, "of").select(
+        "name", "doc_id", F.col("head.doc_id").alias("class_id"), (F.col("name") == F.col("head.name")).alias("kept")
+    )
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """``doc_id`` and ``class_id`` of every text with words; ids are unique."""
     signed = materialize(signatures(base), "signatures")
 
     # Equal word sequences: one representative goes on.  Only groups of several are stored, so that the
@@ -280,7 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.pmod("band", F.lit(len(ORDERS)))
     turned = F.array(*(F.lit(o) for o in ORDERS))[order]
     ranked = bands.select("doc_id", "key", turned.alias("turn"), F.col("doc_id").bitwiseXOR(turned).alias("rank"))
-    buckets = ranked.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Aggregates are stored before a join with what they sum up, or a bucket of any size would be one task of it.
+    buckets = materialize(
+        ranked.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leaders"
+    )
     shared = materialize(
         ranked.join(buckets, "key").select("key", "doc_id", F.col("least").bitwiseXOR(F.col("turn")).alias("leader")), "buckets"
     )
@@ -306,7 +331,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     reach = 1 - SIMILARITY
-    open_keys = (
+    placed = materialize(placed, "placed")
+    open_keys = materialize(
         placed.groupBy("key")
         .agg(
             F.max(F.when(F.col("near") < SIMILARITY, F.col("near"))).alias("nearest"),
@@ -315,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.max("part").alias("high"),
         )
         .where(f"low < high and (far > 1 or nearest >= {SIMILARITY - reach - 1e-9})")
-        .select("key", "nearest")
+        .select("key", "nearest"),
+        "open-buckets",
     )
     left = materialize(
         placed.join(open_keys, "key")
@@ -328,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         more = materialize(_leftover_links(left, needed), "more")
         joined = materialize(components(linked.union(more)), "parts")
-    remove(left, needed, shared, checked)
+    remove(left, needed, shared, checked, placed, open_keys, buckets)
     return (
         members.join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
         .select("doc_id", F.coalesce("component", "rep").alias("class_id"), "rep")
@@ -341,31 +368,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Documents linked with nothing are classes of their own.  A row without id has no class and is kept.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"))
-    return rows.join(found, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    repeats = _repeats(docs, id_col)
+    found = near_duplicates(docs, id_col, text_col, repeats).select("name", "class_id", "kept")
+    name = _named(id_col, text_col, repeats)
+    rows = docs.select(name.alias("name"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"))
+    own = F.coalesce("class_id", "doc_id").alias("class_id")
+    return rows.join(found, "name", "left").select("doc_id", own, F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are near copies of a kept one; columns stay as they are.
 
-    One document of each class stays, and one row of each id.  Rows without id stay.
+    One document of each class stays, and of rows equal in id and text one.
+    Rows without id stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id"))
-    stay = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone_id"), "left_anti")
-    twice = materialize(
-        docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 and _id is not null").select("_id"), "repeated"
-    )
-    if twice.isEmpty():
-        remove(twice)
+    repeats = _repeats(docs, id_col)
+    found = near_duplicates(docs, id_col, text_col, repeats)
+    name = _named(id_col, text_col, repeats)
+    other = unused(docs, "_gone")
+    gone = found.where("not kept").select(F.col("name").alias(other))
+    stay = docs.join(gone, name == F.col(other), "left_anti")
+    if not repeats:
         return stay
-    alone = stay.join(twice, F.col(id_col) == F.col("_id"), "left_anti")
-    every = [F.col(f"`{c}`") for c in docs.columns]
-    first = F.max_by(F.struct(*every), F.struct(F.col(text_col), F.xxhash64(*every)))
-    again = stay.join(twice, F.col(id_col) == F.col("_id"), "left_semi").groupBy(F.col(id_col).alias("_id"))
-    return alone.union(again.agg(first.alias("_row")).select("_row.*"))
+    # Rows equal in id and text, seldom more than a few: the greatest by a hash of all columns stays.
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = stay.select(name.alias("name"), every.alias("row"))
+    one = keyed.where("name is not null").groupBy("name").agg(F.max_by("row", F.xxhash64("row")).alias("row"))
+    fields = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return one.select(*fields).union(keyed.where("name is null").select(*fields))

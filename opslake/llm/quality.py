@@ -14,15 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslake.functions.scratch import materialize, remove
 from opslake.llm.batches import map_slices, modest_sample, share, texts
 
 #: About so many labelled documents of each class are learned from; inputs with fewer give all.
 SAMPLE_ROWS = 4000
-#: A quarter of them calibrates, the others give so many pieces each, spread over the text.
-PIECES = 4
+#: Of these, whole texts are taken in the order of a hash until so many bytes of a class are reached; a quarter of the
+#: texts calibrates, all pieces of the others teach.
+SAMPLE_BYTES = 8 << 20
 PIECE_BYTES = 1024
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -42,14 +44,15 @@ class Model:
 
     good: bytes
     bad: bytes
-    raw: bool
+    raw_good: bool
+    raw_bad: bool
     slope: float
     middle: float
 
     def packers(self) -> list[zstandard.ZstdCompressor]:
-        kind = zstandard.DICT_TYPE_RAWCONTENT if self.raw else zstandard.DICT_TYPE_FULLDICT
         made = []
-        for content in (self.good, self.bad):
+        for content, raw in ((self.good, self.raw_good), (self.bad, self.raw_bad)):
+            kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT
             held = zstandard.ZstdCompressionDict(content, dict_type=kind)
             held.precompute_compress(level=LEVEL)
             made.append(
@@ -110,8 +113,16 @@ def sure_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     )
 
 
+def _within(rows: DataFrame, most: int) -> DataFrame:
+    """``label`` and ``upto``, the hash up to which the texts of a class add up to ``most`` bytes (its first one at least)."""
+    running = F.sum("bytes").over(Window.partitionBy("label").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+    known = rows.select("label", "order", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
+    return known.withColumn("before", F.coalesce(running, F.lit(0))).where(F.col("before") < most).groupBy("label").agg(F.max("order").alias("upto"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from a bounded sample of the labelled documents outside the held-out fold.
+    """Learn from a bounded sample of the labelled documents outside the held-out fold: whole texts, SAMPLE_ROWS and
+    SAMPLE_BYTES at most of each class.
 
     Labels other than 0 and 1, ids with contradicting labels and null ids are
     passed over.  With labels of one class only the score is that class for all
@@ -121,35 +132,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sure = sure_labels(labels, id_col, label_col)
     count = {r.label: r["count"] for r in sure.groupBy("label").count().collect()}
     if len(count) < 2:
-        return Model(b" ", b" ", True, 0.0, {1: 500.0, 0: -500.0}[next(iter(count))] if count else 0.0)
+        return Model(b" ", b" ", True, True, 0.0, {1: 500.0, 0: -500.0}[next(iter(count))] if count else 0.0)
     picked = modest_sample(sure.where("label = 1"), "doc_id", SAMPLE_ROWS).union(
         modest_sample(sure.where("label = 0"), "doc_id", SAMPLE_ROWS)
     )
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    # The sample is bounded, so it goes to the documents; its rows are bounded again for ids that repeat.
-    chosen = base.join(F.broadcast(picked), "doc_id").withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labels, pieces = [], []
-        for label, text in zip(batch.column("label").to_pylist(), texts(batch, "text"), strict=True):
+    # The sample is bounded, so it goes to the documents.
+    order = F.xxhash64("doc_id", "text", F.lit(3))
+    found = base.join(F.broadcast(picked), "doc_id").select("label", "text", order.alias("order"), F.octet_length("text").alias("bytes"))
+    sampled = materialize(found, "labelled")
+    least = _within(sampled.select("label", "order", "bytes").distinct(), SAMPLE_BYTES)
+    # Equal texts of an id are one; what is over the bound is one text at most.
+    chosen = sampled.dropDuplicates(["label", "order"]).join(F.broadcast(least), "label").where("order <= upto")
+    chosen = chosen.select("label", "text", (F.pmod("order", F.lit(4)) == 0).alias("calibrates"))
+
+    def teach(group: pa.Table) -> pa.Table:
+        pieces = []
+        for text in texts(group, "text"):
             data = text.encode("utf-8", "replace")
-            whole = -(-len(data) // PIECE_BYTES)
-            for k in range(min(whole, PIECES)):
-                at = (k if whole <= PIECES else k * whole // PIECES) * PIECE_BYTES
-                labels.append(label)
-                pieces.append(data[at : at + PIECE_BYTES])
-        return pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "piece": pa.array(pieces, pa.binary())})
-
-    bound = 4 * SAMPLE_ROWS
-    teaching = map_slices(chosen.where("not calibrates").select("label", "text"), cut, "label int, piece binary")
-    got = teaching.limit(bound * PIECES).collect()
-    pieces = {label: sorted(bytes(r.piece) for r in got if r.label == label) for label in (0, 1)}
-    raw = min(map(len, pieces.values())) < LEAST_PIECES
-    model = Model(_dictionary(pieces[1], raw), _dictionary(pieces[0], raw), raw, 1.0, 0.0)
+            pieces += [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)]
+        pieces.sort()
+        raw = len(pieces) < LEAST_PIECES
+        made = {"label": [group.column("label")[0].as_py()], "raw": [raw], "dictionary": [_dictionary(pieces, raw)]}
+        return pa.table(made, pa.schema([("label", pa.int32()), ("raw", pa.bool_()), ("dictionary", pa.binary())]))
+
+    # Texts teach in a task; only the dictionaries come to the driver.
+    taught = chosen.where("not calibrates").select("label", "text").groupBy("label")
+    got = {r.label: r for r in taught.applyInArrow(teach, "label int, raw boolean, dictionary binary").collect()}
+    plain = {label: (bytes(got[label].dictionary), got[label].raw) if label in got else (b" ", True) for label in (0, 1)}
+    model = Model(plain[1][0], plain[0][0], plain[1][1], plain[0][1], 1.0, 0.0)
 
     held = share(spark, [model])
-    calibrating = chosen.where("calibrates") if not raw else chosen
-    rows = _differences(calibrating.select("label", "text"), held, "label", "int").limit(bound).collect()
+    rows = _differences(chosen.where("calibrates").select("label", "text"), held, "label", "int").collect()
+    if {r.label for r in rows} != {0, 1}:
+        # Too few texts to set some aside: those that taught calibrate.
+        rows = _differences(chosen.select("label", "text"), held, "label", "int").collect()
+    held.destroy()
+    remove(sampled)
     x = np.array([r.difference for r in rows])
     y = np.array([r.label for r in rows], float)
     if len(set(y)) < 2:
@@ -194,7 +213,10 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         kit = held.value
         if len(kit) == 1:
             kit.append(kit[0].packers())
-        found = np.array([size_difference(text, kit[1]) for text in texts(batch, text_col)])
+        found = np.array([size_difference(text, kit[1]) for text in texts(batch, place)])
         return batch.filter(pa.array(kit[0].score(found) >= 0.5))
 
-    return map_slices(docs, run, docs.schema)
+    # Names of any kind, dots included, stay outside of the tasks.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    place = f"c{docs.columns.index(text_col)}"
+    return map_slices(plain, run, plain.schema).toDF(*docs.columns)

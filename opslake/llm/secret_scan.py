@@ -52,29 +52,28 @@ ALLOWED = (
     r"^/?[a-z]+([/_-][a-z]+|[/_-][0-9]{1,4})+/?$",
 )
 
-_BLOCK = 64
+_BLOCK = 256
 
 
 def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
     """``start`` and then the running result of ``step`` over an array; one entry more than the array has.
 
-    Goes block by block, as a growing array is copied at each step.
+    One pass.  As a growing array is copied at each step, entries gather in blocks.
     """
 
-    def grow(items: Column, first: Column) -> Column:
-        return F.aggregate(items, F.array(first), lambda got, x: F.concat(got, F.array(step(F.element_at(got, -1), x))))
-
-    blocks = F.transform(
-        F.sequence(F.lit(0), (F.size(values) / _BLOCK).cast("int")),
-        lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK),
-    )
-    # Each block's result begins with what came before it, so all but its last entry are kept.
-    def link(got: Column, block: Column) -> Column:
-        return F.concat(got, F.array(F.aggregate(block, F.element_at(got, -1), step)))
+    def add(state: Column, x: Column) -> Column:
+        now, block = step(state["last"], x), state["block"]
+        full = F.size(block) >= _BLOCK
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(block))).otherwise(state["done"]).alias("done"),
+            F.when(full, F.array(now)).otherwise(F.concat(block, F.array(now))).alias("block"),
+            now.alias("last"),
+        )
 
-    before = F.aggregate(blocks, F.array(start), link)
-    inner = F.transform(blocks, lambda block, b: F.slice(grow(block, before[b]), 1, F.size(block)))
-    return F.concat(F.flatten(inner), F.array(F.element_at(before, -1)))
+    first = F.array(start)
+    none = F.filter(F.array(first), lambda b: F.lit(False))
+    begin = F.struct(none.alias("done"), first.alias("block"), start.alias("last"))
+    return F.aggregate(values, begin, add, lambda state: F.flatten(F.concat(state["done"], F.array(state["block"]))))
 
 
 def _class_of(text: Column) -> Column:
@@ -202,17 +201,40 @@ def with_spans(source: DataFrame, allowed: Sequence[str] = ALLOWED, text_col: st
     return placed.select(*kept, plain.alias("_spans"))
 
 
-def mask(text: Column, spans: Column, sign: str) -> Column:
-    """``text`` with each stretch that spans cover replaced by ``sign``; spans go by start."""
+#: Code points of a block that a masked text is cut from.
+_CUT = 16_384
+
+
+def masked(rows: DataFrame, text_col: str, spans_col: str, sign: str) -> DataFrame:
+    """``rows`` with each stretch of the text that spans cover replaced by ``sign``; spans go by start, texts are not null.
+
+    The text is cut into blocks once and the running ends of the spans are found
+    once, each in a generator, so that the lambda that joins the pieces only
+    looks them up.
+    """
+    kept = [f"`{c}`" for c in rows.columns]
+    text, spans = F.col(text_col), F.col(spans_col)
     reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
-    chars = F.split(text, "")
-    kept = F.transform(
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), 0)
+    hit = F.size(spans) > 0
+    side = F.struct(F.when(hit, reach).alias("_reach"), F.when(hit, blocks).alias("_blocks"))
+    staged = rows.select(*kept, F.inline(F.array(side)))
+    reach, blocks = F.col("_reach"), F.col("_blocks")
+
+    def part(block: Column, start: Column, size: Column) -> Column:
+        return F.substr(F.coalesce(F.get(blocks, block), F.lit("")), start + 1, size)
+
+    def between(low: Column, high: Column) -> Column:
+        """The code points from ``low`` up to ``high``."""
+        first, last = F.floor(low / _CUT).cast("int"), F.floor(high / _CUT).cast("int")
+        whole = F.array_join(F.slice(blocks, first + 2, last - first - 1), "")
+        far = F.concat(part(first, low - first * _CUT, F.lit(_CUT)), whole, part(last, F.lit(0), high - last * _CUT))
+        return F.when(first == last, part(first, low - first * _CUT, high - low)).otherwise(far)
+
+    pieces = F.transform(
         spans,
-        lambda s, i: F.when(
-            s["start"] >= reach[i],
-            F.concat(F.array_join(F.slice(chars, reach[i] + 1, s["start"] - reach[i]), ""), F.lit(sign)),
-        ).otherwise(F.lit("")),
+        lambda s, i: F.when(s["start"] >= reach[i], F.concat(between(reach[i], s["start"]), F.lit(sign))).otherwise(F.lit("")),
     )
-    last = F.element_at(reach, -1)
-    tail = F.array_join(F.slice(chars, last + 1, F.length(text)), "")
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(text)
+    tail = between(F.element_at(reach, -1), F.char_length(text))
+    joined = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    return staged.select(*(joined.alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns))

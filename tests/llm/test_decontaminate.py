@@ -114,6 +114,13 @@ def test_stage_keeps_clean_rows_whole(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id = 2").collect()))
 
 
+def test_rows_of_an_id_are_judged_one_by_one(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, item, 1), (1, "clean text", 2), (2, item, 3)], "doc_id long, text string, _held int")
+    kept = decontaminate.remove(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "clean text", 2)]
+
+
 def test_query_against_all_pairs(spark):
     directory = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in queries.table(spark, directory, "documents").collect()]

@@ -89,6 +89,16 @@ def test_odd_rows(spark):
     assert sorted(tuple(r) for r in neardup.keep_one(twice).collect()) == [(1, "a b c", "x"), (2, None, "y")]
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, c, "z"), (2, a, "z"), (3, b, "w"), (3, b, "w")]
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in neardup.classes(docs(spark, rows)).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (2, 1, False), (3, 1, False), (3, 1, False)])
+    stay = neardup.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in stay) == sorted([(1, a), (1, b), (2, c)])
+
+
 def test_long_text_and_signature():
     text = " ".join(words(random.Random(1), 200_000))
     memory = neardup.WordHashes()

@@ -70,5 +70,20 @@ def test_stages_on_odd_rows(spark):
                 assert sorted(str(r.doc_id) for r in got) == (["1", "2", "3", "4", "None"] if docs.count() else [])
 
 
+def test_stages_keep_columns_of_clashing_and_dotted_names(spark):
+    names = ["_spans", "a.b", "_text", "_row", "_gone", "_held", "_m_hex", "_reach", "name", "label", "tag", "_id", "_gone_id", "hash"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    own = [f"own {n}" for n in names]
+    rows = [(1, "the quick one of them and it was with that", "en", "s", 10, *own), (2, 'a token="abcdef123" here', "en", "s", 9, *own)]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = out.collect()
+        assert name == "quality_classifier" or len(got) == 2, name
+        assert all(list(r)[5:] == own for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == 2
+
+
 def test_every_stage_is_named_and_order_holds():
     assert [re.sub("_.*", "", n) for n, _ in corpus_pipeline.STAGES] == ["quality", "minhash", "benchmark", "secret", "byte"]

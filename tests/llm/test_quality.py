@@ -29,7 +29,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_size_difference_packs_every_piece_whole():
-    packers = quality.Model(b"the good words of a text ", b"@@@@ #### ", True, 1.0, 0.0).packers()
+    packers = quality.Model(b"the good words of a text ", b"@@@@ #### ", True, True, 1.0, 0.0).packers()
     text = "the good words of a text é " * 500
     data = text.encode()
     pieces = [data[i : i + quality.PIECE_BYTES] for i in range(0, len(data), quality.PIECE_BYTES)]
