@@ -84,6 +84,19 @@ def decode_logs(raw: DataFrame, received_at: Column, value: str = "value") -> Da
     )
 
 
+def log_dead_letters(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Raw log records that ``decode_logs`` gives no entry for: an ``id`` from the text, the text and the reason.
+
+    Other columns of ``raw`` are kept.
+    """
+    text = F.col(value).cast("string")
+    entry = F.from_json(text, T.StructType([*schemas.LOG_ENTRY.fields, T.StructField(_CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = raw.withColumn("_entry", entry)
+    reason = F.when(F.col("_entry").isNull() | F.col(f"_entry.{_CORRUPT}").isNotNull(), "not valid JSON").otherwise("missing tenantId")
+    bad = parsed.where(F.col("_entry.tenantId").isNull())
+    return bad.withColumns({"id": F.sha2(F.coalesce(text, F.lit("")), 256), "error_message": reason}).drop("_entry")
+
+
 def envelope(event_type: str, event_id: Column, timestamp: Column, tenant_id: Column, **fields: Column) -> Column:
     """JSON text of an event."""
     return F.to_json(

@@ -20,6 +20,7 @@ from opslake.functions.text import is_blank
 from opslake.operators import logs as log_ops
 from opslake.operators import notify, rules
 from opslake.streaming import events as event_ops
+from opslake.streaming.logstore import LogStore
 
 
 def deduplicated(stream: DataFrame, key: str = "eventId", ts: str = "timestamp", lateness: str = "1 hour") -> DataFrame:
@@ -289,6 +290,73 @@ def heartbeat_timeouts(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+class RetryProcessor(StatefulProcessor):
+    """Per record: how often it was tried.  A record that fails is tried again after a pause, in all three times."""
+
+    def __init__(self, handle_record: Callable[[str], None], pause_ms: int, fatal: tuple[type[Exception], ...]):
+        self._handle_record, self._pause, self._fatal = handle_record, pause_ms, fatal
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        fields = [T.StructField("payload", T.StringType()), T.StructField("tries", T.IntegerType())]
+        self._state = handle.getValueState("record", T.StructType(fields))
+
+    def _attempt(self, key, payload: str, tries: int, now_ms: int) -> pd.DataFrame | None:
+        route, error = "handled", None
+        try:
+            self._handle_record(payload)
+        except Exception as failure:  # what a record does to its handler must not end the stream
+            error = f"{type(failure).__name__}: {failure}"
+            final = isinstance(failure, self._fatal) or tries >= event_ops.MAX_ATTEMPTS
+            route = "dead-letter" if final else "retry"
+        if route == "retry":
+            self._state.update((payload, tries))
+            self._handle.registerTimer(now_ms + self._pause)
+            return None
+        self._state.clear()
+        return pd.DataFrame({"id": [key[0]], "payload": [payload], "route": [route], "attempts": [tries], "error_message": [error]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        payloads = [p for frame in rows for p in frame["payload"]]
+        if self._state.exists():
+            return  # a copy of a record that waits for its next try
+        out = self._attempt(key, payloads[0], 1, timerValues.getCurrentProcessingTimeInMs())
+        if out is not None:
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        payload, tries = self._state.get()
+        out = self._attempt(key, payload, tries + 1, timerValues.getCurrentProcessingTimeInMs())
+        if out is not None:
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def with_retries(
+    records: DataFrame, handle_record: Callable[[str], None], pause_ms: int = 1000, fatal: tuple[type[Exception], ...] = (ValueError,)
+) -> DataFrame:
+    """What became of every record (``id``, ``payload``): ``route`` handled or dead-letter, the number of tries and the last error.
+
+    ``handle_record`` is called with the payload in the tasks.  A record for
+    which it raises is called again after ``pause_ms``, up to three times; an
+    error in ``fatal``, such as one of parsing, is not tried again.  Tries are
+    state of the stream, so they outlast a restart.  Copies of a record that
+    waits count as that record.
+    """
+    return (
+        records.select(F.col("id").cast("string").alias("id"), F.col("payload").cast("string").alias("payload"))
+        .groupBy("id")
+        .transformWithStateInPandas(
+            RetryProcessor(handle_record, pause_ms, fatal),
+            "id string, payload string, route string, attempts int, error_message string",
+            "append",
+            "ProcessingTime",
+        )
+    )
+
+
 @contextmanager
 def _read_once(batch: DataFrame) -> Iterator[DataFrame]:
     """Keep a batch while several outputs are written from it."""
@@ -304,24 +372,37 @@ def _replace(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def log_batch_writer(path: str, patterns: list[dict]) -> Callable[[DataFrame, int], None]:
-    """Per batch: store the logs and the pattern hits."""
+    """Per batch: store the logs and the pattern hits.  ``logstore.LogStore`` packs the logs of closed days."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with _read_once(batch) as rows:
             # Tenant and day come first, so a reader prunes before it lists batches; a batch replaces only its own part.
-            (
-                rows.withColumns({"log_date": F.to_date("ts"), "batch_id": F.lit(batch_id)})
-                .hint("rebalance", "tenant_id", "log_date")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("tenant_id", "log_date", "batch_id")
-                .parquet(f"{path}/logs")
-            )
+            LogStore(rows.sparkSession, f"{path}/logs").write(rows, batch_id)
             _replace(log_ops.pattern_hits(rows, patterns), f"{path}/hits", batch_id)
 
     return write
 
 
+def raw_log_batch_writer(path: str, value: str = "value", attempts: int = 1) -> Callable[[DataFrame, int], None]:
+    """Per batch of raw texts: log entries into the store, records that are none into the dead letters.
+
+    Entries without a time have the time the batch came.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = F.current_timestamp()
+        with _read_once(batch) as raw, _read_once(event_ops.decode_logs(batch, now.cast("timestamp_ntz"), value)) as entries:
+            LogStore(raw.sparkSession, f"{path}/logs").write(entries, batch_id)
+            bad = event_ops.log_dead_letters(raw, value).withColumn("attempts", F.lit(attempts))
+            bad = bad.withColumns({c: F.lit(None).cast("string") for c in ("tenant_id", "job_type")})
+            stored = event_ops.dead_letter_records(
+                bad, "id", "tenant_id", "logs", "job_type", value, "error_message", "attempts", now
+            )
+            _replace(stored, f"{path}/dead_letters", batch_id)
+
+    return write
+
+
 def decode_batch_writer(path: str, value: str = "value") -> Callable[[DataFrame, int], None]:
     """Per batch: decoded events and dead letters, each in its own output."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opslake.operators import tables
 from opslake.sources import versions
+from opslake.streaming import logstore
 
 NOW = datetime(2024, 6, 1)
 KIND = "id long, name string, version int, updated_at timestamp_ntz"
@@ -119,3 +120,58 @@ def test_a_cursor_reaches_the_scan(spark, tmp_path):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(n,90000)" in plan and "TakeOrderedAndProject" in plan
     assert [r.n for r in page.collect()] == list(range(90_001, 90_011))
+
+
+LOGS = "id string, tenant_id string, ts timestamp_ntz, message string"
+
+
+def log_rows(spark, batch, days=3, per_day=4):
+    rows = [
+        (f"{batch}-{d}-{i}", f"t {i % 2}", datetime(2024, 1, 1 + d, batch % 24, i), f"m{i}")
+        for d in range(days)
+        for i in range(per_day)
+    ]
+    return spark.createDataFrame(rows, LOGS)
+
+
+def test_packing_bounds_the_files_and_keeps_every_row(spark, tmp_path):
+    store = logstore.LogStore(spark, str(tmp_path / "logs"))
+    for batch in range(25):
+        store.write(log_rows(spark, batch), batch)
+    schema = spark.createDataFrame([], LOGS).schema
+    before = store.read(schema)
+    want = sorted(map(str, before.collect()))
+    assert len(want) == 25 * 12 and len(before.inputFiles()) >= 150
+    assert store.pack(date(2024, 1, 3)) == 4  # two tenants, two closed days
+    assert sorted(map(str, before.collect())) == want  # a reader that listed the old files goes on
+    after = store.read(schema)
+    assert sorted(map(str, after.collect())) == want
+    assert len([f for f in after.inputFiles() if "log_date=2024-01-03" not in f]) == 4
+    # A replayed batch adds none; a new one does, and is packed with the rest.
+    store.write(log_rows(spark, 7), 7)
+    assert sorted(map(str, store.read(schema).collect())) == want
+    store.write(log_rows(spark, 25), 25)
+    assert store.read(schema).count() == len(want) + 12
+    assert store.clear() >= 100 and store.pack(date(2024, 1, 3)) == 4 and store.pack(date(2024, 1, 3)) == 0
+    store.clear()
+    assert store.read(schema).count() == len(want) + 12
+    assert len(store.read(schema, "t 1", date(2024, 1, 1), date(2024, 1, 1)).inputFiles()) == 1
+    store.write(log_rows(spark, 25), 25)
+    store.write(log_rows(spark, 3), 3)
+    assert store.read(schema).count() == len(want) + 12
+
+
+def test_large_days_get_files_by_their_bytes(spark, tmp_path):
+    store = logstore.LogStore(spark, str(tmp_path / "logs"))
+    for batch in range(2):
+        store.write(log_rows(spark, batch, days=1, per_day=59), batch)
+    store.pack(date(2024, 2, 1), file_bytes=1000)
+    rows = store.read(spark.createDataFrame([], LOGS).schema)
+    assert rows.count() == 118 and len(rows.inputFiles()) > 4
+
+
+def test_live_parts():
+    assert logstore.live_parts([2, 0, 1]) == [0, 1, 2]
+    assert logstore.live_parts([-3, 0, 1, 2, 3]) == [-3, 3]
+    assert logstore.live_parts([-3, -6, 4, 5, 6]) == [-6, 6]
+    assert [logstore.covered_upto(p) for p in (4, -1, -6)] == [4, 0, 5]

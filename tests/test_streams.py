@@ -1,5 +1,6 @@
 """Streams over files against the batch operators on the same rows."""
 
+import os
 import re
 import time
 from datetime import datetime, timedelta
@@ -230,6 +231,56 @@ def test_dead_letters_are_kept_with_a_reason(spark):
     }
 
 
+def test_bad_log_records_are_kept(spark):
+    texts = ['{"tenantId": "a", "message": "fine", "timestamp": "2024-01-01T00:00:00"}', '{"message": "no tenant"}', "{broken", '{"tenantId": "b"}']
+    path, out = scratch_path(spark, "raw"), scratch_path(spark, "stored")
+    spark.createDataFrame([(x,) for x in texts], "value string").write.text(path)
+    run_batches(spark, events.read_event_stream(spark, path), jobs.raw_log_batch_writer(out))
+    assert {r.tenant_id for r in spark.read.parquet(f"{out}/logs").collect()} == {"a", "b"}
+    bad = {r.payload: (r.error_message, r.retry_count, r.queue_name) for r in spark.read.parquet(f"{out}/dead_letters").collect()}
+    assert bad == {texts[1]: ("missing tenantId", 1, "logs"), texts[2]: ("not valid JSON", 1, "logs")}
+
+
+def test_poison_records_end_in_the_dead_letters_after_three_tries(spark):
+    path, out = scratch_path(spark, "records"), scratch_path(spark, "routed")
+    trials = scratch_path(spark, "trials").split(":", 1)[-1]
+    os.makedirs(trials)
+    rows = [(str(i), f"fine {i}") for i in range(5)] + [("p", "poison"), ("j", "broken json"), ("s", "slow start")]
+    spark.createDataFrame(rows, "id string, payload string").coalesce(1).write.parquet(path)
+
+    def handle(payload):
+        if payload == "broken json":
+            raise ValueError("cannot parse")
+        if payload in ("poison", "slow start"):
+            with open(f"{trials}/{payload}", "a+") as seen:
+                seen.write("x")
+                seen.seek(0)
+                if payload == "poison" or len(seen.read()) < 3:
+                    raise RuntimeError("down")
+
+    routed = jobs.with_retries(stream(spark, path, spark.createDataFrame([], "id string, payload string").schema), handle, 500)
+    query = (
+        routed.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    deadline = time.time() + 120
+    while time.time() < deadline:
+        time.sleep(1)
+        if query.lastProgress is not None and query.lastProgress["batchId"] >= 3 and spark.read.schema(routed.schema).parquet(out).count() >= 8:
+            break
+    query.stop()
+    got = {r.id: (r.payload, r.route, r.attempts, r.error_message) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        **{str(i): (f"fine {i}", "handled", 1, None) for i in range(5)},
+        "p": ("poison", "dead-letter", 3, "RuntimeError: down"),
+        "j": ("broken json", "dead-letter", 1, "ValueError: cannot parse"),
+        "s": ("slow start", "handled", 3, None),
+    }
+
+
 def test_delivery_sinks_are_pluggable(spark, t):
     n = t.notifications.select(
         "id",
