@@ -151,6 +151,8 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []  # text and whether it is link text
     stack: list[tuple[str, int]] = []  # open elements and whether each rules its content out, or out of the article
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    blocks: list[int] = []  # and where blocks are
     count = {"out": 0, "doubted": 0, "a": 0, "main": 0}
 
     def flush() -> None:
@@ -168,6 +170,9 @@ def blocks_of(page: str) -> list[Block]:
     def close(until: int) -> None:
         while len(stack) > until:
             name, out = stack.pop()
+            places[name].pop()
+            if name in BLOCK:
+                blocks.pop()
             count["out"] -= out == OUT
             count["doubted"] -= out == DOUBTED
             count["a"] -= name == "a"
@@ -187,9 +192,8 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
         if token.group(1):
-            places = [i for i, (open_name, _) in enumerate(stack) if open_name == name]
-            if places:
-                close(places[-1])
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name == "br":
             say(" ")
@@ -204,16 +208,16 @@ def blocks_of(page: str) -> list[Block]:
             at = page.find(">", end.start()) + 1 or size
             continue
         if name == "body":  # ends a head that was left open
-            close(next((i for i, (open_name, _) in enumerate(stack) if open_name == "head"), len(stack)))
+            close(next(iter(places.get("head", ())), len(stack)))
         elif name in BLOCK:  # a block ends an open paragraph, with what is open inside it
-            above = len(stack) - 1
-            while above >= 0 and stack[above][0] not in BLOCK:
-                above -= 1
-            if above >= 0 and stack[above][0] == "p":
-                close(above)
+            if blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
         out = OUT if name in UNSEEN or name in ASIDE or (name == "header" and not count["main"]) else 0
         if not out and name not in ("html", "body", "main"):
             out = _marked(attributes, name, count["main"] > 0)
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append((name, out))
         count["out"] += out == OUT
         count["doubted"] += out == DOUBTED

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.llm.batches import map_slices, modest_sample, share, slices, texts
+from opslake.llm.batches import map_slices, share, slices, texts
 from opslake.llm.quality import held_out
 
 DIMENSIONS = 512
-#: About so many documents are learned from; inputs with fewer give all.
-SAMPLE_ROWS = 20_000
+#: Kinds of runs that are bound at once.
+KINDS = 16_384
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 #: Sign 0 stands between words, a to z have signs of their own, other letters share the rest by a hash.
@@ -53,15 +53,26 @@ class Letters:
         run = (signs[:-2] * SIGNS + signs[1:-1]) * SIGNS + signs[2:]
         real = (signs[1:-1] > 0) & (text[:-2] == text[2:])
         run, text = run[real], text[1:-1][real]
+        bundle = np.zeros((len(batch), self.dimensions), np.float32)
         present = np.zeros(SIGNS**3, bool)
         present[run] = True
         kinds = np.flatnonzero(present)
         place = np.zeros(SIGNS**3, np.int32)
         place[kinds] = np.arange(len(kinds))
-        counts = np.bincount(text * len(kinds) + place[run], minlength=len(batch) * len(kinds))
-        first, second, third = kinds // SIGNS**2, kinds // SIGNS % SIGNS, kinds % SIGNS
-        bound = self.shifted[0][first] * self.shifted[1][second] * self.shifted[2][third]
-        bundle = counts.reshape(len(batch), len(kinds)).astype(np.float32) @ bound.astype(np.float32)
+        kind = place[run]
+        # Block by block, as a text in many letters has many kinds of runs.
+        order = np.argsort(kind, kind="stable") if len(kinds) > KINDS else None
+        for low in range(0, len(kinds), KINDS):
+            some = kinds[low : low + KINDS]
+            if order is None:
+                of, texts_of = kind, text
+            else:
+                mine = order[np.searchsorted(kind, low, sorter=order) : np.searchsorted(kind, low + KINDS, sorter=order)]
+                of, texts_of = kind[mine] - low, text[mine]
+            counts = np.bincount(texts_of * len(some) + of, minlength=len(batch) * len(some))
+            first, second, third = some // SIGNS**2, some // SIGNS % SIGNS, some % SIGNS
+            bound = self.shifted[0][first] * self.shifted[1][second] * self.shifted[2][third]
+            bundle += counts.reshape(len(batch), len(some)).astype(np.float32) @ bound.astype(np.float32)
         return bundle, np.bincount(text, minlength=len(batch)) > 0
 
 
@@ -71,9 +82,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """The bundle of every language, from a bounded sample of the rows outside the held-out fold.
+    """The bundle of every language, from all rows outside the held-out fold.
 
-    Each text weighs the same.  Rows without language or letters are passed over.
+    Bundles add up, so a task sends one for each language it has met, however
+    rare.  Each text weighs the same.  Rows without language or letters are passed over.
     """
     base = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -99,7 +111,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 }
             )
 
-    parts = modest_sample(known, "doc_id", SAMPLE_ROWS).select("text", "lang")
+    parts = known.select("text", "lang")
     summed = parts.mapInArrow(gather, "lang string, place int, part bigint").groupBy("lang", "place").agg(F.sum("part").alias("part"))
     found: dict[str, np.ndarray] = {}
     for row in summed.collect():

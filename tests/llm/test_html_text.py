@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from opslake.llm import html_text, queries
 
@@ -119,3 +120,12 @@ def test_query_against_the_marked_articles(spark):
         plain = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in blocks]
         assert got[page.page_id].text == "\n\n".join(b for b in plain if b)
         assert got[page.page_id].n_chars == len(got[page.page_id].text) and got[page.page_id].url == page.url
+
+
+def test_very_many_open_elements_take_linear_time():
+    n = 100_000
+    page = "<body><article><p>" + "the one of them and it was with that <i>" * 50 + "<i>" * n + "</b>" * n + "<p>it was the end of that</article>"
+    started = time.time()
+    assert "it was with that" in html_text.main_text(page)
+    html_text.main_text("<div>" * n + "<p>" * n + "</span>" * n)
+    assert time.time() - started < 20

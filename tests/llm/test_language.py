@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -42,3 +43,31 @@ def test_odd_rows(spark):
     assert language.identify(docs.limit(0), profiles).collect() == []
     none = language.fit(docs.limit(0))
     assert {(r.lang_pred, r.score) for r in language.identify(docs, none).collect()} == {("und", 0.0)}
+
+
+def test_two_million_letters_of_many_kinds_in_bounded_memory():
+    letters = language.Letters()
+    text = "".join(map(chr, np.random.default_rng(3).integers(0x4E00, 0x9FA5, 2_000_000)))
+    tracemalloc.start()
+    bundle, lettered = letters.bundles([text])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert lettered[0] and bundle.any() and peak < 500 << 20
+    # Blocks of kinds add up to what one block gives.
+    some = [text[:3000], "the and of", text[500:9000]]
+    whole = letters.bundles(some)[0]
+    before, language.KINDS = language.KINDS, 100
+    try:
+        assert np.array_equal(letters.bundles(some)[0], whole)
+    finally:
+        language.KINDS = before
+
+
+def test_a_rare_language_is_learned(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:4]
+    many = spark.range(100, 60_100).selectExpr("id as doc_id", "concat('the and of with that ', id % 10) as text", "'en' as lang")
+    rare = spark.createDataFrame([(i, "zwei grüne äpfel für übermut", "de") for i in ids], "doc_id long, text string, lang string")
+    docs = many.union(rare)
+    profiles = language.fit(docs)
+    assert list(profiles) == ["de", "en"]
+    assert {r.lang_pred for r in language.identify(rare, profiles).collect()} == {"de"}
