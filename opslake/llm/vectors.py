@@ -35,6 +35,8 @@ CENTROID_BYTES = 8 << 20
 ROUNDS = 10
 #: Rows and columns of one product.
 BLOCK = 1024
+#: Products of vectors and centroids that are held at once.
+PRODUCT = 1 << 21
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -47,8 +49,9 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndar
     """Unit centroids of ``units``; an empty cell keeps its centroid."""
     k = min(k, len(units))
     centroids = units[np.linspace(0, len(units) - 1, k).astype(int)].copy()
+    parts = np.array_split(units, 1 + len(units) * k // PRODUCT)
     for _ in range(rounds):
-        nearest = np.concatenate([(part @ centroids.T).argmax(axis=1) for part in np.array_split(units, 1 + len(units) // 4096)])
+        nearest = np.concatenate([(part @ centroids.T).argmax(axis=1) for part in parts])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, units)
         size = np.linalg.norm(sums, axis=1)
@@ -60,11 +63,16 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndar
 def cells_of(units: np.ndarray, centroids: np.ndarray, cosine: float = COSINE) -> list[np.ndarray]:
     """For each vector the cells that it visits, in rising order."""
     reach = np.sqrt((1 - cosine) / 2)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-    scores = units @ centroids.T
-    best = scores.argmax(axis=1)
-    gap = scores[np.arange(len(units)), best][:, None] - scores
-    return [np.flatnonzero(row) for row in gap <= reach * apart[best] + 1e-9]
+    found: list[np.ndarray] = []
+    # Only the centroids nearest to some vector are measured against all others, and a bounded number at once.
+    for part in np.array_split(units, 1 + len(units) * len(centroids) // PRODUCT):
+        scores = part @ centroids.T
+        best = scores.argmax(axis=1)
+        nearest, of = np.unique(best, return_inverse=True)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centroids[nearest] @ centroids.T))
+        gap = scores[np.arange(len(part)), best][:, None] - scores
+        found += [np.flatnonzero(row) for row in gap <= reach * apart[of] + 1e-9]
+    return found
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> int:

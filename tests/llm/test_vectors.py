@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -88,3 +89,22 @@ def test_query_against_all_pairs(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in queries.table(spark, directory, "embeddings").collect()]
     got = queries.op6_vectors(spark, directory).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+def test_memory_does_not_grow_with_the_centroids():
+    rng = np.random.default_rng(5)
+    units = vectors._unit(rng.normal(size=(256, 8)))
+    for k in (1_000, 100_000):
+        centroids = vectors._unit(rng.normal(size=(k, 8)))
+        tracemalloc.start()
+        found = vectors.cells_of(units, centroids)
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert len(found) == 256 and peak < 300 << 20
+    # As with all distances at hand.
+    centroids = centroids[:500]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+    scores = units @ centroids.T
+    gap = scores.max(axis=1)[:, None] - scores
+    want = gap <= np.sqrt((1 - vectors.COSINE) / 2) * apart[scores.argmax(axis=1)] + 1e-9
+    assert all(np.array_equal(cells, np.flatnonzero(row)) for cells, row in zip(vectors.cells_of(units, centroids), want, strict=True))
