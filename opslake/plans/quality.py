@@ -223,10 +223,16 @@ def _(t):
     )
 
 
+def uuid_sql(name: str) -> str:
+    """The uuid made from a text."""
+    h = f"md5({name})"
+    return f"concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-3', substr({h}, 14, 3), '-8', substr({h}, 18, 3), '-', substr({h}, 21, 12))"
+
+
 @query(
     "publish_envelope",
     f"""
-SELECT tenant_id AS key, 'JOB' AS event_type, event_id,
+SELECT tenant_id AS key, 'JOB' AS event_type, {uuid_sql("event_id")} AS event_id,
        CAST(job_id AS string) AS job_id, action, job_name, CAST(exit_code AS string) AS exit_code, error_message
 FROM ({FEED_SQL})""",
 )
@@ -238,7 +244,7 @@ def _(t):
         "key",
         field("eventType").alias("event_type"),
         field("eventId").alias("event_id"),
-        field("jobId").alias("job_id"),
+        events.number_of_uuid(field("jobId")).cast("string").alias("job_id"),
         field("action").alias("action"),
         field("jobName").alias("job_name"),
         field("exitCode").alias("exit_code"),
@@ -253,7 +259,7 @@ def _fields(messages, **names):
 @query(
     "publish_alerts",
     f"""{COOLDOWN_WITH}
-SELECT tenant_id AS key, 'ALERT' AS event_type, concat('alerts-', CAST(rule_id AS string), '-', event_id) AS event_id, status AS action,
+SELECT tenant_id AS key, 'ALERT' AS event_type, {uuid_sql("concat('alerts-', CAST(rule_id AS string), '-', event_id)")} AS event_id, status AS action,
        severity, rule_name AS alert_name, message AS description, string_split(channels_csv, ',')[1] AS first_channel
 FROM alerts""",
 )
@@ -266,8 +272,8 @@ def _(t):
 
 @query(
     "publish_queue",
-    """
-SELECT tenant_id AS key, concat('queue-', CAST(id AS string), '-', action, '-', CAST(attempt_count AS string)) AS event_id, action,
+    f"""
+SELECT tenant_id AS key, {uuid_sql("concat('queue-', CAST(id AS string), '-', action, '-', CAST(attempt_count AS string))")} AS event_id, action,
        job_type, CAST(priority AS string) AS priority, assigned_worker AS worker
 FROM (SELECT *, CASE status WHEN 'PENDING' THEN 'ENQUEUED' ELSE status END AS action FROM v_job_queue)""",
 )
@@ -277,6 +283,39 @@ def _(t):
     )
 
 
+@query(
+    "publish_notifications",
+    f"""
+SELECT tenant_id AS key, {uuid_sql("concat('notification-', CAST(id AS string), '-', action, '-', CAST(retry_count AS string))")} AS event_id,
+       CAST(id AS string) AS notification_id, action, channel, recipient
+FROM (SELECT *, CASE status WHEN 'PENDING' THEN 'REQUESTED' ELSE status END AS action FROM v_notifications)""",
+)
+def _(t):
+    told = _fields(
+        events.notification_event_messages(t.notifications), event_id="eventId", notification="notificationId", action="action", channel="channel",
+        recipient="recipient",
+    )
+    return told.withColumn("notification_id", events.number_of_uuid(F.col("notification")).cast("string")).drop("notification")
+
+
+@query(
+    "published_contract",
+    f"SELECT 'JOB' AS event_type, CAST(count(*) AS bigint) AS messages, CAST(0 AS bigint) AS violating FROM ({FEED_SQL}) WHERE job_id IS NOT NULL "
+    "UNION ALL SELECT 'QUEUE', count(*), 0 FROM v_job_queue UNION ALL SELECT 'NOTIFICATION', count(*), 0 FROM v_notifications",
+)
+def _(t):
+    """What is published keeps the contract; requests from outside name no job and are judged by ``event_contract``."""
+    known = job_events(t).where("job_id is not null")
+    sent = [
+        events.job_event_messages(known),
+        events.queue_event_messages(t.job_queue),
+        events.notification_event_messages(t.notifications),
+    ]
+    every = sent[0].union(sent[1]).union(sent[2])
+    judged = quality.event_contract(every, "value").withColumn("event_type", F.get_json_object("value", "$.eventType"))
+    return judged.groupBy("event_type").agg(F.count("*").alias("messages"), F.count_if(F.size("violations") > 0).alias("violating"))
+
+
 @query(
     "decode_events",
     f"""
@@ -287,8 +326,8 @@ def _(t):
     decoded = events.decode_events(events.job_event_messages(job_events(t)))
     return events.events_of_type(decoded, "JOB").select(
         F.col("tenantId").alias("tenant_id"),
-        F.col("jobId").alias("job_id"),
-        F.col("executionId").alias("execution_id"),
+        events.number_of_uuid(F.col("jobId")).cast("string").alias("job_id"),
+        events.number_of_uuid(F.col("executionId")).cast("string").alias("execution_id"),
         "action",
         F.col("exitCode").alias("exit_code"),
         F.col("errorMessage").alias("error_message"),

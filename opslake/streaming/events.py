@@ -97,11 +97,30 @@ def log_dead_letters(raw: DataFrame, value: str = "value") -> DataFrame:
     return bad.withColumns({"id": F.sha2(F.coalesce(text, F.lit("")), 256), "error_message": reason}).drop("_entry")
 
 
+def uuid_of(name: Column) -> Column:
+    """A uuid made from a hash of a text, the same for the same text."""
+    h = F.md5(name.cast("string").cast("binary"))
+    part = lambda start, size: F.substring(h, start, size)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("3"), part(14, 3)), F.concat(F.lit("8"), part(18, 3)), part(21, 12))
+
+
+def uuid_of_number(number: Column) -> Column:
+    """A whole number in the form of a uuid, so that ``number_of_uuid`` gives it back."""
+    h = F.lower(F.lpad(F.hex(number.cast("bigint")), 16, "0"))
+    part = lambda start, size: F.substring(h, start, size)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-8000-8000-00000000"), part(13, 4))
+
+
+def number_of_uuid(text: Column) -> Column:
+    h = F.concat(F.substring(text, 1, 8), F.substring(text, 10, 4), F.substring(text, 33, 4))
+    return F.conv(h, 16, -10).cast("bigint")
+
+
 def envelope(event_type: str, event_id: Column, timestamp: Column, tenant_id: Column, **fields: Column) -> Column:
-    """JSON text of an event."""
+    """JSON text of an event; its id is a uuid made from ``event_id``."""
     return F.to_json(
         F.struct(
-            event_id.cast("string").alias("eventId"),
+            uuid_of(event_id).alias("eventId"),
             F.lit(event_type).alias("eventType"),
             timestamp.alias("timestamp"),
             F.lit(schemas.CONTRACTS[event_type]["source"]).alias("source"),
@@ -121,8 +140,8 @@ def job_event_messages(events: DataFrame) -> DataFrame:
             F.col("event_id"),
             F.col("event_time").cast("timestamp"),
             F.col("tenant_id"),
-            jobId=F.col("job_id").cast("string"),
-            executionId=F.col("execution_id").cast("string"),
+            jobId=uuid_of_number(F.col("job_id")),
+            executionId=uuid_of_number(F.col("execution_id")),
             action=F.col("action"),
             jobName=F.col("job_name"),
             exitCode=F.col("exit_code"),
@@ -143,8 +162,8 @@ def alert_event_messages(alerts: DataFrame) -> DataFrame:
             F.concat(F.lit("alerts-"), alert_id),
             F.col("triggered_at").cast("timestamp"),
             F.col("tenant_id"),
-            alertId=alert_id,
-            ruleId=F.col("rule_id").cast("string"),
+            alertId=uuid_of(alert_id),
+            ruleId=uuid_of_number(F.col("rule_id")),
             action=F.col("status"),
             severity=F.col("severity"),
             alertName=F.col("rule_name"),
@@ -176,16 +195,42 @@ def queue_event_messages(items: DataFrame) -> DataFrame:
             F.concat_ws("-", F.lit("queue"), F.col("id").cast("string"), action, F.col("attempt_count").cast("string")),
             F.col("created_at").cast("timestamp"),
             F.col("tenant_id"),
-            queuedJobId=F.col("id").cast("string"),
+            queuedJobId=uuid_of_number(F.col("id")),
             action=action,
             jobType=F.col("job_type"),
             priority=F.col("priority"),
-            attemptNumber=F.col("attempt_count"),
+            attemptNumber=F.when(F.col("attempt_count") > 0, F.col("attempt_count")),  # none before the first try
             workerNodeId=F.col("assigned_worker"),
         ).alias("value"),
     )
 
 
+# What the state of a notification is called in events.
+NOTIFICATION_EVENT_ACTIONS = {"PENDING": "REQUESTED", "QUEUED": "QUEUED", "SENT": "SENT", "DELIVERED": "DELIVERED", "FAILED": "FAILED", "BOUNCED": "BOUNCED"}
+
+
+def notification_event_messages(notifications: DataFrame, at: str = "created_at") -> DataFrame:
+    """Notifications as keyed messages of their present state, one id for each notification, state and try."""
+    table = F.create_map(*(F.lit(x) for pair in NOTIFICATION_EVENT_ACTIONS.items() for x in pair))
+    action = F.element_at(table, F.col("status"))
+    reason = F.col("error_message") if "error_message" in notifications.columns else F.lit(None).cast("string")
+    name = F.concat_ws("-", F.lit("notification"), F.col("id").cast("string"), action, F.col("retry_count").cast("string"))
+    return notifications.select(
+        F.col("tenant_id").alias("key"),
+        envelope(
+            "NOTIFICATION",
+            name,
+            F.col(at).cast("timestamp"),
+            F.col("tenant_id"),
+            notificationId=uuid_of_number(F.col("id")),
+            action=action,
+            channel=F.col("channel"),
+            recipient=F.col("recipient"),
+            failureReason=F.when(action == "FAILED", reason),
+        ).alias("value"),
+    )
+
+
 def read_event_stream(
     spark: SparkSession, source: str, files_per_trigger: int | None = None, topic: str | None = None
 ) -> DataFrame:
