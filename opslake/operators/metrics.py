@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.greedy import keep_spaced
-from opslake.functions.skew import HOT_ROWS, Running, hot_keys, scan
+from opslake.functions.skew import HOT_ROWS, Running, hot_keys, latest_per_key, scan
 
 
 def counter_increases(samples: DataFrame, series: list[str]) -> DataFrame:
@@ -122,10 +122,16 @@ def rate_quantile(
 
 
 def latest_samples(samples: DataFrame, series: list[str]) -> DataFrame:
-    """Newest value of each series."""
-    return samples.groupBy(*series).agg(
-        F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("ts")
-    )
+    """Newest value of each series; of several at one time the largest."""
+    rows = samples.select(*series, "value", "ts")
+    return latest_per_key(rows, series, [F.desc("ts"), F.desc("value")])
+
+
+def _newest_of(samples: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
+    """The newest value of each metric as a column ``_0``, ``_1``, ..., one row per key; null where there is none."""
+    latest = latest_samples(samples, [*keys, "metric"])
+    picked = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"_{i}") for i, m in enumerate(metrics)]
+    return latest.groupBy(*keys).agg(*picked)
 
 
 def services_up(samples: DataFrame, by: list[str], series: list[str]) -> DataFrame:
@@ -137,36 +143,19 @@ def services_up(samples: DataFrame, by: list[str], series: list[str]) -> DataFra
 
 def gauge_ratio(samples: DataFrame, used: str, limit: str, series: list[str], threshold: float = 0.85) -> DataFrame:
     """Newest used and limit gauge per series in MiB, their ratio and whether it is too high."""
-    wanted = samples.filter(F.col("metric").isin(used, limit))
-
-    def newest(metric: str) -> Column:
-        mine = F.col("metric") == metric
-        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.struct("ts", "value")))
-
+    newest = _newest_of(samples.filter(F.col("metric").isin(used, limit)), [used, limit], series)
     mib = F.lit(1048576.0)
-    return (
-        wanted.groupBy(*series)
-        .agg(newest(used).alias("_used"), newest(limit).alias("_limit"))
-        .select(
-            *series,
-            (F.col("_used") / mib).alias("used_mib"),
-            (F.col("_limit") / mib).alias("limit_mib"),
-            F.try_divide("_used", "_limit").alias("ratio"),
-        )
-        .withColumn("breached", F.coalesce(F.col("ratio") > threshold, F.lit(False)))
-    )
+    return newest.select(
+        *series, (F.col("_0") / mib).alias("used_mib"), (F.col("_1") / mib).alias("limit_mib"), F.try_divide("_0", "_1").alias("ratio")
+    ).withColumn("breached", F.coalesce(F.col("ratio") > threshold, F.lit(False)))
 
 
 def queue_backlog(counters: DataFrame, by: list[str], threshold: float = 100) -> DataFrame:
     """Enqueued minus completed from the newest counters, flagged above the threshold."""
-
-    def newest(metric: str) -> Column:
-        mine = F.col("metric") == metric
-        return F.coalesce(F.max_by(F.when(mine, F.col("value")), F.when(mine, F.struct("ts", "value"))), F.lit(0.0))
-
+    zero = F.lit(0.0)
+    newest = _newest_of(counters, ["enqueued", "completed"], by)
     return (
-        counters.groupBy(*by)
-        .agg(newest("enqueued").alias("enqueued"), newest("completed").alias("completed"))
+        newest.select(*by, F.coalesce("_0", zero).alias("enqueued"), F.coalesce("_1", zero).alias("completed"))
         .withColumn("backlog", F.col("enqueued") - F.col("completed"))
         .withColumn("breached", F.col("backlog") > threshold)
     )
