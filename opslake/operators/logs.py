@@ -148,30 +148,44 @@ def pattern_hits(logs: DataFrame, patterns: list[dict]) -> DataFrame:
     )
 
 
+def needed_literal(pattern: Column) -> Column:
+    """The longest stretch of plain characters, in lower case, that every match holds; empty where the pattern has
+    alternatives, groups, classes, escapes or repeats that may be left out."""
+    pieces = F.split(pattern, r"[.^$+]", -1)
+    longest = F.reduce(
+        pieces, F.lit(""), lambda best, piece: F.when(F.char_length(piece) > F.char_length(best), piece).otherwise(best)
+    )
+    return F.lower(F.when(pattern.rlike(r"[|()\[\]{}?*\\]"), F.lit("")).otherwise(longest))
+
+
 def pattern_hits_join(logs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The same for a pattern table too large for one expression: tenant join, then level, service and text."""
+    """The same for a pattern table too large for one expression: tenant join, then level, service and text.
+
+    Pairs whose message lacks what the pattern needs go within the join.  The
+    others are put in the order of their patterns, so a task compiles each
+    pattern that it meets once: ``regexp_instr`` keeps its last pattern, where
+    ``rlike`` with a column compiles one for every row.
+    """
     usable, _ = split_patterns(patterns.filter("enabled"))
     dim = usable.select(
         "tenant_id",
         F.col("name").alias("pattern"),
-        "regex_pattern",
+        F.concat(F.lit("(?i)"), "regex_pattern").alias("_regex"),
+        needed_literal(F.col("regex_pattern")).alias("_needed"),
         level_rank(F.col("min_level")).alias("_min_rank"),
         "service_filter",
     )
     joined = salted_join(logs, dim, ["tenant_id"], "id")
     any_service = is_blank(F.col("service_filter"))
-    return joined.filter(
+    text = F.coalesce("message", F.lit(""))
+    plausible = joined.filter(
         (level_rank(F.col("level")) >= F.col("_min_rank"))
         & (any_service | (F.col("service_filter") == F.col("service")))
-        & F.expr("rlike(coalesce(message, ''), concat('(?i)', regex_pattern))")
-    ).select(
-        "id",
-        "tenant_id",
-        "service",
-        "level",
-        "ts",
-        truncated(F.col("message"), LOG_PREVIEW).alias("preview"),
-        "pattern",
+        & F.contains(F.lower(text), F.col("_needed"))
+    ).select("id", "tenant_id", "service", "level", "ts", "message", "pattern", "_regex")
+    hits = plausible.sortWithinPartitions("_regex").filter(F.regexp_instr(text, F.col("_regex")) > 0)
+    return hits.select(
+        "id", "tenant_id", "service", "level", "ts", truncated(F.col("message"), LOG_PREVIEW).alias("preview"), "pattern"
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake import schemas
+from opslake.functions.skew import salted_join
 from opslake.functions.text import is_blank
 
 
@@ -152,7 +153,7 @@ def duplicate_names(candidates: DataFrame, existing: DataFrame, keys: list[str],
     """
     taken = existing.groupBy(*keys).agg(F.min(identity).alias("_low"), F.max(identity).alias("_high"))
     other = (F.col("_low") != F.col(identity)) | (F.col("_high") != F.col(identity))
-    return candidates.join(taken, keys).filter(other).drop("_low", "_high")
+    return salted_join(candidates, taken, keys, identity).filter(other).drop("_low", "_high")
 
 
 def orphan_rows(rows: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:

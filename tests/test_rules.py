@@ -1,5 +1,7 @@
 """Alert, queue, log, notification and query rules on literal cases."""
 
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -236,6 +238,33 @@ def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
         assert logs.pattern_hits_join(df, rows).count() == hits
 
 
+@pytest.mark.parametrize("pattern, needed", [
+    ("disk full", "disk full"), ("a.bcd+e$", "bcd"), ("^Foo", "foo"), ("a|b", ""), ("(ab)c", ""), ("ab?c", ""), (r"\bword", ""), ("[ab]cd", ""), ("", ""),
+])
+def test_needed_literal(spark, pattern, needed):
+    df = spark.createDataFrame([(pattern,)], "p string")
+    assert df.select(logs.needed_literal(F.col("p")).alias("n")).first().n == needed
+
+
+def test_ten_thousand_patterns_are_compiled_once_in_a_task(spark):
+    rng = random.Random(4)
+    messages = [f"Event {rng.randrange(3000)} on NODE{rng.randrange(40)} took {rng.randrange(900)}ms ÉTÉ" for _ in range(400)]
+    rows = [(i, f"t{i % 5}", "svc", "ERROR", NOW, m) for i, m in enumerate([*messages, None, ""])]
+    df = spark.createDataFrame(rows, "id long, tenant_id string, service string, level string, ts timestamp_ntz, message string")
+    kinds = ["event {n} ", "node{k}\\b", "took ({n}|{k})ms", "on node{k}.took", "x{n}", "^event {k}+", "été"]
+    table = [(f"t{i % 5}", f"p{i}", kinds[i % 7].format(n=i % 3000, k=i % 40), "INFO", None, True) for i in range(10_000)]
+    kind = "tenant_id string, name string, regex_pattern string, min_level string, service_filter string, enabled boolean"
+    hits = logs.pattern_hits_join(df, spark.createDataFrame(table, kind))
+    tree = hits._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_instr" in tree.lower() and "Sort [_regex" in tree
+    by_tenant = {}
+    for tenant, name, pattern, *_ in table:
+        # Case is ignored for ASCII letters only, as the engine does.
+        by_tenant.setdefault(tenant, []).append((name, re.compile(pattern, re.I | re.A) if pattern.isascii() else re.compile(pattern)))
+    want = {(i, name) for i, tenant, *_, m in rows for name, p in by_tenant[tenant] if p.search(m or "")}
+    assert {(r.id, r.pattern) for r in hits.collect()} == want and len(want) > 5000
+
+
 def test_search_in_any_script(spark):
     texts = ["日本 語", "über alles", "ber x", "naïve", "plain"]
     df = spark.createDataFrame([(i, "t", "INFO", NOW, m) for i, m in enumerate(texts)], "id long, tenant_id string, level string, ts timestamp_ntz, message string")
