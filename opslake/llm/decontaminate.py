@@ -192,10 +192,12 @@ def contaminated(
     )
     # Items are told apart by their words, which an id need not be enough for.
     named = items.select("item_id", "words", "seeds", "covers", F.xxhash64("words").alias("item"))
-    sought = (
+    # Stored before its join, or a seed that many texts hold would be one task of it.
+    sought = materialize(
         named.select("item", F.size("words").alias("size"), F.explode(F.arrays_zip("seeds", "covers")).alias("of"))
         .select("item", "size", F.col("of.seeds").alias("seed"), F.col("of.covers").alias("cover"))
-        .distinct()
+        .distinct(),
+        "sought",
     )
     shared = (
         contents.select("stretches", F.explode("seeds").alias("seed"))

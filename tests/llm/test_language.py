@@ -1,5 +1,6 @@
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -71,3 +72,32 @@ def test_a_rare_language_is_learned(spark):
     profiles = language.fit(docs)
     assert list(profiles) == ["de", "en"]
     assert {r.lang_pred for r in language.identify(rare, profiles).collect()} == {"de"}
+
+
+def test_whole_table_against_plain_counts(spark):
+    """Profiles and cosines from counted runs of three letters, one text after the other."""
+    directory = "/root/testdata/sf0.001"
+    rows = queries.table(spark, directory, "documents").collect()
+    letters = language.Letters()
+
+    def bundle(text):
+        signs = [0, *(int(letters.sign[ord(c)]) for c in text.lower()), 0]
+        runs = Counter(run for run in zip(signs, signs[1:], signs[2:], strict=False) if run[1])
+        return sum(
+            (n * (letters.shifted[0][a].astype(float) * letters.shifted[1][b] * letters.shifted[2][c]) for (a, b, c), n in runs.items()),
+            np.zeros(language.DIMENSIONS),
+        )
+
+    def unit(v):
+        return v / (np.linalg.norm(v) or 1)
+
+    units = {r.doc_id: unit(bundle(r.text or "")) for r in rows}
+    profiles = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            profiles[r.lang] = profiles.get(r.lang, 0) + units[r.doc_id]
+    names = sorted(profiles)
+    for r in queries.op7_language(spark, directory).collect():
+        cosines = [units[r.doc_id] @ unit(profiles[n]) for n in names]
+        assert abs(max(0, max(cosines)) - r.score) < 1e-4
+        assert r.lang_pred == names[int(np.argmax(cosines))] or not units[r.doc_id].any()

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import pytest
@@ -60,3 +61,38 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 60} == set(range(1, 60, 2))
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_whole_table_against_sizes_one_by_one(spark):
+    directory = "/root/testdata/sf0.01"
+    docs = queries.table(spark, directory, "documents")
+    model = quality.fit(docs, queries.table(spark, directory, "labels"))
+    packers = model.packers()
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        pieces = [data[i : i + quality.PIECE_BYTES] for i in range(0, len(data), quality.PIECE_BYTES)]
+        saved = sum(len(packers[1].compress(p)) - len(packers[0].compress(p)) for p in pieces) / max(1, len(data))
+        want = 1 / (1 + math.exp(-max(-500, min(500, model.slope * saved + model.middle))))
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.5)
+
+
+def test_all_of_a_long_text_teaches(spark):
+    """What tells the classes apart lies behind the first pieces of long texts."""
+    rng = random.Random(4)
+    common = " ".join(rng.choice(("one", "two", "three", "four")) for _ in range(3000))
+    own = {1: "the good words of all of them ", 0: "@@ ## && !! %% ++ ~~ "}
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:80]
+    rows = [(i, common + own[i % 2] * 200 + common, "x") for i in ids]
+    docs, labels = tables(spark, rows, [(i, i % 2, "x") for i in ids])
+    model = quality.fit(docs, labels)
+    judged = spark.createDataFrame([(1, own[1] * 20, "x"), (0, own[0] * 20, "x")], "doc_id long, text string, score string")
+    assert {r.doc_id: r.predicted for r in quality.score(judged, model).collect()} == {1: 1, 0: 0}
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = spark.range(100).selectExpr("cast(id % 2 as int) as label", "id as order", "1000 as bytes")
+    upto = {r.label: r.upto for r in quality._within(rows, 10_000).collect()}
+    assert upto == {0: 18, 1: 19}
+    one = spark.createDataFrame([(1, 5, 10**9)], "label int, order long, bytes int")
+    assert [r.upto for r in quality._within(one, 10_000).collect()] == [5]

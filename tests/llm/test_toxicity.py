@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -48,3 +51,47 @@ def test_odd_rows(spark):
     nothing = toxicity.fit(docs, labels.limit(0))
     assert not any(r.toxic for r in toxicity.grade(docs, nothing).collect())
     assert toxicity.grade(docs.limit(0), model).collect() == []
+
+
+def test_whole_table_against_plain_python(spark):
+    """The learned model applied word by word, without the module's memory, slices and arrays."""
+    directory = "/root/testdata/sf0.01"
+    docs = queries.table(spark, directory, "documents")
+    model = toxicity.fit(docs, queries.table(spark, directory, "labels"))
+    weight = dict(zip(model.terms, model.weights, strict=False))
+    steps = model.weights[len(model.terms) :]
+    got = {r.doc_id: r for r in toxicity.grade(docs, model).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    some = 0
+    for r in rows:
+        words = re.findall(r"\w+", (r.text or "").lower())
+        terms = [{w} | {w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n} for w in words]
+        telling = [t & weight.keys() for t in terms if t & weight.keys()]
+        density = 100 * len(telling) / max(1, len(words))
+        score = sum(weight[t] for t in set().union(*telling))
+        score += sum(s for s, least in zip(steps, toxicity.STEPS, strict=True) if telling and density >= least)
+        chances = [1 / (1 + math.exp(-min(30, max(-30, score - t)))) for t in model.thresholds]
+        assert abs(got[r.doc_id].severity - sum(chances)) < 1e-9
+        assert got[r.doc_id].grade == sum(c >= 0.5 for c in chances) and got[r.doc_id].toxic == (chances[0] >= 0.5)
+        some += got[r.doc_id].toxic
+    assert some > 10
+
+
+def test_telling_terms_against_plain_counts(spark):
+    directory = "/root/testdata/sf0.01"
+    docs = queries.table(spark, directory, "documents")
+    labels = queries.table(spark, directory, "labels")
+    model = toxicity.fit(docs, labels)
+    sure = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in sure}
+    number = Counter(sure[i] for i in texts)
+    held = {0: Counter(), 1: Counter()}
+    for i, text in texts.items():
+        held[sure[i]].update({t for w in set(re.findall(r"\w+", text.lower())) for t in toxicity.terms_of(w)})
+    gains = []
+    for term, toxic in held[1].items():
+        odds = math.log((toxic + 0.5) / number[1]) - math.log((held[0][term] + 0.5) / number[0])
+        if toxic >= toxicity.LEAST_DOCUMENTS and odds > 1.5 and toxic * odds >= toxicity.LEAST_GAIN:
+            gains.append((-toxic * odds, term))
+    assert set(model.terms) == {t for _, t in sorted(gains)[: toxicity.TERMS]} and model.terms
