@@ -8,7 +8,8 @@ one nearest to u, then u.b - u.c <= r*|b-c|.  Both ends of every link thus meet
 in the cell of c, and no link is lost however the cells lie.  Pairs that meet in
 several cells count in the first one they share.
 
-Equal vectors are folded into one before.  A cell is multiplied block by block,
+A cell that is large all the same is split in the same way by centroids of its
+own.  Equal vectors are folded into one before.  A cell is multiplied block by block,
 and a block product gives counts and a spanning forest, never the pairs.
 """
 
@@ -17,9 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opslake.functions.scratch import materialize, remove
 from opslake.llm.batches import map_slices, modest_sample, share
@@ -33,6 +36,12 @@ SAMPLE_BYTES = 64 << 20
 CELL_ROWS = 256
 CENTROID_BYTES = 8 << 20
 ROUNDS = 10
+#: A cell of so many times the rows that it should hold is split; its parts at most, and the vectors they are fitted from.
+SPLIT_CELLS = 16
+MOST_PARTS = 1024
+PART_SAMPLE = 2048
+#: Share of the parts that a vector may visit on average for a split to be worth it.
+WORTH = 0.25
 #: Rows and columns of one product.
 BLOCK = 1024
 #: Products of vectors and centroids that are held at once.
@@ -80,27 +89,34 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(both[0]) if len(both) else -1
 
 
-def block_links(
-    left: tuple[np.ndarray, np.ndarray, list], right: tuple[np.ndarray, np.ndarray, list] | None, cell: int, cosine: float = COSINE
-) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def block_links(left: tuple, right: tuple | None, cell: int, cosine: float = COSINE, part: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links between two blocks, or within one if ``right`` is None.
 
-    Each block is (units, copies, cells).  Gives the linked copies of each row
-    of either block, counting only pairs whose first shared cell is ``cell``,
-    and a forest over the rows, right ones numbered behind the left ones.
+    Each block is (units, copies, cells, parts).  Gives the linked copies of each
+    row of either block, counting only pairs whose first shared cell is ``cell``
+    and whose first shared part of it is ``part``, and a forest over the rows,
+    right ones numbered behind the left ones.
     """
-    units, copies, lists = left
-    other, other_copies, other_lists = right or left
+    units, copies, *lists = left
+    other, other_copies, *other_lists = right or left
     i, j = np.nonzero(units @ other.T >= cosine)
     if right is None:
         i, j = i[i < j], j[i < j]
     # Which cells a vector visits repeats among near copies, so pairs of visits are looked up, not pairs of vectors.
-    kinds: dict[bytes, int] = {}
-    mine = np.array([kinds.setdefault(x.tobytes(), len(kinds)) for x in lists], np.int64)
-    theirs = np.array([kinds.setdefault(x.tobytes(), len(kinds)) for x in other_lists], np.int64)
-    visits = [np.frombuffer(x, np.int64) for x in kinds]
+    kinds: dict[tuple[bytes, bytes], int] = {}
+
+    def numbered(cells: list, parts: list) -> np.ndarray:
+        return np.array([kinds.setdefault((c.tobytes(), p.tobytes()), len(kinds)) for c, p in zip(cells, parts, strict=True)], np.int64)
+
+    mine, theirs = numbered(*lists), numbered(*other_lists)
+    visits = [tuple(np.frombuffer(x, np.int64) for x in kind) for kind in kinds]
     pairs, of = np.unique(mine[i] * len(kinds) + theirs[j], return_inverse=True)
-    here = np.array([_first_shared(visits[p // len(kinds)], visits[p % len(kinds)]) == cell for p in pairs], bool)
+
+    def meets_here(pair: int) -> bool:
+        a, b = visits[pair // len(kinds)], visits[pair % len(kinds)]
+        return _first_shared(a[0], b[0]) == cell and _first_shared(a[1], b[1]) == part
+
+    here = np.array([meets_here(p) for p in pairs], bool)
     counted = here[of] if len(pairs) else np.zeros(0, bool)
     left_links = np.bincount(i[counted], other_copies[j[counted]], minlength=len(units)).astype(np.int64)
     right_links = np.bincount(j[counted], copies[i[counted]], minlength=len(other)).astype(np.int64)
@@ -121,6 +137,57 @@ def block_links(
     return left_links, right_links, forest
 
 
+def _split_cells(seats: DataFrame, cosine: float, cell_rows: int) -> DataFrame:
+    """``seats`` with ``parts``, the parts of its cell that a vector visits, and a row for each ``part``.
+
+    A cell of more than SPLIT_CELLS times ``cell_rows`` vectors gets centroids of
+    its own from a sample of it, and its vectors visit the parts as they visit
+    cells, so links are kept as before.  A cell of near copies, which would
+    visit most parts, stays whole.
+    """
+    place = ["label", "dims", "cell"]
+    most = SPLIT_CELLS * cell_rows
+    large = materialize(seats.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large-cells")
+    whole = F.array(F.lit(0).cast("bigint"))
+
+    def fit_parts(frame: pd.DataFrame) -> pd.DataFrame:
+        units = np.array([np.frombuffer(u, "<f8") for u in frame.sort_values("vec_id").unit])
+        k = int(min(MOST_PARTS, max(2, frame.n.iloc[0] // cell_rows)))
+        centroids = spherical_kmeans(units, k)
+        visits = np.mean([len(x) for x in cells_of(units, centroids, cosine)])
+        first = frame[place].iloc[:1].reset_index(drop=True).assign(centroids=[centroids.astype("<f8").tobytes()])
+        return first if visits <= WORTH * len(centroids) else first[:0]
+
+    sampled = seats.join(large, place).where(F.pmod(F.xxhash64("vec_id", "cell"), F.ceil(F.col("n") / PART_SAMPLE).cast("bigint")) == 0)
+    kind = "label string, dims int, cell bigint"
+    fitted = materialize(sampled.select(*place, "n", "vec_id", "unit").groupBy(*place).applyInPandas(fit_parts, f"{kind}, centroids binary"), "part-centroids")
+    if fitted.isEmpty():
+        return seats.select("*", whole.alias("parts"), F.lit(0).cast("bigint").alias("part"))
+
+    split = materialize(fitted.select(*place).join(large, place).withColumn("shards", F.ceil(F.col("n") / PART_SAMPLE).cast("int")), "split-cells")
+    rest = seats.join(split, place, "left_anti").withColumn("parts", whole)
+    members = seats.join(split, place).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
+    # Each shard of a cell gets the centroids of its parts as one more row.
+    told = fitted.join(split, place).select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    names = seats.columns
+    columns = [c for c in names if c not in place]
+    both = members.select(*place, "shard", *columns, F.lit(None).cast("binary").alias("centroids")).unionByName(
+        told.select(*place, "shard", "centroids"), allowMissingColumns=True
+    )
+
+    def visit_parts(group: pa.Table) -> pa.Table:
+        centroids = group.filter(pc.is_valid(group.column("centroids"))).column("centroids")[0].as_py()
+        rows = group.filter(pc.is_null(group.column("centroids")))
+        units = np.array([np.frombuffer(u, "<f8") for u in rows.column("unit").to_pylist()]).reshape(rows.num_rows, -1)
+        matrix = np.frombuffer(centroids, "<f8").reshape(-1, group.column("dims")[0].as_py())
+        parts = [x.tolist() for x in cells_of(units, matrix, cosine)] if rows.num_rows else []
+        return rows.select(names).append_column("parts", pa.array(parts, pa.list_(pa.int64())))
+
+    schema = T.StructType([*seats.schema.fields, T.StructField("parts", T.ArrayType(T.LongType()))])
+    seated = both.groupBy(*place, "shard").applyInArrow(visit_parts, schema).select(*rest.columns)
+    return materialize(rest.unionByName(seated), "seats").select("*", F.explode("parts").alias("part"))
+
+
 def near_duplicates(
     embeddings: DataFrame,
     id_col: str = "vec_id",
@@ -208,26 +275,27 @@ def near_duplicates(
 
     kind = "vec_id bigint, label string, dims int, copies bigint, unit binary, cells array<bigint>"
     visits = materialize(map_slices(leads, visit, kind), "visits")
-    seats = visits.select("*", F.explode("cells").alias("cell"))
-    filled = seats.groupBy("label", "dims", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = seats.join(filled, ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    seats = _split_cells(visits.select("*", F.explode("cells").alias("cell")), cosine, cell_rows)
+    place = ["label", "dims", "cell", "part"]
+    filled = materialize(seats.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "filled")
+    placed = seats.join(filled, place).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     tasks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dims", "cell", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "vec_id", "copies", "unit", "cells"
+        *place, F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "vec_id", "copies", "unit", "cells", "parts"
     )
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, cell = int(frame.a.iloc[0]), int(frame.b.iloc[0]), int(frame.cell.iloc[0])
+        a, b, cell, part_of = (int(frame[c].iloc[0]) for c in ("a", "b", "cell", "part"))
         frame = frame.sort_values("vec_id")
 
         def block(part: pd.DataFrame):
             matrix = np.frombuffer(b"".join(part.unit), "<f8").reshape(len(part), -1)
-            return matrix, part.copies.to_numpy(), [np.asarray(c, np.int64) for c in part.cells]
+            return matrix, part.copies.to_numpy(), *([np.asarray(c, np.int64) for c in part[n]] for n in ("cells", "parts"))
 
         left = frame[frame.block == a]
         right = frame[frame.block == b] if a != b else frame[:0]
         if not len(left) or (a != b and not len(right)):
             return pd.DataFrame({"src": [], "dst": [], "links": []}, dtype="int64")
-        mine, theirs, forest = block_links(block(left), block(right) if a != b else None, cell, cosine)
+        mine, theirs, forest = block_links(block(left), block(right) if a != b else None, cell, cosine, part_of)
         ids = np.concatenate((left.vec_id.to_numpy(), right.vec_id.to_numpy()))
         links = np.concatenate((mine, theirs))
         some = links > 0
@@ -235,7 +303,7 @@ def near_duplicates(
         dst = [ids[some], np.array([ids[d] for _, d in forest], np.int64)]
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "links": np.concatenate((links[some], np.zeros(len(forest), np.int64)))})
 
-    found = materialize(tasks.groupBy("label", "dims", "cell", "a", "b").applyInPandas(multiply, "src bigint, dst bigint, links bigint"), "links")
+    found = materialize(tasks.groupBy(*place, "a", "b").applyInPandas(multiply, "src bigint, dst bigint, links bigint"), "links")
     remove(visits)
     parts = components(found.select("src", "dst")).withColumnRenamed("vertex", "rep")
     links = found.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("outside"))

@@ -91,6 +91,29 @@ def test_query_against_all_pairs(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
 
 
+def test_large_cells_are_split_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(60):
+        centre = rng.normal(size=8)
+        for _ in range(int(rng.integers(2, 12))):
+            rows.append((len(rows), (centre + rng.normal(size=8) * 0.15).tolist(), 1))
+    clump = rng.normal(size=8)
+    rows += [(len(rows) + k, (clump + rng.normal(size=8) * 0.01).tolist(), 1) for k in range(80)]
+    monkeypatch.setattr(vectors, "CENTROID_BYTES", 8 * 8 * 3)  # three cells at most
+    monkeypatch.setattr(vectors, "SPLIT_CELLS", 2)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    told = []
+    inner = vectors._split_cells
+    monkeypatch.setattr(vectors, "_split_cells", lambda *a: told.append(inner(*a)) or told[-1])
+    got = result(spark, rows, cell_rows=8)
+    want = brute(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert sum(n for n, _ in want.values()) > 80 * 79
+    parts = {(r.cell, r.part) for r in told[0].select("cell", "part").collect()}
+    assert len(parts) > 10 and len({c for c, _ in parts}) <= 3
+
+
 def test_memory_does_not_grow_with_the_centroids():
     rng = np.random.default_rng(5)
     units = vectors._unit(rng.normal(size=(256, 8)))
