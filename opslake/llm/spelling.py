@@ -39,9 +39,9 @@ from opslake.llm.batches import map_slices, slices, texts
 from opslake.llm.polynomials import BASE, prefixes, stretch
 from opslake.llm.shingles import mix
 
-#: Letters of a run; A to Z are lower-cased.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LETTERS = 7
+#: A maximal run of letters, if it is long enough; A to Z are lower-cased.
+RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LETTERS},}}")
 OCCURRENCES = 2
 #: One run in so many, by a hash, loses a letter.
 DAMAGED = 31
@@ -60,9 +60,7 @@ _START = LETTERS // 2
 def _runs(text: str, doc_id) -> Iterator[tuple[str, int]]:
     """The counted runs of one document."""
     prefix = zlib.crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
-    for run, n in Counter(RUN.findall(text)).items():
-        if len(run) < LETTERS:
-            continue
+    for run, n in Counter(found.group() for found in RUN.finditer(text)).items():
         data = run.encode().lower()  # bytes: A to Z only
         word = data.decode()
         h = zlib.crc32(data, prefix)
@@ -225,8 +223,8 @@ def _long_pairs(known: DataFrame) -> DataFrame:
             }
         )
 
-    hashed = map_slices(known.select("word"), run, "word string, whole bigint, without array<bigint>")
-    hashed = materialize(hashed.where(F.char_length("word") >= LONGEST), "long-words")
+    longer = known.select("word").where(F.char_length("word") >= LONGEST)  # what loses a letter and what it may become
+    hashed = materialize(map_slices(longer, run, "word string, whole bigint, without array<bigint>"), "long-words")
     parts = materialize(
         hashed.where(F.char_length("word") > LONGEST).select("word", F.posexplode("without").alias("place", "hash")), "long-parts"
     )
