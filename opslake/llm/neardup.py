@@ -100,7 +100,8 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, a 128-bit identity of the words (``h1``, ``h2``) and ``bands`` of every text that has a word."""
+    """``doc_id``, a 128-bit identity of the words (``h1``, ``h2``), the number of runs (``size``) and ``bands`` of every
+    text that has a word."""
     held = share(docs.sparkSession, [])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,11 +121,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 "doc_id": batch.column("doc_id").take(pa.array(some, pa.int64())),
                 "h1": pa.array(np.ascontiguousarray(both[:, 0])),
                 "h2": pa.array(np.ascontiguousarray(both[:, 1])),
+                "size": pa.array(np.bincount(of, minlength=len(words)).astype(np.int32)),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), flat),
             }
         )
 
-    return map_slices(docs, run, "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return map_slices(docs, run, "doc_id bigint, h1 bigint, h2 bigint, size int, bands array<bigint>")
 
 
 def cells_of(text: str, memory: WordHashes) -> np.ndarray:
@@ -186,39 +188,42 @@ def _named(id_col: str, text_col: str, repeats: bool) -> Column:
 def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among members of buckets that their leader does not join.
 
-    ``members``: key, doc_id, far (not linked with the leader), part (component
-    so far).  Members of one part need no comparison, so those outside the
-    commonest part of a bucket are compared with each other and with that part.
+    ``members``: key, doc_id, size, far (not linked with the leader), part
+    (component so far).  Members of one part need no comparison, so those outside
+    the commonest part of a bucket are compared with each other and with that
+    part; and of these only members whose sizes allow the similarity, which lie
+    in one class of sizes or in neighbouring ones.
     """
     common = materialize(
         members.groupBy("key", "part")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key")
-        .agg(F.max(F.struct("n", "part"))["part"].alias("common"), F.max("n").alias("in_common"), F.sum("n").alias("all"))
-        .select(
-            "key",
-            "common",
-            F.ceil(F.col("in_common") / BLOCK).cast("int").alias("common_blocks"),
-            F.ceil((F.col("all") - F.col("in_common")) / BLOCK).cast("int").alias("other_blocks"),
-        ),
+        .agg(F.max(F.struct("n", "part"))["part"].alias("common")),
         "common-parts",
     )
-    spread = members.join(common, "key").withColumn("other", F.col("part") != F.col("common"))
-    other = F.col("other")
-    blocks = F.when(other, F.col("other_blocks")).otherwise(F.col("common_blocks"))
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-
-    def upto(n):
-        return F.sequence(F.lit(0), n - 1)
-
-    # Blocks of others are numbered from 0 up, blocks of the common part from -1 down.
-    among = F.transform(upto(F.col("other_blocks")), lambda b: F.struct(F.least(mine, b).alias("a"), F.greatest(mine, b).alias("b")))
-    across = F.transform(upto(F.col("common_blocks")), lambda b: F.struct(mine.alias("a"), (-1 - b).alias("b")))
-    back = F.transform(upto(F.col("other_blocks")), lambda b: F.struct(b.alias("a"), (-1 - mine).alias("b")))
-    tasks = spread.select(
-        "key", "doc_id", "far", "part", "other", mine.alias("mine"), F.explode(F.when(other, F.concat(among, across)).otherwise(back)).alias("task")
+    # Classes are a little wider than the similarity asks for, so rounding cannot part a pair by two classes.
+    group = F.floor(F.log(F.col("size").cast("double")) / math.log(1.01 / SIMILARITY)).cast("bigint")
+    spread = members.join(common, "key").withColumn("other", F.col("part") != F.col("common")).withColumn("class", group)
+    spread = materialize(spread, "classes")
+    counts = spread.groupBy("key", "other", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
+    counts = materialize(counts, "class-sizes")
+
+    def side(other, of_class, block):
+        """A block of one class as a number; blocks of others come before those of the common part."""
+        return F.shiftleft(F.when(other, F.lit(0)).otherwise(F.lit(1 << 20)).cast("bigint") + of_class, 32) + block
+
+    with_own = spread.join(counts, ["key", "other", "class"])
+    mine = side(F.col("other"), F.col("class"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    seats = with_own.select("key", "doc_id", "far", "part", "other", "class", mine.alias("mine"))
+    met = counts.select("key", F.col("other").alias("o"), F.col("class").alias("c"), F.col("blocks").alias("n"))
+    tasks = (
+        seats.join(met, "key")
+        .where("abs(class - c) <= 1 and (other or o)")
+        .select("key", "doc_id", "far", "part", "mine", "o", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"))
+        .withColumn("theirs", side(F.col("o"), F.col("c"), F.col("block")))
+        .select("key", F.least("mine", "theirs").alias("a"), F.greatest("mine", "theirs").alias("b"), "mine", "doc_id", "far", "part")
     )
-    seated = tasks.join(docs, "doc_id").select("key", "task.a", "task.b", "mine", "doc_id", "far", "part", "other", "text")
+    seated = tasks.join(docs, "doc_id").select("key", "a", "b", "mine", "doc_id", "far", "part", "text")
 
     held = share(docs.sparkSession, [])
 
@@ -230,11 +235,7 @@ def _leftover_links(members: DataFrame, docs: DataFrame) -> DataFrame:
         ids = sorted(rows)
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
         part = np.array([rows[i]["part"] for i in ids])
-        left = [k for k, i in enumerate(ids) if rows[i]["other"] and rows[i]["mine"] == a]
-        if b < 0:
-            right = [k for k, i in enumerate(ids) if not rows[i]["other"]]
-        else:
-            right = [k for k, i in enumerate(ids) if rows[i]["other"] and rows[i]["mine"] == b]
+        left, right = ([k for k, i in enumerate(ids) if rows[i]["mine"] == side] for side in (a, b))
         cells: dict[int, np.ndarray] = {}
         links: list[tuple[int, int]] = []
 
@@ -298,16 +299,16 @@ def _classes(base: DataFrame) -> DataFrame:
     represented = signed.join(same, ["h1", "h2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     members = represented.select("doc_id", "rep")
 
-    bands = represented.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
+    bands = represented.where("doc_id = rep").select("doc_id", "size", F.posexplode("bands").alias("band", "key"))
     order = F.pmod("band", F.lit(len(ORDERS)))
     turned = F.array(*(F.lit(o) for o in ORDERS))[order]
-    ranked = bands.select("doc_id", "key", turned.alias("turn"), F.col("doc_id").bitwiseXOR(turned).alias("rank"))
+    ranked = bands.select("doc_id", "size", "key", turned.alias("turn"), F.col("doc_id").bitwiseXOR(turned).alias("rank"))
     # Aggregates are stored before a join with what they sum up, or a bucket of any size would be one task of it.
     buckets = materialize(
         ranked.groupBy("key").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "leaders"
     )
     shared = materialize(
-        ranked.join(buckets, "key").select("key", "doc_id", F.col("least").bitwiseXOR(F.col("turn")).alias("leader")), "buckets"
+        ranked.join(buckets, "key").select("key", "doc_id", "size", F.col("least").bitwiseXOR(F.col("turn")).alias("leader")), "buckets"
     )
     # Only texts in some bucket are read again; a bitmap of fixed size spares the others the shuffle.
     hashed = base.withColumn("hash", F.xxhash64("doc_id"))
@@ -326,6 +327,7 @@ def _classes(base: DataFrame) -> DataFrame:
         .select(
             "key",
             "doc_id",
+            "size",
             F.coalesce("similarity", F.lit(1.0)).alias("near"),
             F.coalesce("component", "doc_id").alias("part"),
         )
@@ -347,7 +349,7 @@ def _classes(base: DataFrame) -> DataFrame:
     left = materialize(
         placed.join(open_keys, "key")
         .where(f"near < {SIMILARITY} or near <= nearest + {reach + 1e-9}")
-        .select("key", "doc_id", (F.col("near") < SIMILARITY).alias("far"), "part"),
+        .select("key", "doc_id", "size", (F.col("near") < SIMILARITY).alias("far"), "part"),
         "leftover",
     )
     if left.isEmpty():

@@ -67,16 +67,31 @@ def test_members_that_no_leader_joins(spark, monkeypatch):
     """Pairs that only the second stage compares, in blocks of their bucket."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(8)
-    pairs = [words(rng, 60) for _ in range(40)]
+    pairs = [words(rng, rng.choice((20, 25, 31, 60, 75, 400))) for _ in range(40)]
     texts = {}
     for k, w in enumerate(pairs):
         texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join([*w, "tail"])
     base = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    members = spark.createDataFrame([(7, i, i % 3 > 0, i) for i in texts], "key long, doc_id long, far boolean, part long")
+    rows = [(7, i, sum(runs(t).values()), i % 3 > 0, i) for i, t in texts.items()]
+    members = spark.createDataFrame(rows, "key long, doc_id long, size int, far boolean, part long")
     links = {tuple(sorted(r)) for r in neardup._leftover_links(members, base).collect()}
     assert links == {(2 * k, 2 * k + 1) for k in range(40)}
 
 
+def test_leftovers_at_the_border_of_their_size_classes(spark):
+    # Texts of 4 n and 5 n runs of which the shorter one begins the longer: similarity 0.8 to the last bit.
+    rng = random.Random(10)
+    texts = {}
+    for k, n in enumerate((1, 2, 3, 5, 10, 25, 100, 256)):
+        w = words(rng, 5 * n + 4)
+        texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join(w[: 4 * n + 4])
+    base = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [(7, i, sum(runs(t).values()), True, i) for i, t in texts.items()]
+    members = spark.createDataFrame(rows, "key long, doc_id long, size int, far boolean, part long")
+    links = {tuple(sorted(r)) for r in neardup._leftover_links(members, base).collect()}
+    assert links == {(2 * k, 2 * k + 1) for k in range(8)}
+
+
 def test_odd_rows(spark):
     rows = [(5, "one two", "x"), (3, "ONE  two", None), (1, "", "x"), (2, None, "x"), (4, "   ", "x"), (None, "one two", "y"), (5, "one two", "z"), (9, "one", "x")]
     got = sorted(((r.doc_id or -1, r.class_id, r.kept) for r in neardup.classes(docs(spark, rows)).collect()), key=str)
