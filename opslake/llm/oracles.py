@@ -42,11 +42,13 @@ def _spans(kind: str, order: int, pattern: str, keeps: str) -> str:
   WHERE {keeps}"""
 
 
-_CLASS = "CASE " + " ".join(
-    f"WHEN regexp_full_match(found, '[{chars}]+') THEN {secret_scan.CLASSES[name][1]}"
-    for name, chars in (("hex", "0-9a-f"), ("alphanumeric", "0-9A-Za-z"))
-) + f" ELSE {secret_scan.CLASSES['base64'][1]} END"
-_ALLOWED = " OR ".join(f"regexp_matches(found, '{_quoted(p)}')" for p in secret_scan.ALLOWED)
+_CLASS = f"""CASE WHEN NOT regexp_matches(bare, '[A-Za-z]') THEN NULL WHEN regexp_full_match(bare, '[a-z]+|[A-Z]+') THEN 'one case'
+  WHEN regexp_full_match(bare, '[A-Za-z]+') THEN CASE WHEN NOT regexp_matches(bare, '{_quoted(secret_scan.NAME)}') THEN 'letters' END
+  WHEN NOT regexp_matches(bare, '[0-9]') THEN NULL WHEN regexp_full_match(bare, '[0-9a-fA-F]+') THEN 'hex'
+  WHEN regexp_full_match(bare, '[0-9A-Za-z]+') THEN 'alphanumeric' ELSE 'base64' END"""
+_LEAST = "CASE class " + " ".join(f"WHEN '{name}' THEN {bits}" for name, (_, bits) in secret_scan.CLASSES.items()) + " END"
+_FOLDED = ", ".join(f"'{name}'" for name in secret_scan.FOLDED)
+_ALLOWED = " OR ".join(f"regexp_matches(bare, '{_quoted(p)}')" for p in secret_scan.ALLOWED)
 _GROUP_2 = f"length(regexp_extract(m[i], '{_quoted(secret_scan.ASSIGN)}', 2)) >= {secret_scan.ASSIGNED_CHARS}"
 
 SECRETS = f"""
@@ -54,17 +56,22 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_spans("assign", 0, secret_scan.ASSIGN, _GROUP_2)}
   UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(m[i]) >= 20")}
   UNION ALL {_spans("hex", 2, "[0-9a-f]+", "length(m[i]) >= 24")}),
-candidates AS ({_spans("entropy", 3, "[A-Za-z0-9+/_-]{20,}", "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')")}),
+long_words AS ({_spans("entropy", 3, "[A-Za-z0-9+/_-]{20,}", "regexp_matches(m[i], '[A-Za-z]')")}),
+classed AS (SELECT *, {_CLASS} AS class FROM (SELECT *, regexp_replace(found, '{_quoted(secret_scan.DATES)}', '') AS bare FROM long_words)),
+candidates AS (
+  SELECT *, CASE WHEN class IN ({_FOLDED}) THEN lower(bare) ELSE bare END AS measured, {_LEAST} AS least
+  FROM classed WHERE class IS NOT NULL AND NOT ({_ALLOWED})),
 letters AS (
-  SELECT doc_id, i, pos, found[pos + k] AS letter, count(*) AS n
+  SELECT doc_id, i, pos, measured[pos + k] AS letter, count(*) AS n
   FROM (SELECT *, unnest(range(0, {secret_scan.WINDOW})) AS k
-        FROM (SELECT *, unnest(range(1, length(found) - {secret_scan.WINDOW - 2})) AS pos FROM candidates))
+        FROM (SELECT *, unnest(range(1, length(measured) - {secret_scan.WINDOW - 2})) AS pos FROM candidates))
   GROUP BY ALL),
 windows AS (
   SELECT doc_id, i, -sum(n / {secret_scan.WINDOW}.0 * log2(n / {secret_scan.WINDOW}.0)) AS bits FROM letters GROUP BY doc_id, i, pos),
 random AS (
-  SELECT c.* FROM candidates c JOIN (SELECT doc_id, i, max(bits) AS best FROM windows GROUP BY ALL) w ON w.doc_id = c.doc_id AND w.i = c.i
-  WHERE w.best >= {_CLASS} AND NOT ({_ALLOWED})),
+  SELECT c.doc_id, c.kind, c.kind_order, c.i, c.found, c.start
+  FROM candidates c JOIN (SELECT doc_id, i, max(bits) AS best FROM windows GROUP BY ALL) w ON w.doc_id = c.doc_id AND w.i = c.i
+  WHERE w.best >= c.least - 1e-9),
 every AS (
   SELECT doc_id, kind, kind_order, CAST(start AS bigint) AS start, CAST(start + length(found) AS bigint) AS stop FROM (SELECT * FROM base UNION ALL SELECT * FROM random)),
 said AS (SELECT *, concat(kind, ':', CAST(start AS string), ':', CAST(stop AS string)) AS span FROM every)
