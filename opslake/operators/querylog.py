@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions import text
-from opslake.functions.skew import salted_join, top_per_key
+from opslake.functions.scratch import materialize
+from opslake.functions.skew import latest_per_key, salted_join, top_per_key
 
 SLOW_MS = 1000.0
 TOP_STATEMENTS = 100
@@ -54,25 +55,14 @@ def merge_slow_queries(collected: DataFrame) -> DataFrame:
 
     Within one collection the statement read last (lowest mean) wins.
     """
-    arrival = F.struct("captured_at", (-F.col("mean_exec_time")).alias("slowness"), "query_id")
-    return (
-        collected.groupBy("tenant_id", "database_id", "fingerprint")
-        .agg(
-            F.min_by("query", arrival).alias("query_text"),
-            F.max_by(F.struct(*_STATS), arrival).alias("_latest"),
-            F.min("captured_at").alias("first_captured_at"),
-            F.max("captured_at").alias("last_captured_at"),
-        )
-        .select(
-            "tenant_id",
-            "database_id",
-            "fingerprint",
-            "query_text",
-            *(F.col(f"_latest.{c}").alias(c) for c in _STATS),
-            "first_captured_at",
-            "last_captured_at",
-        )
-    )
+    keys = ["tenant_id", "database_id", "fingerprint"]
+    # Both prune to a row per key before their shuffle; the statements are ranked and fingerprinted once.
+    stored = materialize(collected.select(*keys, "query_id", "query", "captured_at", *_STATS), "statements")
+    first = latest_per_key(stored, keys, [F.asc("captured_at"), F.desc("mean_exec_time"), F.asc("query_id")])
+    last = latest_per_key(stored, keys, [F.desc("captured_at"), F.asc("mean_exec_time"), F.desc("query_id")])
+    named = first.select(*keys, F.col("query").alias("query_text"), F.col("captured_at").alias("first_captured_at"))
+    newest = last.select(*keys, *_STATS, F.col("captured_at").alias("last_captured_at"))
+    return named.join(newest, keys).select(*keys, "query_text", *_STATS, "first_captured_at", "last_captured_at")
 
 
 def upsert_slow_queries(base: DataFrame, batch: DataFrame) -> DataFrame:
@@ -196,15 +186,10 @@ def index_suggestions(slow_queries: DataFrame, catalogue: DataFrame) -> DataFram
         .select("*", F.posexplode("_columns").alias("_c", "column_name"))
         .withColumn("index_key", F.lower(F.concat("table_name", F.lit("."), "column_name")))
     )
-    precedence = F.struct((-F.col("mean_exec_time")).alias("slow"), "fingerprint", "_t", "_c")
-    first = named.groupBy("tenant_id", "index_key").agg(
-        F.min_by(
-            F.struct("table_name", "column_name", "mean_exec_time", "calls", "shared_blks_hit", "shared_blks_read"),
-            precedence,
-        ).alias("s")
-    )
+    order = [F.desc("mean_exec_time"), F.asc("fingerprint"), F.asc("_t"), F.asc("_c")]
+    first = latest_per_key(named.drop("_columns"), ["tenant_id", "index_key"], order)
     fresh = first.join(indexed_columns(catalogue), ["tenant_id", "index_key"], "left_anti")
-    table, column = F.col("s.table_name"), F.col("s.column_name")
+    table, column = F.col("table_name"), F.col("column_name")
     return fresh.select(
         "tenant_id",
         "index_key",
@@ -216,10 +201,10 @@ def index_suggestions(slow_queries: DataFrame, catalogue: DataFrame) -> DataFram
         F.format_string(
             "Column '%s' used in WHERE/JOIN clause of slow query (mean=%.1fms, calls=%d)",
             column,
-            F.col("s.mean_exec_time"),
-            F.col("s.calls").cast("bigint"),
+            F.col("mean_exec_time"),
+            F.col("calls").cast("bigint"),
         ).alias("reason"),
-        estimated_improvement(F.col("s.shared_blks_hit"), F.col("s.shared_blks_read")).alias(
+        estimated_improvement(F.col("shared_blks_hit"), F.col("shared_blks_read")).alias(
             "estimated_improvement_pct"
         ),
     )
