@@ -196,7 +196,9 @@ def trailing_count(
         .groupBy(*keys, F.col("c.at").alias(ts))
         .agg(F.sum("c.change").alias("_change"), F.max("c.own").alias("_own"))
     )
-    totals = scan(changes, keys, [ts], hot_rows, **{out: Running("sum", F.col("_change"))})
+    # Every time gives two changes at most, so counting the rows' keys finds all large ones without the aggregates.
+    hot = hot_keys(rows, keys, max(1, hot_rows // 2))
+    totals = scan(changes, keys, [ts], hot_rows, hot, **{out: Running("sum", F.col("_change"))})
     return totals.filter("_own").drop("_change", "_own")
 
 

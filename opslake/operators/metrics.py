@@ -17,7 +17,8 @@ from opslake.functions.skew import HOT_ROWS, Running, hot_keys, latest_per_key,
 def counter_increases(samples: DataFrame, series: list[str]) -> DataFrame:
     """Change of each sample against the one before it in its series."""
     points = samples.groupBy(*series, "ts").agg(F.max("value").alias("value"))
-    paired = scan(points, series, ["ts"], previous=Running("last", F.col("value"), exclusive=True))
+    hot = hot_keys(samples, series, HOT_ROWS)  # points are no more than samples
+    paired = scan(points, series, ["ts"], HOT_ROWS, hot, previous=Running("last", F.col("value"), exclusive=True))
     change = F.col("value") - F.col("previous")
     return paired.filter("previous is not null").select(
         *series, "ts", F.when(change < 0, F.col("value")).otherwise(change).alias("increase")
@@ -180,7 +181,9 @@ def sustained_breaches(
         .groupBy(*labels, "ts")
         .agg(F.max("_bad").alias("_bad"))
     )
-    numbered = scan(points, labels, ["ts"], _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
+    # Points are fewer than samples, so counting the samples' labels finds all large series without the aggregate.
+    hot = hot_keys(samples, labels, HOT_ROWS)
+    numbered = scan(points, labels, ["ts"], HOT_ROWS, hot, _island=Running("sum", F.when(F.col("_bad"), 0).otherwise(1)))
     seconds = F.col(hold_seconds) if isinstance(hold_seconds, str) else F.lit(hold_seconds)
     return (
         numbered.filter("_bad")
