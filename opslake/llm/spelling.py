@@ -172,8 +172,9 @@ def _advanced(states: DataFrame, edges: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _walked(known: DataFrame) -> DataFrame:
-    """Pairs (word, near) one replacement or deletion apart, among words of up to LONGEST letters."""
+def _walked(known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (word, near) one replacement or deletion apart, among words of up to LONGEST letters, and the tables of states
+    that they are read from."""
     length = F.char_length("word")
     forward = known.select(F.lit(0).alias("side"), "word", F.floor(length / 2).cast("int").alias("middle"), F.col("word").alias("walk"))
     backward = known.select(F.lit(1).alias("side"), "word", (length - F.floor(length / 2)).cast("int").alias("middle"), F.reverse("word").alias("walk"))
@@ -183,11 +184,12 @@ def _walked(known: DataFrame) -> DataFrame:
         "side", "word", "middle", _node(F.col("side"), F.substr(walk, F.lit(1), F.lit(_START))).alias("node"), walk.alias("near"), F.lit(0).alias("edits")
     )
     states = materialize(states, "states")
-    found, level = [], _START
+    stored, found, level = [states], [], _START
     while not states.isEmpty():
         edges = materialize(_edges(states, level), "edges")
         after = materialize(_advanced(states, edges, level), "states")
         remove(edges)
+        stored.append(after)
         found.append(after.where("found"))
         states = after.where("not found").drop("found")
         level += 1
@@ -196,7 +198,7 @@ def _walked(known: DataFrame) -> DataFrame:
     plain = F.expr("substr(near, 1, char_length(near) - 1)")
     for terminals in found:
         pairs = pairs.union(terminals.select("word", F.when(F.col("side") == 0, plain).otherwise(F.reverse(plain)).alias("near")))
-    return pairs.distinct()
+    return pairs.distinct(), stored
 
 
 def _long_pairs(known: DataFrame) -> DataFrame:
@@ -246,8 +248,9 @@ def _shifted(values: np.ndarray, by: np.ndarray) -> np.ndarray:
 def near_pairs(known: DataFrame) -> DataFrame:
     """``word`` and ``near`` for all words (column ``word``, distinct) that differ by one letter inserted, deleted or
     replaced, both ways round."""
-    pairs = _walked(known.where(F.char_length("word") <= LONGEST).select("word"))
+    pairs, stored = _walked(known.where(F.char_length("word") <= LONGEST).select("word"))
     once = materialize(pairs.union(_long_pairs(known)), "near")
+    remove(*stored)
     return once.union(once.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
