@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.skew import Running, scan
+from opslake.functions.scratch import materialize
+from opslake.functions.skew import HOT_ROWS, Running, hot_keys, scan
 from opslake.operators import metrics
 from opslake.plans.registry import query
 
@@ -95,11 +96,13 @@ FROM w WHERE cnt >= 0.95::double * total AND below < 0.95::double * total GROUP
 def response_p95(t):
     job = F.concat(F.lit("job"), (F.col("user_id") % 3).cast("string")).alias("job")
     bounds = F.array(*(F.lit(b) for b in [*BOUNDS, float("inf")]))
-    seen = t.base("events").select(job, "ts", "event_id", F.explode(F.filter(bounds, lambda b: F.col("value") <= b)).alias("le"))
-    # Counters as scraped: what each bucket has counted so far.
-    so_far = Window.partitionBy("job", "le").orderBy("ts", "event_id")
-    scraped = seen.withColumn("value", F.count("*").over(so_far).cast("double"))
-    return metrics.rate_quantile(scraped, ["job"], ["job"], 0.95, 3600)
+    seen = t.base("events").select(job, "ts", F.explode(F.filter(bounds, lambda b: F.col("value") <= b)).alias("le"))
+    # Counters as scraped: what each bucket has counted so far, one sample per time.
+    at_time = seen.groupBy("job", "le", "ts").agg(F.count("*").alias("seen"))
+    hot = hot_keys(seen, ["job", "le"], HOT_ROWS)  # times are no more than observations
+    counted = scan(at_time, ["job", "le"], ["ts"], HOT_ROWS, hot, value=Running("sum", F.col("seen")))
+    scraped = counted.select("job", "le", "ts", F.col("value").cast("double").alias("value"))
+    return metrics.rate_quantile(materialize(scraped, "scraped"), ["job"], ["job"], 0.95, 3600)
 
 
 @query("response_p95_by_hour", P95_SQL)
@@ -226,7 +229,7 @@ def held_alerts(t):
         values(backlog, "QueueBacklog", F.col("backlog"), "ts"),
         values(response_p95(t), "SlowIngestion", F.col("quantile")),
     ]
-    return metrics.metric_alerts(reduce(DataFrame.unionByName, fed), ["job", "instance"])
+    return metrics.metric_alerts(materialize(reduce(DataFrame.unionByName, fed), "alert-values"), ["job", "instance"])
 
 
 @query("metric_alerts", f"{ALERTS_WITH} SELECT * FROM held")
@@ -245,7 +248,7 @@ SELECT alertname, service, min(started_at) AS started_at, max(started_at) AS end
 FROM n GROUP BY alertname, service, grp""",
 )
 def _(t):
-    alerts = held_alerts(t).withColumnRenamed("job", "service")
+    alerts = materialize(held_alerts(t), "held-alerts").withColumnRenamed("job", "service")
     return metrics.alert_groups(alerts, ["alertname", "service"], "started_at", "instance", 3600)
 
 

@@ -147,3 +147,17 @@ def test_task_functions_do_not_need_the_package_on_workers():
     script = "import pickle, sys; pickle.loads(sys.stdin.buffer.read()); assert 'opslake' not in sys.modules"
     for fn in (greedy._pick_spaced, greedy._summarise_block, greedy._accept_within_limit, jobs.CooldownProcessor()):
         subprocess.run([sys.executable, "-c", script], input=cloudpickle.dumps(fn), cwd="/", check=True, timeout=60)
+
+
+def test_counters_of_a_large_bucket_are_counted_in_slices(spark, tmp_path, monkeypatch):
+    from opslake.plans import metrics as plans
+
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 97 % 9000) AS ts"
+    events = spark.range(3000).selectExpr("id AS event_id", at, "3L AS user_id")
+    events.selectExpr("*", "'view' AS event_type", "CAST(event_id % 40 AS double) AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got, sliced, plain = [], [], plans.scan
+    monkeypatch.setattr(plans, "scan", lambda *a, **k: sliced.append(a[4] is not None) or plain(*a, **k))
+    for hot_rows in (200, 1_000_000):
+        monkeypatch.setattr(plans, "HOT_ROWS", hot_rows)
+        got.append(sorted(map(str, plans.response_p95(Domain(spark, str(tmp_path))).collect())))
+    assert got[0] == got[1] and len(got[0]) > 1 and sliced == [True, False]
