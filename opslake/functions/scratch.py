@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders of a table that is opened here are listed by as many tasks as there are cores.
+
+    Else every folder is a task of its own, up to ten thousand, whose start takes longer than the listing.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` gave, once nothing will read them again."""
     for table in tables:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opslake.functions.scratch import listed_in_few_tasks
+
 
 def archive_logs(logs: DataFrame, uri: str, ts: str = "ts") -> None:
     """Write logs as JSON lines by service and day under any storage address.
 
-    A service's day is spread over files by its size, so a busy one is not one task.
+    A service's day is spread over files by its size, so a busy one is not one task.  Tasks put
+    their files in place themselves; the driver would move those of all services and days one by one.
     """
     (
         logs.withColumn("log_date", F.to_date(ts))
@@ -18,6 +21,7 @@ def archive_logs(logs: DataFrame, uri: str, ts: str = "ts") -> None:
         .write.mode("append")
         .partitionBy("service", "log_date")
         .option("compression", "gzip")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .json(uri)
     )
 
@@ -28,4 +32,5 @@ def read_archive(spark: SparkSession, uri: str, schema: T.StructType) -> DataFra
     full = T.StructType(
         [*fields, T.StructField("service", T.StringType()), T.StructField("log_date", T.DateType())]
     )
-    return spark.read.schema(full).json(uri)
+    with listed_in_few_tasks(spark):
+        return spark.read.schema(full).json(uri)
