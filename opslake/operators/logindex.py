@@ -16,12 +16,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslake.functions.scratch import listed_in_few_tasks
 from opslake.operators import logs as log_ops
 
 INDEX_SCHEMA = "term string, file string, tenant_id string, log_date date"
 #: Stands for a whole file in the index, so that a file without any word is known too; no word can look like it.
 WHOLE_FILE = ""
 WORD = r"(?U)\w+"
+#: Characters of messages whose words one task takes in.
+TASK_CHARS = 8_000_000
 
 
 def terms(message: Column) -> Column:
@@ -32,7 +35,8 @@ def terms(message: Column) -> Column:
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     """The stored index; empty where none was written yet."""
     try:
-        return spark.read.schema(INDEX_SCHEMA).parquet(index_path)
+        with listed_in_few_tasks(spark):
+            return spark.read.schema(INDEX_SCHEMA).parquet(index_path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -40,13 +44,20 @@ def read_index(spark: SparkSession, index_path: str) -> DataFrame:
 
 
 def extend_index(spark: SparkSession, logs_path: str, index_path: str) -> None:
-    """Add the files that the index does not know, tenant-day by tenant-day; only these are read."""
-    stored = spark.read.parquet(logs_path)
+    """Add the files that the index does not know, tenant-day by tenant-day; only these are read.
+
+    Files are dealt out by the length of their messages, so what a task holds does not grow with the table.
+    """
+    with listed_in_few_tasks(spark):
+        stored = spark.read.parquet(logs_path)
     known = read_index(spark, index_path).where(F.col("term") == WHOLE_FILE).select("file")
-    files = stored.select("tenant_id", "log_date", F.input_file_name().alias("file"), terms(F.col("message")).alias("terms"))
+    files = stored.select("tenant_id", "log_date", F.input_file_name().alias("file"), "message")
+    lengths = files.select("file", F.char_length("message").alias("chars")).join(known, "file", "left_anti")
+    chars = lengths.agg(F.sum("chars")).first()[0] or 0
     # A file goes in with all its rows or not at all, so a term of a file is written once.
-    fresh = files.join(known, "file", "left_anti")
-    listed = fresh.select("tenant_id", "log_date", "file", F.explode(F.concat(F.array(F.lit(WHOLE_FILE)), "terms")).alias("term"))
+    fresh = files.repartition(1 + chars // TASK_CHARS, "file").join(known, "file", "left_anti")
+    words = F.concat(F.array(F.lit(WHOLE_FILE)), terms(F.col("message")))
+    listed = fresh.select("tenant_id", "log_date", "file", F.explode(words).alias("term"))
     (
         listed.groupBy("tenant_id", "log_date", "term", "file")
         .agg(F.lit(1).alias("_one"))
@@ -89,7 +100,8 @@ def _files_of(spark: SparkSession, logs_path: str, tenant_id: str, start: dateti
     """A listing of the tenant's own folder, without the days outside of the time range."""
     folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant_id)
     try:
-        listed = spark.read.schema("id string").parquet(f"{logs_path}/tenant_id={folder}").inputFiles()
+        with listed_in_few_tasks(spark):
+            listed = spark.read.schema("id string").parquet(f"{logs_path}/tenant_id={folder}").inputFiles()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -118,7 +130,8 @@ def indexed_search(
     end: datetime | None = None,
 ) -> DataFrame:
     """``log_search`` over stored logs that opens only files which can hold a word of the query."""
-    stored = spark.read.parquet(logs_path)
+    with listed_in_few_tasks(spark):
+        stored = spark.read.parquet(logs_path)
     if not query.strip():
         return log_ops.log_search(log_ops.read_logs(spark, logs_path, tenant_id, start, end), tenant_id, query, min_level, start, end)
     chosen, _ = files_to_read(spark, logs_path, index_path, tenant_id, query, start, end)

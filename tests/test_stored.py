@@ -6,8 +6,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from opslake.operators import tables
-from opslake.sources import versions
+from opslake.operators import logindex, logs, tables
+from opslake.sources import archive, versions
 from opslake.streaming import logstore
 
 NOW = datetime(2024, 6, 1)
@@ -175,3 +175,32 @@ def test_live_parts():
     assert logstore.live_parts([-3, 0, 1, 2, 3]) == [-3, 3]
     assert logstore.live_parts([-3, -6, 4, 5, 6]) == [-6, 6]
     assert [logstore.covered_upto(p) for p in (4, -1, -6)] == [4, 0, 5]
+
+
+def test_a_listing_of_many_folders_takes_no_more_tasks_than_cores(spark, tmp_path):
+    rows = [(i, "s", f"m{i}", NOW + timedelta(days=i)) for i in range(60)]
+    entries = spark.createDataFrame(rows, "id long, service string, message string, ts timestamp_ntz")
+    path, key = str(tmp_path / "archive"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    archive.archive_logs(entries, path)
+    before, tracker = spark.conf.get(key), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    found = archive.read_archive(spark, path, entries.schema)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+    assert sorted(map(tuple, found.select(*entries.columns).collect())) == rows
+
+
+def test_the_term_index_is_the_same_however_its_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, f"t{i % 3}", " ".join(rng.choices(["a", "b", "c", "dd", ""], k=9)), NOW + timedelta(hours=i)) for i in range(300)]
+    entries = spark.createDataFrame(rows + [(300, "t0", None, NOW)], "id long, tenant_id string, message string, ts timestamp_ntz")
+    path = str(tmp_path / "rows")
+    logs.write_logs(logs.prepare_logs(entries, NOW), path)
+    got = []
+    for chars in (100, logindex.TASK_CHARS):
+        monkeypatch.setattr(logindex, "TASK_CHARS", chars)
+        logindex.extend_index(spark, path, str(tmp_path / f"terms-{chars}"))
+        got.append(sorted(map(tuple, logindex.read_index(spark, str(tmp_path / f"terms-{chars}")).collect())))
+    assert got[0] == got[1] and len(set(got[0])) == len(got[0]) > 0
