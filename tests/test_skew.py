@@ -166,3 +166,21 @@ def test_salted_join_keeps_every_pair_once(spark):
                 assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_side_that_only_its_estimate_makes_small_is_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "small")
+    spark.range(20_000).selectExpr("id % 500 AS k", "repeat('x', 50) AS w").write.parquet(path)
+    small, left = spark.read.parquet(path), spark.range(600).selectExpr("id % 600 AS k", "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400k")
+        assert fits_broadcast(small)
+        for hot_rows in (1_000_000, 0):
+            got = salted_join(left, small, ["k"], "id", hot_rows=hot_rows or 1)
+            text = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in text and got.count() == 20_000
+            assert "BroadcastExchange" not in text or not hot_rows
+        assert "BroadcastHashJoin" in salted_join(left, small.limit(100), ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
