@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslake.functions import greedy
-from opslake.functions.skew import Running, exact_quantile, fits_broadcast, salted_join, scan, trailing_count
+from opslake.functions.skew import Running, exact_quantile, fits_broadcast, plain_join, salted_join, scan, trailing_count
+from opslake.operators import evaluators
+from opslake.sources.fixtures import Domain
 
 START = datetime(2024, 1, 1)
 
@@ -184,3 +186,57 @@ def test_a_side_that_only_its_estimate_makes_small_is_not_broadcast(spark, tmp_p
         assert "BroadcastHashJoin" in salted_join(left, small.limit(100), ["k"], "id")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def threshold(spark):
+    """Sets the size up to which Spark broadcasts."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def test_views_merge_a_lookup_that_only_its_estimate_makes_small(spark, tmp_path, threshold):
+    events = "id AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts, id AS user_id, 'error' AS event_type, 1D AS value, 'x' AS props"
+    spark.range(30_000).selectExpr(*events.split(", ")).write.parquet(str(tmp_path / "events.parquet"))
+    customer = "id AS c_custkey, 'c' AS c_name, 3 AS c_nationkey, 0D AS c_acctbal, 'm' AS c_mktsegment"
+    spark.range(20_000).selectExpr(*customer.split(", ")).write.parquet(str(tmp_path / "customer.parquet"))
+    for size, merged in (("400k", True), ("100m", False)):
+        threshold(size)
+        t = Domain(spark, str(tmp_path))
+        assert fits_broadcast(t.base("customer"))
+        for view in (t.job_executions, t.ingest_requests, t.notifications):
+            assert ("BroadcastExchange" not in plan_of(view)) == merged == ("SortMergeJoin" in plan_of(view))
+            assert view.count() == 20_000
+        assert t.jobs.count() == 20_000
+
+
+def test_joins_of_jobs_merge_sides_that_only_their_estimate_makes_small(spark, tmp_path, threshold):
+    paths = [str(tmp_path / name) for name in ("jobs", "runs")]
+    jobs = "id AS job_id|'t' AS tenant_id|'n' AS name|'ACTIVE' AS status|1 AS sla_seconds|'x' AS cron_expression|60 AS expected_runtime_seconds|60 AS grace_period_seconds"
+    spark.range(20_000).selectExpr(*jobs.split("|")).write.parquet(paths[0])
+    runs = "id AS job_id|id|TIMESTAMP_NTZ '2024-01-01 00:00:00' AS started_at|TIMESTAMP_NTZ '2024-01-01 00:00:09' AS completed_at|9000L AS duration_ms"
+    spark.range(20_000).selectExpr(*runs.split("|")).write.parquet(paths[1])
+    jobs, latest = (spark.read.parquet(p) for p in paths)
+    for size, merged in (("400k", True), ("100m", False)):
+        threshold(size)
+        assert fits_broadcast(jobs) and fits_broadcast(latest)
+        for got in (evaluators.sla_violations(jobs, latest, latest), evaluators.missed_heartbeats(jobs, latest, START + timedelta(days=9), latest)):
+            assert ("BroadcastExchange" not in plan_of(got)) == merged and got.count() == 20_000
+    threshold("400k")
+    for how, rows in (("left", 20_000), ("left_anti", 19_900)):
+        got = plain_join(jobs, latest.limit(100), ["job_id"], how)
+        assert "BroadcastHashJoin" in plan_of(got) and got.count() == rows
+
+
+def test_accepted_times_that_only_their_estimate_makes_few_are_not_broadcast(spark, threshold):
+    rows = spark.range(40_000).selectExpr("id % 400 AS k", "CAST(timestamp_seconds(60 * (id div 400)) AS timestamp_ntz) AS ts", "id", "1 AS gap")
+    for size, merged in (("900k", True), ("100m", False)):
+        threshold(size)
+        got = greedy.keep_spaced(rows, "k", "ts", "id", "gap")
+        assert ("BroadcastHashJoin" not in plan_of(got)) == merged and got.count() == 40_000
