@@ -6,24 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opslake.functions.folders import append_folders, in_few_tasks, open_in_parts
 from opslake.functions.scratch import listed_in_few_tasks
 
 
 def archive_logs(logs: DataFrame, uri: str, ts: str = "ts") -> None:
     """Write logs as JSON lines by service and day under any storage address.
 
-    A service's day is spread over files by its size, so a busy one is not one task.  Tasks put
-    their files in place themselves; the driver would move those of all services and days one by one.
+    A service's day is spread over files by its size, so a busy one is not one task.
     """
-    (
-        logs.withColumn("log_date", F.to_date(ts))
-        .hint("rebalance", "service", "log_date")
-        .write.mode("append")
-        .partitionBy("service", "log_date")
-        .option("compression", "gzip")
-        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-        .json(uri)
-    )
+    append_folders(logs.withColumn("log_date", F.to_date(ts)), uri, ["service", "log_date"], "json")
 
 
 def read_archive(spark: SparkSession, uri: str, schema: T.StructType) -> DataFrame:
@@ -33,4 +25,4 @@ def read_archive(spark: SparkSession, uri: str, schema: T.StructType) -> DataFra
         [*fields, T.StructField("service", T.StringType()), T.StructField("log_date", T.DateType())]
     )
     with listed_in_few_tasks(spark):
-        return spark.read.schema(full).json(uri)
+        return in_few_tasks(open_in_parts(spark, uri, lambda reader, paths: reader.schema(full).json(paths)))

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from opslake.functions import folders
 from opslake.operators import logindex, logs, tables
 from opslake.sources import archive, versions
 from opslake.streaming import logstore
@@ -204,3 +205,63 @@ def test_the_term_index_is_the_same_however_its_files_are_dealt_out(spark, tmp_p
         logindex.extend_index(spark, path, str(tmp_path / f"terms-{chars}"))
         got.append(sorted(map(tuple, logindex.read_index(spark, str(tmp_path / f"terms-{chars}")).collect())))
     assert got[0] == got[1] and len(set(got[0])) == len(got[0]) > 0
+
+
+def folder_files(root):
+    return sorted(f.relative_to(root) for f in root.rglob("*") if f.is_file() and not f.name.startswith((".", "_")))
+
+
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_folders_written_by_tasks_are_those_that_spark_writes(spark, tmp_path, monkeypatch, kind):
+    keys = ["plain", "a/b=c", "x y", "50%", "{q}[z]^", "é'*\"", "", None, "tab\there", "back\\slash:?#"]
+    rows = [(i, keys[i % len(keys)], f"m{i}\n\"ü" if i % 7 else None, NOW + timedelta(days=i % 3) if i % 11 else None) for i in range(200)]
+    entries = spark.createDataFrame(rows, "id long, service string, message string, ts timestamp_ntz").withColumn("log_date", F.to_date("ts"))
+    for name in ("tasks", "spark"):
+        for _ in range(2):  # both append
+            folders.append_folders(entries, str(tmp_path / name), ["service", "log_date"], kind)
+        monkeypatch.setattr(folders, "mounted", lambda *_: None)
+    made = [folder_files(tmp_path / name) for name in ("tasks", "spark")]
+    assert {f.parent for f in made[0]} == {f.parent for f in made[1]} and len(made[0]) >= 2 * len({f.parent for f in made[0]})
+    assert not list((tmp_path / "tasks").rglob(".part*"))
+    schema = "id long, message string, ts timestamp_ntz, service string, log_date date"
+    got = [sorted(map(str, spark.read.schema(schema).format(kind).load(str(tmp_path / n)).collect())) for n in ("tasks", "spark")]
+    assert got[0] == got[1] and len(got[0]) == 400
+
+
+def test_a_key_larger_than_a_task_holds_is_one_file_of_several_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "HELD_BYTES", 100)
+    entries = spark.range(500).selectExpr("id", "'s' AS service", "DATE '2024-01-01' AS log_date").coalesce(1)
+    for kind in ("json", "parquet"):
+        folders.append_folders(entries, str(tmp_path / kind), ["service", "log_date"], kind)
+        assert sorted(r.id for r in spark.read.schema("id long").format(kind).load(str(tmp_path / kind)).collect()) == list(range(500))
+
+
+def test_a_failed_write_shows_no_file_and_names_are_given_once(spark, tmp_path):
+    import pyarrow as pa
+
+    entries = spark.range(50).selectExpr("if(id = 49, raise_error('no'), id) AS id", "id % 5 AS service", "id % 5 AS log_date").coalesce(1)
+    with pytest.raises(Exception, match="no"):
+        folders.append_folders(entries, str(tmp_path / "failed"), ["service", "log_date"], "json")
+    assert not (tmp_path / "failed").exists() or not folder_files(tmp_path / "failed")
+    (tmp_path / ".draft").write_text("x")
+    batch = pa.RecordBatch.from_pydict({"draft": [str(tmp_path / ".draft")], "final": [str(tmp_path / "final")]})
+    for _ in range(2):  # the second is a task that is run again
+        assert [b.column(0).to_pylist() for b in folders._publish([batch])] == [[1]]
+    (tmp_path / "final").unlink()
+    with pytest.raises(FileNotFoundError):
+        list(folders._publish([batch]))
+
+
+def test_an_archive_is_opened_in_parts_and_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"s{i % 4}", f"m{i}", NOW + timedelta(days=i)) for i in range(600)]
+    entries = spark.createDataFrame(rows, "id long, service string, message string, ts timestamp_ntz")
+    path = str(tmp_path / "archive")
+    archive.archive_logs(entries, path)
+    for most, parts in ((10_000, 1), (300, 2), (40, 16)):
+        monkeypatch.setattr(folders, "MOST_FOLDERS", most)
+        found = archive.read_archive(spark, path, entries.schema)
+        text = found.filter("service = 's1'")._jdf.queryExecution().executedPlan().toString()
+        assert text.count("PartitionFilters: [isnotnull(service") == parts
+        assert found._jdf.queryExecution().toRdd().getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 150
+        assert sorted(map(tuple, found.select(*entries.columns).collect())) == rows
+        assert found.columns == ["id", "message", "ts", "service", "log_date"]
