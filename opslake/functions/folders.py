@@ -171,8 +171,14 @@ def _visible(folder: str) -> list[str]:
     return sorted(n for n in os.listdir(folder) if not n.startswith((".", "_")))
 
 
-def open_in_parts(spark: SparkSession, uri: str, read: Callable[[DataFrameReader, list[str]], DataFrame]) -> DataFrame:
-    """A table by two keys, opened as the union of parts of at most ``MOST_FOLDERS`` folders.
+def folders_in(spark: SparkSession, uri: str) -> list[str]:
+    """Names of the folders of key values at an address on a mounted disk; none where it is another one or missing."""
+    root = mounted(spark, uri)
+    return [n for n in _visible(root) if "=" in n and os.path.isdir(f"{root}/{n}")] if root and os.path.isdir(root) else []
+
+
+def parts_of(spark: SparkSession, uri: str) -> list[list[str]]:
+    """The folders of a table by two keys, in parts of at most ``MOST_FOLDERS``; the table itself where one part holds all.
 
     What Spark does with the folders of one table takes time by the square of their number.
     """
@@ -186,10 +192,13 @@ def open_in_parts(spark: SparkSession, uri: str, read: Callable[[DataFrameReader
         if held + len(names) > MOST_FOLDERS:
             parts, part, held = [*parts, part], [], 0
         part, held = [*part, f"{uri}/{top}"], held + len(names)
-    parts += [part] * bool(part)
-    if len(parts) < 2:
-        return read(spark.read, [uri])
-    return reduce(DataFrame.union, (read(spark.read.option("basePath", uri), p) for p in parts))
+    parts = [p for p in (*parts, part) if p]
+    return parts if len(parts) > 1 else [[uri]]
+
+
+def open_in_parts(spark: SparkSession, uri: str, read: Callable[[DataFrameReader, list[str]], DataFrame]) -> DataFrame:
+    """A table by two keys, opened as the union of its parts."""
+    return reduce(DataFrame.union, (read(spark.read.option("basePath", uri), p) for p in parts_of(spark, uri)))
 
 
 def in_few_tasks(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslake.functions.folders import append_folders
 from opslake.functions.levels import at_least, level_rank
 from opslake.functions.skew import salted_join
 from opslake.functions.text import LOG_PREVIEW, is_blank, truncated
@@ -26,12 +27,7 @@ def prepare_logs(logs: DataFrame, received_at: datetime) -> DataFrame:
 
 def write_logs(logs: DataFrame, path: str) -> None:
     """Append prepared logs by tenant and day; a busy tenant-day is spread over as many files as its size asks for."""
-    (
-        logs.hint("rebalance", "tenant_id", "log_date")
-        .write.mode("append")
-        .partitionBy("tenant_id", "log_date")
-        .parquet(path)
-    )
+    append_folders(logs, path, ["tenant_id", "log_date"], "parquet")
 
 
 def read_logs(

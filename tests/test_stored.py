@@ -265,3 +265,46 @@ def test_an_archive_is_opened_in_parts_and_read_in_few_tasks(spark, tmp_path, mo
         assert found._jdf.queryExecution().toRdd().getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 150
         assert sorted(map(tuple, found.select(*entries.columns).collect())) == rows
         assert found.columns == ["id", "message", "ts", "service", "log_date"]
+
+
+def test_the_term_index_has_folders_by_month_and_any_number_of_parts_gives_the_same(spark, tmp_path, monkeypatch):
+    words = ["disk", "full", "Node7", "für"]
+    rows = [(i, f"t {i % 2}", "INFO", f"{words[i % 4]} {words[i % 3]} {i}", NOW + timedelta(hours=8 * i)) for i in range(400)]
+    entries = spark.createDataFrame(rows, "id long, tenant_id string, level string, message string, ts timestamp_ntz")
+    path = str(tmp_path / "rows")
+    logs.write_logs(logs.prepare_logs(entries, NOW), path)
+    got, ran = [], []
+    for most in (10_000, 50):
+        monkeypatch.setattr(folders, "MOST_FOLDERS", most)
+        index = tmp_path / f"terms-{most}"
+        spark.sparkContext.setJobGroup(f"index {most}", "")
+        logindex.extend_index(spark, path, str(index))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"index {most}") for s in tracker.getJobInfo(j).stageIds]
+        ran.append(max(i.numTasks for i in infos if i))
+        # 134 days of two tenants lie in five months.
+        assert len({f.parent for f in index.rglob("*.parquet")}) == 10
+        got.append(sorted(map(str, logindex.read_index(spark, str(index)).collect())))
+        for start, end in ((None, None), (NOW + timedelta(days=20), NOW + timedelta(days=45)), (NOW - timedelta(days=9), NOW - timedelta(days=3))):
+            for tenant in ("t 1", "none"):
+                found = logindex.indexed_search(spark, path, str(index), tenant, "NODE7 3", None, start, end)
+                plain = logs.log_search(logs.read_logs(spark, path, tenant, start, end), tenant, "NODE7 3", None, start, end)
+                assert found.schema == plain.schema and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert got[0] == got[1] and len(set(got[0])) == len(got[0]) > 400
+    assert max(ran) <= 8 * spark.sparkContext.defaultParallelism
+    one_day = logindex.files_to_read(spark, path, str(index), "t 1", "disk", NOW + timedelta(days=3), NOW + timedelta(days=3))
+    assert len(one_day[1]) == 1 and "log_date=2024-06-04" in one_day[1][0]
+
+
+def test_a_table_without_its_own_index_is_searched_whole_and_then_indexed(spark, tmp_path):
+    path, index = str(tmp_path / "rows"), str(tmp_path / "terms")
+    entries = spark.createDataFrame([(1, "t", "INFO", "disk full", NOW)], "id long, tenant_id string, level string, message string, ts timestamp_ntz")
+    logs.write_logs(logs.prepare_logs(entries, NOW), path)
+    # What an index by days has left there.
+    spark.sql("SELECT 'x' AS term, 'y' AS file, 't' AS tenant_id, DATE '2024-06-01' AS log_date").write.partitionBy("tenant_id", "log_date").parquet(index)
+    for _ in range(2):
+        assert [r.id for r in logindex.indexed_search(spark, path, index, "t", "FULL").collect()] == [1]
+        logindex.extend_index(spark, path, index)
+    assert logindex.files_to_read(spark, path, index, "t", "empty", None, None)[0] == []
+    assert sorted(r.term for r in logindex.read_index(spark, index).collect()) == ["", "disk", "full"]
